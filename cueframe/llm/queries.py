@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, sharding, warc
+from . import bpe, minhash, packing, quality, sharding, warc
 from .common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
+WORD_BPE = "word_bpe_49k.json"
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +25,18 @@ def op5_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op6_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "n_chunks", "n_bad_chunks", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_byte_bpe, op5_hash_tree_shards, op7_compression_bands)}
+def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_warc, op4_byte_bpe, op5_hash_tree_shards, op6_linear_grouping, op7_compression_bands, op9_bbit_minhash)}
 ORACLES: dict[str, str] = {}
