@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, quality, sharding, warc
+from . import bpe, minhash, packing, quality, sharding, urls, warc
 from .common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -34,9 +34,13 @@ def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "n_chunks", "n_bad_chunks", "kept")
 
 
+def op8_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_byte_bpe, op5_hash_tree_shards, op6_linear_grouping, op7_compression_bands, op9_bbit_minhash)}
+QUERIES = {f.__name__: f for f in (op3_warc, op4_byte_bpe, op5_hash_tree_shards, op6_linear_grouping, op7_compression_bands, op8_template_tree, op9_bbit_minhash)}
 ORACLES: dict[str, str] = {}
