@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, minhash, packing, quality, sharding, urls, warc
+from . import bpe, linechunks, minhash, packing, quality, sharding, urls, warc
 from .common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -42,5 +42,10 @@ def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_warc, op4_byte_bpe, op5_hash_tree_shards, op6_linear_grouping, op7_compression_bands, op8_template_tree, op9_bbit_minhash)}
+def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linechunks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_words", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op3_warc, op4_byte_bpe, op5_hash_tree_shards, op6_linear_grouping, op7_compression_bands, op8_template_tree, op9_bbit_minhash, op10_line_chunks)}
 ORACLES: dict[str, str] = {}
