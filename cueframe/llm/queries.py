@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, linechunks, minhash, packing, pii, quality, sharding, urls, warc
+from . import bpe, itq, linechunks, minhash, packing, pii, quality, sharding, urls, warc
 from .common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -16,6 +16,10 @@ def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.link(table(spark, sf_dir, "embeddings"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -51,5 +55,5 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_words", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_disclosure, op3_warc, op4_byte_bpe, op5_hash_tree_shards, op6_linear_grouping, op7_compression_bands, op8_template_tree, op9_bbit_minhash, op10_line_chunks)}
+QUERIES = {f.__name__: f for f in (op1_disclosure, op2_itq, op3_warc, op4_byte_bpe, op5_hash_tree_shards, op6_linear_grouping, op7_compression_bands, op8_template_tree, op9_bbit_minhash, op10_line_chunks)}
 ORACLES: dict[str, str] = {}
