@@ -1,0 +1,6 @@
+"""Queries over the shared tables: importing this package registers them all."""
+
+from . import gates, text, timeline  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
