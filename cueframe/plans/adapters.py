@@ -89,8 +89,9 @@ TALK = """talk AS (
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """section_id, id, start, end, kind, k, from events: seconds since the user's first event."""
-    first = F.min(F.unix_micros("ts")).over(Window.partitionBy("user_id"))
-    out = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props", F.unix_micros("ts").alias("_ts"), first.alias("_first"))
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first = F.min(micros).over(Window.partitionBy("user_id"))
+    out = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props", micros.alias("_ts"), first.alias("_first"))
     start = (F.col("_ts") - F.col("_first")) / 1000000.0
     return out.select(F.col("user_id").alias("section_id"), F.col("event_id").alias("id"), start.alias("start"), (start + F.abs(F.coalesce("value", F.lit(0.0)))).alias("end"), F.col("event_type").alias("kind"))
 
