@@ -6,7 +6,7 @@ join on concert_id, so one shuffle by concert serves them all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.numbers import round3
@@ -14,13 +14,16 @@ from ..functions.numbers import round3
 GAP_TOLERANCE = 0.5
 RESOLVING = ("approved_speech", "crowd_nonlexical", "credits", "music_only", "no_speech")
 RESOLVED = ("approved", "known_lyric", "crowd_nonlexical", "rejected_hallucination")
-_before = Window.partitionBy("concert_id").orderBy("start", "end", "section_id")
+
+
+def _in_time() -> WindowSpec:
+    return Window.partitionBy("concert_id").orderBy("start", "end", "section_id")
 
 
 def timeline_gaps(sections: DataFrame, concerts: DataFrame) -> DataFrame:
     """concert_id, start, end, duration of what no section covers, beyond half a second."""
     inside = sections.join(concerts, "concert_id").select("concert_id", "section_id", F.greatest(F.lit(0.0), "start").alias("start"), F.least("duration", "end").alias("end"))
-    reach = F.greatest(F.lit(0.0), F.coalesce(F.max("end").over(_before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    reach = F.greatest(F.lit(0.0), F.coalesce(F.max("end").over(_in_time().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     holes = inside.withColumn("reach", reach).where(F.col("start") > F.col("reach") + GAP_TOLERANCE).select("concert_id", F.col("reach").alias("a"), F.col("start").alias("b"))
     last = inside.groupBy("concert_id").agg(F.greatest(F.lit(0.0), F.max("end")).alias("a"))
     tail = concerts.join(last, "concert_id", "left").select("concert_id", F.coalesce("a", F.lit(0.0)).alias("a"), F.col("duration").alias("b")).where(F.col("b") > F.col("a") + GAP_TOLERANCE)
@@ -63,7 +66,7 @@ def coverage_audit(sections: DataFrame, concerts: DataFrame, candidates: DataFra
 
 def fill_timeline(sections: DataFrame, concerts: DataFrame) -> DataFrame:
     """Sections and a transition in every gap, numbered by kind. error: overlap or out_of_range."""
-    previous = F.lag("end").over(_before)
+    previous = F.lag("end").over(_in_time())
     placed = sections.join(concerts, "concert_id").withColumn("_p", F.coalesce(previous, F.lit(0.0)))
     error = F.when((F.col("start") < 0) | (F.col("end") > F.col("duration")), "out_of_range").when(F.col("start") < F.col("_p") - 0.001, "overlap")
     own = placed.select("concert_id", "section_id", F.col("type").alias("kind"), "start", "end", error.alias("error"))

@@ -5,6 +5,8 @@ The shared texts are composed Latin text, on which NFKC changes nothing; so the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,72 +23,85 @@ def _q(text: str) -> str:
     return text.replace("'", "''")
 
 
-def _each(name: str, column: Column, sql: str, source: str = "talk", keys: tuple[str, ...] = ("section_id", "pos")) -> None:
+def _each(name: str, column: Callable[[], Column], sql: str, source: str = "talk", keys: tuple[str, ...] = ("section_id", "pos")) -> None:
     """A query of one value for each row of conversations or lines."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return (talk if source == "talk" else lines)(spark, sf_dir).select(*keys, column.alias("value"))
+        return (talk if source == "talk" else lines)(spark, sf_dir).select(*keys, column().alias("value"))
 
     run.__name__ = name
     query(f"WITH {TALK if source == 'talk' else LINES} SELECT {', '.join(keys)}, {sql} AS value FROM {source}")(run)
 
 
-_text = F.col("text")
+def _text() -> Column:
+    return F.col("text")
+
+
 _LINE = ("track_id", "line")
-_marked = F.concat(F.lit("{an8}"), _text, F.lit("\\N"), F.upper(F.substring("text", 1, 5)))
+
+
+def _marked() -> Column:
+    return F.concat(F.lit("{an8}"), _text(), F.lit("\\N"), F.upper(F.substring("text", 1, 5)))
+
+
 _MARKED = "'{an8}' || text || '\\N' || upper(substr(text, 1, 5))"
-_each("t1_norm_layout", T.norm_layout(_marked), f"regexp_replace(replace(regexp_replace({_MARKED}, '{T.TAG}', '', 'g'), '\\N', ' '), '[{T.SPACE}]+', '', 'g')")
-_each("t2_norm_match", T.norm_match(_marked), f"regexp_replace(lower(replace(regexp_replace({_MARKED}, '{T.TAG}', '', 'g'), '\\N', '')), '{_P}', '', 'g')")
-_each("t3_norm_lyric", T.norm_lyric(_text), f"regexp_replace(replace(lower(text), 'ß', 'ss'), '{_P}', '', 'g')", "lines", _LINE)
-_each("t4_display_units", T.display_units(_text), f"CAST({units_sql('text')} AS INTEGER)", "lines", _LINE)
+_each("t1_norm_layout", lambda: T.norm_layout(_marked()), f"regexp_replace(replace(regexp_replace({_MARKED}, '{T.TAG}', '', 'g'), '\\N', ' '), '[{T.SPACE}]+', '', 'g')")
+_each("t2_norm_match", lambda: T.norm_match(_marked()), f"regexp_replace(lower(replace(regexp_replace({_MARKED}, '{T.TAG}', '', 'g'), '\\N', '')), '{_P}', '', 'g')")
+_each("t3_norm_lyric", lambda: T.norm_lyric(_text()), f"regexp_replace(replace(lower(text), 'ß', 'ss'), '{_P}', '', 'g')", "lines", _LINE)
+_each("t4_display_units", lambda: T.display_units(_text()), f"CAST({units_sql('text')} AS INTEGER)", "lines", _LINE)
 _N = f"length(regexp_replace(text, '[^{T.wide()}]+', '', 'g'))"
-_each("t5_weighted_width", T.weighted_width(_text), f"{_N} * 1.0 + (length(text) - {_N}) * 0.55", "lines", _LINE)
-_each("t5_line_width", T.line_width(F.replace(_text, F.lit(". "), F.lit("\n")), 48), f"list_max(list_transform(string_split(replace(text, '. ', chr(10)), chr(10)), lambda x: length(x) + length(regexp_replace(x, '[^{T.wide()}]+', '', 'g')))) * 48 / 2")
+_each("t5_weighted_width", lambda: T.weighted_width(_text()), f"{_N} * 1.0 + (length(text) - {_N}) * 0.55", "lines", _LINE)
+_each("t5_line_width", lambda: T.line_width(F.replace(_text(), F.lit(". "), F.lit("\n")), 48), f"list_max(list_transform(string_split(replace(text, '. ', chr(10)), chr(10)), lambda x: length(x) + length(regexp_replace(x, '[^{T.wide()}]+', '', 'g')))) * 48 / 2")
 _NF = f"length(regexp_replace(text, '[^{T.wide('WF')}]+', '', 'g'))"
-_each("t5_label_width", T.label_width(_text), f"CAST(ceil(({_NF} + (length(text) - {_NF}) * CAST(0.55 AS DOUBLE)) * 24 * CAST(0.8 AS DOUBLE)) AS BIGINT) + 16")
-_each("t5_comment_width", T.comment_width(_text), _cw_sql("text"))
+_each("t5_label_width", lambda: T.label_width(_text()), f"CAST(ceil(({_NF} + (length(text) - {_NF}) * CAST(0.55 AS DOUBLE)) * 24 * CAST(0.8 AS DOUBLE)) AS BIGINT) + 16")
+_each("t5_comment_width", lambda: T.comment_width(_text()), _cw_sql("text"))
 _W = f"(list_max(list_transform(string_split(text, chr(10)), lambda x: length(x) + length(regexp_replace(x, '[^{T.wide()}]+', '', 'g')))) * 48 / 2)"
-_each("t6_fit_scale", T.fit_scale(T.line_width(_text, 48), 1760.0), f"CAST(CASE WHEN {_W} <= 1760 THEN 100 ELSE greatest(50, least(100, floor(CAST(1760 AS DOUBLE) / {_W} * 100))) END AS INTEGER)")
-_each("t8_mc_punctuation", T.normalize_mc_punctuation(F.concat(_text, F.lit(" 3.14, a... b.."))), mc_sql("(text || ' 3.14, a... b..')"))
-_each("t9_review_placeholder", T.has_review_placeholder(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(_text, F.lit(" [TODO]"))).otherwise(_text)), f"regexp_matches(CASE WHEN pos % 3 = 0 THEN text || ' [TODO]' ELSE text END, '{_q(T.REVIEW_MARK)}')")
-_each("t10_lyric_metadata", T.is_lyric_metadata(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(F.lit("Lyrics: "), _text)).when(F.pmod("pos", F.lit(3)) == 1, "[Verse 2]").otherwise(_text)), "pos % 3 <> 2")
+_each("t6_fit_scale", lambda: T.fit_scale(T.line_width(_text(), 48), 1760.0), f"CAST(CASE WHEN {_W} <= 1760 THEN 100 ELSE greatest(50, least(100, floor(CAST(1760 AS DOUBLE) / {_W} * 100))) END AS INTEGER)")
+_each("t8_mc_punctuation", lambda: T.normalize_mc_punctuation(F.concat(_text(), F.lit(" 3.14, a... b.."))), mc_sql("(text || ' 3.14, a... b..')"))
+_each("t9_review_placeholder", lambda: T.has_review_placeholder(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(_text(), F.lit(" [TODO]"))).otherwise(_text())), f"regexp_matches(CASE WHEN pos % 3 = 0 THEN text || ' [TODO]' ELSE text END, '{_q(T.REVIEW_MARK)}')")
+_each("t10_lyric_metadata", lambda: T.is_lyric_metadata(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(F.lit("Lyrics: "), _text())).when(F.pmod("pos", F.lit(3)) == 1, "[Verse 2]").otherwise(_text())), "pos % 3 <> 2")
 _V = "(CASE WHEN pos % 2 = 0 THEN regexp_replace(lower(text), '[a-z]+', 'la', 'g') ELSE lower(text) END)"
 _each(
     "t11_ascii_chant",
-    T.is_ascii_chant(F.when(F.pmod("pos", F.lit(2)) == 0, F.regexp_replace(F.lower(_text), "[a-z]+", "la")).otherwise(_text)),
+    lambda: T.is_ascii_chant(F.when(F.pmod("pos", F.lit(2)) == 0, F.regexp_replace(F.lower(_text()), "[a-z]+", "la")).otherwise(_text())),
     f"len(regexp_extract_all({_V}, '[a-z]+')) > 0 AND regexp_replace({_V}, '{_q(T.CHANT_OTHER)}', '', 'g') = '' AND len(list_filter(regexp_extract_all({_V}, '[a-z]+'), lambda x: NOT regexp_matches(x, '{T.CHANT_TOKEN}'))) = 0",
 )
-_titled = F.concat(F.lit("Artist - "), F.lpad((F.col("pos") + 1).cast("string"), 2, "0"), F.lit(". "), F.trim(F.regexp_replace(F.substring("text", 1, 20), "[^A-Za-z]+", " ")), F.lit(" (Official Video) x"))
-_each("t12_clean_title", T.clean_title(_titled), "trim(regexp_replace(trim(regexp_replace(substr(text, 1, 20), '[^A-Za-z]+', ' ', 'g')), '(?i)\\s+from\\s+.*$', ''))")
-_each("t12_clean_artist", T.clean_artist(F.concat(F.col("role"), F.lit(" Official YouTube Channel"))), "role")
-_each("t13_slugify", T.slugify(F.substring("text", 1, 40)), r"coalesce(nullif(regexp_replace(regexp_replace(substr(text, 1, 40), '[^\p{L}\p{N}_\x{3040}-\x{30ff}\x{3400}-\x{9fff}.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled')")
-_each("t13_filename_fault", T.valid_filename_component(F.substring("text", 1, 150)), r"""CASE WHEN trim(substr(text, 1, 150)) IN ('', '.', '..') THEN 'empty' WHEN length(trim(substr(text, 1, 150))) > 128 THEN 'too_long' WHEN trim(substr(text, 1, 150)) LIKE '%.' THEN 'ends_with_dot'
+
+
+def _titled() -> Column:
+    return F.concat(F.lit("Artist - "), F.lpad((F.col("pos") + 1).cast("string"), 2, "0"), F.lit(". "), F.trim(F.regexp_replace(F.substring("text", 1, 20), "[^A-Za-z]+", " ")), F.lit(" (Official Video) x"))
+
+
+_each("t12_clean_title", lambda: T.clean_title(_titled()), "trim(regexp_replace(trim(regexp_replace(substr(text, 1, 20), '[^A-Za-z]+', ' ', 'g')), '(?i)\\s+from\\s+.*$', ''))")
+_each("t12_clean_artist", lambda: T.clean_artist(F.concat(F.col("role"), F.lit(" Official YouTube Channel"))), "role")
+_each("t13_slugify", lambda: T.slugify(F.substring("text", 1, 40)), r"coalesce(nullif(regexp_replace(regexp_replace(substr(text, 1, 40), '[^\p{L}\p{N}_\x{3040}-\x{30ff}\x{3400}-\x{9fff}.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled')")
+_each("t13_filename_fault", lambda: T.valid_filename_component(F.substring("text", 1, 150)), r"""CASE WHEN trim(substr(text, 1, 150)) IN ('', '.', '..') THEN 'empty' WHEN length(trim(substr(text, 1, 150))) > 128 THEN 'too_long' WHEN trim(substr(text, 1, 150)) LIKE '%.' THEN 'ends_with_dot'
   WHEN regexp_matches(trim(substr(text, 1, 150)), '[<>:"/\\|?*\x00-\x1F]') THEN 'illegal_character' WHEN lower(split_part(trim(substr(text, 1, 150)), '.', 1)) IN ('con', 'prn', 'aux', 'nul') THEN 'reserved_name' END""")
-_each("t14_srt_time", C.srt(F.col("start")), "format('{:02d}:{:02d}:{:02d},{:03d}', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000)".replace("ms", "CAST(round_even(start * 1000, 0) AS BIGINT)"))
-_each("t14_ass_time", C.ass(F.col("end")), "format('{}:{:02d}:{:02d}.{:02d}', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100)".replace("cs", "CAST(round_even(\"end\" * 100, 0) AS BIGINT)"))
-_each("t14_review_time", C.review(F.col("start") * 100), "CASE WHEN ms >= 3600000 THEN format('{:02d}:', ms // 3600000) ELSE '' END || format('{:02d}:{:02d}.{:03d}', ms // 60000 % 60, ms // 1000 % 60, ms % 1000)".replace("ms", "CAST(round_even(start * 100 * 1000, 0) AS BIGINT)"))
-_each("t14_parse_time", C.parse_ms(C.srt(F.col("start"))), "CAST(round_even(start * 1000, 0) AS BIGINT)")
-_each("t21_split_bilingual", T.split_bilingual(F.when(F.pmod("pos", F.lit(2)) == 0, F.concat(F.lit("かな\n"), F.col("role"))).otherwise(F.concat(F.col("role"), F.lit("\n\n 漢字 "))))["chinese"], "role")
-_each("t22_strong_end", T.has_strong_end(_text), "regexp_matches(rtrim(rtrim(trim(text), '”’」』）》】\"'''), ' '), '[。！？?!；;]$')")
-_each("t22_unfinished_tail", T.has_unfinished_tail(F.when(F.pmod("pos", F.lit(2)) == 0, F.concat(_text, F.lit("けど、"))).otherwise(_text)), "pos % 2 = 0")
-_each("t22_short_reply", T.is_short_reply(F.when(F.pmod("pos", F.lit(3)) == 0, "そう です。").otherwise(_text)), "pos % 3 = 0")
-_each("t22_continuation", T.has_continuation_evidence(F.array(F.when(F.pmod("pos", F.lit(3)) == 0, "Sentence_Unfinished").otherwise(F.col("role")))), "pos % 3 = 0")
-_each("t23_choose_lyric_text", T.choose_lyric_text(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(F.lit("[00:01.5]"), _text)).when(F.pmod("pos", F.lit(3)) == 1, _text), F.when(F.pmod("pos", F.lit(6)) == 2, _text))["kind"], "CASE WHEN pos % 3 = 0 THEN 'lrc' WHEN pos % 6 = 2 AND trim(text) <> '' THEN 'txt' WHEN pos % 3 = 1 AND trim(text) <> '' THEN 'txt' END")
-_each("t16_title_score", T.title_match_score(F.substring("text", 1, 3), F.col("role"), F.substring("text", 1, 20), F.concat(F.lit("the "), F.col("role"))), "CASE WHEN substr(text, 1, 3) <> '' AND lower(substr(text, 1, 3)) = lower(substr(text, 1, 20)) THEN 8 WHEN substr(text, 1, 3) <> '' THEN 4 ELSE 0 END + 4")
+_each("t14_srt_time", lambda: C.srt(F.col("start")), "format('{:02d}:{:02d}:{:02d},{:03d}', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000)".replace("ms", "CAST(round_even(start * 1000, 0) AS BIGINT)"))
+_each("t14_ass_time", lambda: C.ass(F.col("end")), "format('{}:{:02d}:{:02d}.{:02d}', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100)".replace("cs", "CAST(round_even(\"end\" * 100, 0) AS BIGINT)"))
+_each("t14_review_time", lambda: C.review(F.col("start") * 100), "CASE WHEN ms >= 3600000 THEN format('{:02d}:', ms // 3600000) ELSE '' END || format('{:02d}:{:02d}.{:03d}', ms // 60000 % 60, ms // 1000 % 60, ms % 1000)".replace("ms", "CAST(round_even(start * 100 * 1000, 0) AS BIGINT)"))
+_each("t14_parse_time", lambda: C.parse_ms(C.srt(F.col("start"))), "CAST(round_even(start * 1000, 0) AS BIGINT)")
+_each("t21_split_bilingual", lambda: T.split_bilingual(F.when(F.pmod("pos", F.lit(2)) == 0, F.concat(F.lit("かな\n"), F.col("role"))).otherwise(F.concat(F.col("role"), F.lit("\n\n 漢字 "))))["chinese"], "role")
+_each("t22_strong_end", lambda: T.has_strong_end(_text()), "regexp_matches(rtrim(rtrim(trim(text), '”’」』）》】\"'''), ' '), '[。！？?!；;]$')")
+_each("t22_unfinished_tail", lambda: T.has_unfinished_tail(F.when(F.pmod("pos", F.lit(2)) == 0, F.concat(_text(), F.lit("けど、"))).otherwise(_text())), "pos % 2 = 0")
+_each("t22_short_reply", lambda: T.is_short_reply(F.when(F.pmod("pos", F.lit(3)) == 0, "そう です。").otherwise(_text())), "pos % 3 = 0")
+_each("t22_continuation", lambda: T.has_continuation_evidence(F.array(F.when(F.pmod("pos", F.lit(3)) == 0, "Sentence_Unfinished").otherwise(F.col("role")))), "pos % 3 = 0")
+_each("t23_choose_lyric_text", lambda: T.choose_lyric_text(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(F.lit("[00:01.5]"), _text())).when(F.pmod("pos", F.lit(3)) == 1, _text()), F.when(F.pmod("pos", F.lit(6)) == 2, _text()))["kind"], "CASE WHEN pos % 3 = 0 THEN 'lrc' WHEN pos % 6 = 2 AND trim(text) <> '' THEN 'txt' WHEN pos % 3 = 1 AND trim(text) <> '' THEN 'txt' END")
+_each("t16_title_score", lambda: T.title_match_score(F.substring("text", 1, 3), F.col("role"), F.substring("text", 1, 20), F.concat(F.lit("the "), F.col("role"))), "CASE WHEN substr(text, 1, 3) <> '' AND lower(substr(text, 1, 3)) = lower(substr(text, 1, 20)) THEN 8 WHEN substr(text, 1, 3) <> '' THEN 4 ELSE 0 END + 4")
 _A, _B = (f"length(regexp_replace(lower({x}), '{_P}', '', 'g'))" for x in ("substr(text, 1, 12)", "text"))
-_each("t15_contained_ratio", T.contained_ratio(T.norm_match(F.substring("text", 1, 12)), T.norm_match(_text)), f"CASE WHEN {_A} = 0 THEN CAST(0.0 AS DOUBLE) ELSE least({_A}, {_B}) / greatest({_A}, {_B}) END")
+_each("t15_contained_ratio", lambda: T.contained_ratio(T.norm_match(F.substring("text", 1, 12)), T.norm_match(_text())), f"CASE WHEN {_A} = 0 THEN CAST(0.0 AS DOUBLE) ELSE least({_A}, {_B}) / greatest({_A}, {_B}) END")
 
 
 @query()
 def t7_wrap_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return talk(spark, sf_dir).select("section_id", "pos", T.wrap_display(_text, 38).alias("wrapped"))
+    return talk(spark, sf_dir).select("section_id", "pos", T.wrap_display(_text(), 38).alias("wrapped"))
 
 
 @query()
 def t15_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against the one before it."""
     before = F.lag("text").over(Window.partitionBy("section_id").orderBy("pos"))
-    return talk(spark, sf_dir).withColumn("before", before).where("before IS NOT NULL").select("section_id", "pos", T.similarity(_text, F.col("before")).alias("similarity"))
+    return talk(spark, sf_dir).withColumn("before", before).where("before IS NOT NULL").select("section_id", "pos", T.similarity(_text(), F.col("before")).alias("similarity"))
 
 
 @query()
