@@ -11,7 +11,12 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, **kinds: str) -> Callable[[Query], Query]:
+    """Registers a query under its name. kinds: SQL types of columns that the statement leaves otherwise."""
+    if sql and kinds:
+        casts = ", ".join(f'CAST("{c}" AS {kind}) AS "{c}"' for c, kind in kinds.items())
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql})"
+
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:

@@ -28,7 +28,7 @@ def a1_error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PAIRS}, e AS (SELECT track_id, sum(n_hyp) + 10 AS hypothesis, sum(n_ref) AS reference FROM pairs GROUP BY track_id),
 p AS (SELECT *, abs(start_error) < CAST(1.0 AS DOUBLE) / 30 AS small, abs(start_error) AS x FROM pairs)
 SELECT track_id, any_value(hypothesis) AS hypothesis, any_value(reference) AS reference, count(*) FILTER (NOT small) AS matched_pairs, count(*) FILTER (NOT small AND n_hyp = 1 AND n_ref > 1) AS split_pairs, count(*) FILTER (NOT small AND n_hyp > 1 AND n_ref = 1) AS merge_pairs,
-  count(*) FILTER (NOT small AND x <= 0.20) AS near, count(*) FILTER (NOT small AND x > 0.20 AND x <= 0.75) AS middle, count(*) FILTER (NOT small AND x > 0.75) AS far, CAST(sum(n_hyp) AS BIGINT) / any_value(hypothesis) AS coverage FROM p JOIN e USING (track_id) GROUP BY track_id""")
+  count(*) FILTER (NOT small AND x <= 0.20) AS near, count(*) FILTER (NOT small AND x > 0.20 AND x <= 0.75) AS middle, count(*) FILTER (NOT small AND x > 0.75) AS far, CAST(sum(n_hyp) AS BIGINT) / any_value(hypothesis) AS coverage FROM p JOIN e USING (track_id) GROUP BY track_id""", hypothesis="BIGINT", reference="BIGINT")
 def a2_timing_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
     e = p.groupBy("track_id").agg((F.sum("n_hyp") + 10).alias("hypothesis"), F.sum("n_ref").alias("reference"))
@@ -100,25 +100,25 @@ def _songs_sql(both: bool = False) -> str:
 _RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, popularity DESC, hit_id) AS place FROM songs)"
 
 
-@query(f"WITH {_songs_sql()}, {_RANKED} SELECT query_id, hit_id, score, place FROM ranked WHERE place <= 5")
+@query(f"WITH {_songs_sql()}, {_RANKED} SELECT query_id, hit_id, score, place FROM ranked WHERE place <= 5", hit_id="INTEGER", place="INTEGER")
 def o1_rank_songs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ly.rank_songs(_songs(spark, sf_dir)).select("query_id", "hit_id", "score", "place")
 
 
-@query(f"WITH {_songs_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, synced DESC, nplain DESC, instrumental, hit_id) AS k1 FROM songs) SELECT query_id, hit_id, score FROM r WHERE k1 = 1")
+@query(f"WITH {_songs_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, synced DESC, nplain DESC, instrumental, hit_id) AS k1 FROM songs) SELECT query_id, hit_id, score FROM r WHERE k1 = 1", hit_id="INTEGER")
 def o2_choose_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ly.choose_hit(_songs(spark, sf_dir)).select("query_id", "hit_id", "score")
 
 
 @query(f"""WITH {_songs_sql(True)}, f AS (SELECT *, k = 0 AS exact FROM songs WHERE k <> 3 AND score >= 8), g AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM (SELECT *, max(CAST(exact AS INTEGER)) OVER (PARTITION BY query_id) AS anyx FROM f) WHERE exact OR anyx = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage = 1.0 DESC, coverage DESC, score DESC, lines DESC, popularity DESC, hit_id) AS k1 FROM g WHERE score >= best - 2 AND lines > 0) SELECT query_id, hit_id, score, coverage FROM r WHERE k1 = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coverage = 1.0 DESC, coverage DESC, score DESC, lines DESC, popularity DESC, hit_id) AS k1 FROM g WHERE score >= best - 2 AND lines > 0) SELECT query_id, hit_id, score, coverage FROM r WHERE k1 = 1""", hit_id="INTEGER")
 def o3_choose_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ly.choose_candidate(_songs(spark, sf_dir)).select("query_id", "hit_id", "score", "coverage")
 
 
 @query(f"""WITH {_songs_sql()}, {_RANKED}, n AS (SELECT *, CASE WHEN synced AND translated THEN 1 WHEN synced THEN 2 END AS g FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM ranked WHERE place <= 5) WHERE score >= greatest(1, best - 2)),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY g, place) AS k1 FROM n WHERE g IS NOT NULL), a AS (SELECT DISTINCT query_id, 1000 AS alt FROM songs WHERE query_id % 2 = 0)
-SELECT q.query_id, coalesce(hit_id, alt) AS hit_id, CASE WHEN g = 1 THEN 'synced_translated' WHEN g = 2 THEN 'synced' WHEN alt IS NOT NULL THEN 'alternative' ELSE 'none' END AS source FROM (SELECT DISTINCT query_id FROM songs) q LEFT JOIN b ON b.query_id = q.query_id AND k1 = 1 LEFT JOIN a ON a.query_id = q.query_id""")
+SELECT q.query_id, coalesce(hit_id, alt) AS hit_id, CASE WHEN g = 1 THEN 'synced_translated' WHEN g = 2 THEN 'synced' WHEN alt IS NOT NULL THEN 'alternative' ELSE 'none' END AS source FROM (SELECT DISTINCT query_id FROM songs) q LEFT JOIN b ON b.query_id = q.query_id AND k1 = 1 LEFT JOIN a ON a.query_id = q.query_id""", hit_id="INTEGER")
 def o4_choose_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _songs(spark, sf_dir)
     return ly.choose_source(s, s.where("query_id % 2 = 0").select("query_id", F.lit(1000).alias("hit_id")))
@@ -208,7 +208,7 @@ _SONG = """song AS (SELECT section_id, pos, CASE WHEN pos % 13 = 12 THEN 'speech
 
 @query(f"""WITH {LINES}, {_SONG}, i AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY pos) AS i FROM song), l AS (SELECT *, i - row_number() OVER (PARTITION BY section_id ORDER BY pos) AS run FROM i WHERE role = 'lyric'),
 p AS (SELECT a.section_id, a.pos AS first, b.pos AS last, max(CASE WHEN b."end" - a.start > 174 AND b.pos > a.pos THEN 1 ELSE 0 END) OVER (PARTITION BY a.section_id, a.pos ORDER BY b.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bad FROM l a JOIN l b ON a.section_id = b.section_id AND a.run = b.run AND b.pos >= a.pos),
-r AS (SELECT section_id, first, max(last) AS last, count(*) AS n FROM p WHERE bad = 0 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY n DESC, first) AS k FROM r) SELECT section_id, first, last, n FROM k WHERE k = 1""")
+r AS (SELECT section_id, first, max(last) AS last, count(*) AS n FROM p WHERE bad = 0 GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY n DESC, first) AS k FROM r) SELECT section_id, first, last, n FROM k WHERE k = 1""", first="BIGINT", last="BIGINT")
 def w11_fallback_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rep.fallback_sample(_song_cues(spark, sf_dir))
 
@@ -216,7 +216,7 @@ def w11_fallback_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {LINES}, {_SONG}, f AS (SELECT section_id, pos, start, coalesce(lag(role) OVER w <> 'lyric' OR start - lag("end") OVER w >= 3.0, TRUE) AS st FROM song WINDOW w AS (PARTITION BY section_id ORDER BY pos)),
 a AS (SELECT section_id, pos AS anchor, pos + 1 AS last FROM song WHERE pos % 5 = 3 AND (section_id, pos + 1) IN (SELECT section_id, pos FROM song)),
 e AS (SELECT a.*, greatest(coalesce((SELECT max(pos) FROM f WHERE f.section_id = a.section_id AND f.pos <= anchor AND st), 0), coalesce((SELECT max(b.last + 1) FROM a b WHERE b.section_id = a.section_id AND b.last + 1 <= a.anchor), 0)) AS fr, (SELECT "end" FROM song s WHERE s.section_id = a.section_id AND s.pos = a.last) AS u FROM a)
-SELECT e.section_id, anchor, last, min(f.pos) AS sample_start FROM e JOIN f ON f.section_id = e.section_id AND f.pos BETWEEN fr AND anchor AND (u - f.start <= 174 OR f.pos = anchor) GROUP BY ALL""")
+SELECT e.section_id, anchor, last, min(f.pos) AS sample_start FROM e JOIN f ON f.section_id = e.section_id AND f.pos BETWEEN fr AND anchor AND (u - f.start <= 174 OR f.pos = anchor) GROUP BY ALL""", anchor="BIGINT", last="BIGINT", sample_start="BIGINT")
 def w10_structure_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _song_cues(spark, sf_dir)
     nxt = c.select("section_id", F.col("pos").alias("last"))

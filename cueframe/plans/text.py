@@ -50,11 +50,11 @@ _each("t2_norm_match", lambda: T.norm_match(_marked()), f"regexp_replace(lower(r
 _each("t3_norm_lyric", lambda: T.norm_lyric(_text()), f"regexp_replace(replace(lower(text), 'ß', 'ss'), '{_P}', '', 'g')", "lines", _LINE)
 _each("t4_display_units", lambda: T.display_units(_text()), f"CAST({units_sql('text')} AS INTEGER)", "lines", _LINE)
 _N = f"length(regexp_replace(text, '[^{T.wide()}]+', '', 'g'))"
-_each("t5_weighted_width", lambda: T.weighted_width(_text()), f"{_N} * 1.0 + (length(text) - {_N}) * 0.55", "lines", _LINE)
+_each("t5_weighted_width", lambda: T.weighted_width(_text()), f"CAST({_N} * CAST(1.0 AS DOUBLE) + (length(text) - {_N}) * CAST(0.55 AS DOUBLE) AS DOUBLE)", "lines", _LINE)
 _each("t5_line_width", lambda: T.line_width(F.replace(_text(), F.lit(". "), F.lit("\n")), 48), f"list_max(list_transform(string_split(replace(text, '. ', chr(10)), chr(10)), lambda x: length(x) + length(regexp_replace(x, '[^{T.wide()}]+', '', 'g')))) * 48 / 2")
 _NF = f"length(regexp_replace(text, '[^{T.wide('WF')}]+', '', 'g'))"
 _each("t5_label_width", lambda: T.label_width(_text()), f"CAST(ceil(({_NF} + (length(text) - {_NF}) * CAST(0.55 AS DOUBLE)) * 24 * CAST(0.8 AS DOUBLE)) AS BIGINT) + 16")
-_each("t5_comment_width", lambda: T.comment_width(_text()), _cw_sql("text"))
+_each("t5_comment_width", lambda: T.comment_width(_text()), f"CAST({_cw_sql('text')} AS DOUBLE)")
 _W = f"(list_max(list_transform(string_split(text, chr(10)), lambda x: length(x) + length(regexp_replace(x, '[^{T.wide()}]+', '', 'g')))) * 48 / 2)"
 _each("t6_fit_scale", lambda: T.fit_scale(T.line_width(_text(), 48), 1760.0), f"CAST(CASE WHEN {_W} <= 1760 THEN 100 ELSE greatest(50, least(100, floor(CAST(1760 AS DOUBLE) / {_W} * 100))) END AS INTEGER)")
 _each("t8_mc_punctuation", lambda: T.normalize_mc_punctuation(F.concat(_text(), F.lit(" 3.14, a... b.."))), mc_sql("(text || ' 3.14, a... b..')"))
