@@ -270,3 +270,71 @@ def stale_hashes(stored: DataFrame, current: DataFrame, what: list[str]) -> Data
     j = stored.join(now, "section_id", "left")
     codes = [F.when(F.col("_in").isNotNull() & ~F.col(w).eqNullSafe(F.col(f"_{w}")), F.lit(f"stale_{w}")) for w in what]
     return j.select("section_id", F.explode(F.array_compact(F.array(F.when(F.col("_in").isNull(), F.lit("section_missing_from_manifest")), *codes))).alias("code"))
+
+
+# What an MC assessment may say.
+CLASSES = ("single_speaker", "managed_dialogue", "crowded_multi_speaker")
+RISKS = ("overlapping_speech", "rapid_turn_taking", "speaker_identity_uncertain", "off_camera_speech", "crowd_interjections")
+BASES = ("continuous_av_review", "audio_review", "video_review", "static_video_frames", "asr_word_timing")
+HEARD = ("continuous_av_review", "audio_review")
+
+
+def mc_assessment_failures(packages: DataFrame, assessments: DataFrame, version: str = "0.1.0") -> DataFrame:
+    """Faults of MC assessments (section_id, schema_version, input_hash, classification, speaker_count, signals, evidence_basis,
+    risk_level, manual_required, reflow_policy) against packages (section_id, input_hash); a package without one
+    is a fault too, crowded and managed MC ask for review."""
+    a = assessments.withColumnRenamed("input_hash", "_seen").withColumn("_in", F.lit(True))
+    j = packages.select("section_id", "input_hash").join(a, "section_id", "left")
+    known, counted = F.coalesce(F.col("classification").isin(*CLASSES), F.lit(False)), F.coalesce(F.col("speaker_count") >= 1, F.lit(False))
+    values = lambda c, allowed: F.array_except(F.coalesce(c, F.array().cast("array<string>")), F.array(*map(F.lit, allowed)))
+    odd_signal = F.size(values("signals", RISKS)) > 0
+    basis = F.coalesce("evidence_basis", F.array().cast("array<string>"))
+    high = (F.col("classification") == CLASSES[2]) | (F.col("speaker_count") >= 3) | (F.size(F.coalesce("signals", F.array().cast("array<string>"))) > 0)
+    level = F.when(high, "high").when(F.col("classification") == CLASSES[1], "medium").otherwise("low")
+    policy = F.when(high, "draft_only").otherwise("review_required")
+    judged = known & counted & ~odd_signal
+    here = F.col("_in").isNotNull()
+    checks = [
+        (~here, "mc_complexity_missing", "hard"),
+        (here & ~F.col("schema_version").eqNullSafe(F.lit(version)), "mc_complexity_schema_mismatch", "hard"),
+        (here & ~F.col("_seen").eqNullSafe(F.col("input_hash")), "stale_mc_complexity_assessment", "hard"),
+        (here & ~known, "invalid_mc_complexity_classification", "hard"),
+        (here & ~counted, "invalid_mc_speaker_count", "hard"),
+        (here & odd_signal, "invalid_mc_complexity_signal", "hard"),
+        (here & ((F.size(basis) == 0) | (F.size(values(basis, BASES)) > 0)), "invalid_mc_complexity_evidence_basis", "hard"),
+        (here & ~F.arrays_overlap(basis, F.array(*map(F.lit, HEARD))), "mc_complexity_missing_audio_review", "hard"),
+        (here & judged & ~F.col("risk_level").eqNullSafe(level), "mc_complexity_risk_mismatch", "hard"),
+        (here & judged & ~F.col("manual_required").eqNullSafe(high), "mc_manual_conform_policy_mismatch", "hard"),
+        (here & judged & ~F.col("reflow_policy").eqNullSafe(policy), "mc_reflow_policy_mismatch", "hard"),
+        (here & (F.col("classification") == CLASSES[2]), "crowded_mc_review_required", "review"),
+        (here & (F.col("classification") == CLASSES[1]), "managed_mc_review_required", "review"),
+    ]
+    return _flags(j, checks, ["section_id"])
+
+
+def output_checks(concerts: DataFrame, coverage: DataFrame, merged: DataFrame, reports: DataFrame, documents: DataFrame) -> DataFrame:
+    """Faults of what was written for a concert. concerts (concert_id, manifest_hash), coverage (concert_id, seen_hash,
+    ready), merged cues (concert_id, section_id, pos, start, end, text), reports (concert_id, event_count, events_hash, result),
+    documents (concert_id, text)."""
+    cue = F.struct("section_id", "pos", "start", "end", "text")
+    own = merged.groupBy("concert_id").agg(F.count("*").alias("n"), F.sha2(F.to_json(F.array_sort(F.collect_list(cue))), 256).alias("hash"))
+    lines = F.filter(F.split("text", "\r?\n"), lambda x: x.startswith("Dialogue:"))
+    bare = F.filter(lines, lambda x: (F.size(F.split(x, ",", 10)) < 10) | (F.trim(F.get(F.split(x, ",", 10), F.lit(9))) == ""))
+    docs = documents.select("concert_id", F.size(lines).alias("_lines"), F.size(bare).alias("_bare"))
+    c = coverage.withColumn("_cov", F.lit(True))
+    r = reports.withColumn("_rep", F.lit(True))
+    j = concerts.join(own, "concert_id", "left").join(c, "concert_id", "left").join(r, "concert_id", "left").join(docs, "concert_id", "left").na.fill(0, ["n"])
+    has = lambda x: F.col(x).isNotNull()
+    checks = [
+        (~has("_cov"), "missing_coverage_audit_report", "hard"),
+        (has("_cov") & ~F.col("seen_hash").eqNullSafe(F.col("manifest_hash")), "stale_coverage_audit_report", "hard"),
+        (has("_cov") & ~F.coalesce("ready", F.lit(False)), "concert_coverage_not_ready", "hard"),
+        (~has("_rep"), "missing_merge_evidence", "hard"),
+        (has("_rep") & ~F.col("event_count").eqNullSafe(F.col("n")), "output_event_count_mismatch", "hard"),
+        (has("_rep") & ~F.col("result").eqNullSafe(F.lit("passed")), "output_report_not_passed", "hard"),
+        (has("_rep") & ~F.col("events_hash").eqNullSafe(F.col("hash")), "output_events_content_mismatch", "hard"),
+        (~has("_lines"), "missing_formal_output", "hard"),
+        (has("_lines") & (F.col("_lines") != F.col("n")), "ass_event_count_mismatch", "hard"),
+        (F.coalesce(F.col("_bare") > 0, F.lit(False)), "ass_empty_text", "hard"),
+    ]
+    return _flags(j, checks, ["concert_id"])

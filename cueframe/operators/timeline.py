@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import round3
 
 GAP_TOLERANCE = 0.5
+# Dispositions that settle a gap, and statuses that settle a candidate.
 RESOLVING = ("approved_speech", "crowd_nonlexical", "credits", "music_only", "no_speech")
 RESOLVED = ("approved", "known_lyric", "crowd_nonlexical", "rejected_hallucination")
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import timecode as C
 
+# Formats, tags and credit words that results depend on.
 CLOCK = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})"
 SHORT_CLOCK = r"((?:\d{1,2}:)?\d{2}:\d{2}[,.]\d{2,3})\s*-->\s*((?:\d{1,2}:)?\d{2}:\d{2}[,.]\d{2,3})"
 WORDS = "array<struct<start:double,end:double,text:string,probability:double>>"
@@ -21,6 +22,9 @@ EVENT = "struct<id:string,start:double,end:double,source_text:string,text:string
 SECTION = "struct<id:string,`order`:int,type:string,title:string,artist:string,start:double,end:double,context_start:double,context_end:double,boundary_confidence:double,review_priority:string,status:string>"
 MANIFEST = f"schema_version string, concert_id string, duration_seconds double, coverage_policy string, sections array<{SECTION}>"
 VERSION = "0.1.0"
+FILE_TAG = r"(?i)^\[(?:ar|al|ti|by|offset|re|ve|length):"
+FILE_CREDIT = r"(?i)^\s*(?:(?:作词|作詞|作曲|编曲|編曲|翻译|翻譯|歌词|歌詞)|(?:lyricist|composer|arranger|lyrics|music))\s*[:：]"
+FILE_STAMP = r"^(?:\[\d{1,3}:\d{2}(?:[.:]\d{1,3})?\])+"
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -106,9 +110,9 @@ def parse_lyric_lines(files: DataFrame, keys: tuple[str, ...] = ("path",), metad
     extra = [F.transform(F.col(metadata), lambda x: F.lower(F.regexp_replace(x, f"[{T.SPACE}]+", ""))).alias("_m")] if metadata else [F.array().cast("array<string>").alias("_m")]
     rows = files.select(*ks, *extra, F.posexplode(F.split("text", "\n")).alias("_b", "_l"))
     raw = F.trim("_l")
-    text = F.trim(F.regexp_replace(raw, r"^(?:\[\d{1,3}:\d{2}(?:[.:]\d{1,3})?\])+", ""))
-    tag = raw.rlike(r"(?i)^\[(?:ar|al|ti|by|offset|re|ve|length):")
-    credit = text.rlike(r"(?i)^\s*(?:(?:作词|作詞|作曲|编曲|編曲|翻译|翻譯|歌词|歌詞)|(?:lyricist|composer|arranger|lyrics|music))\s*[:：]")
+    text = F.trim(F.regexp_replace(raw, FILE_STAMP, ""))
+    tag = raw.rlike(FILE_TAG)
+    credit = text.rlike(FILE_CREDIT)
     kept = rows.where(~tag).select(*ks, "_b", text.alias("text"), "_m", credit.alias("_c")).where("text <> '' AND NOT _c AND NOT startswith(text, '[')")
     named = F.array_contains("_m", F.lower(F.regexp_replace("text", f"[{T.SPACE}]+", "")))
     before = F.max(F.when(F.coalesce(named, F.lit(False)), 0).otherwise(1)).over(Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
