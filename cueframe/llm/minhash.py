@@ -1,15 +1,16 @@
 """Near-duplicates by b-bit MinHash.
 
-Each text becomes its set of hashed word shingles, 128 minima, 32 band keys of four minima each, and a
-signature of the minima's two low bits packed into four longs. Texts with equal sets are one class, and
-only its smallest id goes on. Members of a band bucket are compared with the bucket's smallest member;
-buckets that then still hold several components are searched in full, each member outside the bucket's
-largest component against all others. A pair is kept for the exact comparison if the similarity that the
-signatures' bit counts tell, corrected for the low bits that agree by chance, may reach the threshold.
+Each text becomes its set of hashed word shingles, 384 minima, 32 band keys of four minima each, and a
+signature of the minima's four low bits packed into 24 longs. Texts with equal sets are one class, and
+only its smallest id goes on. Members of a band bucket are compared with two of its members, chosen by
+hash. Where a bucket then still holds several components, members outside its largest one are compared with
+all members of other components: the signatures are compared inside that join, so no list of all pairs of a
+group is made. A pair is kept for the exact comparison if the similarity that the signatures' bit counts
+tell, corrected for the low bits that agree by chance, may reach the threshold.
 The exact comparison takes the full shingle sets. Components come from distributed stars.
 
 Two texts with similarity 0.75 share no band with probability 6e-6, and are lost by the signature (a bound
-five standard deviations low) with 3e-7.
+four standard errors low) with 3e-5; more similar ones far more rarely.
 """
 
 from __future__ import annotations
@@ -25,13 +26,20 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, mix, slices, span_hashes, stored, text_bytes, words
 from .graph import components
 
-HASHES, ROWS = 128, 4
-BANDS = HASHES // ROWS
+HASHES, BITS = 384, 4
+BANDS, ROWS = 32, 4
 _draw = np.random.default_rng(20240607)
 _A = _draw.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _draw.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _TERMS = _draw.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOW = 0x5555555555555555
+_LOW = 0x1111111111111111
+_CHANCE = 2.0**-BITS
+#: Standard errors that an estimate may lie below the threshold.
+SIGMAS = 4
+#: Members of a bucket that all others of it are compared with first.
+HUBS = 2
+#: Document ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -72,9 +80,9 @@ def minima(s: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, rule: NearRule) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (together the set's name), sig (four longs), bands."""
+    """doc_id, n_shingles, k1, k2 (together the set's name), sig (24 longs), bands."""
     band_no = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    shifts = (np.arange(32, dtype=np.uint64) * np.uint64(2))[None, :]
+    shifts = (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))[None, :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
@@ -85,8 +93,8 @@ def signatures(docs: DataFrame, rule: NearRule) -> DataFrame:
                 if len(s):
                     name[i] = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
                     m[i] = minima(s)
-            packed = ((m & np.uint64(3)).reshape(-1, 4, 32) << shifts).sum(axis=2, dtype=np.uint64)
-            r = m.reshape(-1, BANDS, ROWS)
+            packed = ((m & np.uint64((1 << BITS) - 1)).reshape(len(m), -1, 64 // BITS) << shifts).sum(axis=2, dtype=np.uint64)
+            r = m[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS)
             keys = mix(r[:, :, 0] * _TERMS[16] + r[:, :, 1] * _TERMS[17] + r[:, :, 2] * _TERMS[18] + r[:, :, 3] * _TERMS[19] + band_no)
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1).view(np.int64))) for x in (packed, np.ascontiguousarray(keys))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.ascontiguousarray(name[:, 0]).view(np.int64)), pa.array(np.ascontiguousarray(name[:, 1]).view(np.int64)), *lists], names=["doc_id", "n_shingles", "k1", "k2", "sig", "bands"])
@@ -95,27 +103,27 @@ def signatures(docs: DataFrame, rule: NearRule) -> DataFrame:
 
 
 def estimate(a: Column, b: Column) -> Column:
-    """Similarity from the share of equal 2-bit minima, less what agrees by chance (one in four)."""
+    """Similarity from the share of minima whose low bits agree, less what agrees by chance."""
     unlike = F.lit(0)
-    for i in range(4):
+    for i in range(HASHES * BITS // 64):
         x = a[i].bitwiseXOR(b[i])
-        unlike = unlike + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LOW)))
-    return ((F.lit(1.0) - unlike / F.lit(float(HASHES))) - 0.25) / 0.75
+        for shift in (1, 2):  # any bit of four that differs
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        unlike = unlike + F.bit_count(x.bitwiseAND(F.lit(_LOW)))
+    return ((F.lit(1.0) - unlike / F.lit(float(HASHES))) - _CHANCE) / (1 - _CHANCE)
 
 
-def _likely(pairs: DataFrame, sigs: DataFrame, rule: NearRule) -> DataFrame:
-    """Pairs (a, b) whose estimate may belong to a similarity of the threshold."""
+def _may_link(rule: NearRule, sa: str, na: str, sb: str, nb: str) -> Column:
+    """Whether sizes and signatures leave a similarity of the threshold possible."""
     t = rule.percent / 100
-    agree = 0.25 + 0.75 * t
-    least = t - 5 * (agree * (1 - agree) / HASHES) ** 0.5 / 0.75
-    left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("_sa"), F.col("n_shingles").alias("_na"))
-    right = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("_sb"), F.col("n_shingles").alias("_nb"))
-    joined = pairs.join(left, "a").join(right, "b").where(F.least("_na", "_nb") * 100 >= F.greatest("_na", "_nb") * rule.percent)
-    return joined.where(estimate(F.col("_sa"), F.col("_sb")) >= least).select("a", "b")
+    agree = _CHANCE + (1 - _CHANCE) * t
+    least = t - SIGMAS * (agree * (1 - agree) / HASHES) ** 0.5 / (1 - _CHANCE)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * rule.percent) & (estimate(F.col(sa), F.col(sb)) >= least)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, rule: NearRule) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+    """Pairs (a, b) whose full sets are similar enough. pairs is stored. The ids wanted go to the texts as
+    a broadcast while they are few, else both are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "_text"):
@@ -125,11 +133,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, rule: NearRule) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], names=["id", "shingles"])
 
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_IDS else ids.hint("merge")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).join(ids, "doc_id", "left_semi")
     sets = stored(texts.mapInArrow(run, "id bigint, shingles array<bigint>"), "sets")
     a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
     both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("_a") + F.size("_b") - both) * rule.percent).select("a", "b")
+    # of a pair both sets travel; merged, so that growth does not change the plan
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(both * 100 >= (F.size("_a") + F.size("_b") - both) * rule.percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
@@ -144,24 +154,31 @@ def near_duplicates(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     classes = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("a"))
     reps = stored(usable.join(classes.select(F.col("a").alias("doc_id"), "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi"), "classes")
     buckets = reps.select(F.col("doc_id").alias("b"), F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("b").alias("a"), F.max("b").alias("_last")).where("a <> _last").drop("_last")
-    members = stored(buckets.join(shared, "band"), "buckets")
-    first = stored(members.where("a <> b").select("a", "b").distinct(), "pairs")
-    links = stored(_confirmed(stored(_likely(first, reps, rule), "likely"), docs, rule), "confirmed")
-    found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    named = members.select("band", "b").join(found, members["b"] == found["node"], "left").select("band", "b", F.coalesce("component", "b").alias("c"))
+    shared = buckets.groupBy("band").agg(F.min("b").alias("_x"), F.max("b").alias("_y")).where("_x <> _y").select("band")
+    members = stored(buckets.join(shared, "band", "left_semi"), "buckets")
+    hubs = members.groupBy("band").agg(F.array_distinct(F.array(*[F.min_by("b", F.xxhash64("b", F.lit(i))) for i in range(HUBS)])).alias("hubs"))
+    signed = reps.select(F.col("doc_id").alias("b"), "sig", "n_shingles")
+    asked = hubs.select("band", F.explode("hubs").alias("b")).join(signed, "b").select("band", F.col("b").alias("x"), F.col("sig").alias("sx"), F.col("n_shingles").alias("nx"))
+    each = members.join(signed, "b").select("band", F.col("b").alias("y"), F.col("sig").alias("sy"), F.col("n_shingles").alias("ny"))
+    meet = (asked["band"] == each["band"]) & (F.col("x") != F.col("y"))
+    few = asked.join(each, meet & _may_link(rule, "sx", "nx", "sy", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = stored(_confirmed(stored(few, "likely"), docs, rule), "confirmed")
+    # nodes whose component is not found to the end only have a bucket searched that need not be
+    found = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), 2), "components")
+
+    named = members.join(found, members["b"] == found["node"], "left").select("band", "b", F.coalesce("component", "b").alias("c"))
     split = named.groupBy("band").agg(F.min("c").alias("_x"), F.max("c").alias("_y")).where("_x <> _y").select("band")
-    open_rows = stored(named.join(split, "band", "left_semi"), "open")
-    sizes = open_rows.groupBy("band", "c").agg(F.count("*").alias("n"))
+    rows = stored(named.join(split, "band", "left_semi"), "open")
+    sizes = rows.groupBy("band", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    outside = open_rows.join(main, "band").where("c <> main").select("band", F.col("b").alias("x"), F.col("c").alias("cx"), "main")
-    inside = open_rows.select("band", F.col("b").alias("y"), F.col("c").alias("cy"))
-    # both ends outside: once, from the smaller id
-    crossed = outside.join(inside, "band").where("cx <> cy AND (cy = main OR x < y)")
-    second = crossed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = stored(_confirmed(stored(_likely(second, reps, rule), "likely"), docs, rule), "confirmed")
-    found = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    left = rows.join(signed, "b").join(main, "band")
+    outside = left.where("c <> main").select("band", F.col("b").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("sx"), F.col("n_shingles").alias("nx"), "main")
+    inside = left.select("band", F.col("b").alias("y"), F.col("c").alias("cy"), F.col("sig").alias("sy"), F.col("n_shingles").alias("ny"))
+    # of two outside members, the smaller id asks
+    ask = (outside["band"] == inside["band"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
+    rest = outside.join(inside, ask & _may_link(rule, "sx", "nx", "sy", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    last = stored(_confirmed(stored(rest, "likely"), docs, rule), "confirmed")
+    found = components(links.unionByName(last).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     ends = classes.join(found, classes["a"] == found["node"], "left").select("k1", "k2", F.coalesce("component", "a").alias("_c"))
     single = sigs.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -73,7 +73,7 @@ def test_signature_estimate(spark):
     r = np.random.default_rng(3)
     a = r.integers(0, 1 << 60, 4000, dtype=np.uint64)
     b = np.concatenate([a[:3600], r.integers(0, 1 << 60, 400, dtype=np.uint64)])  # 3600 of 4400
-    sig = lambda s: (((minhash.minima(s) & np.uint64(15)).reshape(16, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist()
+    sig = lambda s: (((minhash.minima(s) & np.uint64(15)).reshape(24, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist()
     df = spark.createDataFrame([(sig(a), sig(b))], "a array<long>, b array<long>")
     assert abs(df.select(minhash.estimate(df.a, df.b).alias("e")).first().e - 3600 / 4400) < 0.12
 
