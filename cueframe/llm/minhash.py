@@ -171,12 +171,14 @@ def near_duplicates(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     rows = stored(named.join(split, "band", "left_semi"), "open")
     sizes = rows.groupBy("band", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    left = rows.join(signed, "b").join(main, "band")
-    outside = left.where("c <> main").select("band", F.col("b").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("sx"), F.col("n_shingles").alias("nx"), "main")
-    inside = left.select("band", F.col("b").alias("y"), F.col("c").alias("cy"), F.col("sig").alias("sy"), F.col("n_shingles").alias("ny"))
+    left = rows.join(reps.select(F.col("doc_id").alias("b"), "sig", "n_shingles", "bands"), "b").join(main, "band")
+    outside = left.where("c <> main").select("band", F.col("b").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("sx"), F.col("n_shingles").alias("nx"), F.col("bands").alias("bx"), "main")
+    inside = left.select("band", F.col("b").alias("y"), F.col("c").alias("cy"), F.col("sig").alias("sy"), F.col("n_shingles").alias("ny"), F.col("bands").alias("by"))
     # of two outside members, the smaller id asks
     ask = (outside["band"] == inside["band"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
-    rest = outside.join(inside, ask & _may_link(rule, "sx", "nx", "sy", "ny")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    # every bucket that such a pair shares is open: it is taken in the first one
+    shares = F.filter(F.zip_with("bx", "by", lambda p, q: F.when(p == q, p)), lambda v: v.isNotNull())
+    rest = outside.join(inside, ask & _may_link(rule, "sx", "nx", "sy", "ny") & (F.get(shares, F.lit(0)) == outside["band"])).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     last = stored(_confirmed(stored(rest, "likely"), docs, rule), "confirmed")
     found = components(links.unionByName(last).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
