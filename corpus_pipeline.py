@@ -22,7 +22,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand earlier; those of which nothing is left go."""
-    out = linechunks.remove_repeats(docs).where("n_removed_lines < n_lines")
+    out = linechunks.remove_repeats(docs, linechunks.RUNS).where("n_removed_lines < n_lines")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

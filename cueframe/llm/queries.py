@@ -51,7 +51,7 @@ def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linechunks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = linechunks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), linechunks.RUNS)
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_words", "kept_sha256")
 
 

@@ -269,3 +269,44 @@ def test_pipeline(spark, tmp_path):
     assert "me@host.example" not in private[25] and private[3] == docs[3][1]
     result = corpus_pipeline.run(spark, path).collect()
     assert {x.doc_id for x in result} == set(private)
+
+
+def plain_runs(docs, least=50):
+    """Lines that go, by document: of every run of enough words that stands earlier without overlap."""
+    gone, first = collections.defaultdict(set), {}
+    for i, text in sorted(docs):
+        lines = (text or "").encode().split(b"\n")
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, len(lines)):
+                n += len(lines[b].split())
+                if n >= least:
+                    src, c, d = first.setdefault(tuple(lines[a : b + 1]), (i, a, b))
+                    if src != i or d < a:
+                        gone[i] |= set(range(a, b + 1))
+    return gone
+
+
+def test_runs_of_short_lines_go_whole(spark, odd, none):
+    r = random.Random(8)
+    line = lambda n: " ".join(r.choice(["a", "bc", "def", "é"]) + str(r.randrange(90)) for _ in range(n))
+    passages = ["\n".join(line(n) for _ in range(k)) for n, k in ((5, 100), (30, 2), (7, 8), (49, 1), (25, 2), (60, 2))]
+    texts = ["\n".join([line(4)] * 40), "\n".join([line(3), "", *[line(20)] * 9, ""])]
+    for _ in range(50):
+        parts = [line(r.randint(0, 30)) for _ in range(r.randint(1, 5))]
+        for _ in range(r.randrange(3)):
+            parts.insert(r.randrange(len(parts) + 1), r.choice(passages))
+        texts.append("\n".join(parts))
+    texts += [f"begin\n{passages[0]}\nend", f"{passages[1]}\nother words"]
+    df = odd.select("doc_id", "text").where("doc_id <> 5 OR doc_id IS NULL").unionByName(spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string"))
+    known = {x.doc_id: x.text for x in df.collect() if x.doc_id is not None}
+    gone = plain_runs(known.items())
+    got = {x.doc_id: x for x in linechunks.remove_repeats(df, linechunks.RUNS).collect() if x.doc_id is not None}
+    assert set(got) == set(known)
+    for i, text in known.items():
+        lines = (text or "").split("\n")
+        assert (got[i].text or "") == "\n".join(t for k, t in enumerate(lines) if k not in gone[i]), i
+        assert got[i].n_removed_lines == len(gone[i])
+        assert got[i].n_removed_words == sum(len(lines[k].encode().split()) for k in gone[i])
+    assert got[152].text == "begin\nend" and got[153].text == "other words"
+    assert linechunks.remove_repeats(none, linechunks.RUNS).count() == 0
