@@ -86,6 +86,28 @@ def test_compression_bands():
     assert not ok(half)
 
 
+def test_encoded_and_repeated_blocks_are_found_in_texts_of_any_length():
+    import base64
+
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=1).compress
+    r = random.Random(9)
+    syllables = [a + b for a in "bcdfghklmnprst" for b in "aeiou"]
+    prose = " ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(9000)).encode()
+    encoded = base64.b64encode(r.randbytes(3072))
+    spaced = b" ".join(encoded[i : i + 8] for i in range(0, len(encoded), 8))
+    judged = lambda t: quality.in_bands(t, quality.Bands(), compress)
+    for n in (200, 600, 1500, 3000, 4096, 4100, 8000, 8300, 30_000):
+        kept, _, chunks, bad = judged(prose[:n])
+        assert kept and bad == 0 and chunks >= n // 4096, n
+    for block in (encoded, spaced, b"again and again " * 256):
+        for text in (block, prose[:2000] + block, block + prose[:3000], prose[:8192] + block[:2000], prose[:12_288] + block + prose[:8192]):
+            assert not judged(text)[0], (block[:20], len(text))
+    # a leftover too short to judge alone is in the last full chunk
+    assert judged(prose[:4100])[2] == 2 and judged(prose[:8192])[2] == 2 and judged(b"short")[2] == 1
+
+
 def check_plan(counts, capacity):
     plan = packing.best_plan(dict(counts), capacity)
     fill, ranges = collections.defaultdict(list), collections.defaultdict(list)
