@@ -2,7 +2,8 @@
 
 A rotation is learnt on a bounded sample so that the signs of the rotated, centred vectors lose little
 (iterative quantisation); the signs are a 64-bit code. The code is cut into substrings, one hash table for
-each: close vectors agree in at least one of them. Members of a bucket are compared block against block
+each: close vectors agree in at least one of them. Large labels take longer substrings and, as these agree
+less often, further tables of bits drawn anew, so that as many links are found as by the short ones. Members of a bucket are compared block against block
 with their original vectors, so only vectors with the cosine asked for are linked, and a pair that met in
 an earlier table is passed over. A task returns link counts and a spanning forest of its links, never the
 pairs. Equal vectors are one representative throughout.
@@ -26,7 +27,7 @@ from .graph import components
 @dataclass(frozen=True)
 class ItqRule:
     """cosine: of a link. sample: rows that the rotation is learnt on, of least hash of their id. rounds:
-    of the rotation. bits: of a substring (8 tables of 8 bits; longer ones for larger labels). block: rows
+    of the rotation. bits: of a substring (8 tables of 8 bits; longer ones, in more tables, for a larger label). block: rows
     of a block."""
 
     cosine: float = 0.98
@@ -91,6 +92,39 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = least
 
 
+#: Share of signs that differ between vectors at the cosine 0.98, about.
+_DIFFER = 0.064
+
+
+def table_masks(bits: int) -> list[int]:
+    """The bits of the code in each table, as 64-bit numbers. First the code cut into substrings, then draws
+    of as many bits, until random codes that differ in _DIFFER of their signs miss each other no more often
+    than by 8 tables of 8 bits."""
+    masks = [((1 << bits) - 1) << (t * bits) for t in range(64 // bits)]
+    rng = np.random.default_rng(bits)
+    differ = rng.random((20_000, 64)) < _DIFFER
+    apart = np.ones(len(differ), bool)
+    for m in masks:
+        apart &= differ[:, [k for k in range(64) if m >> k & 1]].any(axis=1)
+    most = (1 - (1 - _DIFFER) ** 8) ** 8 * len(differ)
+    while apart.sum() > most:
+        at = rng.choice(64, bits, replace=False)
+        masks.append(sum(1 << int(k) for k in at))
+        apart &= differ[:, at].any(axis=1)
+    return masks
+
+
+def _bits(n: int, least: int) -> int:
+    """Bits of a substring for a label of n vectors."""
+    return max(least, min(16, int(np.log2(max(1, n))) - 12))
+
+
+def _keys(masks: list[int]) -> Column:
+    """The code's bits in each table."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.array(*[F.col("code").bitwiseAND(F.lit(m).cast("long")) for m in signed])
+
+
 def link(vectors: DataFrame, rule: ItqRule = ItqRule()) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label).
 
@@ -103,15 +137,15 @@ def link(vectors: DataFrame, rule: ItqRule = ItqRule()) -> DataFrame:
     # -0.0 as 0.0, so that equal vectors have one form
     good = good.withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))
     reps = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "vectors")
-    largest = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    # only labels with longer substrings are collected: each holds 2**(bits + 13) vectors at least
+    large = reps.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= 1 << (rule.bits + 13)).collect()
     dims = [r["d"] for r in reps.select(F.size("embedding").alias("d")).distinct().limit(64).collect()]
-    bits = min(16, max(rule.bits, int(np.log2(max(1, largest))) - 12))
-    tables = 64 // bits
+    longer = {r["label"]: b for r in large if (b := _bits(r["n"], rule.bits)) > rule.bits}
+    masks = {b: table_masks(b) for b in {rule.bits, *longer.values()}}
     models = {}
     for d in dims:
         sample = reps.where(F.size("embedding") == d).orderBy(F.xxhash64("rep")).limit(rule.sample).select("embedding").toArrow().column(0).combine_chunks()
         models[d] = learn_rotation(_unit(sample), 64, rule.rounds)
-    mask = np.uint64((1 << bits) - 1)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,7 +159,9 @@ def link(vectors: DataFrame, rule: ItqRule = ItqRule()) -> DataFrame:
 
     label_type = reps.schema["label"].dataType.simpleString()
     coded = stored(reps.select("rep", "many", "embedding", "label").mapInArrow(code, f"rep bigint, many bigint, embedding array<double>, label {label_type}, code bigint"), "codes")
-    part = F.array(*[F.shiftrightunsigned("code", t * bits).bitwiseAND(F.lit((1 << bits) - 1)) for t in range(tables)])
+    part = _keys(masks[rule.bits])
+    for b in sorted(set(longer.values())):
+        part = F.when(F.col("label").isin([x for x, n in longer.items() if n == b]), _keys(masks[b])).otherwise(part)
     bucket = ["label", "d", "t", "key"]
     keyed = coded.select("label", F.size("embedding").alias("d"), "rep", F.posexplode(part).alias("t", "key"))
     sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / rule.block).cast("int")).drop("n")
@@ -137,6 +173,7 @@ def link(vectors: DataFrame, rule: ItqRule = ItqRule()) -> DataFrame:
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         t, i, j = int(key[2]), int(key[4]), int(key[5])
+        own_masks = np.array(masks[longer.get(key[0], rule.bits)], np.uint64)
         x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -153,7 +190,7 @@ def link(vectors: DataFrame, rule: ItqRule = ItqRule()) -> DataFrame:
             p, q = a[p], right[q]
             first = np.ones(len(p), bool)
             for u in range(t):  # a pair that met in an earlier table was counted there
-                first &= ((c[p] ^ c[q]) >> np.uint64(u * bits)) & mask != 0
+                first &= (c[p] ^ c[q]) & own_masks[u] != 0
             p, q = p[first], q[first]
             np.add.at(links, p, many[q])
             np.add.at(links, q, many[p])

@@ -310,3 +310,32 @@ def test_runs_of_short_lines_go_whole(spark, odd, none):
         assert got[i].n_removed_words == sum(len(lines[k].encode().split()) for k in gone[i])
     assert got[152].text == "begin\nend" and got[153].text == "other words"
     assert linechunks.remove_repeats(none, linechunks.RUNS).count() == 0
+
+
+@pytest.mark.parametrize("bits", [8, 10, 12, 13, 16])
+def test_vector_links_at_every_substring_length(bits):
+    """Pairs at the cosine 0.98 meet in some table as often by long substrings as by short ones."""
+    r = np.random.default_rng(bits)
+    x = r.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    mean, projection = itq.learn_rotation(x)
+    apart = itq.codes(x, mean, projection) ^ itq.codes(y, mean, projection)
+    masks = itq.table_masks(bits)
+    assert all(m.bit_count() == bits for m in masks) and len(set(masks)) == len(masks)
+    met = np.any([apart & np.uint64(m) == 0 for m in masks], axis=0)
+    assert met.mean() >= 0.99
+
+
+def test_vector_links_by_long_substrings(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(150, 64))
+    near = base + 0.17 * r.normal(size=base.shape)
+    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(np.concatenate([base, near]))]
+    unit = np.array([v for _, v, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    links = int((np.triu(unit @ unit.T, 1) >= 0.98).sum())
+    got = itq.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), itq.ItqRule(bits=16)).collect()
+    assert links > 100 and 0.98 * links <= sum(x.n_links for x in got) / 2 <= links
