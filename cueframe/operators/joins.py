@@ -156,8 +156,21 @@ def timing_reference_match(expected: DataFrame, reference: DataFrame) -> DataFra
     return hit.join(best, ["track_id", "shift"]).select("track_id", "pos", "ref_pos", "ref_start", "ref_end", (F.col("ref_start") - F.col("start")).alias("start_delta"))
 
 
+def import_timings(matches: DataFrame, cues: DataFrame, spans: DataFrame) -> DataFrame:
+    """Matched reference times (track_id, pos, ref_start, ref_end, of J15) on the clock of the section, beside
+    the cues (track_id, pos, start, end). spans: track_id, shift (what is added to a reference time: minus the
+    section's start, or a clip's start), duration. code: imported_time_outside_section; accepted: no cue of the
+    track has it."""
+    t = matches.select("track_id", "pos", "ref_start", "ref_end").join(cues.select("track_id", "pos", "start", "end"), ["track_id", "pos"]).join(spans.select("track_id", "shift", "duration"), "track_id")
+    t = t.withColumns({"_s": F.col("ref_start") + F.col("shift"), "_e": F.col("ref_end") + F.col("shift")})
+    outside = (F.col("_s") < 0) | (F.col("_e") <= F.col("_s")) | (F.col("_e") > F.col("duration"))
+    micro = lambda x: F.floor(x * 1000000 + 0.5) / 1000000
+    out = t.select("track_id", "pos", "start", "end", micro(F.col("_s")).alias("imported_start"), micro(F.col("_e")).alias("imported_end"), micro(F.col("_s") - F.col("start")).alias("start_adjustment"), micro(F.col("_e") - F.col("end")).alias("end_adjustment"), F.when(outside, "imported_time_outside_section").alias("code"))
+    return out.withColumn("accepted", F.count("code").over(Window.partitionBy("track_id")) == 0)
+
+
 def propagate_timing(samples: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Deltas of a representative occurrence (group_id, offset, text, start_delta, end_delta, duration)
+    """Deltas of a representative occurrence (group_id, offset, text, start_delta, end_delta, duration)
     carried to the same place of others (group_id, occurrence, offset, text, start, end, duration, risks), scaled
     by their length; reasons say why an edge must not be moved."""
     s = samples.select("group_id", "offset", F.col("text").alias("_t"), "start_delta", "end_delta", F.col("duration").alias("_d"))

@@ -154,6 +154,15 @@ def j15_timing_reference_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.timing_reference_match(want, t)
 
 
+@query()
+def j16_import_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cues matched in the recording, where they stand a quarter second late, on the clock of their section."""
+    c = cues(spark, sf_dir).select(F.col("section_id").alias("track_id"), "pos", F.concat(F.lit("cue "), F.col("pos").cast("string")).alias("text"), "start", "end")
+    s = sections(spark, sf_dir).select(F.col("section_id").alias("track_id"), (-F.col("start")).alias("shift"), (F.col("end") - F.col("start")).alias("duration"))
+    heard = c.join(s, "track_id").select("track_id", "pos", "text", (F.col("start") - F.col("shift") + 0.25).alias("start"), (F.col("end") - F.col("shift") + 0.25).alias("end"))
+    return j.import_timings(j.timing_reference_match(c.drop("end"), heard), c, s)
+
+
 def _repeats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Cues of orders in blocks of four: the first block is the sample, the rest are occurrences."""
     c = cues(spark, sf_dir)

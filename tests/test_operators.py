@@ -260,3 +260,15 @@ def test_audits(spark):
     assert audit.longest_common_run(a, b, "id").first().run == 2
     posts = spark.createDataFrame([(1, "空の歌", "see https://ok.example/x BV1", "空", "BV1"), (2, "", "http://bad.example", "空", None)], "post_id int, title string, body string, song string, previous string")
     assert rows(audit.post_faults(posts, allowed=("ok.example",)), "post_id", "code") == [(2, "missing_title"), (2, "title_without_song"), (2, "url_not_allowed")]
+
+
+def test_import_timings(spark):
+    cues = spark.createDataFrame([("a", 0, "x", 1.0, 2.0), ("a", 1, "y", 3.0, 4.0), ("b", 0, "x", 0.1, 2.0), ("b", 1, "y", 8.0, 9.5), ("b", 2, "z", 9.5, 9.9)], "track_id string, pos long, text string, start double, end double")
+    heard = spark.createDataFrame([("a", 7, "x", 101.5, 102.25), ("a", 8, "y", 103.0, 104.5), ("b", 0, "x", 49.9, 52.0), ("b", 1, "y", 58.0, 60.5), ("b", 2, "z", 59.0, 59.0)], "track_id string, pos long, text string, start double, end double")
+    spans = spark.createDataFrame([("a", -100.0, 10.0), ("b", -50.0, 10.0)], "track_id string, shift double, duration double")
+    got = joins.import_timings(joins.timing_reference_match(cues.drop("end"), heard), cues, spans)
+    out = "imported_time_outside_section"
+    assert rows(got, "track_id", "pos", "imported_start", "imported_end", "start_adjustment", "end_adjustment", "code", "accepted") == [
+        ("a", 0, 1.5, 2.25, 0.5, 0.25, None, True), ("a", 1, 3.0, 4.5, 0.0, 0.5, None, True),
+        ("b", 0, -0.1, 2.0, -0.2, 0.0, out, False), ("b", 1, 8.0, 10.5, 0.0, 1.0, out, False), ("b", 2, 9.0, 9.0, -0.5, -0.9, out, False),
+    ]
