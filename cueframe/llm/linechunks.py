@@ -17,13 +17,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices, span_hashes, stored, text_bytes, words
+from .common import by_place, mix, schema_of, slices, span_hashes, stored, text_bytes, words
 
 
 @dataclass(frozen=True)
@@ -146,12 +147,12 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "end", "src", "src_start", "src_end"])
 
 
-def _sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sources(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the listed spans of each row's text; rows without spans are null."""
     for b in batches:
         b = b.filter(b.column(0).is_valid())
         rows = []
-        for doc, text, spans in zip(b.column(0).field("_id").to_pylist(), b.column(0).field("text").cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for doc, text, spans in zip(b.column(0).field("_id").to_pylist(), b.column(0).field(column).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
             text = text or b""
             rows += [(doc, s["src_start"], s["src_end"], text[s["src_start"] : s["src_end"]]) for s in spans if s["src_end"] <= len(text)]
         cols = list(zip(*rows, strict=True)) or [[]] * 4
@@ -182,18 +183,18 @@ def _without(text: bytes, spans: list[dict]) -> tuple[list[bytes], int, int, int
     return keep, len(lines), len(lines) - len(keep), n_words
 
 
-def _gone_chunks(given: DataFrame, groups: DataFrame, later: DataFrame) -> DataFrame:
+def _gone_chunks(given: DataFrame, text: str, groups: DataFrame, later: DataFrame) -> DataFrame:
     """_id, _gone: spans of each document that may go, with the bytes that they must have."""
     spans = later.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "h")).alias("spans"))
     spans = stored(spans.mapInArrow(_outermost, "doc_id bigint, h bigint, start bigint, end bigint"), "spans")
     # the texts are shuffled by doc_id once, for the first occurrences and for the result
     firsts = groups.join(spans.select("h").distinct(), "h").select(F.col("_first.doc_id").alias("_id"), F.struct("h", "_first.start", "_first.end").alias("_s"))
     firsts = firsts.groupBy("_id").agg(F.collect_list("_s").alias("_spans"))
-    wanted = given.join(firsts, "_id").select(F.col("text").alias("_text"), "_spans").mapInArrow(_cut_out, "h bigint, bytes binary").dropDuplicates(["h"])
+    wanted = given.join(firsts, "_id").select(F.col(text).alias("_text"), "_spans").mapInArrow(_cut_out, "h bigint, bytes binary").dropDuplicates(["h"])
     return spans.join(wanted, "h").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end", "bytes")).alias("_gone"))
 
 
-def _gone_runs(given: DataFrame, groups: DataFrame, later: DataFrame) -> DataFrame:
+def _gone_runs(given: DataFrame, text: str, groups: DataFrame, later: DataFrame) -> DataFrame:
     """The same for runs, whose chunks overlap: one that overlaps its own first occurrence stays."""
     apart = (F.col("doc_id") != F.col("_first.doc_id")) | (F.col("_first.end") <= F.col("start"))
     span = F.struct("start", "end", F.col("_first.doc_id").alias("src"), F.col("_first.start").alias("at"))
@@ -203,8 +204,8 @@ def _gone_runs(given: DataFrame, groups: DataFrame, later: DataFrame) -> DataFra
     firsts = spans.select(source).distinct().groupBy(F.col("src").alias("_id")).agg(F.collect_list(F.struct("src_start", "src_end")).alias("_spans"))
     # ids with several texts have several candidates; only equal bytes count in the end
     # the rows whole and by an outer join, as for the result, so that both take one shuffle of the texts
-    row = F.when(F.col("_spans").isNotNull(), F.struct(*[F.col(f"`{c}`") for c in given.columns]))
-    wanted = given.join(firsts, "_id", "left").select(row.alias("_row"), "_spans").mapInArrow(_sources, "src bigint, src_start bigint, src_end bigint, bytes binary").dropDuplicates([*source, "bytes"])
+    row = F.when(F.col("_spans").isNotNull(), F.struct(*given.columns))
+    wanted = given.join(firsts, "_id", "left").select(row.alias("_row"), "_spans").mapInArrow(partial(_sources, text), "src bigint, src_start bigint, src_end bigint, bytes binary").dropDuplicates([*source, "bytes"])
     return spans.join(wanted, source).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end", "bytes")).alias("_gone"))
 
 
@@ -213,32 +214,34 @@ def remove_repeats(docs: DataFrame, rule: ChunkRule = ChunkRule()) -> DataFrame:
 
     Lines end at \\n. A null text stays null and counts as one empty line. Rows with a null doc_id stay as
     they are. Rows that repeat doc_id and text are one document: what the first occurrence keeps, all of
-    them keep. Columns of docs with the names of the new ones give way. An empty table gives an empty one.
+    them keep. Columns of docs with the names of the new ones give way (in any case of letters); all others
+    stay, whatever their names. An empty table gives an empty one.
     """
     new = ["n_lines", "n_removed_lines", "n_removed_words", "kept_sha256"]
-    docs = docs.drop(*new)
-    columns = docs.columns
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
     found = stored(chunks(docs, rule), "chunks")
     place = F.struct("doc_id", "start", "end")
     groups = found.groupBy("h").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").drop("_n")
     groups = stored(groups, "repeats")
-    given = docs.withColumns({"_id": F.col("doc_id").cast("long")})
+    # columns are told by place, so that no name can clash
+    at = [docs.columns.index(c) for c in ("doc_id", "text")]
+    given = by_place(docs).withColumn("_id", F.col(f"c{at[0]}").cast("long"))
     later = found.join(groups, "h").where(place != F.col("_first"))
-    gone = (_gone_runs if rule.runs else _gone_chunks)(given, groups, later)
-    joined = given.join(gone, "_id", "left").select(F.col("text").alias("_text"), "_gone", *[F.col(f"`{c}`") for c in columns])
+    gone = (_gone_runs if rule.runs else _gone_chunks)(given, f"c{at[1]}", groups, later)
+    joined = given.join(gone, "_id", "left").select("_gone", *[f"c{i}" for i in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text"):
+        for b in slices(batches, 1 + at[1]):
             texts, counts = [], []
-            for text, gone in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, gone in zip(b.column(1 + at[1]).cast(pa.binary()).to_pylist(), b.column(0).to_pylist(), strict=True):
                 keep, *n = _without(text or b"", gone or [])
                 kept = b"\n".join(keep)
                 texts.append(None if text is None else kept)
                 counts.append((*n, hashlib.sha256(kept).hexdigest()))
-            cols = list(b.columns[2:])
-            cols[columns.index("text")] = pa.array(texts, pa.binary()).cast(pa.string())
+            cols = list(b.columns[1:])
+            cols[at[1]] = pa.array(texts, pa.binary()).cast(pa.string())
             stats = [pa.array(c, k) for c, k in zip(zip(*counts, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols, *stats], names=[*columns, *new])
+            yield pa.RecordBatch.from_arrays([*cols, *stats], names=[*b.schema.names[1:], *new])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{schema}, n_lines bigint, n_removed_lines bigint, n_removed_words bigint, kept_sha256 string")
+    added = "n_lines bigint, n_removed_lines bigint, n_removed_words bigint, kept_sha256 string"
+    return joined.mapInArrow(run, schema_of(docs, added)).toDF(*docs.columns, *new)
