@@ -13,42 +13,75 @@ small lengths are put, longest first, into the sequence with the least sufficien
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import Kept, kind_cuts, pieces_between, slices, stored, text_bytes
 from .sharding import numbered
 
-KEPT_CHUNKS = 600_000
+#: Bytes of finished words, about, that a Python worker keeps during a task.
+KEPT_BYTES = 64 << 20
+#: Text bytes that are tokenized at once.
+BATCH_BYTES = 4 << 20
 RANK_BUCKETS = 256
 
 
+#: ASCII capitals as small letters, ASCII white space as spaces.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[65:91] += 32
+_PLAIN[9:14] = 32
+
+
 class WordIds:
-    """Token ids (little-endian unsigned 32 bit) of the parts of a text between ASCII white space, which
-    the tokenizer drops and never reaches across; each part is encoded once by the tokenizer and kept."""
+    """Token ids (little-endian unsigned 32 bit) of texts. The tokenizer drops white space and never
+    reaches across it, nor from ASCII letters to digits or marks; the parts between are encoded once each. A text that holds one of the
+    tokenizer's special tokens goes through the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self.whole = Tokenizer.from_file(path)
+        self.special = "|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values())
+        # lower-casing may make what looks like a special token of a word that is none
+        self.words = Tokenizer.from_file(path)
+        self.words.encode_special_tokens = True
+        self.kept = Kept(KEPT_BYTES)
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        out = [self.kept.get(w) for w in words]
+        todo = [i for i, x in enumerate(out) if x is None]
+        encoded = self.words.encode_batch_fast([words[i] for i in todo], add_special_tokens=False)
+        for i, e in zip(todo, encoded, strict=True):
+            out[i] = np.array(e.ids, "<u4").tobytes()
+            self.kept.put(words[i], out[i])
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.encode().lower().split() for t in texts]
-        new = {w for c in cut for w in c}
-        if len(self.known) + len(new) > KEPT_CHUNKS:
-            self.known.clear()
-        todo = [w for w in new if w not in self.known]
-        for w, e in zip(todo, self.tokenizer.encode_batch_fast([w.decode() for w in todo], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+    def encode(self, texts: pa.Array) -> list[memoryview | bytes]:
+        """The ids of each text; nulls are empty."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        apart = pc.match_substring_regex(texts, self.special).to_numpy(zero_copy_only=False) if self.special else np.zeros(len(texts), bool)
+        data, at = text_bytes(texts)
+        data = _PLAIN[data]
+        cut = kind_cuts(data, at)
+        cut[1:] |= (data[:-1] == 32) & (data[1:] != 32)
+        starts = np.flatnonzero(cut)
+        coded = pieces_between(data, starts)
+        words = self._known(coded.dictionary.to_pylist())
+        taken = pa.array(words, pa.large_binary()).take(coded.indices)
+        ids, ends = text_bytes(taken)
+        view, upto = memoryview(np.ascontiguousarray(ids)), ends[np.searchsorted(starts, at)].tolist()
+        out = [view[i:j] for i, j in zip(upto[:-1], upto[1:], strict=True)]
+        for i in np.flatnonzero(apart):
+            out[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 _ids: dict[str, WordIds] = {}
@@ -64,16 +97,18 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the ids of each text and id 0, cut at the capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer_file).encode
-        for b in slices(batches, "_text"):
+        ids = word_ids(tokenizer_file)
+        for b in slices(batches, 1, BATCH_BYTES):
             rows = []
-            for doc, ids in zip(b.column(0).to_pylist(), encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                ids += b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            for doc, own in zip(b.column(0).to_pylist(), ids.encode(b.column(1)), strict=True):
+                n = len(own) // 4 + 1
+                for k, at in enumerate(range(0, n, capacity)):
+                    size = min(capacity, n - at)
+                    crc = zlib.crc32(own[4 * at : 4 * (at + size)])
+                    rows.append((doc, k, at, size, zlib.crc32(b"\0\0\0\0", crc) if at + size == n else crc))
             cols = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids.kept.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
