@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +25,18 @@ from .graph import components
 
 @dataclass(frozen=True)
 class ItqRule:
-    """cosine: of a link. sample: rows that the rotation is learnt on, of least hash of their id. rounds:
-    of the rotation. bits: of a substring (8 tables of 8 bits; longer ones, in more tables, for a larger label). block: rows
-    of a block."""
+    """cosine: of a link. sample: rows that the rotation is learnt on, of least hash of their vector. lengths:
+    vector lengths, the most frequent ones, whose rotation is learnt; others take random directions. rounds: of
+    the rotation. bits: of a substring (8 tables of 8 bits; longer ones, in more tables, for a larger label).
+    radius: bits of the code in which candidates may differ (at the cosine 0.98 about 4 of 64 do). block: rows of
+    a block."""
 
     cosine: float = 0.98
     sample: int = 8192
+    lengths: int = 64
     rounds: int = 40
     bits: int = 8
+    radius: int = 20
     block: int = 1024
 
 
@@ -58,6 +61,11 @@ def learn_rotation(x: np.ndarray, bits: int = 64, rounds: int = 40, seed: int =
     return mean, axes @ r
 
 
+def drawn_rotation(dim: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A mean of zero and random directions, the same for every vector of this length."""
+    return np.zeros(dim), np.random.default_rng(dim).standard_normal((dim, bits))
+
+
 def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
     signs = ((x - mean) @ projection >= 0).astype(np.uint64)
     return (signs << np.arange(signs.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
@@ -125,43 +133,68 @@ def _keys(masks: list[int]) -> Column:
     return F.array(*[F.col("code").bitwiseAND(F.lit(m).cast("long")) for m in signed])
 
 
+def _links(x: np.ndarray, code: np.ndarray, own: np.ndarray, i: int, j: int, earlier: np.ndarray, rule: ItqRule) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of the blocks i and j that are links, and have not met in an earlier table."""
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    out = [np.zeros((2, 0), np.int64)]
+    step = max(1, (1 << 16) // max(1, len(right)))
+    for s in range(0, len(left), step):
+        a = left[s : s + step]
+        unlike = code[a][:, None] ^ code[right][None, :]
+        near = np.bitwise_count(unlike) <= rule.radius
+        if i == j:
+            near &= a[:, None] < right[None, :]
+        p, q = np.nonzero(near)
+        unlike, p, q = unlike[p, q], a[p], right[q]
+        for mask in earlier:
+            apart = unlike & mask != 0
+            unlike, p, q = unlike[apart], p[apart], q[apart]
+        linked = np.einsum("ij,ij->i", x[p], x[q]) >= rule.cosine
+        out.append(np.stack([p[linked], q[linked]]))
+    p, q = np.concatenate(out, axis=1)
+    return p, q
+
+
 def link(vectors: DataFrame, rule: ItqRule = ItqRule()) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of vectors (vec_id, embedding, label).
 
     Vectors of different lengths never link. Vectors that are null, zero or hold null or non-finite parts,
     and rows without a label, link with nothing and are kept; a null vec_id has a null component_id.
-    Rows that repeat vec_id, vector and label count each as another vector. An empty table gives an empty one.
+    Each row is a vector of its own, also where rows repeat or share a vec_id. Other columns are not read,
+    whatever their names. An empty table gives an empty one.
     """
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
     good = vectors.where(usable())
     # -0.0 as 0.0, so that equal vectors have one form
     good = good.withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))
-    reps = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "vectors")
+    # the written table fixes the number of each class of equal vectors
+    reps = stored(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("many")).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     # only labels with longer substrings are collected: each holds 2**(bits + 13) vectors at least
     large = reps.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= 1 << (rule.bits + 13)).collect()
-    dims = [r["d"] for r in reps.select(F.size("embedding").alias("d")).distinct().limit(64).collect()]
+    dims = [r["d"] for r in reps.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(rule.lengths).collect()]
     longer = {r["label"]: b for r in large if (b := _bits(r["n"], rule.bits)) > rule.bits}
     masks = {b: table_masks(b) for b in {rule.bits, *longer.values()}}
     models = {}
     for d in dims:
-        sample = reps.where(F.size("embedding") == d).orderBy(F.xxhash64("rep")).limit(rule.sample).select("embedding").toArrow().column(0).combine_chunks()
+        sample = reps.where(F.size("embedding") == d).orderBy(F.xxhash64("embedding"), "embedding").limit(rule.sample).select("embedding").toArrow().column(0).combine_chunks()
         models[d] = learn_rotation(_unit(sample), 64, rule.rounds)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
             out = np.zeros(b.num_rows, np.uint64)
-            for d in np.unique(sizes):
+            for d in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == d)
-                if d in models:
-                    out[at] = codes(_unit(b.column(2).take(pa.array(at))), *models[d])
+                out[at] = codes(_unit(b.column(2).take(pa.array(at))), *(models.get(d) or drawn_rotation(d)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(out.view(np.int64))], names=["rep", "many", "embedding", "label", "code"])
 
     label_type = reps.schema["label"].dataType.simpleString()
     coded = stored(reps.select("rep", "many", "embedding", "label").mapInArrow(code, f"rep bigint, many bigint, embedding array<double>, label {label_type}, code bigint"), "codes")
+    bits = F.lit(rule.bits)
     part = _keys(masks[rule.bits])
     for b in sorted(set(longer.values())):
-        part = F.when(F.col("label").isin([x for x, n in longer.items() if n == b]), _keys(masks[b])).otherwise(part)
+        these = F.col("label").isin([x for x, n in longer.items() if n == b])
+        part, bits = F.when(these, _keys(masks[b])).otherwise(part), F.when(these, b).otherwise(bits)
     bucket = ["label", "d", "t", "key"]
     keyed = coded.select("label", F.size("embedding").alias("d"), "rep", F.posexplode(part).alias("t", "key"))
     sizes = keyed.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / rule.block).cast("int")).drop("n")
@@ -169,42 +202,52 @@ def link(vectors: DataFrame, rule: ItqRule = ItqRule()) -> DataFrame:
     placed = keyed.join(sizes, bucket).withColumn("own", F.pmod(F.xxhash64("rep", "t"), F.col("blocks")).cast("int"))
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = other.select(*bucket, "rep", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    pair = F.xxhash64(*bucket, "i", "j")
     rows = dealt.join(coded.select("rep", "label", "embedding", "many", "code", F.size("embedding").alias("d")), ["rep", "label", "d"])
-
-    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t, i, j = int(key[2]), int(key[4]), int(key[5])
-        own_masks = np.array(masks[longer.get(key[0], rule.bits)], np.uint64)
-        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        c, rep, many, own = (pdf[n].to_numpy() for n in ("code", "rep", "many", "own"))
-        c = c.view(np.uint64)
-        left, right = (np.flatnonzero(own == i), np.flatnonzero(own == j))
-        links, ends = np.zeros(len(pdf), np.int64), []
-        for s in range(0, len(left), 256):
-            a = left[s : s + 256]
-            near = x[a] @ x[right].T >= rule.cosine
-            if i == j:
-                near &= rep[a][:, None] < rep[right][None, :]
-            p, q = np.nonzero(near)
-            p, q = a[p], right[q]
-            first = np.ones(len(p), bool)
-            for u in range(t):  # a pair that met in an earlier table was counted there
-                first &= (c[p] ^ c[q]) & own_masks[u] != 0
-            p, q = p[first], q[first]
-            np.add.at(links, p, many[q])
-            np.add.at(links, q, many[p])
-            ends.append((p, q))
-        p, q = (np.concatenate(e) for e in zip(*ends, strict=True)) if ends else (np.zeros(0, int),) * 2
-        root = _forest(len(pdf), p, q)
-        hit = links > 0
-        return pd.DataFrame({"rep": rep[hit], "n": links[hit], "root": rep[root][hit]})
-
-    found = stored(rows.groupBy(*bucket, "i", "j").applyInPandas(compare, "rep bigint, n bigint, root bigint"), "found")
+    rows = rows.select(pair.alias("pair"), F.struct(*bucket, "i", "j").alias("at"), bits.alias("bits"), "own", "rep", "many", "code", "embedding").repartition("pair").sortWithinPartitions("pair", "at")
+
+    def compare(run: pa.Table) -> pa.RecordBatch:
+        at, bits = run.column("at")[0].as_py(), run.column("bits")[0].as_py()
+        x = _unit(run.column("embedding").combine_chunks())
+        rep, many, own, code = (run.column(n).to_numpy() for n in ("rep", "many", "own", "code"))
+        earlier = np.array(masks[bits][: at["t"]], np.uint64)
+        p, q = _links(x, code.view(np.uint64), own, at["i"], at["j"], earlier, rule)
+        n = np.zeros(len(rep), np.int64)
+        np.add.at(n, p, many[q])
+        np.add.at(n, q, many[p])
+        hit = n > 0
+        return pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in (rep, n, rep[_forest(len(rep), p, q)])], names=["rep", "n", "root"])
+
+    def compare_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of rows of one pair of blocks, which may reach over batches."""
+        rest = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            key = t.column("pair").to_numpy()
+            ends = [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]
+            for i, j in zip([0, *ends[:-1]], ends, strict=False):
+                yield from runs_of(t.slice(i, j - i))
+            rest = t.slice(ends[-1]) if ends else t
+        if rest is not None and rest.num_rows:
+            yield from runs_of(rest)
+
+    def runs_of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Where two pairs of blocks share a hash, they are told by their place."""
+        places = t.column("at").to_pylist()
+        cuts = [0, *[k for k in range(1, len(places)) if places[k] != places[k - 1]], len(places)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if j - i > 1:
+                yield compare(t.slice(i, j - i))
+
+    found = stored(rows.mapInArrow(compare_all, "rep bigint, n bigint, root bigint"), "found")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     named = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    # a component's name is the smallest vec_id of its vectors
+    named = named.join(reps.select(F.col("rep").alias("node"), "least"), "node")
+    names = named.groupBy("component").agg(F.min("least").alias("name"))
+    named = named.join(names, "component").select("node", "name")
     of_rep = reps.join(counts, "rep", "left").join(named, reps["rep"] == named["node"], "left")
-    of_rep = of_rep.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    of_rep = of_rep.select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("name", "least").alias("component_id"))
     linked = good.join(of_rep, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = vectors.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -1,11 +1,13 @@
 """Personal data: fixed kinds by pattern, and terms that disclose them by co-occurrence.
 
-The values found by pattern (email, ip, card, phone) are the protected entities. Words beside a value are
-its context; over the corpus, n(t) counts a term, n(e) an entity and c(t, e) their meetings. A term
-discloses an entity by the share PMI(t; e) / IC(e), where IC(e) = -log p(e) is all there is to know and
-PMI(t; e) = log(p(t, e) / (p(t) p(e))) what the term tells: 1 means that the term never stands without the
-entity. Terms met often enough, in enough documents, whose share reaches the threshold are treated
-wherever they stand: above `remove_from` they are removed, else generalised to a placeholder.
+The values found by pattern (email, ip, card, phone) are the protected entities, and so are what groups them:
+the mail domain, the first three parts of an address, the issuer's six digits of a card, country and area of
+a phone number. Over the corpus, n(t) and n(e) count the documents that hold a term and an entity, and c(t, e)
+those in which the term stands beside the entity. A term discloses an entity by the share
+PMI(t; e) / IC(e), where IC(e) = -log p(e) is all there is to know and PMI(t; e) = log(p(t, e) / (p(t) p(e)))
+what the term tells: 1 means that the term stands in no document without standing beside the entity there.
+Terms that do so in enough documents, and whose share reaches the threshold, are treated wherever they stand:
+from `remove_from` they are removed, below generalised to a placeholder.
 
 All work is done by built-in functions. Positions come from the parts between matches: the lengths of
 parts and matches, summed up, give starts and ends in code points.
@@ -19,7 +21,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import private, stored
 
 # Every repetition is possessive where what follows cannot be part of it, so matching never goes back
 # over a text; a look-behind (or the end of the last match) skips starts inside a run. Both find the
@@ -40,13 +42,13 @@ LABEL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 
 @dataclass(frozen=True)
 class Disclosure:
-    """window: words of context on each side of a value. least_docs: documents in which term and entity
-    must meet. share: the disclosed share of the entity's information from which a term is treated;
-    remove_from: from which it is removed rather than generalised."""
+    """window: words of context on each side of a value; a number is no term. least_docs: documents in which
+    term and entity must meet. share: the disclosed share of the entity's information from which a term is
+    treated; remove_from: from which it is removed rather than generalised."""
 
     window: int = 3
-    least_docs: int = 3
-    share: float = 0.97
+    least_docs: int = 2
+    share: float = 0.9
     remove_from: float = 0.999
 
 
@@ -116,27 +118,39 @@ def _listed(spans: Column) -> Column:
 
 def _context(side: Column, last: bool, n: int) -> Column:
     """The n words nearest to the value, lower-cased."""
-    words = F.filter(F.split(F.lower(F.right(side, F.lit(40 * n)) if last else F.left(side, F.lit(40 * n))), _SPLIT), lambda w: w != "")
+    words = F.filter(F.split(F.lower(side), _SPLIT), lambda w: (w != "") & ~w.rlike("^[0-9]+$"))
     size = F.size(words)
-    near = F.slice(words, F.greatest(size - n + 1, F.lit(1)), F.lit(n)) if last else F.slice(words, 1, n)
-    return F.filter(near, lambda w: (F.length(w) < 40) & ~w.rlike("^[0-9]+$"))
+    return F.slice(words, F.greatest(size - n + 1, F.lit(1)), F.lit(n)) if last else F.slice(words, 1, n)
+
+
+def _entities(span: Column) -> Column:
+    """A value and what groups it, each under a name of its kind."""
+    value, kind = F.lower(span["value"]), span["kind"]
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    wider = F.when(kind == "email", F.concat(F.lit("domain:"), F.substring_index(value, "@", -1)))
+    wider = wider.when(kind == "ip", F.concat(F.lit("net:"), F.substring_index(value, ".", 3)))
+    wider = wider.when(kind == "card", F.concat(F.lit("issuer:"), F.left(digits, F.lit(6))))
+    return F.array(F.concat(kind, F.lit(":"), value), wider.otherwise(F.concat(F.lit("area:"), F.left(digits, F.lit(4)))))
+
+
+def _terms_of(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), _SPLIT))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, rule: Disclosure) -> DataFrame:
-    """term, share: words whose presence discloses an entity. docs (text), found (doc_id, base)."""
-    entity = F.concat_ws(":", "s.kind", F.lower("s.value"))
+    """t, share: words whose presence discloses an entity. docs (text, one row a document), found (_row, base)."""
     spans = found.where(F.size("base") > 0).select("_row", F.explode("base").alias("s"))
-    near = spans.select("_row", entity.alias("e"), F.array_distinct(F.concat(_context(F.col("s.before"), True, rule.window), _context(F.col("s.after"), False, rule.window))).alias("ts"))
-    met = near.select("_row", "e", F.explode("ts").alias("t"))
-    pairs = met.groupBy("e", "t", "_row").agg(F.count("*").alias("c")).groupBy("e", "t").agg(F.sum("c").alias("c"), F.count("*").alias("d"))
-    pairs = stored(pairs.where(F.col("d") >= rule.least_docs), "pairs")
-    entities = near.groupBy("e").agg(F.count("*").alias("n_e"))
-    counts = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), _SPLIT)).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
-    total = counts.agg(F.sum("n_t").alias("n"))
+    near = spans.select("_row", F.explode(_entities(F.col("s"))).alias("e"), F.array_distinct(F.concat(_context(F.col("s.before"), True, rule.window), _context(F.col("s.after"), False, rule.window))).alias("ts"))
+    pairs = near.select("_row", "e", F.explode("ts").alias("t")).distinct().groupBy("e", "t").agg(F.count("*").alias("c"))
+    pairs = stored(pairs.where(F.col("c") >= rule.least_docs), "pairs")
+    entities = near.select("_row", "e").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
+    counts = docs.select(F.explode(_terms_of(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    total = docs.agg(F.count("*").alias("n"))
     told = pairs.join(entities, "e").join(counts, "t").join(F.broadcast(total))  # one row
     ic = -F.log(F.col("n_e") / F.col("n"))
     pmi = F.log(F.col("c") * F.col("n") / (F.col("n_t") * F.col("n_e")))
-    return told.withColumn("share", pmi / ic).where(F.col("share") >= rule.share).groupBy("t").agg(F.max("share").alias("share"))
+    # an entity that every document holds has nothing to tell
+    return told.where("n_e < n").withColumn("share", pmi / ic).where(F.col("share") >= rule.share).groupBy("t").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
@@ -144,26 +158,35 @@ def find(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
 
     Kinds beside the fixed ones: `term` (generalise) and `gone` (remove). Positions are code points of the
     whole text, end exclusive. Null text: no spans. Rows with equal doc_id and text count as one document
-    for the statistics. An empty table gives an empty one.
+    for the statistics, and each is returned. Columns of docs named base or all_spans give way (in any case of
+    letters); all others stay, whatever their names. An empty table gives an empty one.
     """
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("base", "all_spans")])
     row = F.xxhash64("doc_id", "text")
+    own, own_terms = private(docs, "_row", "_terms")
     found = docs.select(row.alias("_row"), base_spans(F.coalesce("text", F.lit("")), True).alias("base"))
-    terms = stored(disclosing_terms(docs, found.where(F.size("base") > 0), rule), "terms")
+    once = docs.select(row.alias("_row"), "text").dropDuplicates(["_row"]) if _repeats(docs, row) else docs.select("text")
+    terms = stored(disclosing_terms(once, found.where(F.size("base") > 0), rule), "terms")
     # documents that hold such a term, with their terms as one pattern
-    words = docs.select("doc_id", row.alias("_row"), F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), _SPLIT))).alias("t"))
+    words = docs.select(row.alias("_row"), F.explode(_terms_of(F.col("text"))).alias("t"))
     level = F.when(F.col("share") >= rule.remove_from, "gone").otherwise("term")
-    hits = words.join(terms.withColumn("kind", level), "t").groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("t", "kind"))).alias("_terms"))
-    full = docs.withColumn("_row", row).join(hits, "_row", "left").drop("_row")
-    text = F.coalesce("text", F.lit(""))
+    hits = words.join(terms.withColumn("kind", level), "t").groupBy(F.col("_row").alias(own)).agg(F.array_sort(F.collect_set(F.struct("t", "kind"))).alias(own_terms))
+    full = docs.withColumn(own, row).join(hits, own, "left").drop(own)
+    text, listed = F.coalesce("text", F.lit("")), F.col(own_terms)
 
     def of_kind(kind: str) -> Column:
-        own = F.array_join(F.transform(F.filter("_terms", lambda t: t["kind"] == kind), lambda t: t["t"]), "|")
-        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}_])(?:"), own, F.lit(r")(?![\p{L}\p{M}\p{N}_])"))
-        return F.when(own != "", _matches(text, pattern, kind, False)).otherwise(F.array().cast(_SPAN))
+        ts = F.array_join(F.transform(F.filter(listed, lambda t: t["kind"] == kind), lambda t: t["t"]), "|")
+        pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}\p{N}_])(?:"), ts, F.lit(r")(?![\p{L}\p{M}\p{N}_])"))
+        return F.when(ts != "", _matches(text, pattern, kind, False)).otherwise(F.array().cast(_SPAN))
 
-    added = F.when(F.col("_terms").isNull(), F.array().cast(_SPAN)).otherwise(F.concat(of_kind("term"), of_kind("gone")))
+    added = F.when(listed.isNull(), F.array().cast(_SPAN)).otherwise(F.concat(of_kind("term"), of_kind("gone")))
     out = full.withColumn("base", base_spans(text))
-    return out.withColumn("all_spans", _sorted(F.concat("base", added))).drop("_terms")
+    return out.withColumn("all_spans", _sorted(F.concat("base", added))).drop(own_terms)
+
+
+def _repeats(docs: DataFrame, row: Column) -> bool:
+    """Whether some row stands twice; only hashes are shuffled to tell."""
+    return not docs.groupBy(row.alias("_row")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def redacted(text: Column, spans: Column) -> Column:
