@@ -101,6 +101,51 @@ def test_itq_links(spark):
     assert itq.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_vectors_of_many_lengths_and_shared_ids(spark):
+    r = np.random.default_rng(14)
+    rows = []
+    for d in range(3, 90):  # more lengths than learn a rotation
+        v = r.normal(size=d)
+        rows += [(10 * d, v.tolist(), 1), (10 * d + 1, (2 * v).tolist(), 1), (10 * d + 2, (-v).tolist(), 1)]
+    a, b = r.normal(size=(2, 64)).tolist()
+    rows += [(1, a, 7), (1, b, 7), (2, [3 * x for x in a], 7), (2, [3 * x for x in a], 7)]
+    df = spark.createDataFrame([(*x, "other", 1) for x in rows], "vec_id long, embedding array<double>, label int, rep string, code int")
+    got = collections.Counter(itq.link(df).collect())
+    want = collections.Counter()
+    for d in range(3, 90):
+        want.update([(10 * d, 1, 10 * d, True), (10 * d + 1, 1, 10 * d, False), (10 * d + 2, 0, 10 * d + 2, True)])
+    want.update([(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (2, 2, 1, False)])
+    assert collections.Counter(map(tuple, got.elements())) == want
+
+
+def test_near_copies_that_are_just_too_far_apart(spark):
+    """One group of near copies, most without a partner: every link is found, and few pairs are taken up."""
+    r = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(260):
+        copy = list(base)
+        for k in range(3 if i % 20 == 0 else 6):
+            copy[(r.randrange(25) + 25 * k) % 150] = f"own{i}x{k}"
+        texts.append(" ".join(copy))
+    known = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(260) for b in range(a) if 100 * len(known[a] & known[b]) >= 75 * len(known[a] | known[b])]
+    want = unite(links, range(260))
+    assert links and len(set(want.values())) > 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in minhash.near_duplicates(df).collect()} == want
+
+
+def test_flipped_bits_bound_the_difference():
+    r = np.random.default_rng(5)
+    for n, apart in ((50, 3), (500, 140), (3000, 900), (40, 0)):
+        a = r.integers(0, 1 << 60, n, dtype=np.uint64)
+        b = np.concatenate([a[apart:], r.integers(0, 1 << 60, apart, dtype=np.uint64)])
+        differ = int(np.bitwise_count(minhash.flipped(a) ^ minhash.flipped(b)).sum())
+        assert differ <= 2 * apart and (2 * apart - differ) % 2 == 0
+        assert differ >= 0.9 * 1024 * (1 - np.exp(-2 * 2 * apart / 2048)) - 10
+
+
 def plain_chunks(docs, least=50):
     """Lines that go, by document: the same chunks, compared as bytes one by one."""
     gone = collections.defaultdict(set)

@@ -25,6 +25,7 @@ def fuzz(seed, n, alphabet):
 def test_byte_bpe_as_tiktoken(spark, odd, none):
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
     texts = fuzz(1, 400, list("abcdefgh'st 12é\n\t\x85\xa0") + ["  ", "   ", "🤖", "日本", "the", " and"])
+    texts += fuzz(11, 1500, [*"ab'sTt12 ,.!é\n\u3000\u2028\x1f\u0301", "'s", "don't", "…", "the ", " \u3000", "x\n y"]) + ["wide words, " * 500_000]
     df = odd.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string"))
     want = collections.Counter()
     for r in df.collect():
@@ -147,8 +148,8 @@ def test_packing_pieces(spark, odd, none):
 
     path, capacity = public_tokenizers.path(WORD_BPE), 64
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = fuzz(5, 200, list("abc de'st ÉÀßİΣσ\n") + ["<|endoftext|>", "Å", "\x85", "\xa0"])
+    marks = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "Å", "\x85", "\xa0", "\u0338", "\u0301", "=", "!'", "12", "don't", "…", "\x1f"]
+    texts = fuzz(5, 600, list("abc de'st ÉÀßİΣσ\n,.") + marks) + fuzz(15, 200, list("ab <|endoftext|> ")) + ["hello <|endoftext|> x", "long text, " * 600_000]
     df = odd.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts, 100)), "doc_id long, text string"))
     want = collections.Counter()
     for r in df.collect():
