@@ -62,153 +62,247 @@ def _similar(a: str, b: str) -> float:
     return max(r, min(len(a), len(b)) / max(len(a), len(b))) if a in b or b in a else r
 
 
+GAP, MOST_LINES = 0.55, 3
+
+
+def _pairing(texts: list[str], times: list[int], lines: list[str], at: list[int]) -> list[tuple[int, int, int, float, float]]:
+    """(cue, first line, last line, similarity, place) of the best walk through cues and lines."""
+    n, m = len(texts), len(lines)
+    place = np.abs((np.array(times) - times[0])[:, None] / max(1, times[-1] - times[0]) - (np.array(at) - at[0])[None, :] / max(1, at[-1] - at[0]))
+    known = {(x, y): _similar(x, y) for x in set(texts) for y in set(lines)}
+    alike = np.array([[known[x, y] for y in lines] for x in texts])
+    worth = 2.4 * alike + 0.6 * (alike == 1.0) - 0.8 * place - 0.35
+    # runs of several lines count only where they are the whole text
+    runs = {(i, j, k) for k in range(2, MOST_LINES + 1) for j in range(m - k + 1) if (whole := "".join(lines[j : j + k])) for i in range(n) if texts[i] == whole}
+    total = np.empty((n + 1, m + 1))
+    total[0], total[:, 0] = -GAP * np.arange(m + 1), -GAP * np.arange(n + 1)
+    taken = np.zeros((n + 1, m + 1), np.int8)  # lines that the cue takes; -1: the cue is left out, 0: the line is
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            # of equal totals the first in this order
+            options = [(total[i - 1, j] - GAP, -1), (total[i, j - 1] - GAP, 0), (total[i - 1, j - 1] + worth[i - 1, j - 1], 1)]
+            for k in range(2, min(MOST_LINES, j) + 1):
+                if (i - 1, j - k, k) in runs:
+                    options.append((total[i - 1, j - k] + 3.0 - 0.8 * place[i - 1, j - k] - 0.35, k))
+            total[i, j], taken[i, j] = max(options, key=lambda o: o[0])
+    found, i, j = [], n, m
+    while i and j:
+        k = int(taken[i, j])
+        if k > 0:
+            s = float(alike[i - 1, j - 1]) if k == 1 else 1.0
+            if s >= GAP:
+                found.append((i - 1, j - k, j - 1, s, float(place[i - 1, j - k])))
+        i, j = i - (k != 0), j - (1 if k == 0 else max(k, 0))
+    return found[::-1]
+
+
 def align_lyrics(official: DataFrame, lyrics: DataFrame) -> DataFrame:
-    """(track_id, line, first, last, similarity): official cues (track_id, line, text) on runs of one to three lyric lines
-    (track_id, line, text), by the best total over the whole track. A step without a partner costs 0.55; a match
-    earns 2.4 times the similarity less 0.8 times the distance of the relative places and 0.35, an exact one 0.6
-    more; runs of several lines must match exactly. Pairs below 0.55 are dropped."""
-    a, b = (d.select("track_id", "line", T.norm_lyric(F.coalesce("text", F.lit(""))).alias("t")) for d in (official, lyrics))
+    """(track_id, line, first, last, similarity, place): official cues (track_id, line, text, start_ms) on runs of
+    one to three lyric lines (track_id, line, text, ms), by the best total over the whole track. A cue or line without
+    a partner costs 0.55; a match earns 2.4 times the similarity less 0.35 and 0.8 times the distance of the two
+    times, each as a share of its own list's span; an exact one 0.6 more. Runs of several lines must match exactly.
+    Pairs below 0.55 are dropped. A track is one recording, so its lines are one group."""
+    a = official.select("track_id", "line", F.col("start_ms").alias("at"), T.norm_lyric(F.coalesce("text", F.lit(""))).alias("t"))
+    b = lyrics.select("track_id", "line", F.col("ms").alias("at"), T.norm_lyric(F.coalesce("text", F.lit(""))).alias("t"))
     kind = official.schema["track_id"].dataType.simpleString()
+    names = ["track_id", "line", "first", "last", "similarity", "place"]
 
     def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
         left, right = left.sort_values("line"), right.sort_values("line")
-        x, y = left["t"].tolist(), right["t"].tolist()
-        n, m = len(x), len(y)
-        if not n or not m:
-            return pd.DataFrame({"track_id": [], "line": [], "first": [], "last": [], "similarity": []})
-        best = np.zeros((n + 1, m + 1))
-        best[:, 0] = -0.55 * np.arange(n + 1)
-        best[0] = -0.55 * np.arange(m + 1)
-        step: dict[tuple[int, int], tuple[int, float]] = {}
-        known: dict[tuple[str, str], float] = {}
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                top, how = max((best[i - 1, j] - 0.55, (-1, 0.0)), (best[i, j - 1] - 0.55, (0, 0.0)), key=lambda p: p[0])
-                for k in range(1, min(3, j) + 1):
-                    run = "".join(y[j - k : j])
-                    exact = run == x[i - 1]
-                    if k > 1 and not exact:
-                        continue
-                    if (x[i - 1], run) not in known:
-                        known[x[i - 1], run] = 1.0 if exact and run else _similar(x[i - 1], run)
-                    s = known[x[i - 1], run]
-                    place = abs((i - 1) / max(1, n - 1) - (j - k) / max(1, m - 1))
-                    value = best[i - 1, j - k] + 2.4 * s - 0.8 * place - 0.35 + 0.6 * exact
-                    if value > top:
-                        top, how = value, (k, s)
-                best[i, j], step[i, j] = top, how
-        i, j, rows = n, m, []
-        names, others = left["line"].tolist(), right["line"].tolist()
-        while i and j:
-            k, s = step[i, j]
-            if k > 0:
-                if s >= 0.55:
-                    rows.append((left["track_id"].iloc[0], names[i - 1], others[j - k], others[j - 1], s))
-                i, j = i - 1, j - k
-            elif k:
-                i -= 1
-            else:
-                j -= 1
-        return pd.DataFrame(rows[::-1], columns=["track_id", "line", "first", "last", "similarity"])
-
-    return a.groupBy("track_id").cogroup(b.groupBy("track_id")).applyInPandas(align, f"track_id {kind}, line bigint, first bigint, last bigint, similarity double")
+        cue, line = left["line"].tolist(), right["line"].tolist()
+        pairs = _pairing(left["t"].tolist(), left["at"].tolist(), right["t"].tolist(), right["at"].tolist())
+        return pd.DataFrame([(left["track_id"].iloc[0], cue[i], line[j], line[k], s, d) for i, j, k, s, d in pairs], columns=names)
+
+    return a.groupBy("track_id").cogroup(b.groupBy("track_id")).applyInPandas(align, f"track_id {kind}, line bigint, first bigint, last bigint, similarity double, place double")
 
 
 def reference_translation(pairs: DataFrame, official: DataFrame, lyrics: DataFrame) -> DataFrame:
-    """For each aligned cue the joined translation of its lines (track_id, line, text, ms, translation), if all have one and the
-    match is sure (0.72, no mere opening of the text), and whether the lyric's time, projected through the first
-    and last exact match, says earlier or later by 0.75 s."""
-    from pyspark.sql import Window
+    """For each official cue (track_id, line, text, start_ms) what its lyric lines (track_id, line, text, ms,
+    translation) tell: first, last, similarity, translation, projected_ms, delta_ms, hint.
 
+    The translation is joined if all lines have one and neither text holds the other without being equal to it; sure
+    tells whether it may be taken (similarity 0.72 or more). The first and the last exact match carry lyric times
+    over to the recording; with fewer than two, or no time between them, the hint is relative-unavailable. A cue
+    that begins 750 ms or more before its projected time is relative-earlier, behind it relative-later."""
     ly = lyrics.select("track_id", F.col("line").alias("_l"), F.col("ms").alias("_ms"), "translation", T.norm_lyric(F.coalesce("text", F.lit(""))).alias("_x"))
     own = official.select("track_id", "line", "start_ms", T.norm_lyric(F.coalesce("text", F.lit(""))).alias("_o"))
-    j = pairs.join(ly, "track_id").where(F.col("_l").between(F.col("first"), F.col("last")))
-    parts = F.array_sort(F.collect_list(F.struct("_l", "_x", F.coalesce("translation", F.lit("")).alias("_t"))))
-    g = j.groupBy("track_id", "line", "similarity").agg(parts.alias("p"), F.min_by("_ms", "_l").alias("_ms")).join(own, ["track_id", "line"])
-    text = F.array_join(F.transform("p", lambda x: x["_x"]), "")
-    opening = (text != F.col("_o")) & (text.startswith(F.col("_o")) | F.col("_o").startswith(text))
-    good = F.forall("p", lambda x: x["_t"] != "") & ~opening & (F.col("similarity") >= 0.72)
-    w = Window.partitionBy("track_id")
-    exact = F.when(F.col("similarity") == 1.0, F.struct("line", "_ms", "start_ms"))
-    g = g.withColumns({"_a": F.min(exact).over(w), "_b": F.max(exact).over(w)})
-    scale = (F.col("_b.start_ms") - F.col("_a.start_ms")) / F.nullif(F.col("_b._ms") - F.col("_a._ms"), F.lit(0))
-    projected = F.col("_a.start_ms") + (F.col("_ms") - F.col("_a._ms")) * F.coalesce(scale, F.lit(1.0))
-    delta = projected - F.col("start_ms")
-    hint = F.when(delta <= -750, "earlier").when(delta >= 750, "later")
-    return g.select("track_id", "line", "similarity", F.when(good, F.array_join(F.transform("p", lambda x: x["_t"]), " ")).alias("translation"), projected.alias("projected_ms"), hint.alias("hint"))
+    parts = F.array_sort(F.collect_list(F.struct("_l", "_x", F.coalesce("translation", F.lit("")).alias("_t"), "_ms")))
+    runs = pairs.join(ly, "track_id").where(F.col("_l").between(F.col("first"), F.col("last"))).groupBy("track_id", "line", "first", "last", "similarity").agg(parts.alias("_p"))
+    j = own.join(runs, ["track_id", "line"], "left").withColumns({"_text": F.array_join(F.transform("_p", lambda x: x["_x"]), ""), "_at": F.get("_p", F.lit(0))["_ms"]})
+    exact = F.when(F.col("_text") == F.col("_o"), F.struct("line", "_at", "start_ms"))
+    ends = j.groupBy("track_id").agg(F.min(exact).alias("_a"), F.max(exact).alias("_b"))
+    span = F.col("_b._at") - F.col("_a._at")
+    known = F.col("_p").isNotNull() & F.coalesce(span > 0, F.lit(False))
+    projected = F.when(known, F.col("_a.start_ms") + F.bround((F.col("_at") - F.col("_a._at")) / span * (F.col("_b.start_ms") - F.col("_a.start_ms"))).cast("long"))
+    delta = F.col("start_ms") - projected
+    hint = F.when(F.col("_p").isNull(), "unmatched").when(~known, "relative-unavailable").when(delta <= -750, "relative-earlier").when(delta >= 750, "relative-later").otherwise("within-relative-range")
+    part = (F.col("_text") != F.col("_o")) & (F.contains("_text", "_o") | F.contains("_o", "_text"))
+    whole = F.forall("_p", lambda x: x["_t"] != "") & ~part
+    translation = F.when(F.col("_p").isNotNull(), F.when(whole, F.array_join(F.transform("_p", lambda x: x["_t"]), " ")).otherwise(""))
+    out = j.join(ends, "track_id").select("track_id", "line", "first", "last", "similarity", translation.alias("translation"), projected.alias("projected_ms"), delta.alias("delta_ms"), hint.alias("hint"))
+    return out.withColumn("sure", F.coalesce((F.col("translation") != "") & (F.col("similarity") >= 0.72), F.lit(False)))
 
 
 @dataclass(frozen=True)
 class BoundaryPolicy:
     window_seconds: float = 2.0
     least_score: float = 0.55
+    per_second: float = 0.05
+    per_character: float = 0.01
+    least_adjustment: float = 0.05
     most_adjustment: float = 0.75
+    edge_characters: int = 2
+    strong_characters: int = 4
+    strong_probability: float = 0.75
     handoff: float = 0.02
     least_seconds: float = 0.2
 
 
+def _best_run(cue, words: list[tuple], used: int, policy: BoundaryPolicy) -> tuple[float, int, int] | None:
+    """Raw similarity and first and last word of the run that ranks best, if the similarity is enough."""
+    n, middle = len(cue.t), (cue.start + cue.end) / 2
+    near = [k for k in range(used, len(words)) if words[k][1] >= cue.start - policy.window_seconds and words[k][0] <= cue.end + policy.window_seconds]
+    fewest, most = max(1, int(n * 0.45)), max(n + 4, int(n * 1.75))
+    top, top_rank = None, None
+    for p, a in enumerate(near):
+        text = ""
+        for q in range(p, min(len(near), p + max(8, 2 * n + 4))):
+            b = near[q]
+            if b - a != q - p:  # a word between them is out of reach
+                break
+            text += words[b][2]
+            if len(text) > most:
+                break
+            if len(text) < fewest:
+                continue
+            score = T._ratio(cue.t, text, False)
+            rank = score - policy.per_second * abs((words[a][0] + words[b][1]) / 2 - middle) - policy.per_character * abs(len(text) - n)
+            if top_rank is None or (rank, -words[a][0]) > top_rank:
+                top, top_rank = (score, a, b), (rank, -words[a][0])
+    return top if top and top[0] >= policy.least_score else None
+
+
+def _edges(text: str, run: list[tuple], first: int, policy: BoundaryPolicy) -> dict:
+    """How the text's two ends lie on the characters of a run of words: for start and end a time, the number of
+    characters and the mean word probability, or none; the share of the text that is met; the word behind the last."""
+    clock, owner = [], []
+    for k, (start, end, t, _) in enumerate(run):
+        step = (end - start) / len(t) if t else 0.0
+        clock += [(start + step * i, start + step * (i + 1)) for i in range(len(t))]
+        owner += [k] * len(t)
+    blocks = [b for b in SequenceMatcher(None, text, "".join(w[2] for w in run), autojunk=False).get_matching_blocks() if b.size]
+    enough = min(policy.edge_characters, len(text))
+
+    def edge(b, time: float) -> tuple[float, int, float | None]:
+        sure = [p for k in sorted(set(owner[b.b : b.b + b.size])) if (p := run[k][3]) is not None and p == p]
+        return time, b.size, sum(sure) / len(sure) if sure else None
+
+    opening = next((b for b in blocks if b.a == 0 and b.size >= enough), None)
+    closing = next((b for b in blocks[::-1] if b.a + b.size == len(text) and b.size >= enough), None)
+    return {
+        "start": opening and edge(opening, clock[opening.b][0]),
+        "end": closing and edge(closing, clock[closing.b + closing.size - 1][1]),
+        "coverage": sum(b.size for b in blocks) / len(text),
+        "used": first + (owner[max(b.b + b.size for b in blocks) - 1] + 1 if blocks else len(run)),
+    }
+
+
+def _proposal(cue, words: list[tuple], used: int, policy: BoundaryPolicy) -> tuple[dict, int]:
+    """What becomes of one cue, and the first word that the next one may use."""
+    out = {"was": (cue.start, cue.end), "new": [cue.start, cue.end], "score": None, "status": "unmatched_keep_original", "reasons": set(), "notes": set(), "anchored": (False, False), "coverage": None}
+    hit = _best_run(cue, words, used, policy) if cue.t else None
+    if not hit:
+        return out, used
+    score, a, b = hit
+    found = _edges(cue.t, words[a : b + 1], a, policy)
+    sides = (found["start"], found["end"])
+    out |= {"score": round(score, 4), "coverage": round(found["coverage"], 4), "anchored": tuple(s is not None for s in sides)}
+    used = max(used, found["used"])
+    if not any(sides):
+        out["status"] = "edge_unanchored_keep_original"
+        out["reasons"] = {"missing_sentence_edge_phonetic_anchor"}
+        return out, used
+    new = list(out["was"])
+    for k, (side, name) in enumerate(zip(sides, ("start", "end"), strict=True)):
+        if not side:
+            continue
+        time, size, sure = side
+        time = max(0.0, time) if k == 0 else time
+        strong = size >= policy.strong_characters and sure is not None and sure >= policy.strong_probability
+        if abs(time - new[k]) > policy.most_adjustment and not strong:
+            out["reasons"].add(f"{name}_adjustment_exceeds_policy_without_strong_edge")
+        else:
+            new[k] = time
+    if all(abs(x - y) < policy.least_adjustment for x, y in zip(new, out["was"], strict=True)):
+        out["status"] = "large_adjustment_keep_original" if out["reasons"] else "matched_keep_original"
+    elif new[1] - new[0] < policy.least_seconds:
+        out["status"] = "unsafe_duration_keep_original"
+        out["reasons"].add("candidate_duration_below_minimum")
+    else:
+        out["status"] = "suggested_partial" if out["reasons"] or not all(sides) else "suggested"
+        out["new"] = new
+    out["new"] = [round(x, 3) for x in out["new"]]
+    return out, used
+
+
+def _settle(proposals: list[dict], policy: BoundaryPolicy) -> None:
+    """Neighbours that collide. An end without an anchor hands over just before an anchored start; else the
+    edges that were moved go back."""
+    movable = {"suggested", "suggested_partial"}
+    back: set[int] = set()
+    moved: set[int] = set()
+    for k, (left, right) in enumerate(zip(proposals, proposals[1:], strict=False)):
+        if left["new"][1] <= right["new"][0]:
+            continue
+        free = left["status"] in movable, right["status"] in movable
+        if all(free) and not left["anchored"][1] and right["anchored"][0]:
+            hand = round(right["new"][0] - policy.handoff, 3)
+            if hand - left["new"][0] >= policy.least_seconds:
+                left["new"][1] = hand
+                left["notes"].add("end_from_next_sentence_start")
+                moved.add(k)
+                continue
+        if free[0] and left["new"][1] != left["was"][1]:
+            left["new"][1] = left["was"][1]
+            left["reasons"].add("end_candidate_overlaps_next")
+            back.add(k)
+        if free[1] and right["new"][0] != right["was"][0]:
+            right["new"][0] = right["was"][0]
+            right["reasons"].add("start_candidate_overlaps_previous")
+            back.add(k + 1)
+    for k in moved | back:
+        p = proposals[k]
+        same = all(round(x - y, 3) == 0 for x, y in zip(p["new"], p["was"], strict=True))
+        p["status"] = "neighbor_conflict_keep_original" if k in back and same else "suggested_partial"
+
+
 def propose_boundaries(cues: DataFrame, words: DataFrame, policy: BoundaryPolicy = BoundaryPolicy()) -> DataFrame:
-    """(section_id, pos, new_start, new_end, score, status, reasons) for cues (section_id, pos, start, end, text) from timed words
-    (section_id, start, end, text). Per cue, in order, the best run of words near it beyond those already used:
-    similarity less 0.05 a second between the centres and 0.01 a character of difference. Edges that would move
-    far keep their place and say so; neighbours that collide hand over just before the next start, or lose the
-    edge that collides."""
+    """New edges of cues (section_id, pos, start, end, text) from timed words (section_id, start, end, text
+    and, if known, probability): new_start, new_end, score, coverage, start_anchored, end_anchored, status, reasons,
+    resolution (lists joined by commas).
+
+    Per cue, in order, the best run of neighbouring words near it, beyond those that earlier cues have used: the
+    similarity, less 0.05 a second between the centres and 0.01 a character of difference, ranks; the similarity alone
+    must reach 0.55. An edge is moved to the time of the character that the cue's first or last characters
+    match; far only if enough characters match in words that are sure. Then neighbours that collide are settled. A
+    text's reading is its N2 form. A section is one recording, so its cues and words are one group."""
     c = cues.select("section_id", "pos", "start", "end", T.norm_match(F.coalesce("text", F.lit(""))).alias("t"))
-    w = words.select("section_id", "start", "end", T.norm_match(F.coalesce("text", F.lit(""))).alias("t")).where("t <> ''")
+    sure = F.col("probability") if "probability" in words.columns else F.lit(None)
+    w = words.select("section_id", "start", "end", F.col("text").alias("raw"), T.norm_match(F.coalesce("text", F.lit(""))).alias("t"), sure.cast("double").alias("sure"))
     kind = cues.schema["section_id"].dataType.simpleString()
-    cols = ["section_id", "pos", "new_start", "new_end", "score", "status", "reasons"]
-
-    def best_run(cue, ws, used) -> tuple[float, int, int] | None:
-        near = [k for k in range(used, len(ws)) if ws[k][1] >= cue.start - policy.window_seconds and ws[k][0] <= cue.end + policy.window_seconds]
-        top = None
-        for a in near:
-            run = ""
-            for b in range(a, near[-1] + 1):
-                run += ws[b][2]
-                if len(run) > 2 * len(cue.t) + 4:
-                    break
-                s = T._ratio(run, cue.t, False)
-                s -= 0.05 * abs((ws[a][0] + ws[b][1]) / 2 - (cue.start + cue.end) / 2) + 0.01 * abs(len(run) - len(cue.t))
-                if top is None or s > top[0]:
-                    top = (s, a, b)
-        return top if top and top[0] >= policy.least_score else None
+    cols = ["section_id", "pos", "new_start", "new_end", "score", "coverage", "start_anchored", "end_anchored", "status", "reasons", "resolution"]
 
     def propose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("pos")
-        ws = list(right.sort_values(["start", "end"])[["start", "end", "t"]].itertuples(index=False, name=None))
-        out, used = [], 0
+        ws = list(right.sort_values(["start", "end", "raw"])[["start", "end", "t", "sure"]].itertuples(index=False, name=None))
+        proposals, used = [], 0
         for cue in left.itertuples(index=False):
-            hit = best_run(cue, ws, used) if cue.t else None
-            if not hit:
-                out.append([cue.section_id, cue.pos, cue.start, cue.end, None, "no_match", []])
-                continue
-            score, a, b = hit
-            used = b + 1
-            start, end, why = ws[a][0], ws[b][1], []
-            if abs(start - cue.start) > policy.most_adjustment:
-                why.append("start_adjustment_too_large")
-            if abs(end - cue.end) > policy.most_adjustment:
-                why.append("end_adjustment_too_large")
-            if len(why) == 2:
-                out.append([cue.section_id, cue.pos, cue.start, cue.end, score, "large_adjustment_keep_original", why])
-            else:
-                out.append([cue.section_id, cue.pos, cue.start if "start_adjustment_too_large" in why else start, cue.end if "end_adjustment_too_large" in why else end, score, "proposed", why])
-        first = list(left[["start", "end"]].itertuples(index=False, name=None))
-        for k in range(len(out) - 1):
-            now, then = out[k], out[k + 1]
-            if now[3] <= then[2]:
-                continue
-            hand = then[2] - policy.handoff
-            if hand - now[2] >= policy.least_seconds:
-                now[3] = hand
-                now[6].append("end_from_next_sentence_start")
-            else:
-                if then[2] != first[k + 1][0]:
-                    then[2] = first[k + 1][0]
-                    then[6].append("start_candidate_overlaps_previous")
-                if now[3] > then[2] and now[3] != first[k][1]:
-                    now[3] = first[k][1]
-                    now[6].append("end_candidate_overlaps_next")
-        return pd.DataFrame([[*r[:6], ",".join(r[6])] for r in out], columns=cols)
-
-    return c.groupBy("section_id").cogroup(w.groupBy("section_id")).applyInPandas(propose, f"section_id {kind}, pos bigint, new_start double, new_end double, score double, status string, reasons string")
+            p, used = _proposal(cue, ws, used, policy)
+            proposals.append(p)
+        _settle(proposals, policy)
+        rows = [(cue.section_id, cue.pos, *p["new"], p["score"], p["coverage"], *p["anchored"], p["status"], ",".join(sorted(p["reasons"])), ",".join(sorted(p["notes"]))) for cue, p in zip(left.itertuples(index=False), proposals, strict=True)]
+        return pd.DataFrame(rows, columns=cols)
+
+    return c.groupBy("section_id").cogroup(w.groupBy("section_id")).applyInPandas(propose, f"section_id {kind}, pos bigint, new_start double, new_end double, score double, coverage double, start_anchored boolean, end_anchored boolean, status string, reasons string, resolution string")

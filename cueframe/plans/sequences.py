@@ -287,9 +287,13 @@ def g14_lyric_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _official(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Document lines as lyrics; every seventh is missing in the official cues, every fifth joined to the next."""
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("track_id"), F.slice(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != ""), 1, 30).alias("l"))
-    ly = d.select("track_id", F.posexplode("l").alias("line", "text")).select("track_id", F.col("line").cast("long").alias("line"), F.substring("text", 1, 60).alias("text"), (F.col("line") * 4000).cast("long").alias("ms"), F.concat(F.lit("t"), F.col("line").cast("string")).alias("translation"))
+    """Turns of a conversation as lyrics, whose even lines come again at the end; every seventh is missing in the
+    official cues, every fifth joined to the next."""
+    t = _turns(spark, sf_dir).select(F.col("section_id").alias("track_id"), F.col("pos").cast("long").alias("line"), F.col("source_text").alias("text"))
+    last = Window.partitionBy("track_id")
+    t = t.withColumn("_all", F.max("line").over(last) + 1)
+    again = t.where("line % 2 = 0").select("track_id", (F.col("line") + F.col("_all")).alias("line"), "text")
+    ly = t.drop("_all").unionByName(again).select("track_id", "line", "text", (F.col("line") * 4000).cast("long").alias("ms"), F.concat(F.lit("t"), F.col("line").cast("string")).alias("translation"))
     nxt = F.lead("text").over(Window.partitionBy("track_id").orderBy("line"))
     of = ly.withColumn("_n", nxt).where("line % 7 <> 6").select("track_id", "line", F.when((F.col("line") % 5 == 0) & F.col("_n").isNotNull(), F.concat("text", "_n")).otherwise(F.col("text")).alias("text"), (F.col("ms") + F.when(F.col("line") % 4 == 1, 900).otherwise(100)).alias("start_ms"))
     return of, ly
@@ -309,7 +313,9 @@ def j21_reference_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def j22_propose_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns against their words, three words a second, half a second late."""
-    t = _turns(spark, sf_dir).select("section_id", "pos", (F.col("pos") * 3.0).alias("start"), (F.col("pos") * 3.0 + 2.0).alias("end"), F.array_join(F.slice(F.split("source_text", " "), 1, 5), " ").alias("text"))
-    ws = t.select("section_id", "start", F.posexplode(F.split("text", " ")).alias("k", "text")).select("section_id", (F.col("start") + 0.5 + F.col("k") * 0.33).alias("start"), (F.col("start") + 0.8 + F.col("k") * 0.33).alias("end"), "text")
+    """Turns against all their words, a third of a second each, half a second late and begun anew at each turn."""
+    t = _turns(spark, sf_dir).withColumn("n", F.size(F.split("source_text", " ")))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("section_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * 0.33
+    t = t.select("section_id", "pos", before.alias("start"), (before + F.col("n") * 0.33).alias("end"), F.col("source_text").alias("text"))
+    ws = t.select("section_id", "start", F.posexplode(F.split("text", " ")).alias("k", "text")).select("section_id", (F.col("start") + 0.5 + F.col("k") * 0.33).alias("start"), (F.col("start") + 0.8 + F.col("k") * 0.33).alias("end"), "text", (1 - F.col("k") % 5 / 10).alias("probability"))
     return align.propose_boundaries(t, ws)

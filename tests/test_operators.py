@@ -1,5 +1,8 @@
 """Operators on small literal tables with known results."""
 
+import functools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,19 +210,100 @@ def test_collisions_in_order(spark):
     assert rows(repetition.change_collisions(c), "pos", "edge", "eligible") == [(0, "end", False), (1, "end", False), (1, "start", True), (2, "start", False)]
 
 
-def test_boundaries(spark):
-    cue, word = "section_id string, pos long, start double, end double, text string", "section_id string, start double, end double, text string"
-    one = align.propose_boundaries(spark.createDataFrame([("s", 0, 3.0, 4.0, "空高く")], cue), spark.createDataFrame([("s", 1.0, 2.0, "空高く")], word)).first()
-    assert one.status == "large_adjustment_keep_original" and (one.new_start, one.new_end) == (3.0, 4.0)
-    near = align.propose_boundaries(spark.createDataFrame([("s", 0, 1.0, 2.0, "空高く"), ("s", 1, 5.0, 6.0, "別の歌")], cue), spark.createDataFrame([("s", 1.2, 2.4, "空高く")], word))
-    assert rows(near, "pos", "new_start", "new_end", "status") == [(0, 1.2, 2.4, "proposed"), (1, 5.0, 6.0, "no_match")]
+CUE, WORD = "section_id string, pos long, start double, end double, text string", "section_id string, start double, end double, text string, probability double"
+
+
+def proposed(spark, cues, words, **policy):
+    out = align.propose_boundaries(spark.createDataFrame([("s", i, *c) for i, c in enumerate(cues)], CUE), spark.createDataFrame([("s", *w) for w in words], WORD), align.BoundaryPolicy(**policy))
+    return out.orderBy("pos").collect()
+
+
+def test_boundaries_that_are_far_or_unsure_stay(spark):
+    far = proposed(spark, [(4.0, 5.0, "青い鳥")], [(2.0, 3.0, "青い鳥", None)])[0]
+    assert far.status == "large_adjustment_keep_original" and (far.new_start, far.new_end) == (4.0, 5.0)
+    assert far.reasons == "end_adjustment_exceeds_policy_without_strong_edge,start_adjustment_exceeds_policy_without_strong_edge"
+    other = proposed(spark, [(1.0, 2.0, "青い鳥")], [(1.0, 2.0, "赤い花が咲く", None)])[0]
+    assert other.status == "unmatched_keep_original" and other.score is None
+    near = proposed(spark, [(1.0, 2.0, "青い鳥"), (2.5, 3.0, "海へ")], [(1.2, 1.9, "青い鳥", None), (2.52, 3.03, "海へ", None)])
+    assert [(r.new_start, r.new_end, r.status) for r in near] == [(1.2, 1.9, "suggested"), (2.5, 3.0, "matched_keep_original")]
+    # the similarity itself must be enough, not what is left of it after distance and length
+    late = proposed(spark, [(1.0, 2.0, "abcde")], [(2.6, 3.6, "abcxx", None)], least_score=0.6)[0]
+    assert late.score == 0.6 and late.status != "unmatched_keep_original"
+
+
+def test_boundaries_move_far_by_sure_edges_and_hand_over(spark):
+    words = [(1.0, 1.6, "こえ", 0.9), (1.6, 2.2, "こえ", 0.9), (2.2, 2.8, "きく", 0.9), (2.8, 3.4, "まで", 0.9), (3.4, 4.0, "ずっと", 0.9), (4.0, 4.6, "ずっと", 0.95), (4.6, 5.2, "ここ", 0.9)]
+    first, second = proposed(spark, [(3.0, 5.0, "こえこえきくまでGo"), (5.1, 6.0, "ずっとずっとここ")], words)
+    # the first cue's end has no anchor: it ends just before the anchored start of the next
+    assert (first.new_start, first.new_end, first.resolution, first.status) == (1.0, 3.38, "end_from_next_sentence_start", "suggested_partial")
+    assert (second.new_start, second.new_end, second.start_anchored) == (3.4, 5.2, True)
+    unsure = proposed(spark, [(3.0, 5.0, "こえこえきくまで")], [(a, b, t, 0.5) for a, b, t, _ in words])[0]
+    assert unsure.new_start == 3.0 and "start_adjustment" in unsure.reasons
+
+
+def test_only_the_edge_that_collides_goes_back(spark):
+    first, second = proposed(spark, [(1.0, 2.0, "何もない"), (2.3, 3.6, "青い鳥")], [(1.9, 3.2, "青い鳥", None)])
+    assert (first.status, first.new_end) == ("unmatched_keep_original", 2.0)
+    assert (second.new_start, second.new_end, second.status, second.reasons) == (2.3, 3.2, "suggested_partial", "start_candidate_overlaps_previous")
+    # words that an earlier cue has used are gone: the second refrain takes the later words
+    twice = proposed(spark, [(1.0, 2.0, "らら"), (1.5, 2.5, "らら")], [(1.1, 1.4, "らら", None), (1.6, 2.4, "らら", None)])
+    assert [(r.new_start, r.new_end) for r in twice] == [(1.1, 1.4), (1.6, 2.4)]
+
+
+LINE = "track_id string, line long, text string"
 
 
 def test_align_lyrics(spark):
-    kind = "track_id string, line long, text string"
-    o = spark.createDataFrame([("t", 0, "はじまりの歌"), ("t", 1, "二行目三行目"), ("t", 2, "おわり")], kind)
-    y = spark.createDataFrame([("t", 0, "はじまりの歌"), ("t", 1, "二行目"), ("t", 2, "三行目"), ("t", 3, "余分な行"), ("t", 4, "おわり")], kind)
+    o = spark.createDataFrame([("t", 0, "はじまりの歌", 0), ("t", 1, "二行目三行目", 4000), ("t", 2, "おわり", 16000)], f"{LINE}, start_ms long")
+    y = spark.createDataFrame([("t", 0, "はじまりの歌", 0), ("t", 1, "二行目", 4000), ("t", 2, "三行目", 6000), ("t", 3, "余分な行", 9000), ("t", 4, "おわり", 16000)], f"{LINE}, ms long")
     assert rows(align.align_lyrics(o, y), "line", "first", "last", "similarity") == [(0, 0, 0, 1.0), (1, 1, 2, 1.0), (2, 4, 4, 1.0)]
+    # a refrain that only time tells apart
+    o = spark.createDataFrame([("t", 0, "始まる", 0), ("t", 1, "refrain", 1000), ("t", 2, "終わる", 100000)], f"{LINE}, start_ms long")
+    y = spark.createDataFrame([("t", 0, "refrain", 0), ("t", 1, "あいだ", 50000), ("t", 2, "refrain", 99500), ("t", 3, "unsung", 100000)], f"{LINE}, ms long")
+    assert rows(align.align_lyrics(o, y), "line", "first") == [(1, 0)]
+
+
+def test_align_lyrics_finds_the_best_of_all_walks():
+    r = random.Random(3)
+    for _ in range(40):
+        x, y = ["".join(r.choice("abc") for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 4))], ["".join(r.choice("abc") for _ in range(r.randint(1, 2))) for _ in range(r.randint(1, 5))]
+        tx, ty = sorted(r.randrange(9000) for _ in x), sorted(r.randrange(9000) for _ in y)
+
+        def worth(i, j, k):
+            s = align._similar(x[i], "".join(y[j : j + k]))
+            d = abs((tx[i] - tx[0]) / max(1, tx[-1] - tx[0]) - (ty[j] - ty[0]) / max(1, ty[-1] - ty[0]))
+            return None if k > 1 and s != 1.0 else 2.4 * s - 0.8 * d - 0.35 + 0.6 * (s == 1.0)
+
+        @functools.cache
+        def best(i, j):
+            if i == len(x) or j == len(y):
+                return -0.55 * (len(x) - i + len(y) - j), ()
+            options = [(t - 0.55, p) for t, p in (best(i + 1, j), best(i, j + 1))]
+            for k in (1, 2, 3):
+                if j + k <= len(y) and (w := worth(i, j, k)) is not None:
+                    t, p = best(i + 1, j + k)
+                    options.append((t + w, ((i, j, k), *p)))
+            return max(options)
+
+        total, walk = best(0, 0)
+        got = align._pairing(x, tx, y, ty)
+        kept = {(i, j, j + k - 1) for i, j, k in walk if align._similar(x[i], "".join(y[j : j + k])) >= 0.55}
+        again = sum(worth(i, j, b - j + 1) for i, j, b, _, _ in got)
+        assert {g[:3] for g in got} == kept or again >= sum(worth(i, j, b - j + 1) for i, j, b in kept) - 1e-9
+
+
+def test_reference_translation(spark):
+    o = spark.createDataFrame([("t", 0, "朝の歌", 1000), ("t", 1, "昼の歌だ", 3000), ("t", 2, "夕べの歌を", 12000), ("t", 3, "夜", 21000), ("t", 4, "ない", 30000), ("u", 0, "一つ", 0)], f"{LINE}, start_ms long")
+    y = spark.createDataFrame([("t", 0, "朝の歌", 0, "morning"), ("t", 1, "昼の歌だ", 4000, "noon"), ("t", 2, "夕べの歌", 10000, "evening"), ("t", 3, "夜", 20000, ""), ("u", 0, "一つ", 0, "one")], f"{LINE}, ms long, translation string")
+    got = align.reference_translation(align.align_lyrics(o, y), o, y)
+    assert rows(got, "track_id", "line", "translation", "projected_ms", "delta_ms", "hint", "sure") == [
+        ("t", 0, "morning", 1000, 0, "within-relative-range", True),
+        ("t", 1, "noon", 5000, -2000, "relative-earlier", True),
+        ("t", 2, "", 11000, 1000, "relative-later", False),  # the lyric is only a part of the cue
+        ("t", 3, "", 21000, 0, "within-relative-range", False),
+        ("t", 4, None, None, None, "unmatched", False),
+        ("u", 0, "one", None, None, "relative-unavailable", True),
+    ]
 
 
 def test_reflow(spark):
