@@ -110,6 +110,8 @@ def align_lyrics(official: DataFrame, lyrics: DataFrame) -> DataFrame:
     def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
+        # by place: the optimizer may pass a column under the name that it has below
+        left, right = left.set_axis(["track_id", "line", "at", "t"], axis=1), right.set_axis(["track_id", "line", "at", "t"], axis=1)
         left, right = left.sort_values("line"), right.sort_values("line")
         cue, line = left["line"].tolist(), right["line"].tolist()
         pairs = _pairing(left["t"].tolist(), left["at"].tolist(), right["t"].tolist(), right["at"].tolist())
@@ -130,7 +132,7 @@ def reference_translation(pairs: DataFrame, official: DataFrame, lyrics: DataFra
     own = official.select("track_id", "line", "start_ms", T.norm_lyric(F.coalesce("text", F.lit(""))).alias("_o"))
     parts = F.array_sort(F.collect_list(F.struct("_l", "_x", F.coalesce("translation", F.lit("")).alias("_t"), "_ms")))
     runs = pairs.join(ly, "track_id").where(F.col("_l").between(F.col("first"), F.col("last"))).groupBy("track_id", "line", "first", "last", "similarity").agg(parts.alias("_p"))
-    j = own.join(runs, ["track_id", "line"], "left").withColumns({"_text": F.array_join(F.transform("_p", lambda x: x["_x"]), ""), "_at": F.get("_p", F.lit(0))["_ms"]})
+    j = runs.join(own, ["track_id", "line"], "right").withColumns({"_text": F.array_join(F.transform("_p", lambda x: x["_x"]), ""), "_at": F.get("_p", F.lit(0))["_ms"]})
     exact = F.when(F.col("_text") == F.col("_o"), F.struct("line", "_at", "start_ms"))
     ends = j.groupBy("track_id").agg(F.min(exact).alias("_a"), F.max(exact).alias("_b"))
     span = F.col("_b._at") - F.col("_a._at")

@@ -99,12 +99,14 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, order: str, to
     """Left rows (key, at, order) with the nearest right row (key, at, order) within the tolerance; of
     equally near ones the earliest in order. Times meet in buckets as wide as the tolerance."""
     width = max(1, tolerance)
-    a = left.withColumn("_b", F.explode(F.array(*[F.floor(F.col(at) / width) + d for d in (-1, 0, 1)])))
+    a = left.withColumn("_nth", F.row_number().over(Window.partitionBy(*left.columns).orderBy(F.lit(0)))).withColumn("_b", F.explode(F.array(*[F.floor(F.col(at) / width) + d for d in (-1, 0, 1)])))
     b = right.select(F.col(key).alias("_k"), F.floor(F.col(at) / width).alias("_c"), *[F.col(c).alias(f"r_{c}") for c in right.columns if c != key])
     near = a.join(b, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")) & (F.abs(F.col(at) - F.col(f"r_{at}")) <= tolerance))
     others = [c for c in right.columns if c != key]
-    best = near.groupBy(*left.columns).agg(F.min_by(F.struct(*[f"r_{c}" for c in others]), F.struct(F.abs(F.col(at) - F.col(f"r_{at}")), F.col(f"r_{order}"))).alias("_m"))
-    return best.select(*left.columns, *[F.col(f"_m.r_{c}").alias(f"r_{c}") for c in others])
+    best = near.groupBy(*left.columns).agg(F.min_by(F.struct(*[f"r_{c}" for c in others]), F.struct(F.abs(F.col(at) - F.col(f"r_{at}")), F.col(f"r_{order}"))).alias("_m"), F.count_distinct("_nth").alias("_times"))
+    # rows that repeat are each returned
+    every = best.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return every.select(*left.columns, *[F.col(f"_m.r_{c}").alias(f"r_{c}") for c in others])
 
 
 def matching_segments(cues: DataFrame, segments: DataFrame, margin: float = 0.05) -> DataFrame:
@@ -170,32 +172,48 @@ def import_timings(matches: DataFrame, cues: DataFrame, spans: DataFrame) -> Dat
 
 
 def propagate_timing(samples: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Deltas of a representative occurrence (group_id, offset, text, start_delta, end_delta, duration)
-    carried to the same place of others (group_id, occurrence, offset, text, start, end, duration, risks), scaled
-    by their length; reasons say why an edge must not be moved."""
-    s = samples.select("group_id", "offset", F.col("text").alias("_t"), "start_delta", "end_delta", F.col("duration").alias("_d"))
+    """Deltas of a representative occurrence (group_id, offset, text, risks, start_delta, end_delta, duration; null
+    deltas where nothing was imported) carried to the same place of others (group_id, occurrence, offset, text, start,
+    end, duration, risks and mapping, the faults of the occurrence's rhythm), scaled by their length. start_reasons
+    and end_reasons tell why an edge must not be moved; eligible: neither has one."""
+    s = samples.select("group_id", "offset", F.col("text").alias("_t"), F.col("risks").alias("_risks"), "start_delta", "end_delta", F.col("duration").alias("_d"))
     j = occurrences.join(s, ["group_id", "offset"], "left")
-    scale = F.col("duration") / F.col("_d")
-    moved = j.withColumns({"new_start": F.col("start") + F.col("start_delta") * scale, "new_end": F.col("end") + F.col("end_delta") * scale})
-    why = F.array_compact(F.array(
-        F.when(F.col("_d").isNull(), "mapping_missing"),
-        F.when(F.col("text") != F.col("_t"), "text_mismatch"),
-        F.when(F.size("risks") > 0, "risk"),
-        F.when(F.greatest(F.abs(F.col("new_start") - F.col("start")), F.abs(F.col("new_end") - F.col("end"))) > 0.75, "large_change"),
-    ))
-    return moved.withColumn("reasons", why).select("group_id", "occurrence", "offset", "new_start", "new_end", "reasons", (F.size("reasons") == 0).alias("eligible"))
+    known = F.col("start_delta").isNotNull() & F.col("end_delta").isNotNull()
+    scale = F.coalesce(F.col("duration") / F.col("_d"), F.lit(1.0))
+    empty = F.array().cast("array<string>")
+    shared = F.concat(
+        F.coalesce("mapping", empty),
+        F.when(~F.col("text").eqNullSafe(F.col("_t")), F.array(F.lit("text_mismatch"))).otherwise(empty),
+        F.coalesce("_risks", empty), F.coalesce("risks", empty),
+        F.when(~known, F.array(F.lit("representative_boundary_not_imported"))).otherwise(empty),
+    )
+    out = j.withColumn("_shared", shared)
+    for edge in ("start", "end"):
+        moved = F.when(known, F.col(f"{edge}_delta") * scale).otherwise(0.0)
+        out = out.withColumn(f"new_{edge}", F.col(edge) + moved)
+        far = F.when(F.abs(F.col(f"new_{edge}") - F.col(edge)) > 0.75, F.array(F.lit(f"{edge}_adjustment_exceeds_0_75_seconds"))).otherwise(empty)
+        out = out.withColumn(f"{edge}_reasons", F.array_distinct(F.concat("_shared", far)))
+    return out.select("group_id", "occurrence", "offset", "new_start", "new_end", "start_reasons", "end_reasons", ((F.size("start_reasons") == 0) & (F.size("end_reasons") == 0)).alias("eligible"))
 
 
 def interpolate(times: DataFrame, anchors: DataFrame, key: str) -> DataFrame:
-    """Times (key, at) carried through anchors (key, x, y) with increasing x; outside them null."""
-    w = Window.partitionBy(key).orderBy("x")
-    legs = anchors.select(F.col(key).alias("_k"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1")).where("x1 IS NOT NULL")
-    last = F.col("x1") == F.max("x1").over(Window.partitionBy("_k"))
-    legs = legs.withColumn("_last", last)
-    inside = (F.col("at") >= F.col("x0")) & ((F.col("at") < F.col("x1")) | (F.col("_last") & (F.col("at") == F.col("x1"))))
-    j = times.join(legs, (F.col(key) == F.col("_k")) & inside, "left")
-    value = F.col("y0") + (F.col("at") - F.col("x0")) / (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return j.withColumn("value", value).drop("_k", "x0", "x1", "y0", "y1", "_last")
+    """Times (key, at) carried through anchors (key, x, y) with increasing x; outside them null.
+
+    Times and anchors stand in one order of their key, where each time looks to the last anchor before it and the
+    first behind it: no pairs are made."""
+    rows = times.withColumns({"_at": F.col("at"), "_p": F.lit(None).cast("struct<x:double,y:double>"), "_own": F.lit(True)})
+    marks = anchors.select(F.col(key), F.col("x").cast("double").alias("_at"), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("_p"), F.lit(False).alias("_own"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    # an anchor at a time's own place stands on both sides of it
+    w = Window.partitionBy(key).orderBy("_at")
+    before = F.last("_p", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first("_p", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    a, b = F.col("_a"), F.col("_b")
+    value = F.when(a["x"] == b["x"], a["y"]).otherwise(a["y"] + (F.col("at") - a["x"]) / (b["x"] - a["x"]) * (b["y"] - a["y"]))
+    # one anchor alone carries nothing
+    many = F.count("_p").over(Window.partitionBy(key)) > 1
+    found = both.withColumns({"_a": before, "_b": after, "_many": many}).where("_own")
+    return found.withColumn("value", F.when(F.col("_many") & a.isNotNull() & b.isNotNull(), value)).select(*times.columns, "value")
 
 
 def structure_transfer(lines: DataFrame, parts: DataFrame, reference_cycle: str) -> DataFrame:

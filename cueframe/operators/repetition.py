@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,50 +39,54 @@ def risk_codes(cues: DataFrame) -> DataFrame:
 
 
 def longest_block(tokens: list[str | None], least: int) -> tuple[int, list[int]] | None:
-    """Length and starts of the best block that stands at least twice without overlap: the longest, then
-    the most often, then the one with the most characters, then the first. Only places whose token comes
-    again can begin one, and a shorter length is tried only if a longer one has failed."""
-    n = len(tokens)
+    """Length and starts of the best block that stands at least twice without overlap: the longest, then the most
+    often, then the one with the most characters, then the first.
+
+    A block of some length holds one of each shorter length, so the longest is found by bisection; each step
+    sorts the places of that length by a hash of their texts."""
     number: dict[str, int] = {}
-    ids = [number.setdefault(t, len(number) + 1) if t else 0 for t in tokens]
-    clear = [0] * (n + 1)  # how far lyrics go on from here
-    for i in range(n - 1, -1, -1):
-        clear[i] = clear[i + 1] + 1 if ids[i] else 0
-    # a prefix hash of the ids, so that a block is one number
-    base, mod = 1_000_003, (1 << 61) - 1
-    run, power = [0], [1]
-    for x in ids:
-        run.append((run[-1] * base + x) % mod)
-        power.append(power[-1] * base % mod)
-    for size in range(n // 2, least - 1, -1):
-        places: dict[int, list[int]] = {}
-        for i in range(n - size + 1):
-            if clear[i] >= size:
-                places.setdefault((run[i + size] - run[i] * power[size]) % mod, []).append(i)
-        best = None
-        for starts in places.values():
-            chosen = []
-            for s in starts:
-                if not chosen or s >= chosen[-1] + size:
-                    chosen.append(s)
-            if len(chosen) > 1:
-                score = (len(chosen), sum(len(tokens[k]) for k in range(chosen[0], chosen[0] + size)))
-                if best is None or score > best[0]:
-                    best = (score, chosen)
-        if best:
-            return size, best[1]
-    return None
+    ids = np.array([number.setdefault(t, len(number) + 1) if t else 0 for t in tokens], np.int64)
+    breaks = np.concatenate([[0], np.cumsum(ids == 0)])
+    # names of blocks of 1, 2, 4, ... lines: equal names, equal texts; a block is named by two that cover it
+    names = [ids]
+    while (w := 1 << len(names) - 1) * 2 <= len(ids):
+        pairs = np.stack([names[-1][:-w], names[-1][w:]], axis=1)
+        names.append(np.unique(pairs, axis=0, return_inverse=True)[1].reshape(-1))
+
+    def groups(size: int) -> list[np.ndarray]:
+        """The starts of each text of this length that stands twice or more without overlap, from the left."""
+        k = size.bit_length() - 1
+        whole = np.flatnonzero(breaks[size:] == breaks[:-size])
+        both = np.stack([names[k][whole], names[k][whole + size - (1 << k)]], axis=1)
+        of = np.unique(both, axis=0, return_inverse=True)[1].reshape(-1)
+        order = np.argsort(of, kind="stable")
+        out = []
+        for starts in np.split(whole[order], np.flatnonzero(np.diff(of[order])) + 1):
+            if len(starts) > 1 and starts[-1] - starts[0] >= size:
+                apart = [int(starts[0])]
+                while (n := np.searchsorted(starts, apart[-1] + size)) < len(starts):
+                    apart.append(int(starts[n]))
+                out.append(np.array(apart))
+        return out
+
+    low, high = least - 1, len(ids) // 2  # a block of `low` lines is known (or nothing), none above `high`
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if groups(middle) else (low, middle - 1)
+    if low < least:
+        return None
+    best = max(groups(low), key=lambda g: (len(g), sum(len(t) for t in tokens[g[0] : g[0] + low]), -g[0]))
+    return low, best.tolist()
 
 
 def repetition_groups(cues: DataFrame, policy: RepetitionPolicy = RepetitionPolicy(), known: DataFrame | None = None) -> DataFrame:
     """Occurrences (section_id, occurrence, first, last) of each section's longest repeated block of lyric
-    texts. cues: section_id, pos, role, source_text, canonical_source_text. known (section_id, token): texts that
-    may be part of a block; others break it, as speech does."""
+    texts. cues: section_id, pos, role, source_text, canonical_source_text. known (section_id, line, text): the lyric;
+    only texts that are one or more of its lines in a row may be part of a block, others break it, as speech does."""
     token = F.when(F.coalesce("role", F.lit("lyric")) == "lyric", F.nullif(T.norm_match(F.coalesce("canonical_source_text", "source_text", F.lit(""))), F.lit("")))
     flat = cues.select("section_id", "pos", token.alias("token"))
     if known is not None:
-        seen = known.select("section_id", "token", F.lit(True).alias("_k")).distinct()
-        flat = flat.join(seen, ["section_id", "token"], "left").withColumn("token", F.when(F.col("_k"), F.col("token"))).drop("_k")
+        flat = _of_known_lines(flat, known)
     # a text that comes once can only break blocks: sections without a repeated text need no search
     twice = flat.where("token IS NOT NULL").groupBy("section_id", "token").agg(F.count("*").alias("n")).where("n > 1").select("section_id").distinct()
     kind = cues.schema["section_id"].dataType.simpleString()
@@ -96,6 +101,22 @@ def repetition_groups(cues: DataFrame, policy: RepetitionPolicy = RepetitionPoli
     return flat.join(twice, "section_id", "left_semi").groupBy("section_id").applyInPandas(search, f"section_id {kind}, occurrence int, first bigint, last bigint")
 
 
+def _of_known_lines(flat: DataFrame, known: DataFrame) -> DataFrame:
+    """flat with null for tokens that are no run of lines of their section's lyric. Only runs as long as some
+    token of the section are built, so a section's runs do not grow with the square of its lines."""
+    t = T.norm_match(F.coalesce("text", F.lit("")))
+    lyric = known.select("section_id", "line", t.alias("t")).where("t <> ''").groupBy("section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]).alias("lines"))
+    tokens = flat.where("token IS NOT NULL").select("section_id", "token").distinct()
+    j = tokens.join(lyric, "section_id")
+    # lines end at running lengths; a token is a run if it stands in the joined text from one line's start to one's end
+    joined = F.array_join("lines", "")
+    ends = F.aggregate("lines", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    j = j.withColumns({"_all": joined, "_ends": ends})
+    hit = F.exists("_ends", lambda e: (F.substring(F.col("_all"), e + 1, F.length("token")) == F.col("token")) & F.array_contains("_ends", e + F.length("token")))
+    seen = j.where(hit).select("section_id", "token", F.lit(True).alias("_k"))
+    return flat.join(seen, ["section_id", "token"], "left").withColumn("token", F.when(F.col("_k"), F.col("token"))).drop("_k")
+
+
 def occurrence_stats(cues: DataFrame, occurrences: DataFrame, policy: RepetitionPolicy = RepetitionPolicy()) -> DataFrame:
     """A10: times and risks of each occurrence, and the group's median duration, drift and stability."""
     j = risk_codes(cues).join(occurrences.withColumnRenamed("section_id", "_s"), (F.col("section_id") == F.col("_s")) & F.col("pos").between(F.col("first"), F.col("last")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.numbers import round3
 
 GAP_TOLERANCE = 0.5
@@ -140,29 +141,66 @@ def review_windows(sections: DataFrame) -> DataFrame:
     return out.where(F.col("end") - F.col("start") >= 0.2)
 
 
-def duration_bounds(sections: DataFrame, width: int = 1200) -> DataFrame:
-    """Pixel edges of each section in a bar: weights are durations (MC three times, at most 1.2 of the
-    songs' median), gaps 4 pixels up to 30 sections and 2 beyond."""
+def _weighed(sections: DataFrame) -> DataFrame:
+    """Sections with the bar's weight of each, the running and the total weight, number and place."""
     w = Window.partitionBy("concert_id").orderBy("start", "section_id")
     whole = Window.partitionBy("concert_id")
     seconds = F.col("end") - F.col("start")
     songs = sections.where("type = 'song'").groupBy("concert_id").agg(F.percentile(seconds, F.lit(0.5)).alias("median"))
     weight = F.when(F.col("type") == "mc", F.least(seconds * 3.0, F.coalesce(F.col("median") * 1.2, seconds * 3.0))).otherwise(seconds)
-    out = sections.join(songs, "concert_id", "left").withColumn("weight", weight).withColumns({"n": F.count("*").over(whole), "total": F.sum("weight").over(whole), "i": F.row_number().over(w) - 1, "run": F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    gap = F.when(F.col("n") <= 30, 4).otherwise(2)
-    room = F.lit(width) - gap * (F.col("n") - 1)
-    edge = lambda x: F.floor(room * x / F.col("total") + 0.5)
-    return out.select("concert_id", "section_id", (edge(F.col("run") - F.col("weight")) + gap * F.col("i")).cast("long").alias("x0"), (edge(F.col("run")) + gap * F.col("i")).cast("long").alias("x1"))
+    return sections.join(songs, "concert_id", "left").withColumn("weight", weight).withColumns({"n": F.count("*").over(whole), "total": F.sum("weight").over(whole), "i": F.row_number().over(w) - 1, "run": F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))}).withColumn("gap", F.when(F.col("n") <= 30, 4).otherwise(2))
+
+
+def _cell(room: Column, share: Column) -> Column:
+    """The pixel at which a share of the room ends, rounded to even."""
+    return F.rint(room * share).cast("long")
+
+
+def duration_bounds(sections: DataFrame, width: int = 1200) -> DataFrame:
+    """Pixel edges of each section in a bar: weights are durations (MC three times, at most 1.2 of the
+    songs' median), gaps 4 pixels up to 30 sections and 2 beyond."""
+    room = F.lit(width) - F.col("gap") * (F.col("n") - 1)
+    edge = lambda x: _cell(room, x / F.col("total")) + F.col("gap") * F.col("i")
+    return _weighed(sections).select("concert_id", "section_id", edge(F.col("run") - F.col("weight")).alias("x0"), edge(F.col("run")).alias("x1"))
 
 
 def progress_rows(sections: DataFrame, width: int = 1200, most: int = 80) -> DataFrame:
-    """For each active section, the cells of all sections of its concert. Concerts with more sections
-    than fit a bar have none."""
-    small = sections.withColumn("_n", F.count("*").over(Window.partitionBy("concert_id"))).where(F.col("_n") <= most).drop("_n")
-    cells = duration_bounds(small, width)
-    active = small.select("concert_id", F.col("section_id").alias("active_id"), F.col("start").alias("active_from"), F.col("end").alias("active_to"))
-    state = F.when(F.col("section_id") == F.col("active_id"), "active").otherwise("idle")
-    return active.join(cells, "concert_id").withColumn("state", state)
+    """What the bar of each concert shows while each of its sections (active_id) runs: concert_id, active_id,
+    active_from, active_to, layer, section_id, x0, x1, state, scale.
+
+    Layer 10 has a cell for each section (played, active or unplayed), 11 the fill of the active one, 12 its label
+    with its width in percent. sections: concert_id, section_id, type, start, end, label. The active cell grows to
+    hold its label; the others then keep one pixel and share the rest by weight. A concert with more sections than a
+    bar may have gives one row, with the state too_many_sections."""
+    cells = _weighed(sections)
+    fits = cells.where(F.col("n") <= most)
+    a = fits.select("concert_id", F.col("section_id").alias("active_id"), F.col("start").alias("active_from"), F.col("end").alias("active_to"), F.col("i").alias("_i"), F.col("weight").alias("_w"), F.col("run").alias("_run"), T.label_width("label").cast("long").alias("_asked"))
+    j = a.join(fits.select("concert_id", "section_id", "i", "n", "gap", "weight", "run", "total"), "concert_id")
+    room = F.lit(width) - F.col("gap") * (F.col("n") - 1)
+    own = _cell(room, F.col("_run") / F.col("total")) - _cell(room, (F.col("_run") - F.col("_w")) / F.col("total"))
+    current = F.least(F.greatest("_asked", own), room - (F.col("n") - 1))
+    j = j.withColumns({"_room": room, "_own": own}).withColumn("_current", current)
+    # before the place: the weight and the number of the other cells
+    behind = F.col("i") > F.col("_i")
+    others = F.col("run") - F.col("weight") - F.when(behind, F.col("_w")).otherwise(0.0)
+    left = F.col("_room") - F.col("_current") - (F.col("n") - 1)
+    share = lambda x: _cell(left, x / F.nullif(F.col("total") - F.col("_w"), F.lit(0.0)))
+    start = F.coalesce(share(others), F.lit(0)) + F.col("i") - behind.cast("int") + F.when(behind, F.col("_current")).otherwise(0)
+    size = F.when(F.col("i") == F.col("_i"), F.col("_current")).otherwise(1 + share(others + F.col("weight")) - share(others))
+    plain = lambda x: _cell(F.col("_room"), x / F.col("total"))
+    grown = F.col("_current") > F.col("_own")
+    x0 = F.when(grown, start).otherwise(plain(F.col("run") - F.col("weight"))) + F.col("gap") * F.col("i")
+    x1 = F.when(grown, start + size).otherwise(plain(F.col("run"))) + F.col("gap") * F.col("i")
+    state = F.when(F.col("i") == F.col("_i"), "active").when(F.col("i") < F.col("_i"), "played").otherwise("unplayed")
+    keys = ["concert_id", "active_id", "active_from", "active_to"]
+    drawn = j.select(*keys, F.lit(10).alias("layer"), "section_id", x0.cast("long").alias("x0"), x1.cast("long").alias("x1"), state.alias("state"), "_asked")
+    shown = drawn.where("state = 'active'")
+    scale = F.least(F.lit(100.0), F.greatest(F.lit(1), F.col("x1") - F.col("x0") - 16) / F.greatest(F.lit(1), F.col("_asked") - 16) * 100)
+    fill = shown.withColumns({"layer": F.lit(11), "state": F.lit("fill")})
+    label = shown.withColumns({"scale": scale, "layer": F.lit(12), "state": F.lit("label"), "x0": F.col("x0") + 8})
+    crowded = cells.where(F.col("n") > most).select("concert_id").distinct().withColumns({"layer": F.lit(10), "state": F.lit("too_many_sections")})
+    out = drawn.unionByName(fill).unionByName(label, allowMissingColumns=True).unionByName(crowded, allowMissingColumns=True)
+    return out.select(*keys, "layer", "section_id", "x0", "x1", "state", "scale")
 
 
 def section_errors(sections: DataFrame, concerts: DataFrame) -> DataFrame:

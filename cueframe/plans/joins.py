@@ -164,23 +164,31 @@ def j16_import_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repeats(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Cues of orders in blocks of four: the first block is the sample, the rest are occurrences."""
+    """Cues of orders in blocks of four: the first block is the sample, the rest are occurrences. The times of a sample's
+    last cue were not imported where the order's number divides by five; by seven, the rhythm does not fit."""
     c = cues(spark, sf_dir)
     b = c.select(F.col("section_id").alias("group_id"), F.floor(F.col("pos") / 4).cast("int").alias("occurrence"), (F.col("pos") % 4).alias("offset"), F.col("role").alias("text"), "start", "end")
     d = F.count("*").over(Window.partitionBy("group_id", "occurrence")) * 1.0
-    b = b.withColumn("duration", d)
-    s = b.where("occurrence = 0").select("group_id", "offset", "text", ((F.col("start") % 1.0) * 0.5).alias("start_delta"), F.lit(0.1).alias("end_delta"), "duration")
-    risks = F.when(F.col("text") == "speech", F.array(F.lit("speech"))).otherwise(F.array().cast("array<string>"))
-    return s, b.where("occurrence > 0").withColumn("risks", risks)
-
-
-@query(f"""WITH {CUES}, b AS (SELECT section_id AS group_id, CAST(floor(pos / 4) AS INTEGER) AS occurrence, pos % 4 AS "offset", role AS text, start, "end" FROM cues), d AS (SELECT *, count(*) OVER (PARTITION BY group_id, occurrence) * CAST(1.0 AS DOUBLE) AS duration FROM b),
-m AS (SELECT o.group_id, o.occurrence, o."offset", o.text, o.start, o."end", s.text AS t, o.start + (s.start % 1.0) * CAST(0.5 AS DOUBLE) * (o.duration / s.duration) AS new_start, o."end" + CAST(0.1 AS DOUBLE) * (o.duration / s.duration) AS new_end
+    none = F.array().cast("array<string>")
+    b = b.withColumn("duration", d).withColumn("risks", F.when(F.col("text") == "speech", F.array(F.lit("speech"))).when(F.col("text") == "lyric_adlib", F.array(F.lit("lyric_adlib"))).otherwise(none))
+    imported = (F.col("group_id") % 5 != 0) | (F.col("offset") != 3)
+    s = b.where("occurrence = 0").select("group_id", "offset", "text", "risks", F.when(imported, (F.col("start") % 1.0) * 0.5).alias("start_delta"), F.when(imported, F.col("end") % 1.0).alias("end_delta"), "duration")
+    mapping = F.when(F.col("group_id") % 7 == 0, F.array(F.lit("duration_drift_exceeds_limit"))).otherwise(none)
+    return s, b.where("occurrence > 0").withColumn("mapping", mapping)
+
+
+@query(f"""WITH {CUES}, b AS (SELECT section_id AS group_id, CAST(floor(pos / 4) AS INTEGER) AS occurrence, pos % 4 AS "offset", role AS text, start, "end" FROM cues),
+d AS (SELECT *, count(*) OVER (PARTITION BY group_id, occurrence) * CAST(1.0 AS DOUBLE) AS duration, CASE text WHEN 'speech' THEN ['speech'] WHEN 'lyric_adlib' THEN ['lyric_adlib'] ELSE [] END AS risks FROM b),
+m AS (SELECT o.group_id, o.occurrence, o."offset", o.text, o.start, o."end", o.risks, s.text AS t, coalesce(s.risks, []) AS sample_risks, o.duration / s.duration AS scale,
+  CASE WHEN o.group_id % 5 <> 0 OR o."offset" <> 3 THEN (s.start % 1.0) * CAST(0.5 AS DOUBLE) END AS sd, CASE WHEN o.group_id % 5 <> 0 OR o."offset" <> 3 THEN s."end" % 1.0 END AS ed
   FROM d o LEFT JOIN d s ON s.group_id = o.group_id AND s."offset" = o."offset" AND s.occurrence = 0 WHERE o.occurrence > 0),
-r AS (SELECT *, concat_ws(',', CASE WHEN t IS NULL THEN 'mapping_missing' END, CASE WHEN text <> t THEN 'text_mismatch' END, CASE WHEN text = 'speech' THEN 'risk' END, CASE WHEN greatest(abs(new_start - start), abs(new_end - "end")) > 0.75 THEN 'large_change' END) AS reasons FROM m)
-SELECT group_id, occurrence, "offset", new_start, new_end, reasons, reasons = '' AS eligible FROM r""")
+v AS (SELECT *, start + coalesce(sd * scale, 0.0) AS new_start, "end" + coalesce(ed * scale, 0.0) AS new_end,
+  list_concat(list_concat(list_concat(CASE WHEN group_id % 7 = 0 THEN ['duration_drift_exceeds_limit'] ELSE [] END, CASE WHEN text IS DISTINCT FROM t THEN ['text_mismatch'] ELSE [] END), list_concat(sample_risks, list_filter(risks, lambda x: NOT list_contains(sample_risks, x)))), CASE WHEN sd IS NULL THEN ['representative_boundary_not_imported'] ELSE [] END) AS shared FROM m),
+r AS (SELECT *, array_to_string(list_concat(shared, CASE WHEN abs(new_start - start) > 0.75 THEN ['start_adjustment_exceeds_0_75_seconds'] ELSE [] END), ',') AS start_reasons, array_to_string(list_concat(shared, CASE WHEN abs(new_end - "end") > 0.75 THEN ['end_adjustment_exceeds_0_75_seconds'] ELSE [] END), ',') AS end_reasons FROM v)
+SELECT group_id, occurrence, "offset", new_start, new_end, start_reasons, end_reasons, start_reasons = '' AND end_reasons = '' AS eligible FROM r""")
 def j17_propagate_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return j.propagate_timing(*_repeats(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", ","))
+    out = j.propagate_timing(*_repeats(spark, sf_dir))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("start_reasons", "end_reasons")})
 
 
 @query(f"""WITH {SECTIONS}, a AS (SELECT concert_id, start AS x, max("end") AS y FROM sections GROUP BY ALL), l AS (SELECT concert_id, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, max(x) OVER (PARTITION BY concert_id) AS m FROM a WINDOW w AS (PARTITION BY concert_id ORDER BY x)),

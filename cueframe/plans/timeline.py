@@ -143,7 +143,7 @@ _CELLS = """weighed AS (SELECT s.concert_id, section_id, start, "end", CASE WHEN
   FROM {0} s LEFT JOIN (SELECT concert_id, quantile_cont("end" - start, 0.5) AS median FROM {0} WHERE type = 'song' GROUP BY concert_id) m ON m.concert_id = s.concert_id),
 runs AS (SELECT concert_id, section_id, weight, count(*) OVER (PARTITION BY concert_id) AS n, sum(weight) OVER (PARTITION BY concert_id) AS total, row_number() OVER w - 1 AS i, sum(weight) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM weighed WINDOW w AS (PARTITION BY concert_id ORDER BY start, section_id)),
 roomy AS (SELECT *, CASE WHEN n <= 30 THEN 4 ELSE 2 END AS gap FROM runs),
-cells AS (SELECT concert_id, section_id, CAST(floor((1200 - gap * (n - 1)) * (run - weight) / total + 0.5) + gap * i AS BIGINT) AS x0, CAST(floor((1200 - gap * (n - 1)) * run / total + 0.5) + gap * i AS BIGINT) AS x1 FROM roomy)"""
+cells AS (SELECT concert_id, section_id, CAST(round_even((1200 - gap * (n - 1)) * ((run - weight) / total), 0) AS BIGINT) + gap * i AS x0, CAST(round_even((1200 - gap * (n - 1)) * (run / total), 0) AS BIGINT) + gap * i AS x1 FROM roomy)"""
 
 
 @query(f"WITH {SECTIONS}, {_CELLS.format('sections')} SELECT * FROM cells")
@@ -151,10 +151,22 @@ def w14_duration_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.duration_bounds(sections(spark, sf_dir))
 
 
-@query(f"""WITH {SECTIONS}, small AS (SELECT * EXCLUDE (k) FROM (SELECT *, count(*) OVER (PARTITION BY concert_id) AS k FROM sections) WHERE k <= 80), {_CELLS.format('small')}
-SELECT a.concert_id, a.section_id AS active_id, a.start AS active_from, a."end" AS active_to, c.section_id, x0, x1, CASE WHEN c.section_id = a.section_id THEN 'active' ELSE 'idle' END AS state FROM small a JOIN cells c ON a.concert_id = c.concert_id""")
+@query(f"""WITH {SECTIONS}, {_CELLS.format('sections')},
+told AS (SELECT r.*, s.start, s."end", CAST(ceil(length(title) * CAST(0.55 AS DOUBLE) * 24 * CAST(0.8 AS DOUBLE)) AS BIGINT) + 16 AS asked FROM roomy r JOIN sections s USING (concert_id, section_id) WHERE n <= 80),
+pairs AS (SELECT a.concert_id, a.section_id AS active_id, a.start AS active_from, a."end" AS active_to, a.i AS k, a.weight AS w, a.asked, b.section_id, b.i, b.n, b.gap, b.weight, b.run, b.total, 1200 - b.gap * (b.n - 1) AS room,
+  CAST(round_even((1200 - b.gap * (b.n - 1)) * (a.run / b.total), 0) AS BIGINT) - CAST(round_even((1200 - b.gap * (b.n - 1)) * ((a.run - a.weight) / b.total), 0) AS BIGINT) AS own FROM told a JOIN told b ON a.concert_id = b.concert_id),
+wide AS (SELECT *, least(greatest(asked, own), room - (n - 1)) AS cur, run - weight - CASE WHEN i > k THEN w ELSE 0.0 END AS others FROM pairs),
+placed AS (SELECT *, coalesce(CAST(round_even((room - cur - (n - 1)) * (others / nullif(total - w, 0.0)), 0) AS BIGINT), 0) + i - CASE WHEN i > k THEN 1 - cur ELSE 0 END AS a0,
+  CAST(round_even((room - cur - (n - 1)) * ((others + weight) / nullif(total - w, 0.0)), 0) AS BIGINT) - CAST(round_even((room - cur - (n - 1)) * (others / nullif(total - w, 0.0)), 0) AS BIGINT) + 1 AS grow FROM wide),
+drawn AS (SELECT concert_id, active_id, active_from, active_to, section_id, asked, CASE WHEN i = k THEN 'active' WHEN i < k THEN 'played' ELSE 'unplayed' END AS state,
+  CASE WHEN cur > own THEN a0 ELSE CAST(round_even(room * ((run - weight) / total), 0) AS BIGINT) END + gap * i AS x0,
+  CASE WHEN cur > own THEN a0 + CASE WHEN i = k THEN cur ELSE grow END ELSE CAST(round_even(room * (run / total), 0) AS BIGINT) END + gap * i AS x1 FROM placed)
+SELECT concert_id, active_id, active_from, active_to, 10 AS layer, section_id, x0, x1, state, CAST(NULL AS DOUBLE) AS scale FROM drawn
+UNION ALL SELECT concert_id, active_id, active_from, active_to, 11, section_id, x0, x1, 'fill', NULL FROM drawn WHERE state = 'active'
+UNION ALL SELECT concert_id, active_id, active_from, active_to, 12, section_id, x0 + 8, x1, 'label', least(100.0, greatest(1, x1 - x0 - 16) / greatest(1, asked - 16) * 100) FROM drawn WHERE state = 'active'
+UNION ALL SELECT DISTINCT concert_id, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), 10, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), 'too_many_sections', NULL FROM roomy WHERE n > 80""", layer="INTEGER", x0="BIGINT", x1="BIGINT", scale="DOUBLE")
 def u2_progress_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.progress_rows(sections(spark, sf_dir))
+    return t.progress_rows(sections(spark, sf_dir).withColumn("label", F.col("title")))
 
 
 @query(f"""WITH {SECTIONS}, {CONCERTS}, p AS (SELECT s.*, duration, lag("end") OVER (PARTITION BY concert_id ORDER BY start, section_id) AS q, count(*) OVER (PARTITION BY concert_id, section_id) AS k FROM sections s JOIN concerts USING (concert_id))
