@@ -102,22 +102,22 @@ def align_lyrics(official: DataFrame, lyrics: DataFrame) -> DataFrame:
     a partner costs 0.55; a match earns 2.4 times the similarity less 0.35 and 0.8 times the distance of the two
     times, each as a share of its own list's span; an exact one 0.6 more. Runs of several lines must match exactly.
     Pairs below 0.55 are dropped. A track is one recording, so its lines are one group."""
-    a = official.select("track_id", "line", F.col("start_ms").alias("at"), T.norm_lyric(F.coalesce("text", F.lit(""))).alias("t"))
-    b = lyrics.select("track_id", "line", F.col("ms").alias("at"), T.norm_lyric(F.coalesce("text", F.lit(""))).alias("t"))
+    # under names of their own, so that a later join with the same tables cannot mix them up
+    track, line = F.col("track_id").alias("track"), F.col("line").alias("row")
+    a = official.select(track, line, F.col("start_ms").alias("at"), T.norm_lyric(F.coalesce("text", F.lit(""))).alias("t"))
+    b = lyrics.select(track, line, F.col("ms").alias("at"), T.norm_lyric(F.coalesce("text", F.lit(""))).alias("t"))
     kind = official.schema["track_id"].dataType.simpleString()
     names = ["track_id", "line", "first", "last", "similarity", "place"]
 
     def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
-        # by place: the optimizer may pass a column under the name that it has below
-        left, right = left.set_axis(["track_id", "line", "at", "t"], axis=1), right.set_axis(["track_id", "line", "at", "t"], axis=1)
-        left, right = left.sort_values("line"), right.sort_values("line")
-        cue, line = left["line"].tolist(), right["line"].tolist()
+        left, right = left.sort_values("row"), right.sort_values("row")
+        cue, line = left["row"].tolist(), right["row"].tolist()
         pairs = _pairing(left["t"].tolist(), left["at"].tolist(), right["t"].tolist(), right["at"].tolist())
-        return pd.DataFrame([(left["track_id"].iloc[0], cue[i], line[j], line[k], s, d) for i, j, k, s, d in pairs], columns=names)
+        return pd.DataFrame([(left["track"].iloc[0], cue[i], line[j], line[k], s, d) for i, j, k, s, d in pairs], columns=names)
 
-    return a.groupBy("track_id").cogroup(b.groupBy("track_id")).applyInPandas(align, f"track_id {kind}, line bigint, first bigint, last bigint, similarity double, place double")
+    return a.groupBy("track").cogroup(b.groupBy("track")).applyInPandas(align, f"track_id {kind}, line bigint, first bigint, last bigint, similarity double, place double")
 
 
 def reference_translation(pairs: DataFrame, official: DataFrame, lyrics: DataFrame) -> DataFrame:
