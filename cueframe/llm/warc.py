@@ -16,6 +16,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,10 @@ def digest(payload: bytes) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit holds no payload but names its length and digest."""
+    """One WARC/1.1 record, dated when it is written. A revisit holds no payload but names its length and digest."""
     head = {
         "WARC-Type": "response" if refers_to is None else "revisit",
+        "WARC-Date": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),
         "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
         "WARC-Payload-Digest": f"sha1:{sha}",
         "WARC-Payload-Length": str(len(payload)),

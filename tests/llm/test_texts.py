@@ -220,3 +220,15 @@ def test_disclosing_terms_and_redaction(spark):
 def test_redacted(spark, text, want):
     df = spark.createDataFrame([(text,)], "text string")
     assert df.select(pii.redacted(df.text, pii.base_spans(df.text)).alias("t")).first().t == want
+
+
+def test_clashing_names_stay(spark):
+    """Columns named like the operators' own, private or returned, do not break them."""
+    from cueframe.llm import linechunks
+
+    names = ["_text", "_terms", "_row", "_id", "_gone", "c0", "C1", "base", "KEPT", "n_lines"]
+    rows = [(i, t, *range(len(names))) for i, t in enumerate(["mail a@b.c", None, "", "word " * 60, "word " * 60])]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{n} int" for n in names]]))
+    for out in (pii.find(df), quality.judge(df), linechunks.remove_repeats(df, linechunks.RUNS)):
+        assert out.count() == len(rows) and {"_text", "_terms", "_row", "_id", "_gone", "c0", "C1"} <= set(out.columns)
+        assert all((r["_text"], r["_terms"], r["_row"], r["_id"], r["_gone"], r["c0"], r["C1"]) == (0, 1, 2, 3, 4, 5, 6) for r in out.collect())
