@@ -1,10 +1,11 @@
 """URL rules, and a tree of path templates for URLs that no rule fits.
 
 Per host, the path is a way down a tree of segments. Segments that look variable (numbers, identifiers)
-are wildcards from the start; below a parent with many children that are each rare, all become wildcards,
+are wildcards from the start; below a parent with many children, those that are rare become one wildcard,
 and siblings whose labelled share of blocked URLs is statistically alike are merged into one branch (those
 without labels among themselves). A template is blocked if its labelled purity, smoothed towards a prior,
-reaches a limit; without labels it keeps the prior and is allowed. The labels are the verdicts of the rules.
+reaches a limit and enough of its URLs are labelled; otherwise it is allowed. The labels are the verdicts of
+the rules.
 
 Only one aggregate by (host, template) leaves the URLs; the tree is built from it, level by level.
 """
@@ -21,6 +22,8 @@ from .common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WILD = "*"
+#: Tasks that the children of one parent are dealt to where they meet what is known of it.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -45,19 +48,19 @@ RULES = (
 
 @dataclass(frozen=True)
 class TreeRule:
-    """depth: segments that make a template (deeper ones are one wildcard). max_children and rare: a parent
-    with more children than that, holding on average fewer URLs than rare, gets wildcards, and so does one
-    with more than most_children, so that siblings that are compared are few. alike: siblings
-    merge if their blocked shares lie within so many standard errors. prior and strength: the purity without
-    labels, and its weight in labelled URLs. limit: purity that blocks."""
+    """depth: levels of one segment each; what a path has below them is one segment, so no two paths are
+    pooled by their depth. max_children and rare: of a parent with more children than that, those that hold
+    fewer URLs than rare are one wildcard; the others keep their branches. alike: siblings merge if their
+    blocked shares lie within so many standard errors. prior and strength: the purity without labels, and its
+    weight in labelled URLs. limit: purity that blocks, if least_labelled of the template's URLs are labelled."""
 
-    depth: int = 4
+    depth: int = 8
     max_children: int = 8
     rare: float = 20.0
-    most_children: int = 4096
     alike: float = 2.0
     strength: float = 4.0
     limit: float = 0.8
+    least_labelled: float = 0.5
     prior: float = 0.5
 
 
@@ -93,38 +96,54 @@ def _generalised(segment: Column) -> Column:
 def template_of(path: Column, depth: int) -> Column:
     segments = F.split(path, "/")
     head = F.transform(F.slice(segments, 2, depth), _generalised)
-    return F.concat(head, F.when(F.size(segments) > depth + 1, F.array(F.lit("**"))).otherwise(F.array().cast("array<string>")))
+    rest = F.transform(F.slice(segments, depth + 2, F.size(segments)), _generalised)
+    return F.concat(head, F.when(F.size(rest) > 0, F.array(F.array_join(rest, "/"))).otherwise(F.array().cast("array<string>")))
+
+
+def _meet(many: DataFrame, few: DataFrame, on: list[str]) -> DataFrame:
+    """many with the columns of few, which has one row for each of its keys. A key's rows of many are dealt to
+    SALTS tasks by their segment."""
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("_salt", F.pmod(F.hash("_seg"), F.lit(SALTS))).join(salted, [*on, "_salt"], "left").drop("_salt")
+
+
+def _branches(children: DataFrame, at: list[str], rule: TreeRule) -> DataFrame:
+    """The names of the branches (_name) that the children (at, _seg, n, labelled, blocked) go on with."""
+    crowded = children.groupBy(*at).agg(F.count("*").alias("_count")).where(F.col("_count") > rule.max_children)
+    marked = _meet(children, crowded, at).withColumn("_rare", F.col("_count").isNotNull() & (F.col("n") < rule.rare))
+    # children with the same counts have the same share, so branches are found among their distinct counts
+    kinds = marked.where("NOT _rare AND labelled > 0").groupBy(*at, "labelled", "blocked").agg(F.count("*").alias("_many"))
+    share = (F.col("blocked") + rule.prior) / (F.col("labelled") + 2 * rule.prior)
+    kinds = kinds.withColumn("_share", share).withColumn("_error", F.sqrt(F.col("_share") * (1 - F.col("_share")) / (F.col("labelled") + 2 * rule.prior)))
+    beside = Window.partitionBy(*at).orderBy("_share", "labelled")
+    apart = (F.col("_share") - F.lag("_share").over(beside)) > rule.alike * F.sqrt(F.col("_error") ** 2 + F.lag("_error").over(beside) ** 2)
+    kinds = kinds.withColumn("_apart", F.when(apart, 1).otherwise(0)).withColumn("_branch", F.sum("_apart").over(beside.rowsBetween(Window.unboundedPreceding, 0)))
+    alone = F.sum("_many").over(Window.partitionBy(*at, "_branch")) == 1
+    kinds = kinds.withColumn("_joint", F.when(~alone, F.format_string("{%d}", "_branch"))).select(*at, "labelled", "blocked", "_joint")
+    silent = marked.where("NOT _rare AND labelled = 0").groupBy(*at).agg(F.when(F.count("*") > 1, "{?}").alias("_silent"))
+    named = _meet(_meet(marked, kinds, [*at, "labelled", "blocked"]), silent, at)
+    name = F.when(F.col("_rare"), WILD).when(F.col("labelled") > 0, F.coalesce("_joint", "_seg")).otherwise(F.coalesce("_silent", "_seg"))
+    return named.select(*at, "_seg", name.alias("_name"))
 
 
 def learn(templates: DataFrame, rule: TreeRule) -> DataFrame:
     """Verdicts of templates (host, t array<string>, n, labelled, blocked): adds template (merged, as
     text), purity and method_verdict."""
     nodes = stored(templates.withColumn("_node", F.lit("")), "templates")
-    for level in range(rule.depth + 1):
+    levels = nodes.agg(F.max(F.size("t"))).first()[0] or 0
+    for level in range(levels):
         # children of each node of this level, with their counts; a node is (host, merged way down)
         at = ["host", "_node"]
         nodes = nodes.withColumn("_seg", F.get("t", F.lit(level)))
-        share = (F.col("blocked") + rule.prior) / (F.col("labelled") + 2 * rule.prior)
-        error = F.sqrt(share * (1 - share) / (F.col("labelled") + 2 * rule.prior))
         children = nodes.where("_seg IS NOT NULL").groupBy(*at, "_seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-        children = children.withColumns({"_share": share, "_error": error, "_known": F.col("labelled") > 0})
-        sizes = children.groupBy(*at).agg(F.count("*").alias("_count"), F.sum("n").alias("_total"))
-        many = (F.col("_count") > rule.max_children) & ((F.col("_total") < rule.rare * F.col("_count")) | (F.col("_count") > rule.most_children))
-        wild = sizes.where(many).select(*at, F.lit(True).alias("_wild"))
-        few = children.join(wild.drop("_wild"), at, "left_anti")
-        # siblings side by side by their share; a new branch begins where the shares differ
-        beside = Window.partitionBy(*at, "_known").orderBy("_share", "_seg")
-        apart = (F.col("_share") - F.lag("_share").over(beside)) > rule.alike * F.sqrt(F.col("_error") ** 2 + F.lag("_error").over(beside) ** 2)
-        branches = few.withColumn("_apart", F.when(apart, 1).otherwise(0)).withColumn("_branch", F.sum("_apart").over(beside.rowsBetween(Window.unboundedPreceding, 0)))
-        alone = F.count("*").over(Window.partitionBy(*at, "_known", "_branch"))
-        names = branches.select(*at, "_seg", F.when(alone > 1, F.format_string("{%s%d}", F.when(F.col("_known"), "").otherwise("?"), "_branch")).otherwise(F.col("_seg")).alias("_name"))
-        nodes = nodes.join(names, [*at, "_seg"], "left").join(wild, at, "left")
-        name = F.when(F.col("_wild") & F.col("_seg").isNotNull(), F.lit(WILD)).otherwise(F.col("_name"))
-        nodes = stored(nodes.withColumn("_node", F.concat("_node", F.coalesce(F.concat(F.lit("/"), name), F.lit("")))).drop("_name", "_wild", "_seg"), "templates")
+        names = _branches(stored(children, "children"), at, rule)
+        way = F.concat("_node", F.coalesce(F.concat(F.lit("/"), "_name"), F.lit("")))
+        nodes = stored(nodes.join(names, [*at, "_seg"], "left").withColumn("_node", way).drop("_name", "_seg"), "templates")
     purity = (F.sum("blocked") + rule.strength * rule.prior) / (F.sum("labelled") + rule.strength)
-    scored = nodes.groupBy("host", "_node").agg(purity.alias("purity"))
+    scored = nodes.groupBy("host", "_node").agg(purity.alias("purity"), (F.sum("labelled") / F.sum("n")).alias("_known"))
     out = nodes.join(scored, ["host", "_node"])
-    return out.select("host", "t", F.col("_node").alias("template"), "purity", F.when(F.col("purity") >= rule.limit, "block").otherwise("allow").alias("method_verdict"))
+    bad = (F.col("purity") >= rule.limit) & (F.col("_known") >= rule.least_labelled)
+    return out.select("host", "t", F.col("_node").alias("template"), "purity", F.when(bad, "block").otherwise("allow").alias("method_verdict"))
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, tree: TreeRule = TreeRule()) -> DataFrame:
@@ -132,7 +151,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, tree: TreeRule = Tree
 
     A null url and one without :// have empty host and path and no rule; they share one template. A rule
     fits its host and all subdomains if the path begins with its path, and the longest wins. Repeated
-    rows are labelled and judged each. Other columns are not read.
+    rows are labelled and judged each. Other columns, whatever their names, are not read; an empty table has no
+    rows.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path"))

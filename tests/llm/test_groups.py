@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cueframe.llm import graph, itq, linechunks, minhash, sharding, urls, warc
 from cueframe.llm.common import mix, span_hashes
@@ -265,7 +266,7 @@ def plain_rule(url):
 def test_url_rules(spark):
     given = [None, "", "no scheme", "http://", "http://A.COM", "http://a.com/", "https://Example.COM/en/x?y#z", "http://www.example.com/en/", "http://m.www.example.com/en/1", "http://example.comx/en/", "http://x.net/es/1", "http://x.net/ES/1", "http://x.org/fr/", "a://b://c.com/d", "http://É.com/\n/x", "http://x.net?/es/", "http://x.net#/es/"]
     df = spark.createDataFrame([(i, u, "p") for i, u in enumerate([*given, given[5]])], "page_id long, url string, path string")
-    got = {x.page_id: x for x in urls.judge(df.drop("path")).collect()}
+    got = {x.page_id: x for x in urls.judge(df.withColumns({c: F.lit("z") for c in ("host", "verdict", "t", "_node", "template")})).collect()}
     assert len(got) == len(given) + 1
     for i, u in enumerate([*given, given[5]]):
         host, path, rule, verdict = plain_rule(u)
@@ -286,6 +287,72 @@ def test_template_tree(spark):
     assert got["w", "s0"].method_verdict == "block"
 
 
+def plain_tree(rows, rule):
+    """Verdict by (host, template) of the tree, built by recursion over one parent's templates at a time."""
+    out = {}
+
+    def go(host, group, level, way):
+        ended = [r for r in group if len(r[1]) == level]
+        if ended:
+            n, known, bad = (sum(r[k] for r in ended) for k in (2, 3, 4))
+            purity = (bad + rule.strength * rule.prior) / (known + rule.strength)
+            out.update({(host, tuple(r[1])): (way, "block" if purity >= rule.limit and known >= rule.least_labelled * n else "allow") for r in ended})
+        children = {}
+        for r in group:
+            if len(r[1]) > level:
+                children.setdefault(r[1][level], []).append(r)
+        count = {seg: tuple(sum(r[k] for r in rs) for k in (2, 3, 4)) for seg, rs in children.items()}
+        name = {seg: "*" for seg in count if len(count) > rule.max_children and count[seg][0] < rule.rare}
+        silent = [seg for seg in count if seg not in name and count[seg][1] == 0]
+        name |= {seg: "{?}" if len(silent) > 1 else seg for seg in silent}
+        share = lambda seg: (count[seg][2] + rule.prior) / (count[seg][1] + 2 * rule.prior)
+        error2 = lambda seg: share(seg) * (1 - share(seg)) / (count[seg][1] + 2 * rule.prior)
+        branches = []
+        for seg in sorted((x for x in count if x not in name), key=lambda x: (share(x), count[x][1])):
+            if branches and share(seg) - share(branches[-1][-1]) <= rule.alike * (error2(seg) + error2(branches[-1][-1])) ** 0.5:
+                branches[-1].append(seg)
+            else:
+                branches.append([seg])
+        name |= {seg: seg if len(b) == 1 else "{%d}" % k for k, b in enumerate(branches) for seg in b}
+        for to in set(name.values()):
+            go(host, [r for seg, rs in children.items() if name[seg] == to for r in rs], level + 1, way + "/" + to)
+
+    for h in {r[0] for r in rows}:
+        go(h, [r for r in rows if r[0] == h], 0, "")
+    return out
+
+
+def test_tree_against_recursion(spark):
+    r = random.Random(9)
+    seen = {}
+    for _ in range(1500):
+        t = tuple(f"s{int(r.paretovariate(0.7)) % 40}" for _ in range(r.randrange(5)))
+        n = r.randrange(1, 40)
+        known = r.choice([0, 0, n, r.randrange(n + 1)])
+        seen[r.choice("hk"), t] = (n, known, r.choice([0, known, r.randrange(known + 1)]))
+    rows = [(h, list(t), *c) for (h, t), c in seen.items()]
+    rule = urls.TreeRule()
+    df = spark.createDataFrame(rows, "host string, t array<string>, n long, labelled long, blocked long")
+    got = {(x.host, tuple(x.t)): (x.template, x.method_verdict) for x in urls.learn(df, rule).collect()}
+    want = plain_tree(rows, rule)
+    assert got == want and {v for _, v in want.values()} == {"allow", "block"}
+
+
+def test_deep_paths_stay_apart(spark):
+    same = "/a" * 12
+    rows = [(i, f"http://h.net{same}/{'x' if i % 2 else 'y'}/{i}") for i in range(8)]
+    got = [x.template for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).orderBy("page_id").collect()]
+    assert len(set(got)) == 1  # two siblings without labels: one branch
+    t = spark.range(1).select(urls.template_of(F.lit(same + "/x/7"), 8).alias("t"), urls.template_of(F.lit(same + "/y/7"), 8).alias("u")).first()
+    assert t.t[-1] == "a/a/a/a/x/*" and t.u[-1] == "a/a/a/a/y/*"
+
+
+def test_unlabelled_paths_do_not_inherit_from_few_labels(spark):
+    rows = [(i, f"http://h.net/{'es' if i < 6 else 'p' + chr(97 + i % 26)}/{i}") for i in range(100)]
+    got = {x.page_id: x.verdict for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(got[i] == ("block" if i < 6 else "allow") for i in got)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
