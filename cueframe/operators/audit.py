@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,16 +62,40 @@ def delivery_ready(checks: DataFrame, required: list[str]) -> DataFrame:
     return every.select("track_id", "version", (F.size(missing) == 0).alias("ready"), F.array_join(missing, ",").alias("missing"))
 
 
+def common_run(a: list[str | None], b: list[str | None]) -> int:
+    """Length of the longest contiguous run that two lists share; nulls equal nothing. A run of a length implies one of each
+    shorter length, so the length is found by bisection; runs are numbered by doubling, whatever their length."""
+    both = [*a, *b]
+    number = {x: i for i, x in enumerate(dict.fromkeys(both))}
+    ranks = [np.array([len(both) + i if x is None else number[x] for i, x in enumerate(both)], dtype=np.int64)]
+
+    def shared(n: int) -> bool:
+        k = n.bit_length() - 1
+        for level in range(len(ranks), k + 1):
+            r, w = ranks[-1], 1 << (level - 1)
+            ranks.append(np.unique(r[:-w] * (2 * len(both)) + r[w:], return_inverse=True)[1].astype(np.int64))
+        r = ranks[k]
+        runs = r[: len(both) - n + 1] * (2 * len(both)) + r[n - (1 << k) : n - (1 << k) + len(both) - n + 1]
+        return bool(np.isin(runs[: len(a) - n + 1], runs[len(a) :]).any())
+
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if shared(mid) else (low, mid - 1)
+    return low
+
+
 def longest_common_run(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Length of the longest contiguous run that the arrays (key, items) of both sides share."""
-    from pyspark.sql import Window
+    """Length of the longest contiguous run that the arrays (key, items) of both sides share, 0 for none; keys of both
+    sides, one row each."""
+    both = left.select(key, F.col("items").alias("_a")).join(right.select(key, F.col("items").alias("_b")), key)
+
+    def measure(batches):
+        for p in batches:
+            runs = [0 if a is None or b is None else common_run(list(a), list(b)) for a, b in zip(p["_a"], p["_b"], strict=True)]
+            yield pd.DataFrame({key: p[key], "run": runs})
 
-    a = left.select(key, F.posexplode("items").alias("i", "x"))
-    b = right.select(key, F.posexplode("items").alias("j", "x"))
-    hit = a.join(b, [key, "x"]).withColumn("d", F.col("i") - F.col("j"))
-    island = F.col("i") - F.row_number().over(Window.partitionBy(key, "d").orderBy("i"))
-    runs = hit.withColumn("r", island).groupBy(key, "d", "r").agg(F.count("*").alias("n"))
-    return runs.groupBy(key).agg(F.max("n").alias("run"))
+    return both.mapInPandas(measure, f"`{key}` {left.schema[key].dataType.simpleString()}, run bigint")
 
 
 def language_track(tracks: DataFrame, language: str) -> DataFrame:

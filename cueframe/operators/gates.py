@@ -312,12 +312,17 @@ def mc_assessment_failures(packages: DataFrame, assessments: DataFrame, version:
     return _flags(j, checks, ["section_id"])
 
 
+def events_digest(merged: DataFrame) -> DataFrame:
+    """concert_id, number and SHA-256 of its merged cues (concert_id, section_id, pos, start, end, text), in order."""
+    cue = F.struct("section_id", "pos", "start", "end", "text")
+    return merged.groupBy("concert_id").agg(F.count("*").alias("n"), F.sha2(F.to_json(F.array_sort(F.collect_list(cue))), 256).alias("hash"))
+
+
 def output_checks(concerts: DataFrame, coverage: DataFrame, merged: DataFrame, reports: DataFrame, documents: DataFrame) -> DataFrame:
     """Faults of what was written for a concert. concerts (concert_id, manifest_hash), coverage (concert_id, seen_hash,
     ready), merged cues (concert_id, section_id, pos, start, end, text), reports (concert_id, event_count, events_hash, result),
     documents (concert_id, text)."""
-    cue = F.struct("section_id", "pos", "start", "end", "text")
-    own = merged.groupBy("concert_id").agg(F.count("*").alias("n"), F.sha2(F.to_json(F.array_sort(F.collect_list(cue))), 256).alias("hash"))
+    own = events_digest(merged)
     lines = F.filter(F.split("text", "\r?\n"), lambda x: x.startswith("Dialogue:"))
     bare = F.filter(lines, lambda x: (F.size(F.split(x, ",", 10)) < 10) | (F.trim(F.get(F.split(x, ",", 10), F.lit(9))) == ""))
     docs = documents.select("concert_id", F.size(lines).alias("_lines"), F.size(bare).alias("_bare"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Places of cues that a range of places is looked up by.
+PLACES = 64
+
 
 @dataclass(frozen=True)
 class RepetitionPolicy:
@@ -133,57 +138,95 @@ def structure_boundary(cues: DataFrame, anchors: DataFrame, policy: RepetitionPo
     w = Window.partitionBy("section_id").orderBy("pos")
     lyric = F.coalesce("role", F.lit("lyric")) == "lyric"
     c = cues.withColumn("_l", lyric).withColumn("_start", F.coalesce(~F.lag("_l").over(w) | (F.col("start") - F.lag("end").over(w) >= policy.structure_gap_seconds), F.lit(True)))
-    j = anchors.join(c.select("section_id", "pos", "start", "_start"), "section_id").where(F.col("pos") <= F.col("anchor"))
-    edge = j.groupBy("section_id", "anchor", "last").agg(F.max(F.when(F.col("_start"), F.col("pos"))).alias("_a"))
-    earlier = anchors.select("section_id", (F.col("last") + 1).alias("_end"))
-    edge = edge.join(earlier, "section_id", "left").groupBy("section_id", "anchor", "last", "_a").agg(F.max(F.when(F.col("_end") <= F.col("anchor"), F.col("_end"))).alias("_b"))
-    edge = edge.withColumn("_from", F.greatest(F.coalesce("_a", F.lit(0)), F.coalesce("_b", F.lit(0))))
+    # what an anchor is told by the cues and the earlier occurrences up to it: the greatest place where a sample may begin
+    event = lambda d, pos, begin, anchor, last: d.select("section_id", F.col(pos).cast("long").alias("pos"), begin.cast("long").alias("_begin"), anchor.cast("long").alias("anchor"), last.cast("long").alias("last"))
+    none = F.lit(None)
+    after = anchors.withColumn("_after", F.col("last") + 1)
+    events = event(c, "pos", F.when(F.col("_start"), F.col("pos")), none, none).unionByName(event(after, "_after", F.col("_after"), none, none)).unionByName(event(after, "anchor", none, F.col("anchor"), F.col("last")))
+    upto = Window.partitionBy("section_id").orderBy("pos").rangeBetween(Window.unboundedPreceding, 0)
+    edge = events.withColumn("_from", F.coalesce(F.max("_begin").over(upto), F.lit(0))).where("anchor IS NOT NULL").select("section_id", "anchor", "last", "_from").distinct()
     ends = cues.select("section_id", F.col("pos").alias("last"), F.col("end").alias("_until"))
-    fit = edge.join(ends, ["section_id", "last"]).join(c.select("section_id", "pos", "start"), "section_id").where((F.col("pos") >= F.col("_from")) & (F.col("pos") <= F.col("anchor")))
+    # anchors meet the cues between their first place and themselves by blocks of places
+    block = lambda x: F.floor(x / PLACES)
+    spans = edge.join(ends, ["section_id", "last"]).withColumn("_b", F.explode(F.sequence(block(F.col("_from")), block(F.col("anchor")))))
+    fit = spans.join(c.select("section_id", "pos", "start", block(F.col("pos")).alias("_b")), ["section_id", "_b"]).where((F.col("pos") >= F.col("_from")) & (F.col("pos") <= F.col("anchor")))
     good = (F.col("_until") - F.col("start") <= policy.core_seconds) | (F.col("pos") == F.col("anchor"))
     return fit.where(good).groupBy("section_id", "anchor", "last").agg(F.min("pos").alias("sample_start"))
 
 
+def longest_fit(starts: list[float], ends: list[float], most: float) -> tuple[int, int]:
+    """Place and number of the longest run of cues whose ends are no more than `most` after its first start; the first cue always
+    counts, and the first of equally long runs is taken."""
+    best, falling, at = (0, 0), [], []  # negated ends, and places, of the cues behind that end later than all between
+    for i in range(len(starts) - 1, -1, -1):
+        k = bisect.bisect_left(falling, True, key=lambda x: not -x - starts[i] > most)  # noqa: B023
+        n = (at[k - 1] if k else len(starts)) - i
+        if n >= best[1]:
+            best = (i, n)
+        while falling and -falling[-1] <= ends[i]:
+            falling.pop()
+            at.pop()
+        falling.append(-ends[i])
+        at.append(i)
+    return best
+
+
 def fallback_sample(cues: DataFrame, policy: RepetitionPolicy = RepetitionPolicy()) -> DataFrame:
     """The longest run of lyrics that fits a clip, the first of equally long ones; its first cue always
     belongs to it."""
     w = Window.partitionBy("section_id").orderBy("pos")
     lyric = cues.withColumn("_i", F.row_number().over(w)).where(F.coalesce("role", F.lit("lyric")) == "lyric")
-    lyric = lyric.withColumn("_run", F.col("_i") - F.row_number().over(w))
-    a = lyric.select("section_id", "_run", F.col("pos").alias("first"), F.col("start").alias("_s"))
-    b = lyric.select("section_id", "_run", F.col("pos").alias("last"), F.col("end").alias("_e"))
-    w2 = Window.partitionBy("section_id", "first").orderBy("last").rowsBetween(Window.unboundedPreceding, 0)
-    # a run ends at the first cue that does not fit, even if a later one would
-    pairs = a.join(b, ["section_id", "_run"]).where("last >= first").withColumn("_bad", F.max(F.when((F.col("_e") - F.col("_s") > policy.core_seconds) & (F.col("last") > F.col("first")), 1).otherwise(0)).over(w2)).where("_bad = 0")
-    runs = pairs.groupBy("section_id", "first").agg(F.max("last").alias("last"), F.count("*").alias("n"))
-    best = runs.withColumn("_k", F.row_number().over(Window.partitionBy("section_id").orderBy(F.desc("n"), "first"))).where("_k = 1")
-    return best.select("section_id", "first", "last", "n")
+    run = (F.col("_i") - F.row_number().over(w)).alias("run")
+    lyric = lyric.select("section_id", run, F.col("pos").cast("long").alias("pos"), F.coalesce("start", F.lit(float("inf"))).alias("start"), F.coalesce("end", F.lit(float("-inf"))).alias("end"))
+    kind = cues.schema["section_id"].dataType.simpleString()
+
+    def search(batches):
+        for b in batches:
+            rows = []
+            for section, own in zip(b["section_id"], b["cues"], strict=True):
+                at, best = 0, (0, 0)
+                for _, same in itertools.groupby(own, key=lambda c: c["run"]):
+                    same = list(same)
+                    first, n = longest_fit([c["start"] for c in same], [c["end"] for c in same], policy.core_seconds)
+                    best = max(best, (at + first, n), key=lambda x: x[1])
+                    at += len(same)
+                rows.append((section, own[best[0]]["pos"], own[best[0] + best[1] - 1]["pos"], best[1]))
+            yield pd.DataFrame(rows, columns=["section_id", "first", "last", "n"])
+
+    return _in_rows(lyric, "pos", "run", "start", "end").mapInPandas(search, f"section_id {kind}, first bigint, last bigint, n bigint")
+
+
+def _in_rows(cues: DataFrame, *columns: str) -> DataFrame:
+    """section_id, cues: one row for each section, its cues in the order of the first column."""
+    return cues.groupBy("section_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("cues"))
 
 
 def change_collisions(cues: DataFrame) -> DataFrame:
     """Proposed edges (section_id, pos, start, end, new_start, new_end; null: none) that would give a cue no length or
     make it overlap its neighbour. Each edge is looked at in order and stays only if what was settled before
-    allows it, so a section is worked through in one group."""
+    allows it, so a section is worked through as one row."""
     kind = cues.schema["section_id"].dataType.simpleString()
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        s, e = pdf["start"].tolist(), pdf["end"].tolist()
-        rows = []
-        for k, (pos, a, b) in enumerate(zip(pdf["pos"], pdf["new_start"], pdf["new_end"], strict=True)):
-            for edge, value in (("start", a), ("end", b)):
-                if pd.isna(value):
-                    continue
-                start, end = (value, e[k]) if edge == "start" else (s[k], value)
-                short = end - start <= 0
-                before = edge == "start" and k > 0 and start < e[k - 1] - 0.001
-                after = edge == "end" and k + 1 < len(s) and end > s[k + 1] + 0.001
-                if not (short or before or after):
-                    s[k], e[k] = start, end
-                rows.append((pdf["section_id"].iloc[0], pos, edge, not (short or before or after)))
-        return pd.DataFrame(rows, columns=["section_id", "pos", "edge", "eligible"])
-
-    return cues.groupBy("section_id").applyInPandas(settle, f"section_id {kind}, pos bigint, edge string, eligible boolean")
+    def settle(batches):
+        for b in batches:
+            rows = []
+            for section, own in zip(b["section_id"], b["cues"], strict=True):
+                s, e = [c["start"] for c in own], [c["end"] for c in own]
+                for k, cue in enumerate(own):
+                    for edge in ("start", "end"):
+                        value = cue["new_" + edge]
+                        if value is None:
+                            continue
+                        start, end = (value, e[k]) if edge == "start" else (s[k], value)
+                        short = end - start <= 0
+                        before = edge == "start" and k > 0 and start < e[k - 1] - 0.001
+                        after = edge == "end" and k + 1 < len(s) and end > s[k + 1] + 0.001
+                        if not (short or before or after):
+                            s[k], e[k] = start, end
+                        rows.append((section, cue["pos"], edge, not (short or before or after)))
+            yield pd.DataFrame(rows, columns=["section_id", "pos", "edge", "eligible"])
+
+    return _in_rows(cues, "pos", "start", "end", "new_start", "new_end").mapInPandas(settle, f"section_id {kind}, pos bigint, edge string, eligible boolean")
 
 
 def apply_changes(cues: DataFrame, changes: DataFrame) -> DataFrame:

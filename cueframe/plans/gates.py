@@ -55,7 +55,7 @@ def g8_g10_role_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _mc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as MC cues: every sixth without a translation, else its first 60 characters."""
     t = talk(spark, sf_dir)
-    return t.select("section_id", "pos", F.col("text").alias("source_text"), F.when(F.pmod("pos", F.lit(6)) != 0, F.substring("text", 1, 60)).alias("translation"), F.lit("speech").alias("role"), F.lit("mc").alias("section_type"), "start", "end")
+    return t.select("section_id", "pos", F.col("text").alias("source_text"), F.when(F.pmod("pos", F.lit(6)) != 0, F.col("text")).alias("translation"), F.lit("speech").alias("role"), F.lit("mc").alias("section_type"), "start", "end")
 
 
 _WIDE = T.wide()
@@ -74,7 +74,7 @@ def mc_sql(x: str) -> str:
     return f"replace(regexp_replace({kept}, '[,，。、｡､.．]', '', 'g'), '␞', '.')"
 
 
-_MC = f"""mc AS (SELECT section_id, pos, text AS s, CASE WHEN pos % 6 <> 0 THEN substr(text, 1, 60) ELSE '' END AS t FROM talk),
+_MC = f"""mc AS (SELECT section_id, pos, text AS s, CASE WHEN pos % 6 <> 0 THEN text ELSE '' END AS t FROM talk),
 m AS (SELECT *, {units_sql('s')} AS us, {units_sql('t')} AS ut, {mc_sql('s')} AS ns, {mc_sql('t')} AS nt FROM mc)"""
 _TEXT = [
     (f"regexp_replace(s, '[{_WS}]+', '', 'g') = ''", "empty_source_text", "hard"),
@@ -242,11 +242,11 @@ def _cw_sql(x: str) -> str:
     return f"({n} * 0.5 + (length({bare}) - {n}) * 1.0)"
 
 
-@query(f"""WITH {TALK}, w AS (SELECT section_id, pos, "end" - start AS d, {_cw_sql('substr(text, 1, 45)')} AS c, {_cw_sql('text')} AS j FROM talk)
+@query(f"""WITH {TALK}, w AS (SELECT section_id, pos, "end" - start AS d, {_cw_sql('text')} AS c, {_cw_sql('text')} AS j FROM talk)
 SELECT section_id, pos, concat_ws(',', CASE WHEN d > 8 THEN 'duration_gt_8s' END, CASE WHEN c > 20 THEN 'chinese_gt_20' END, CASE WHEN j > 28 THEN 'japanese_gt_28' END) AS reasons FROM w""")
 def g26_segmentation_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = talk(spark, sf_dir)
-    return t.select("section_id", "pos", F.array_join(g.segmentation_review(F.col("end") - F.col("start"), F.substring("text", 1, 45), F.col("text")), ",").alias("reasons"))
+    return t.select("section_id", "pos", F.array_join(g.segmentation_review(F.col("end") - F.col("start"), F.col("text"), F.col("text")), ",").alias("reasons"))
 
 
 _BI = [('start < 0 OR "end" <= start', "invalid_time", "hard"), ("start < pe - 0.001", "overlap", "hard"), ("role = 'speech'", "missing_text", "hard")]

@@ -9,6 +9,8 @@ from ..operators import audit, joins as j, timeline as tl
 from .adapters import CUES, SECTIONS, SEGMENTS, TALK, cues, read, sections, segments, talk
 from .registry import query
 
+_MICRO = "floor(({}) * 1000000 + 0.5) / CAST(1000000 AS DOUBLE)".format
+
 _ABS = """absolute AS (SELECT c.section_id, c.pos, c.start + s.start AS start, c."end" + s.start AS "end", s.concert_id, s.type AS section_kind, s.start AS ss, s."end" AS se FROM cues c JOIN sections s ON s.section_id = c.section_id),
 kept AS (SELECT * FROM absolute WHERE NOT (start < ss - 0.001 OR "end" > se + 0.001 OR start >= "end"))"""
 
@@ -146,15 +148,17 @@ def j14_rejected_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.overlay_edits(*_edits(spark, sf_dir))[1]
 
 
-@query(f"""WITH {TALK}, r AS (SELECT section_id, pos, start, "end" FROM talk WHERE pos >= 1 AND pos <= 3) SELECT section_id AS track_id, pos - 1 AS pos, pos AS ref_pos, start AS ref_start, "end" AS ref_end, start - start AS start_delta FROM r""")
+@query(f"""WITH {TALK}, r AS (SELECT section_id, pos, start, "end" FROM talk WHERE pos >= 1) SELECT section_id AS track_id, pos - 1 AS pos, pos AS ref_pos, start AS ref_start, "end" AS ref_end, start - start AS start_delta FROM r""")
 def j15_timing_reference_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns 1 to 3, looked up in the whole conversation; their texts are told apart by section and place."""
+    """All turns but the first, looked up in the whole conversation; their texts are told apart by section and place."""
     t = talk(spark, sf_dir).select(F.col("section_id").alias("track_id"), "pos", F.concat(F.lit("turn "), F.col("pos").cast("string")).alias("text"), "start", "end")
-    want = t.where("pos BETWEEN 1 AND 3").withColumn("pos", F.col("pos") - 1).drop("end")
+    want = t.where("pos >= 1").withColumn("pos", F.col("pos") - 1).drop("end")
     return j.timing_reference_match(want, t)
 
 
-@query()
+@query(f"""WITH {SECTIONS}, {CUES}, t AS (SELECT section_id AS track_id, pos, c.start, c."end", c.start + s.start + CAST(0.25 AS DOUBLE) - s.start AS a, c."end" + s.start + CAST(0.25 AS DOUBLE) - s.start AS b, s."end" - s.start AS duration FROM cues c JOIN sections s USING (section_id)),
+x AS (SELECT *, CASE WHEN a < 0 OR b <= a OR b > duration THEN 'imported_time_outside_section' END AS code FROM t)
+SELECT track_id, pos, start, "end", {_MICRO("a")} AS imported_start, {_MICRO("b")} AS imported_end, {_MICRO("a - start")} AS start_adjustment, {_MICRO('b - "end"')} AS end_adjustment, code, count(code) OVER (PARTITION BY track_id) = 0 AS accepted FROM x""")
 def j16_import_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues matched in the recording, where they stand a quarter second late, on the clock of their section."""
     c = cues(spark, sf_dir).select(F.col("section_id").alias("track_id"), "pos", F.concat(F.lit("cue "), F.col("pos").cast("string")).alias("text"), "start", "end")
@@ -202,13 +206,13 @@ def j18_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _structure(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Blocks of four cues are cycles, the two halves of a block parts A and B."""
-    c = cues(spark, sf_dir).where("pos < 12")
+    c = cues(spark, sf_dir)
     lines = c.select(F.col("section_id").alias("track_id"), F.floor(F.col("pos") / 4).cast("string").alias("cycle"), F.when(F.col("pos") % 4 < 2, "A").otherwise("B").alias("part"), (F.col("pos") % 2).alias("offset"), (F.col("pos") * 5.0).alias("start"), (F.col("pos") * 5.0 + 4.0 + F.col("section_id") % 3).alias("end"))
     parts = lines.groupBy("track_id", "cycle", "part").agg(F.lit("verse").alias("role"), F.when(F.col("track_id") % 5 == F.col("cycle").cast("int"), 12).otherwise(8).alias("beats"), F.count("*").alias("n_lines"), F.lit(True).alias("complete"), F.min("start").alias("start"), (F.min("start") + 10.0 + F.col("cycle").cast("int")).alias("end"))
     return lines, parts
 
 
-@query(f"""WITH {CUES}, l AS (SELECT section_id AS track_id, CAST(CAST(floor(pos / 4) AS BIGINT) AS VARCHAR) AS cycle, CASE WHEN pos % 4 < 2 THEN 'A' ELSE 'B' END AS part, pos % 2 AS "offset", pos * CAST(5.0 AS DOUBLE) AS start, pos * CAST(5.0 AS DOUBLE) + 4.0 + section_id % 3 AS "end" FROM cues WHERE pos < 12),
+@query(f"""WITH {CUES}, l AS (SELECT section_id AS track_id, CAST(CAST(floor(pos / 4) AS BIGINT) AS VARCHAR) AS cycle, CASE WHEN pos % 4 < 2 THEN 'A' ELSE 'B' END AS part, pos % 2 AS "offset", pos * CAST(5.0 AS DOUBLE) AS start, pos * CAST(5.0 AS DOUBLE) + 4.0 + section_id % 3 AS "end" FROM cues),
 p AS (SELECT track_id, cycle, part, CASE WHEN track_id % 5 = CAST(cycle AS INTEGER) THEN 12 ELSE 8 END AS beats, count(*) AS n, min(start) AS s, min(start) + 10.0 + CAST(cycle AS INTEGER) AS e FROM l GROUP BY track_id, cycle, part),
 q AS (SELECT p.track_id, p.cycle, p.part, CASE WHEN r.part IS NULL THEN 'no_reference_part' WHEN p.beats <> r.beats THEN 'beats' WHEN p.n <> r.n THEN 'line_count' END AS reason, (p.e - p.s) / (r.e - r.s) AS scale, p.s AS t, r.s AS f FROM p LEFT JOIN p r ON r.track_id = p.track_id AND r.part = p.part AND r.cycle = '0' WHERE p.cycle <> '0'),
 o AS (SELECT l.track_id, l.cycle, l.part, l."offset", CASE WHEN reason IS NULL THEN t + (v.start - f) * scale END AS start, CASE WHEN reason IS NULL THEN t + (v."end" - f) * scale END AS "end", reason FROM l JOIN q USING (track_id, cycle, part) LEFT JOIN l v ON v.track_id = l.track_id AND v.part = l.part AND v."offset" = l."offset" AND v.cycle = '0'),

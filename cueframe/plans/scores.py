@@ -14,10 +14,10 @@ from .registry import query
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as pairs of a part: quantities and discounts as counts and errors."""
     li = read(spark, sf_dir, "lineitem")
-    return li.select((F.col("l_suppkey") % 500).alias("track_id"), (F.col("l_quantity").cast("long") % 3 + 1).alias("n_hyp"), (F.col("l_quantity").cast("long") % 2 + 1).alias("n_ref"), (F.col("l_discount") * 10 - 0.5).alias("start_error"), (F.col("l_tax") * 10 - F.col("l_discount") * 5).alias("end_error"))
+    return li.select(F.col("l_suppkey").alias("track_id"), (F.col("l_quantity").cast("long") % 3 + 1).alias("n_hyp"), (F.col("l_quantity").cast("long") % 2 + 1).alias("n_ref"), (F.col("l_discount") * 10 - 0.5).alias("start_error"), (F.col("l_tax") * 10 - F.col("l_discount") * 5).alias("end_error"))
 
 
-_PAIRS = """pairs AS (SELECT l_suppkey % 500 AS track_id, CAST(l_quantity AS BIGINT) % 3 + 1 AS n_hyp, CAST(l_quantity AS BIGINT) % 2 + 1 AS n_ref, l_discount * 10 - CAST(0.5 AS DOUBLE) AS start_error, l_tax * 10 - l_discount * 5 AS end_error FROM lineitem)"""
+_PAIRS = """pairs AS (SELECT l_suppkey AS track_id, CAST(l_quantity AS BIGINT) % 3 + 1 AS n_hyp, CAST(l_quantity AS BIGINT) % 2 + 1 AS n_ref, l_discount * 10 - CAST(0.5 AS DOUBLE) AS start_error, l_tax * 10 - l_discount * 5 AS end_error FROM lineitem)"""
 
 
 @query(f"""WITH {_PAIRS} SELECT track_id, count(*) AS count, {ROUND3.format('quantile_disc(abs(start_error), 0.5)')} AS median, {ROUND3.format('quantile_disc(abs(start_error), 0.9)')} AS p90, {ROUND3.format('max(abs(start_error))')} AS maximum, {ROUND3.format('quantile_disc(start_error, 0.5)')} AS signed_median FROM pairs GROUP BY track_id""")
@@ -229,7 +229,10 @@ def _proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumns({"new_start": F.when(F.col("pos") % 2 == 0, F.col("start") + 0.3), "new_end": F.when(F.col("pos") % 3 == 0, F.col("end") - 0.2)})
 
 
-@query()
+@query(f"""WITH RECURSIVE {CUES}, p AS (SELECT section_id, CAST(pos AS BIGINT) AS pos, start, "end", CASE WHEN pos % 2 = 0 THEN start + CAST(0.3 AS DOUBLE) END AS a, CASE WHEN pos % 3 = 0 THEN "end" - CAST(0.2 AS DOUBLE) END AS b, lead(start) OVER (PARTITION BY section_id ORDER BY pos) AS nxt FROM cues),
+r AS (SELECT section_id, pos, a, b, s, CASE WHEN b - s > 0 AND NOT coalesce(b > nxt + 0.001, FALSE) THEN b ELSE "end" END AS e FROM (SELECT *, CASE WHEN "end" - a > 0 THEN a ELSE start END AS s FROM p WHERE pos = 0)
+  UNION ALL SELECT section_id, pos, a, b, s, CASE WHEN b - s > 0 AND NOT coalesce(b > nxt + 0.001, FALSE) THEN b ELSE "end" END FROM (SELECT p.*, CASE WHEN p."end" - p.a > 0 AND NOT p.a < r.e - 0.001 THEN p.a ELSE p.start END AS s FROM p JOIN r ON p.section_id = r.section_id AND p.pos = r.pos + 1))
+SELECT section_id, pos, 'start' AS edge, s = a AS eligible FROM r WHERE a IS NOT NULL UNION ALL SELECT section_id, pos, 'end', e = b FROM r WHERE b IS NOT NULL""")
 def w12_change_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rep.change_collisions(_proposed(spark, sf_dir))
 
@@ -248,7 +251,7 @@ def u5_longest_common_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").where("coalesce(text, '') <> ''")
     items = F.transform(F.split("text", " "), lambda x, i: F.concat_ws(":", i.cast("string"), x))
     a = d.select("doc_id", items.alias("items"))
-    b = a.select("doc_id", F.slice("items", 3, 1000000).alias("items")).where(F.size("items") > 0)
+    b = a.select("doc_id", F.slice("items", 3, F.size("items")).alias("items")).where(F.size("items") > 0)
     return audit.longest_common_run(a, b, "doc_id")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as TX
 from ..functions import timecode as C
 from ..operators import align, reflow, signal, structure as st
 from ..sources import readers as r, writers as w
@@ -126,14 +127,14 @@ def u1_merge_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cues in pairs are parts of a structure table: verse and chorus by turns, four cues a cycle."""
-    c = cues(spark, sf_dir).where("pos < 8")
+    c = cues(spark, sf_dir)
     p = c.select(F.col("section_id").alias("track_id"), F.floor(F.col("pos") / 2).cast("int").alias("n"), "pos")
     g = p.groupBy("track_id", "n").agg((F.min("pos") + 1).alias("first"), (F.max("pos") + 1).alias("last"))
     k = F.col("track_id") % 6
     return g.select("track_id", "n", F.floor(F.col("n") / 2).cast("string").alias("cycle"), F.when(F.col("n") % 2 == 0, "A").otherwise("B").alias("part"), F.when(F.col("n") % 2 == 0, "verse").otherwise("chorus").alias("role"), F.when((k == 1) & (F.col("n") == 1), F.col("first") + 1).otherwise(F.col("first")).alias("first"), "last", (F.col("n") * 8.0).alias("start"), (F.col("n") * 8.0 + F.when(k == 2, 9.0).otherwise(8.0)).alias("end"), (~((k == 3) & (F.col("n") == 0))).alias("complete"), F.when(k == 4, "").otherwise("heard").alias("evidence"), (F.lit(8) + k * 4).cast("int").alias("beats"))
 
 
-_PARTS = f"""{CUES}, p AS (SELECT section_id AS track_id, CAST(floor(pos / 2) AS INTEGER) AS n, min(pos) + 1 AS f, max(pos) + 1 AS last FROM cues WHERE pos < 8 GROUP BY ALL),
+_PARTS = f"""{CUES}, p AS (SELECT section_id AS track_id, CAST(floor(pos / 2) AS INTEGER) AS n, min(pos) + 1 AS f, max(pos) + 1 AS last FROM cues GROUP BY ALL),
 parts AS (SELECT track_id, n, CAST(CAST(floor(n / 2) AS BIGINT) AS VARCHAR) AS cycle, CASE WHEN n % 2 = 0 THEN 'A' ELSE 'B' END AS part, CASE WHEN n % 2 = 0 THEN 'verse' ELSE 'chorus' END AS role, CASE WHEN track_id % 6 = 1 AND n = 1 THEN f + 1 ELSE f END AS first, last, n * CAST(8.0 AS DOUBLE) AS start, n * CAST(8.0 AS DOUBLE) + CASE WHEN track_id % 6 = 2 THEN 9 ELSE 8 END AS "end", NOT (track_id % 6 = 3 AND n = 0) AS complete, CASE WHEN track_id % 6 = 4 THEN '' ELSE 'heard' END AS evidence FROM p)"""
 
 
@@ -157,19 +158,19 @@ def w16_choose_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _onsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as onsets of tracks of 500 orders: hundredths of a second and strengths."""
+    """Line items as onsets of recordings of 64 order numbers: hundredths of a second and strengths."""
     li = read(spark, sf_dir, "lineitem")
-    return li.groupBy((F.col("l_orderkey") % 500).alias("track_id"), (F.col("l_partkey") % 3200).cast("long").alias("i")).agg(F.max(F.col("l_quantity") * F.col("l_quantity")).alias("value"))
+    return li.groupBy(F.floor(F.col("l_orderkey") / 64).alias("track_id"), (F.col("l_partkey") % 3200).cast("long").alias("i")).agg(F.max(F.col("l_quantity") * F.col("l_quantity")).alias("value"))
 
 
-@query(f"""WITH {_PARTS}, o AS (SELECT l_orderkey % 500 AS track_id, CAST(l_partkey % 3200 AS BIGINT) AS i, max(l_quantity * l_quantity) AS v FROM lineitem GROUP BY ALL),
-q AS (SELECT track_id, cycle || part AS part, start, "end", CAST(8 + track_id % 6 * 4 AS INTEGER) AS beats FROM parts WHERE track_id < 500), b AS (SELECT *, unnest(range(4, beats, 4)) AS beat FROM q),
+@query(f"""WITH {_PARTS}, o AS (SELECT l_orderkey // 64 AS track_id, CAST(l_partkey % 3200 AS BIGINT) AS i, max(l_quantity * l_quantity) AS v FROM lineitem GROUP BY ALL),
+q AS (SELECT track_id // 64 AS track_id, track_id || ':' || cycle || part AS part, start, "end", CAST(8 + track_id % 6 * 4 AS INTEGER) AS beats FROM parts), b AS (SELECT *, unnest(range(4, beats, 4)) AS beat FROM q),
 x AS (SELECT *, start + ("end" - start) / beats * beat AS expected, least(0.25, ("end" - start) / beats * CAST(0.35 AS DOUBLE)) AS radius FROM b),
 n AS (SELECT x.track_id, part, x.beat, max(v) AS peak, avg(v) AS mean, arg_max(i, row(v, -i)) AS best FROM x JOIN o ON o.track_id = x.track_id AND i BETWEEN greatest(0, ceil((expected - radius) * 100)) AND floor((expected + radius) * 100) GROUP BY ALL)
 SELECT x.track_id, x.part, CAST(x.beat AS INTEGER) AS beat, CASE WHEN peak > greatest(0.000001, 2.5 * mean) THEN best / 100.0 ELSE expected END AS time, coalesce(peak > greatest(0.000001, 2.5 * mean), FALSE) AS supported FROM x LEFT JOIN n USING (track_id, part, beat)
 UNION ALL SELECT track_id, part, 0, start, FALSE FROM q UNION ALL SELECT track_id, part, beats, "end", FALSE FROM q""")
 def w15_beat_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _parts(spark, sf_dir).where("track_id < 500").withColumn("part", F.concat("cycle", "part"))
+    p = _parts(spark, sf_dir).withColumn("part", F.concat(F.col("track_id").cast("string"), F.lit(":"), "cycle", "part")).withColumn("track_id", F.floor(F.col("track_id") / 64))
     return st.beat_anchors(p.select("track_id", "part", "start", "end", "beats"), _onsets(spark, sf_dir))
 
 
@@ -206,9 +207,9 @@ def a15_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten vectors of a label, one after another, as one recording."""
+    """Ten vectors of neighbouring numbers, one after another, as one recording."""
     s = _samples(spark, sf_dir)
-    g = s.groupBy((F.col("track_id") % 50).alias("track_id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("track_id", "samples"))), lambda x: x["samples"])).alias("samples"))
+    g = s.groupBy(F.floor(F.col("track_id") / 10).alias("track_id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("track_id", "samples"))), lambda x: x["samples"])).alias("samples"))
     return g
 
 
@@ -244,13 +245,14 @@ def d5_rhythm_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _speech(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = talk(spark, sf_dir).where("trim(text) <> ''")
-    short = F.when(F.col("pos") % 3 < 2, "それで").otherwise(F.substring("text", 1, 30))
+    """Two short prefixes before each turn."""
+    t = talk(spark, sf_dir).where("trim(text) <> ''").withColumn("_k", F.explode(F.array(*map(F.lit, range(3))))).withColumn("pos", F.col("pos") * 3 + F.col("_k"))
+    short = F.when(F.col("pos") % 3 < 2, "それで").otherwise(F.col("text"))
     speaker = F.when(F.col("pos") % 4 == 3, F.array(F.lit("b"))).otherwise(F.array(F.lit("a")))
     return t.select("section_id", "pos", (F.col("pos") * 1.5).alias("start"), (F.col("pos") * 1.5 + 1.2).alias("end"), short.alias("source_text"), F.lit("短い").alias("translation"), speaker.alias("speakers"), F.array().cast("array<string>").alias("evidence"))
 
 
-@query(f"""WITH {TALK}, s AS (SELECT section_id, pos, CAST(pos * 1.5 AS DOUBLE) AS start, CAST(pos * 1.5 AS DOUBLE) + CAST(1.2 AS DOUBLE) AS "end", CASE WHEN pos % 3 < 2 THEN 'それで' ELSE substr(text, 1, 30) END AS t, CASE WHEN pos % 4 = 3 THEN 'b' ELSE 'a' END AS sp FROM talk WHERE trim(text) <> ''),
+@query(f"""WITH {TALK}, each AS (SELECT section_id, CAST(pos * 3 + k AS INTEGER) AS pos, text FROM talk, range(3) r(k) WHERE trim(text) <> ''), s AS (SELECT section_id, pos, CAST(pos * 1.5 AS DOUBLE) AS start, CAST(pos * 1.5 AS DOUBLE) + CAST(1.2 AS DOUBLE) AS "end", CASE WHEN pos % 3 < 2 THEN 'それで' ELSE text END AS t, CASE WHEN pos % 4 = 3 THEN 'b' ELSE 'a' END AS sp FROM each),
 f AS (SELECT *, coalesce(pos % 3 < 2 AND lead(start) OVER w - "end" BETWEEN -0.001 AND 0.8 AND lead(sp) OVER w = sp, FALSE) AS can, lead(t) OVER w AS nt, lead("end") OVER w AS ne, row_number() OVER w AS i FROM s WINDOW w AS (PARTITION BY section_id ORDER BY pos)),
 c AS (SELECT *, i - sum(CAST(can AS INTEGER)) OVER (PARTITION BY section_id ORDER BY pos) AS ch FROM f), o AS (SELECT *, can AND row_number() OVER (PARTITION BY section_id, ch, can ORDER BY pos) % 2 = 1 AS op FROM c), l AS (SELECT *, coalesce(lag(op) OVER (PARTITION BY section_id ORDER BY pos), FALSE) AS tail FROM o)
 SELECT section_id, pos, start, CASE WHEN op THEN ne ELSE "end" END AS "end", CASE WHEN op THEN rtrim(t) || ltrim(nt) ELSE t END AS source_text, CASE WHEN op THEN '短い短い' ELSE '短い' END AS translation, op AS merged FROM l WHERE NOT tail""")
@@ -260,13 +262,13 @@ def w8_merge_short_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def w9_split_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = talk(spark, sf_dir).select("section_id", "pos", "start", "end", F.col("text").alias("source_text"), F.substring("text", 1, 90).alias("translation"))
+    t = talk(spark, sf_dir).select("section_id", "pos", "start", "end", F.col("text").alias("source_text"), F.col("text").alias("translation"))
     return reflow.split_events(t)
 
 
 @query()
 def a16_reflow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = talk(spark, sf_dir).select("section_id", "pos", "start", "end", F.col("text").alias("source_text"), F.substring("text", 1, 90).alias("translation"))
+    t = talk(spark, sf_dir).select("section_id", "pos", "start", "end", F.col("text").alias("source_text"), F.col("text").alias("translation"))
     return reflow.reflow_metrics(t, reflow.split_events(t))
 
 
@@ -277,7 +279,14 @@ def u4_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reflow.speakers(own, t.select("section_id", "pos", F.lit("bob").alias("speaker"))).select("section_id", "pos", F.array_join("speakers", ",").alias("speakers"))
 
 
-@query()
+def _bare_sql(text: str) -> str:
+    return f"regexp_replace(replace(regexp_replace({text}, '{TX.TAG}', '', 'g'), '\\N', ' '), '[{TX.SPACE}]+', '', 'g')"
+
+
+@query(f"""WITH {TALK}, {_FLAT}, l AS (SELECT section_id, {_bare_sql("t")} AS t, row_number() OVER (PARTITION BY section_id ORDER BY pos) AS line FROM flat),
+c AS (SELECT section_id, {_bare_sql("CASE WHEN section_id % 7 = 0 AND pos = 1 THEN 'x' ELSE t END")} AS c, row_number() OVER (PARTITION BY section_id ORDER BY pos) AS line FROM flat WHERE section_id % 5 <> 0 OR pos <> 2),
+n AS (SELECT section_id, count(*) FILTER (c <> t) AS changed, count(*) - count(c) AS lost FROM l LEFT JOIN c USING (section_id, line) GROUP BY section_id)
+SELECT section_id, 'lyrics_text_or_order_changed' AS code, changed AS n FROM n WHERE changed > 0 UNION ALL SELECT section_id, 'lyrics_event_count_mismatch', lost FROM n WHERE lost > 0""")
 def g14_lyric_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir)
     n = F.row_number().over(Window.partitionBy("section_id").orderBy("pos"))

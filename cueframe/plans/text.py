@@ -41,10 +41,10 @@ _LINE = ("track_id", "line")
 
 
 def _marked() -> Column:
-    return F.concat(F.lit("{an8}"), _text(), F.lit("\\N"), F.upper(F.substring("text", 1, 5)))
+    return F.concat(F.lit("{an8}"), _text(), F.lit("\\N"), "text")
 
 
-_MARKED = "'{an8}' || text || '\\N' || upper(substr(text, 1, 5))"
+_MARKED = "'{an8}' || text || '\\N' || text"
 _each("t1_norm_layout", lambda: T.norm_layout(_marked()), f"regexp_replace(replace(regexp_replace({_MARKED}, '{T.TAG}', '', 'g'), '\\N', ' '), '[{T.SPACE}]+', '', 'g')")
 _each("t2_norm_match", lambda: T.norm_match(_marked()), f"regexp_replace(lower(replace(regexp_replace({_MARKED}, '{T.TAG}', '', 'g'), '\\N', '')), '{_P}', '', 'g')")
 _each("t3_norm_lyric", lambda: T.norm_lyric(_text()), f"regexp_replace(replace(lower(text), 'ß', 'ss'), '{_P}', '', 'g')", "lines", _LINE)
@@ -69,14 +69,14 @@ _each(
 
 
 def _titled() -> Column:
-    return F.concat(F.lit("Artist - "), F.lpad((F.col("pos") + 1).cast("string"), 2, "0"), F.lit(". "), F.trim(F.regexp_replace(F.substring("text", 1, 20), "[^A-Za-z]+", " ")), F.lit(" (Official Video) x"))
+    return F.concat(F.lit("Artist - "), F.lpad((F.col("pos") + 1).cast("string"), 2, "0"), F.lit(". "), F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), F.lit(" (Official Video) x"))
 
 
-_each("t12_clean_title", lambda: T.clean_title(_titled()), "trim(regexp_replace(trim(regexp_replace(substr(text, 1, 20), '[^A-Za-z]+', ' ', 'g')), '(?i)\\s+from\\s+.*$', ''))")
+_each("t12_clean_title", lambda: T.clean_title(_titled()), "trim(regexp_replace(regexp_replace(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) || ' (Official Video) x', '(?i)\\s+from\\s+.*$', ''), ' \\(Official Video\\).*$', ''))")
 _each("t12_clean_artist", lambda: T.clean_artist(F.concat(F.col("role"), F.lit(" Official YouTube Channel"))), "role")
-_each("t13_slugify", lambda: T.slugify(F.substring("text", 1, 40)), r"coalesce(nullif(regexp_replace(regexp_replace(substr(text, 1, 40), '[^\p{L}\p{N}_\x{3040}-\x{30ff}\x{3400}-\x{9fff}.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled')")
-_each("t13_filename_fault", lambda: T.valid_filename_component(F.substring("text", 1, 150)), r"""CASE WHEN trim(substr(text, 1, 150)) IN ('', '.', '..') THEN 'empty' WHEN length(trim(substr(text, 1, 150))) > 128 THEN 'too_long' WHEN trim(substr(text, 1, 150)) LIKE '%.' THEN 'ends_with_dot'
-  WHEN regexp_matches(trim(substr(text, 1, 150)), '[<>:"/\\|?*\x00-\x1F]') THEN 'illegal_character' WHEN lower(split_part(trim(substr(text, 1, 150)), '.', 1)) IN ('con', 'prn', 'aux', 'nul') THEN 'reserved_name' END""")
+_each("t13_slugify", lambda: T.slugify(_text()), r"coalesce(nullif(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\x{3040}-\x{30ff}\x{3400}-\x{9fff}.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled')")
+_each("t13_filename_fault", lambda: T.valid_filename_component(_text()), r"""CASE WHEN trim(text) IN ('', '.', '..') THEN 'empty' WHEN length(trim(text)) > 128 THEN 'too_long' WHEN trim(text) LIKE '%.' THEN 'ends_with_dot'
+  WHEN regexp_matches(trim(text), '[<>:"/\\|?*\x00-\x1F]') THEN 'illegal_character' WHEN lower(split_part(trim(text), '.', 1)) IN ('con', 'prn', 'aux', 'nul') THEN 'reserved_name' END""")
 _each("t14_srt_time", lambda: C.srt(F.col("start")), "format('{:02d}:{:02d}:{:02d},{:03d}', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000)".replace("ms", "CAST(round_even(start * 1000, 0) AS BIGINT)"))
 _each("t14_ass_time", lambda: C.ass(F.col("end")), "format('{}:{:02d}:{:02d}.{:02d}', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100)".replace("cs", "CAST(round_even(\"end\" * 100, 0) AS BIGINT)"))
 _each("t14_review_time", lambda: C.review(F.col("start") * 100), "CASE WHEN ms >= 3600000 THEN format('{:02d}:', ms // 3600000) ELSE '' END || format('{:02d}:{:02d}.{:03d}', ms // 60000 % 60, ms // 1000 % 60, ms % 1000)".replace("ms", "CAST(round_even(start * 100 * 1000, 0) AS BIGINT)"))
@@ -87,9 +87,16 @@ _each("t22_unfinished_tail", lambda: T.has_unfinished_tail(F.when(F.pmod("pos",
 _each("t22_short_reply", lambda: T.is_short_reply(F.when(F.pmod("pos", F.lit(3)) == 0, "そう です。").otherwise(_text())), "pos % 3 = 0")
 _each("t22_continuation", lambda: T.has_continuation_evidence(F.array(F.when(F.pmod("pos", F.lit(3)) == 0, "Sentence_Unfinished").otherwise(F.col("role")))), "pos % 3 = 0")
 _each("t23_choose_lyric_text", lambda: T.choose_lyric_text(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(F.lit("[00:01.5]"), _text())).when(F.pmod("pos", F.lit(3)) == 1, _text()), F.when(F.pmod("pos", F.lit(6)) == 2, _text()))["kind"], "CASE WHEN pos % 3 = 0 THEN 'lrc' WHEN pos % 6 = 2 AND trim(text) <> '' THEN 'txt' WHEN pos % 3 = 1 AND trim(text) <> '' THEN 'txt' END")
-_each("t16_title_score", lambda: T.title_match_score(F.substring("text", 1, 3), F.col("role"), F.substring("text", 1, 20), F.concat(F.lit("the "), F.col("role"))), "CASE WHEN substr(text, 1, 3) <> '' AND lower(substr(text, 1, 3)) = lower(substr(text, 1, 20)) THEN 8 WHEN substr(text, 1, 3) <> '' THEN 4 ELSE 0 END + 4")
-_A, _B = (f"length(regexp_replace(lower({x}), '{_P}', '', 'g'))" for x in ("substr(text, 1, 12)", "text"))
-_each("t15_contained_ratio", lambda: T.contained_ratio(T.norm_match(F.substring("text", 1, 12)), T.norm_match(_text())), f"CASE WHEN {_A} = 0 THEN CAST(0.0 AS DOUBLE) ELSE least({_A}, {_B}) / greatest({_A}, {_B}) END")
+_OTHER = "(CASE WHEN pos % 3 = 0 THEN text WHEN pos % 3 = 1 THEN text || ' zz' ELSE role END)"
+
+
+def _other() -> Column:
+    return F.when(F.pmod("pos", F.lit(3)) == 0, _text()).when(F.pmod("pos", F.lit(3)) == 1, F.concat(_text(), F.lit(" zz"))).otherwise(F.col("role"))
+
+
+_each("t16_title_score", lambda: T.title_match_score(_text(), F.col("role"), _other(), F.concat(F.lit("the "), F.col("role"))), "CASE WHEN text <> '' AND text = " + _OTHER + " THEN 8 WHEN text <> '' AND contains(" + _OTHER + ", text) THEN 4 ELSE 0 END + 4")
+_A, _B = (f"length(regexp_replace(lower({x}), '{_P}', '', 'g'))" for x in ("text", "text || ' ' || role"))
+_each("t15_contained_ratio", lambda: T.contained_ratio(T.norm_match(_text()), T.norm_match(F.concat_ws(" ", "text", "role"))), f"CASE WHEN {_A} = 0 THEN CAST(0.0 AS DOUBLE) ELSE least({_A}, {_B}) / greatest({_A}, {_B}) END")
 
 
 @query()
@@ -104,7 +111,7 @@ def t15_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talk(spark, sf_dir).withColumn("before", before).where("before IS NOT NULL").select("section_id", "pos", T.similarity(_text(), F.col("before")).alias("similarity"))
 
 
-@query()
+@query(f"""WITH {TALK} SELECT section_id, pos, sha256(CAST(json_object('pos', pos, 'role', role, 'section_id', section_id, 'text', text) AS VARCHAR)) AS hash FROM talk""")
 def t20_content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talk(spark, sf_dir).select("section_id", "pos", T.content_hash("section_id", "pos", "text", "role").alias("hash"))
 

@@ -61,8 +61,8 @@ def render_ass(cues: DataFrame, key: str = "concert_id", font_size: int = 56, sa
 
 
 def write_by_concert(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """K3: partitioned by concert, each concert's rows in one file."""
-    df.repartition("concert_id").write.mode("overwrite").partitionBy("concert_id").format(form).save(path)
+    """K3: partitioned by concert; the rows of a concert go to one file, those of a very large one to several."""
+    df.hint("rebalance", "concert_id").write.mode("overwrite").partitionBy("concert_id").format(form).save(path)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

@@ -356,3 +356,54 @@ def test_import_timings(spark):
         ("a", 0, 1.5, 2.25, 0.5, 0.25, None, True), ("a", 1, 3.0, 4.5, 0.0, 0.5, None, True),
         ("b", 0, -0.1, 2.0, -0.2, 0.0, out, False), ("b", 1, 8.0, 10.5, 0.0, 1.0, out, False), ("b", 2, 9.0, 9.0, -0.5, -0.9, out, False),
     ]
+
+
+def test_longest_fit_against_every_run():
+    r = random.Random(3)
+    for _ in range(400):
+        n = r.randrange(1, 12)
+        s = [round(r.uniform(0, 9), 1) for _ in range(n)]
+        e = [round(x + r.uniform(-1, 4), 1) for x in s]
+        want = (0, 0)
+        for i in range(n):
+            j = i + 1
+            while j < n and not e[j] - s[i] > 3:
+                j += 1
+            want = max(want, (i, j - i), key=lambda x: x[1])
+        assert repetition.longest_fit(s, e, 3) == want
+
+
+def test_common_run_against_every_pair():
+    r = random.Random(4)
+    for _ in range(400):
+        a, b = ([r.choice(["x", "y", "z", None]) for _ in range(r.randrange(9))] for _ in range(2))
+        runs = [k for i in range(len(a)) for j in range(len(b)) for k in range(1, min(len(a) - i, len(b) - j) + 1) if a[i : i + k] == b[j : j + k] and None not in a[i : i + k]]
+        assert audit.common_run(a, b) == max(runs, default=0)
+    assert audit.common_run(["la"] * 5000, ["la"] * 4000) == 4000
+
+
+def test_common_run_rows(spark):
+    a = spark.createDataFrame([(1, ["a", "b"]), (2, None), (3, ["q"])], "id long, items array<string>")
+    b = spark.createDataFrame([(1, ["c"]), (2, ["x"]), (4, ["q"])], "id long, items array<string>")
+    assert rows(audit.longest_common_run(a, b, "id"), "id", "run") == [(1, 0), (2, 0)]
+    assert rows(audit.longest_common_run(a.limit(0), b, "id"), "id", "run") == []
+
+
+def test_structure_boundary_against_every_cue(spark):
+    r = random.Random(5)
+    cues, anchors, want = [], [], []
+    for section in range(6):
+        t, own = 0.0, []
+        for pos in range(200):
+            t += r.choice([0.5, 1.0, 5.0])
+            own.append((section, pos, t, t + r.uniform(0.2, 12), r.choice(["lyric", "lyric", "lyric", "speech"])))
+        cues += own
+        mine = sorted((a, min(199, a + r.randrange(4))) for a in r.sample(range(200), 12))
+        anchors += [(section, *x) for x in mine]
+        opens = [p for p in range(200) if p == 0 or own[p - 1][4] != "lyric" or own[p][2] - own[p - 1][3] >= 3.0]
+        for a, last in mine:
+            begin = max([p for p in opens if p <= a] + [x + 1 for _, x in mine if x + 1 <= a])
+            want.append((section, a, next(p for p in range(begin, a + 1) if own[last][3] - own[p][2] <= 174 or p == a)))
+    c = spark.createDataFrame(cues, "section_id long, pos long, start double, end double, role string")
+    got = rows(repetition.structure_boundary(c, spark.createDataFrame(anchors, "section_id long, anchor long, last long")), "section_id", "anchor", "sample_start")
+    assert sorted(got) == sorted(want)
