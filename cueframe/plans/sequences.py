@@ -117,6 +117,13 @@ def s10_parse_phone_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.parse_phone_labels(files, ("track_id",)).select("track_id", "start", "end", "phone", "silence")
 
 
+@query()
+def s11_file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the documents table."""
+    files = r.file_inventory(spark, f"{sf_dir}/documents.parquet")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "sha256")
+
+
 @query("""SELECT * FROM (SELECT l_returnflag AS style, CAST(l_orderkey AS BIGINT) AS n FROM lineitem WHERE l_returnflag <> 'R' UNION ALL SELECT o_orderstatus, o_orderkey FROM orders UNION ALL SELECT 'R', o_orderkey FROM orders)""")
 def u1_merge_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_returnflag").alias("style"), F.col("l_orderkey").alias("n"))
