@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, itq, linechunks, minhash, packing, pii, quality, sharding, urls, warc
+from . import bpe, divergence, interaction, itq, linechunks, minhash, packing, pii, quality, retrieval, sharding, urls, warc
 from .common import table
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE_50K = "byte_bpe_50k.json"
 
 
 def op1_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +56,18 @@ def op10_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed_lines", "n_removed_words", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_disclosure, op2_itq, op3_warc, op4_byte_bpe, op5_hash_tree_shards, op6_linear_grouping, op7_compression_bands, op8_template_tree, op9_bbit_minhash, op10_line_chunks)}
-ORACLES: dict[str, str] = {}
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE_50K))
+
+
+QUERIES = {f.__name__: f for f in (op1_disclosure, op2_itq, op3_warc, op4_byte_bpe, op5_hash_tree_shards, op6_linear_grouping, op7_compression_bands, op8_template_tree, op9_bbit_minhash, op10_line_chunks, op11_filter_audit, op12_source_divergence, op13_retrieval_packing)}
+ORACLES: dict[str, str] = {"op11_filter_audit": interaction.SQL, "op12_source_divergence": divergence.SQL}
