@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .runs import Words, best_run
 
 
 def lyric_cover(cues: DataFrame, lines: DataFrame, omitted: DataFrame | None = None) -> DataFrame:
@@ -162,30 +163,6 @@ class BoundaryPolicy:
     least_seconds: float = 0.2
 
 
-def _best_run(cue, words: list[tuple], used: int, policy: BoundaryPolicy) -> tuple[float, int, int] | None:
-    """Raw similarity and first and last word of the run that ranks best, if the similarity is enough."""
-    n, middle = len(cue.t), (cue.start + cue.end) / 2
-    near = [k for k in range(used, len(words)) if words[k][1] >= cue.start - policy.window_seconds and words[k][0] <= cue.end + policy.window_seconds]
-    fewest, most = max(1, int(n * 0.45)), max(n + 4, int(n * 1.75))
-    top, top_rank = None, None
-    for p, a in enumerate(near):
-        text = ""
-        for q in range(p, min(len(near), p + max(8, 2 * n + 4))):
-            b = near[q]
-            if b - a != q - p:  # a word between them is out of reach
-                break
-            text += words[b][2]
-            if len(text) > most:
-                break
-            if len(text) < fewest:
-                continue
-            score = T._ratio(cue.t, text, False)
-            rank = score - policy.per_second * abs((words[a][0] + words[b][1]) / 2 - middle) - policy.per_character * abs(len(text) - n)
-            if top_rank is None or (rank, -words[a][0]) > top_rank:
-                top, top_rank = (score, a, b), (rank, -words[a][0])
-    return top if top and top[0] >= policy.least_score else None
-
-
 def _edges(text: str, run: list[tuple], first: int, policy: BoundaryPolicy) -> dict:
     """How the text's two ends lie on the characters of a run of words: for start and end a time, the number of
     characters and the mean word probability, or none; the share of the text that is met; the word behind the last."""
@@ -211,14 +188,14 @@ def _edges(text: str, run: list[tuple], first: int, policy: BoundaryPolicy) -> d
     }
 
 
-def _proposal(cue, words: list[tuple], used: int, policy: BoundaryPolicy) -> tuple[dict, int]:
+def _proposal(cue, words: Words, used: int, policy: BoundaryPolicy) -> tuple[dict, int]:
     """What becomes of one cue, and the first word that the next one may use."""
     out = {"was": (cue.start, cue.end), "new": [cue.start, cue.end], "score": None, "status": "unmatched_keep_original", "reasons": set(), "notes": set(), "anchored": (False, False), "coverage": None}
-    hit = _best_run(cue, words, used, policy) if cue.t else None
+    hit = best_run(cue.t, cue.start, cue.end, words, used, policy.window_seconds, policy.least_score, policy.per_second, policy.per_character)
     if not hit:
         return out, used
     score, a, b = hit
-    found = _edges(cue.t, words[a : b + 1], a, policy)
+    found = _edges(T.kana_folded(cue.t), [(x, y, T.kana_folded(t), sure) for x, y, t, sure in words.words[a : b + 1]], a, policy)
     sides = (found["start"], found["end"])
     out |= {"score": round(score, 4), "coverage": round(found["coverage"], 4), "anchored": tuple(s is not None for s in sides)}
     used = max(used, found["used"])
@@ -288,8 +265,9 @@ def propose_boundaries(cues: DataFrame, words: DataFrame, policy: BoundaryPolicy
     Per cue, in order, the best run of neighbouring words near it, beyond those that earlier cues have used: the
     similarity, less 0.05 a second between the centres and 0.01 a character of difference, ranks; the similarity alone
     must reach 0.55. An edge is moved to the time of the character that the cue's first or last characters
-    match; far only if enough characters match in words that are sure. Then neighbours that collide are settled. A
-    text's reading is its N2 form. A section is one recording, so its cues and words are one group."""
+    match; far only if enough characters match in words that are sure. Then neighbours that collide are settled.
+    Similarity is the greater of those of N2 texts and of their readings, edges lie on readings (kana_folded). A
+    section is one recording, so its cues and words are one group."""
     c = cues.select("section_id", "pos", "start", "end", T.norm_match(F.coalesce("text", F.lit(""))).alias("t"))
     sure = F.col("probability") if "probability" in words.columns else F.lit(None)
     w = words.select("section_id", "start", "end", F.col("text").alias("raw"), T.norm_match(F.coalesce("text", F.lit(""))).alias("t"), sure.cast("double").alias("sure"))
@@ -298,7 +276,7 @@ def propose_boundaries(cues: DataFrame, words: DataFrame, policy: BoundaryPolicy
 
     def propose(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("pos")
-        ws = list(right.sort_values(["start", "end", "raw"])[["start", "end", "t", "sure"]].itertuples(index=False, name=None))
+        ws = Words(list(right.sort_values(["start", "end", "raw"])[["start", "end", "t", "sure"]].itertuples(index=False, name=None)), T.kana_folded)
         proposals, used = [], 0
         for cue in left.itertuples(index=False):
             p, used = _proposal(cue, ws, used, policy)

@@ -1,15 +1,15 @@
-"""Speech cues: joining short openings, cutting long turns."""
+"""Speech cues: joining short openings, cutting turns of several sentences."""
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.text import SOFT, STRONG, _units
+from ..functions.text import CLOSERS, SOFT, STRONG, _units
+from .joins import matching_segments
 
 SOURCE_UNITS, TRANSLATION_UNITS = 56, 44
 
@@ -48,75 +48,166 @@ def merge_short_prefixes(cues: DataFrame) -> DataFrame:
     return out.select("section_id", "pos", "start", F.when(F.col("_opens"), F.col("_e")).otherwise(F.col("end")).alias("end"), join("source_text", "_s").alias("source_text"), join("translation", "_t").alias("translation"), F.col("_opens").alias("merged"))
 
 
-def part_count(source: Column, translation: Column) -> Column:
-    """Parts that a cue needs so that no line is too long."""
-    return F.greatest(F.lit(1), F.ceil(T.display_units(source) / float(SOURCE_UNITS)), F.ceil(T.display_units(translation) / float(TRANSLATION_UNITS))).cast("int")
-
-
-def cut_text(text: str, n: int, most: int) -> list[str]:
-    """n parts: at inner sentence ends if there are as many, else near equal widths, marks and spaces first, and no
-    part wider than `most` where that can be."""
-    text = text.strip()
-    if n <= 1 or len(text) < n:
-        return [text] + [""] * (n - 1)
-    ends = [i + 1 for i, c in enumerate(text[:-1]) if c in STRONG and text[i + 1 :].strip()]
-    width = [0]
-    for c in text:
-        width.append(width[-1] + _units(c))
-    if len(ends) != n - 1:
-        ends, before = [], 0
+LEAST_PART, LEAST_SHIFT, PART_GAP, MOST_PARTS = 0.45, 0.35, 0.02, 6
+# What a cut costs beside its distance to the wished share of the width.
+AT_STRONG, AT_SEGMENT, AT_SPACE, AT_SOFT, ELSEWHERE, IN_WORD, TOO_WIDE = 0.0, 0.03, 0.06, 0.1, 0.55, 0.8, 0.1
+
+
+def sentences(text: Column) -> Column:
+    """Sentences of a text: one more than the sentence marks that something other than closing quotes follows."""
+    bare = F.regexp_replace(text, f"^[{T.SPACE}]+|[{T.SPACE}]+$", "")
+    marks = F.length(bare) - F.length(F.regexp_replace(bare, f"[{STRONG}]", ""))
+    return marks - bare.rlike(f"[{STRONG}][{CLOSERS}]*$").cast("int") + 1
+
+
+def part_count(source: Column, translation: Column, seconds: Column, segments: Column, whole: Column) -> Column:
+    """Parts of a cue. As many as sentences, if both texts have equally many; two if one text has two and the
+    other one, or if both have one and a timed segment before the last has an unfinished end, as far as two segments with timed
+    words stand in the cue. At most one in 0.45 seconds, and six."""
+    a, b = sentences(source), sentences(translation)
+    timed = F.filter(segments, lambda s: F.coalesce(F.exists(s["words"], lambda w: w["start"].isNotNull() & w["end"].isNotNull()), F.lit(False)))
+    heard = F.size(timed) >= 2
+    open_ = F.exists(F.slice(timed, F.lit(1), F.greatest(F.lit(0), F.size(timed) - 1)), lambda s: T.has_unfinished_tail(F.coalesce(s["text"], F.lit(""))))
+    told = F.when(heard & ((F.least(a, b) == 1) & (F.greatest(a, b) == 2) | (F.greatest(a, b) == 1) & open_), 2).otherwise(1)
+    count = F.when((a == b) & (a > 1), a).otherwise(told)
+    return F.when(whole, 1).otherwise(F.least(count, F.greatest(F.lit(1), F.floor(seconds / LEAST_PART)), F.lit(MOST_PARTS))).cast("int")
+
+
+class Cuts:
+    """Places where a text may be cut, and what each costs."""
+
+    def __init__(self, text: str):
+        self.text, self.n = text, len(text)
+        units = [_units(c) for c in text]
+        self.width = np.concatenate([[0], np.cumsum(units)])
+        self.total = max(1, int(self.width[-1]))
+        self.ink = np.concatenate([[0], np.cumsum([not c.isspace() for c in text])])
+
+    def sentence_ends(self) -> list[int]:
+        out = []
+        for i, c in enumerate(self.text[:-1], 1):
+            if c in STRONG:
+                while i < self.n and self.text[i] in CLOSERS:
+                    i += 1
+                if self.ink[-1] > self.ink[i]:
+                    out.append(i)
+        return out
+
+    def at_share(self, share: float) -> int:
+        at = int(np.searchsorted(self.width, self.total * share))
+        return max(1, self.n - 1) if at > self.n else max(1, at)
+
+    def kinds(self, liked: set[int]) -> np.ndarray:
+        out = np.full(self.n, ELSEWHERE)
+        for i in range(1, self.n):
+            before, after = self.text[i - 1], self.text[i]
+            if before in STRONG:
+                out[i] = AT_STRONG
+            elif i in liked:
+                out[i] = AT_SEGMENT
+            elif before.isspace() or after.isspace():
+                out[i] = AT_SPACE
+            elif before in SOFT:
+                out[i] = AT_SOFT
+        return out
+
+    def inside(self) -> np.ndarray:
+        """Whether an ASCII word reaches across each place."""
+        letter = np.array([c.isascii() and c.isalnum() for c in self.text])
+        return np.concatenate([[False], letter[:-1] & letter[1:]])
+
+
+def cut_text(text: str, n: int, most: int, wished: list[float] | None = None, segments: list[float] | None = None) -> tuple[list[str], list[float]]:
+    """n parts of a text and the shares of its width at the cuts; nothing if it can't be cut into so many.
+
+    At inner sentence ends, if there are as many as needed. Else one cut after the other where the distance
+    to the wished share (even ones, if none are given), the kind of the place and parts wider than `most` cost least;
+    places at the shares of `segments` are liked."""
+    cuts = Cuts(text := text.strip())
+    places = cuts.sentence_ends()
+    exact = len(places) == n - 1
+    if not exact:
+        places, before = [], 0
+        base, inside = cuts.kinds({cuts.at_share(s) for s in segments or [] if 0 < s < 1}), cuts.inside()
         for k in range(1, n):
-            want = width[-1] * k / n
-            spots = range(before + 1, len(text) - (n - k) + 1)
-
-            def cost(i: int) -> tuple:
-                c = text[i - 1]
-                kind = 0 if c in STRONG else 1 if c in SOFT or c.isspace() or text[i].isspace() else 3 if c.isalnum() and c.isascii() and text[i].isalnum() and text[i].isascii() else 2
-                return (width[i] - width[before] > most, abs(width[i] - want) + 6 * kind, i)  # noqa: B023
-
-            before = min(spots, key=cost)
-            ends.append(before)
-    return [text[a:b].strip() for a, b in zip([0, *ends], [*ends, len(text)], strict=True)]
-
-
-def split_events(cues: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """Cues (section_id, pos, start, end, source_text, translation) that are too long cut into parts, renumbered. Times
-    follow the width of the parts, moved to the nearest end of a word (section_id, pos, at) if there is one, at
-    least 0.35 s apart and with 0.02 s between parts."""
+            share = wished[k - 1] if wished and k <= len(wished) else k / n
+            spots = np.arange(before + 1, cuts.n)
+            spots = spots[(cuts.ink[spots] > cuts.ink[before]) & (cuts.ink[-1] > cuts.ink[spots])]
+            if len(spots):
+                left, right = cuts.width[spots] - cuts.width[before], cuts.width[-1] - cuts.width[spots]
+                cost = base[spots] + np.maximum(0, left - most) / most * TOO_WIDE + np.maximum(0, right - most * (n - k)) / most * TOO_WIDE
+                cost = np.where(inside[spots], cost + IN_WORD, cost)
+                before = int(spots[np.argmin(np.abs(cuts.width[spots] / cuts.total - share) + cost)])
+            else:
+                before = max(before + 1, min(cuts.n - 1, cuts.at_share(share)))
+            places.append(before)
+    parts = [text[a:b].strip() for a, b in zip([0, *places], [*places, cuts.n], strict=True)]
+    if not exact and not all(parts):
+        return [], []
+    return parts, [float(cuts.width[p] / cuts.total) for p in places]
+
+
+def cut_times(start: float, end: float, shares: list[float], segments: list) -> list[float]:
+    """Times of the cuts: the end of the word whose share of all words' width is nearest, among those that leave 0.35
+    seconds to the cut before and to each part behind; without one the share of the time, moved into these bounds."""
+    words = [w for s in segments for w in (s["words"] if s["words"] is not None and len(s["words"]) else [s])]
+    widths = np.cumsum([max(1, sum(map(_units, w["text"] or ""))) for w in words])
+    marks = [(float(x / widths[-1]), float(w["end"])) for x, w in zip(widths[:-1], words[:-1], strict=True)]
+    out, before = [], start
+    for k, share in enumerate(shares):
+        low, high = before + LEAST_SHIFT, end - LEAST_SHIFT * (len(shares) - k)
+        near = [m for m in marks if low <= m[1] <= high]
+        before = round(min(near, key=lambda m: abs(m[0] - share))[1] if near else min(max(low, start + (end - start) * share), high), 3)  # noqa: B023
+        out.append(before)
+    return out
+
+
+def split_events(cues: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """Cues (section_id, pos, start, end, source_text, translation and, if known, evidence, merged) cut into
+    sentences, renumbered. segments (section_id, start, end, text, words: array of start, end, text) inside a cue tell
+    where; cues that were joined from openings stay whole. Both texts are cut into equally many parts or neither
+    is. Columns: section_id, pos, part, start, end, source_text, translation, merged, new_pos."""
     kind = cues.schema["section_id"].dataType.simpleString()
-    ends = cues.select("section_id", "pos", F.array().cast("array<double>").alias("_w")) if words is None else words.groupBy("section_id", "pos").agg(F.array_sort(F.collect_list("at")).alias("_w"))
-    base = cues.select("section_id", "pos", "start", "end", F.coalesce("source_text", F.lit("")).alias("source_text"), F.coalesce("translation", F.lit("")).alias("translation"))
-    base = base.withColumn("_n", part_count(F.col("source_text"), F.col("translation")))
-    whole = base.where("_n = 1").select("section_id", "pos", F.lit(0).alias("part"), "start", "end", "source_text", "translation")
-    long = base.where("_n > 1").join(ends, ["section_id", "pos"], "left")
+    word = "array<struct<start:double,end:double,text:string>>"
+    found = f"array<struct<start:double,end:double,text:string,words:{word}>>"
+    joined = F.coalesce(F.col("merged"), F.lit(False)) if "merged" in cues.columns else F.lit(False)
+    told = F.coalesce(F.array_contains("evidence", "timed_prefix_merge"), F.lit(False)) if "evidence" in cues.columns else F.lit(False)
+    base = cues.select("section_id", "pos", "start", "end", F.coalesce("source_text", F.lit("")).alias("source_text"), F.coalesce("translation", F.lit("")).alias("translation"), joined.alias("merged"), (joined | told).alias("_whole"))
+    if segments is None:
+        base = base.withColumn("_g", F.array().cast(found))
+    else:
+        met = matching_segments(base.select("section_id", "pos", "start", "end"), segments.select("section_id", "start", "end", "text", F.col("words").cast(word).alias("words")))
+        own = met.groupBy("section_id", "pos").agg(F.array_sort(F.collect_list(F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end"), F.col("r_text").alias("text"), F.col("r_words").alias("words")))).alias("_g"))
+        base = base.join(own, ["section_id", "pos"], "left").withColumn("_g", F.coalesce("_g", F.array().cast(found)))
+    base = base.withColumn("_n", part_count(F.col("source_text"), F.col("translation"), F.col("end") - F.col("start"), F.col("_g"), F.col("_whole"))).drop("_whole")
+    names = ["section_id", "pos", "part", "start", "end", "source_text", "translation", "merged"]
+    whole = base.where("_n = 1").select("section_id", "pos", F.lit(0).alias("part"), *names[3:])
 
     def cut(batches):
         for b in batches:
             rows = []
-            for x in b.itertuples(index=False):
-                n = min(int(x[6]), max(1, math.floor((x.end - x.start) / 0.35)))
-                s, t = cut_text(x.source_text, n, SOURCE_UNITS), cut_text(x.translation, n, TRANSLATION_UNITS)
-                widths = [max(1, sum(map(_units, p))) for p in s]
-                marks = [] if x[7] is None else [float(w) for w in x[7]]
-                at = [x.start]
-                for k in range(1, n):
-                    want = x.start + (x.end - x.start) * sum(widths[:k]) / sum(widths)
-                    low, high = at[-1] + 0.35, x.end - 0.35 * (n - k)
-                    near = [w for w in marks if low <= w <= high]
-                    at.append(min(near, key=lambda w: abs(w - want)) if near else min(max(want, low), high))  # noqa: B023
-                at.append(x.end)
-                for k in range(n):
-                    rows.append((x.section_id, x.pos, k, at[k] + (0.02 if k else 0.0), at[k + 1], s[k], t[k]))
-            yield pd.DataFrame(rows, columns=["section_id", "pos", "part", "start", "end", "source_text", "translation"])
-
-    parts = long.mapInPandas(cut, f"section_id {kind}, pos bigint, part int, start double, end double, source_text string, translation string")
+            for x in b.rename(columns={"_g": "heard", "_n": "parts"}).itertuples(index=False):
+                widths = np.cumsum([max(1, sum(map(_units, s["text"] or ""))) for s in x.heard])
+                shares = [float(w / widths[-1]) for w in widths[:-1]]
+                source, at = cut_text(x.source_text, x.parts, SOURCE_UNITS, segments=shares)
+                target, _ = cut_text(x.translation, x.parts, TRANSLATION_UNITS, wished=at)
+                if not source or not target:
+                    rows.append((x.section_id, x.pos, 0, x.start, x.end, x.source_text, x.translation, x.merged))
+                    continue
+                times = [x.start, *cut_times(x.start, x.end, at, x.heard), x.end]
+                for k in range(x.parts):
+                    rows.append((x.section_id, x.pos, k, round(times[k], 3), round(times[k + 1] - (PART_GAP if k < x.parts - 1 else 0.0), 3), source[k], target[k], x.merged))
+            yield pd.DataFrame(rows, columns=names)
+
+    parts = base.where("_n > 1").mapInPandas(cut, f"section_id {kind}, pos bigint, part int, start double, end double, source_text string, translation string, merged boolean")
     number = F.row_number().over(Window.partitionBy("section_id").orderBy("pos", "part")) - 1
     return whole.unionByName(parts).withColumn("new_pos", number)
 
 
 def reflow_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Cues before and after, and the widest line of each section."""
-    units = lambda d, name, n: d.groupBy("section_id").agg(F.count("*").alias(n), F.max(T.display_units(F.coalesce("source_text", F.lit("")))).alias(name))
-    j = units(before, "units_before", "cues_before").join(units(after, "units_after", "cues_after"), "section_id", "left").na.fill(0)
-    change = F.col("cues_after") - F.col("cues_before")
-    return j.withColumns({"splits": F.greatest(F.lit(0), change), "merges": F.greatest(F.lit(0), -change)})
+    """Of each section the cues before and after, those that were cut, those joined to an opening, and the widest
+    source text and translation. after: as split_events() returns it."""
+    old = before.groupBy("section_id").agg(F.count("*").alias("cues_before"))
+    units = lambda c: F.max(T.display_units(F.coalesce(c, F.lit(""))))
+    new = after.groupBy("section_id").agg(F.count("*").alias("cues_after"), F.count_if(F.col("part") == 1).alias("splits"), F.count_if((F.col("part") == 0) & F.col("merged")).alias("merges"), units("source_text").alias("source_units"), units("translation").alias("translation_units"))
+    return old.join(new, "section_id", "left").na.fill(0)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import reading as rd
+from ..functions import text as T
 from ..functions import timecode as C
 from ..operators import gates as g
 from .adapters import TALK, read, talk
@@ -27,11 +28,20 @@ def t17_reading_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talk(spark, sf_dir).select("section_id", "pos", F.array_join(rd.reading_hits(F.col("text"), READINGS), ",").alias("value"))
 
 
+#: Kana for small and capital letters: all rows, small kana and both scripts among them.
+_SMALL, _CAPITAL = "かシうツてぃんふっぎじょあをゔぇリゃハぴデゅズゐぬコ", "ヱァゾベミやヲチユレワのエもヴザぼソゥパゴォムグダキ"
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_PARTS = "|".join(k for k in rd.kana_table() if len(k) == 2)
+_PLAIN = f"translate(translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{_LETTERS + _LETTERS.upper()}', '{_SMALL + _CAPITAL}'), '{T.KATAKANA}', '{T.HIRAGANA}')"
+_MAP = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in rd.kana_table().items()) + "}"
+
+
 def _kana(column: str) -> Column:
-    return F.translate(F.lower(F.regexp_replace(column, "[^A-Ja-j ー]", "")), "abcdefghij", "かシゃつーんぱぎョあ")
+    return F.translate(F.regexp_replace(column, "[^A-Za-z]", ""), _LETTERS + _LETTERS.upper(), _SMALL + _CAPITAL)
 
 
-@query()
+@query(f"""WITH {TALK}, p AS (SELECT section_id, pos, regexp_extract_all({_PLAIN}, '{_PARTS}|.') AS p FROM talk)
+SELECT section_id, pos, array_to_string(list_transform(p, lambda x: {_MAP}[x]), ' ') AS phones, 'unknown:' || list_filter(p, lambda x: {_MAP}[x] IS NULL)[1] AS error FROM p""")
 def t18_kana_to_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letters of turns, put as kana."""
     p = rd.kana_to_phones(_kana("text"))

@@ -267,16 +267,41 @@ def w8_merge_short_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reflow.merge_short_prefixes(_speech(spark, sf_dir))
 
 
+def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns as cues, and transcript segments: a turn's words by eights, at even steps of its time. Every second
+    turn's translation has commas in place of its full stops."""
+    t = talk(spark, sf_dir).where("trim(text) <> ''").withColumn("w", F.split(F.trim("text"), "\\s+"))
+    c = t.select("section_id", "pos", "start", "end", F.col("text").alias("source_text"), F.when(F.col("pos") % 2 == 1, F.translate("text", ".", ",")).otherwise(F.col("text")).alias("translation"))
+    step = (F.col("end") - F.col("start")) / F.size("w")
+    word = F.struct((F.col("start") + step * F.col("k")).alias("start"), (F.col("start") + step * (F.col("k") + 1)).alias("end"), F.col("text").alias("text"))
+    each = t.select("section_id", "pos", "start", "end", "w", F.posexplode("w").alias("k", "text")).select("section_id", "pos", F.floor(F.col("k") / 8).alias("g"), "k", word.alias("word"))
+    g = each.groupBy("section_id", "pos", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("words"))
+    return c, g.select("section_id", F.get("words", F.lit(0))["start"].alias("start"), F.element_at("words", -1)["end"].alias("end"), F.array_join(F.transform("words", lambda x: x["text"]), " ").alias("text"), "words")
+
+
 @query()
 def w9_split_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = talk(spark, sf_dir).select("section_id", "pos", "start", "end", F.col("text").alias("source_text"), F.col("text").alias("translation"))
-    return reflow.split_events(t)
+    return reflow.split_events(*_spoken(spark, sf_dir))
+
+
+def _sentences(text: str) -> str:
+    bare = f"regexp_replace({text}, '^[{TX.SPACE}]+|[{TX.SPACE}]+$', '', 'g')"
+    closers = TX.CLOSERS.replace("'", "''")
+    return f"(length({bare}) - length(regexp_replace({bare}, '[{TX.STRONG}]', '', 'g')) - CAST(regexp_matches({bare}, '[{TX.STRONG}][{closers}]*$') AS INTEGER) + 1)"
+
+
+@query(f"""WITH {TALK}, c AS (SELECT section_id, pos, "end" - start AS seconds, text, CASE WHEN pos % 2 = 1 THEN translate(text, '.', ',') ELSE text END AS translation, len(regexp_split_to_array(trim(text), '\s+')) AS w FROM talk WHERE trim(text) <> ''),
+n AS (SELECT *, {_sentences("text")} AS a, {_sentences("translation")} AS b FROM c), k AS (SELECT *, CASE WHEN a = b AND a > 1 THEN a WHEN w > 8 AND least(a, b) = 1 AND greatest(a, b) = 2 THEN 2 ELSE 1 END AS told FROM n)
+SELECT section_id, pos, CAST(greatest(1, least(told, greatest(1, floor(seconds / CAST(0.45 AS DOUBLE))), 6)) AS INTEGER) AS parts FROM k""")
+def w9_part_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reflow.split_events(*_spoken(spark, sf_dir)).groupBy("section_id", "pos").agg(F.count("*").cast("int").alias("parts"))
 
 
 @query()
 def a16_reflow_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = talk(spark, sf_dir).select("section_id", "pos", "start", "end", F.col("text").alias("source_text"), F.col("text").alias("translation"))
-    return reflow.reflow_metrics(t, reflow.split_events(t))
+    c, heard = _spoken(spark, sf_dir)
+    c = c.withColumns({"speakers": F.array(F.lit("a")), "evidence": F.array().cast("array<string>")})
+    return reflow.reflow_metrics(c, reflow.split_events(reflow.merge_short_prefixes(c), heard))
 
 
 @query(f"""WITH {TALK}, {_FLAT} SELECT section_id, pos, CASE WHEN pos % 2 = 0 THEN 'ann,bob' ELSE 'bob' END AS speakers FROM flat""")

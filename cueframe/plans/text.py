@@ -59,7 +59,8 @@ _W = f"(list_max(list_transform(string_split(text, chr(10)), lambda x: length(x)
 _each("t6_fit_scale", lambda: T.fit_scale(T.line_width(_text(), 48), 1760.0), f"CAST(CASE WHEN {_W} <= 1760 THEN 100 ELSE greatest(50, least(100, floor(CAST(1760 AS DOUBLE) / {_W} * 100))) END AS INTEGER)")
 _each("t8_mc_punctuation", lambda: T.normalize_mc_punctuation(F.concat(_text(), F.lit(" 3.14, a... b.."))), mc_sql("(text || ' 3.14, a... b..')"))
 _each("t9_review_placeholder", lambda: T.has_review_placeholder(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(_text(), F.lit(" [TODO]"))).otherwise(_text())), f"regexp_matches(CASE WHEN pos % 3 = 0 THEN text || ' [TODO]' ELSE text END, '{_q(T.REVIEW_MARK)}')")
-_each("t10_lyric_metadata", lambda: T.is_lyric_metadata(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(F.lit("Lyrics: "), _text())).when(F.pmod("pos", F.lit(3)) == 1, "[Verse 2]").otherwise(_text())), "pos % 3 <> 2")
+_CREDITED = "trim(CASE WHEN pos % 3 = 0 THEN 'Lyrics: ' || text WHEN pos % 3 = 1 THEN '[Verse 2]' ELSE text END)"
+_each("t10_lyric_metadata", lambda: T.is_lyric_metadata(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(F.lit("Lyrics: "), _text())).when(F.pmod("pos", F.lit(3)) == 1, "[Verse 2]").otherwise(_text())), f"regexp_matches({_CREDITED}, '{_q(T.CREDIT).split('(?!')[0]}(?:[^\\p{{L}}\\p{{N}}_]|$)') OR regexp_matches({_CREDITED}, '{_q(T.SECTION_LABEL)}') OR regexp_matches({_CREDITED}, '{_q(T.LRC_TAG)}')")
 _V = "(CASE WHEN pos % 2 = 0 THEN regexp_replace(lower(text), '[a-z]+', 'la', 'g') ELSE lower(text) END)"
 _each(
     "t11_ascii_chant",
@@ -73,7 +74,7 @@ def _titled() -> Column:
 
 
 _each("t12_clean_title", lambda: T.clean_title(_titled()), "trim(regexp_replace(regexp_replace(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) || ' (Official Video) x', '(?i)\\s+from\\s+.*$', ''), ' \\(Official Video\\).*$', ''))")
-_each("t12_clean_artist", lambda: T.clean_artist(F.concat(F.col("role"), F.lit(" Official YouTube Channel"))), "role")
+_each("t12_clean_artist", lambda: T.clean_artist(F.concat("text", F.lit(" Official YouTube Channel"))), f"coalesce(nullif(trim(regexp_replace(trim(text || ' Official YouTube Channel'), '{T.CHANNEL}', '')), ''), trim(text || ' Official YouTube Channel'))")
 _each("t13_slugify", lambda: T.slugify(_text()), r"coalesce(nullif(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_\x{3040}-\x{30ff}\x{3400}-\x{9fff}.-]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'untitled')")
 _each("t13_filename_fault", lambda: T.valid_filename_component(_text()), r"""CASE WHEN trim(text) IN ('', '.', '..') THEN 'empty' WHEN length(trim(text)) > 128 THEN 'too_long' WHEN trim(text) LIKE '%.' THEN 'ends_with_dot'
   WHEN regexp_matches(trim(text), '[<>:"/\\|?*\x00-\x1F]') THEN 'illegal_character' WHEN lower(split_part(trim(text), '.', 1)) IN ('con', 'prn', 'aux', 'nul') THEN 'reserved_name' END""")
@@ -81,11 +82,18 @@ _each("t14_srt_time", lambda: C.srt(F.col("start")), "format('{:02d}:{:02d}:{:02
 _each("t14_ass_time", lambda: C.ass(F.col("end")), "format('{}:{:02d}:{:02d}.{:02d}', cs // 360000, cs // 6000 % 60, cs // 100 % 60, cs % 100)".replace("cs", "CAST(round_even(\"end\" * 100, 0) AS BIGINT)"))
 _each("t14_review_time", lambda: C.review(F.col("start") * 100), "CASE WHEN ms >= 3600000 THEN format('{:02d}:', ms // 3600000) ELSE '' END || format('{:02d}:{:02d}.{:03d}', ms // 60000 % 60, ms // 1000 % 60, ms % 1000)".replace("ms", "CAST(round_even(start * 100 * 1000, 0) AS BIGINT)"))
 _each("t14_parse_time", lambda: C.parse_ms(C.srt(F.col("start"))), "CAST(round_even(start * 1000, 0) AS BIGINT)")
-_each("t21_split_bilingual", lambda: T.split_bilingual(F.when(F.pmod("pos", F.lit(2)) == 0, F.concat(F.lit("かな\n"), F.col("role"))).otherwise(F.concat(F.col("role"), F.lit("\n\n 漢字 "))))["chinese"], "role")
+_TWO = "CASE WHEN pos % 3 = 0 THEN 'かな' || chr(10) || text WHEN pos % 3 = 1 THEN text || chr(10) || chr(10) || ' カナ ' ELSE text || chr(10) || role END"
+_LINES2 = f"list_filter(list_transform(string_split({_TWO}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+_each(
+    "t21_split_bilingual",
+    lambda: T.split_bilingual(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(F.lit("かな\n"), "text")).when(F.pmod("pos", F.lit(3)) == 1, F.concat("text", F.lit("\n\n カナ "))).otherwise(F.concat("text", F.lit("\n"), "role")))["chinese"],
+    f"CASE WHEN len({_LINES2}) = 2 THEN CASE WHEN regexp_matches(({_LINES2})[1], '[぀-ヿ]') AND NOT regexp_matches(({_LINES2})[2], '[぀-ヿ]') THEN ({_LINES2})[2] ELSE ({_LINES2})[1] END END",
+)
+_MARKS = _q(T.CLOSERS + T.STRONG + T.SOFT)
 _each("t22_strong_end", lambda: T.has_strong_end(_text()), "regexp_matches(rtrim(rtrim(trim(text), '”’」』）》】\"'''), ' '), '[。！？?!；;]$')")
-_each("t22_unfinished_tail", lambda: T.has_unfinished_tail(F.when(F.pmod("pos", F.lit(2)) == 0, F.concat(_text(), F.lit("けど、"))).otherwise(_text())), "pos % 2 = 0")
-_each("t22_short_reply", lambda: T.is_short_reply(F.when(F.pmod("pos", F.lit(3)) == 0, "そう です。").otherwise(_text())), "pos % 3 = 0")
-_each("t22_continuation", lambda: T.has_continuation_evidence(F.array(F.when(F.pmod("pos", F.lit(3)) == 0, "Sentence_Unfinished").otherwise(F.col("role")))), "pos % 3 = 0")
+_each("t22_unfinished_tail", lambda: T.has_unfinished_tail(F.when(F.pmod("pos", F.lit(2)) == 0, F.concat(_text(), F.lit("けど、"))).otherwise(_text())), f"regexp_matches(trim(rtrim(trim(CASE WHEN pos % 2 = 0 THEN text || 'けど、' ELSE text END), '{_MARKS}')), '(?:{'|'.join(T.UNFINISHED)})$')")
+_each("t22_short_reply", lambda: T.is_short_reply(F.when(F.pmod("pos", F.lit(3)) == 0, "そう です。").otherwise(_text())), f"replace(trim(rtrim(trim(CASE WHEN pos % 3 = 0 THEN 'そう です。' ELSE text END), '{_MARKS}')), ' ', '') IN {T.SHORT_REPLIES}")
+_each("t22_continuation", lambda: T.has_continuation_evidence(F.array(F.when(F.pmod("pos", F.lit(3)) == 0, "Sentence_Unfinished").otherwise(F.col("role")))), "regexp_matches(lower(CASE WHEN pos % 3 = 0 THEN 'Sentence_Unfinished' ELSE role END), 'continuation|continues_next|unfinished')")
 _each("t23_choose_lyric_text", lambda: T.choose_lyric_text(F.when(F.pmod("pos", F.lit(3)) == 0, F.concat(F.lit("[00:01.5]"), _text())).when(F.pmod("pos", F.lit(3)) == 1, _text()), F.when(F.pmod("pos", F.lit(6)) == 2, _text()))["kind"], "CASE WHEN pos % 3 = 0 THEN 'lrc' WHEN pos % 6 = 2 AND trim(text) <> '' THEN 'txt' WHEN pos % 3 = 1 AND trim(text) <> '' THEN 'txt' END")
 _OTHER = "(CASE WHEN pos % 3 = 0 THEN text WHEN pos % 3 = 1 THEN text || ' zz' ELSE role END)"
 
@@ -104,6 +112,22 @@ def t7_wrap_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talk(spark, sf_dir).select("section_id", "pos", T.wrap_display(_text(), 38).alias("wrapped"))
 
 
+_KANA = "かサなタはマらキしチにヒみリうクすツぬフむユるケせテ"
+
+
+def _sung(text: str, kana: str) -> Column:
+    return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", kana)
+
+
+_LOW = "translate(regexp_replace(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{0}')"
+_HIRA, _KATA = "".join(map(T.kana_folded, _KANA)), "".join(T.KATAKANA[T.HIRAGANA.index(T.kana_folded(c))] for c in _KANA)
+_each(
+    "t15_by_reading",
+    lambda: T.contained_similarity(_sung("text", _KANA), F.concat(_sung("text", _KATA), F.when(F.pmod("pos", F.lit(2)) == 0, "ン").otherwise(F.col("role")))),
+    f"(SELECT CASE WHEN len(a) = 0 THEN 0 ELSE greatest(CASE WHEN contains(b, a) THEN length(a) / length(b) END, length(a) / length(b)) END FROM (SELECT {_LOW.format(_HIRA)} AS a, {_LOW.format(_HIRA)} || CASE WHEN pos % 2 = 0 THEN 'ん' ELSE role END AS b))",
+)
+
+
 @query()
 def t15_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn against the one before it."""
