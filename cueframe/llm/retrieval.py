@@ -30,6 +30,8 @@ SHARD_TOKENS, SHARD_DOCS = 1 << 20, 1 << 14
 #: Bytes of finished pieces that a Python worker keeps, text bytes that are tokenized at once.
 KEPT_BYTES, BATCH_BYTES = 96 << 20, 4 << 20
 K1, B = 1.2, 0.75
+#: Words that are tokenized in one row; how byte-level vocabularies write a space.
+ROW_WORDS, SPACE = 512, "\u0120"
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -51,16 +53,34 @@ class ByteIds:
         self.special = "|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values())
         self.vocabulary = self.whole.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.spaced = np.zeros(self.vocabulary, bool)
+        self.spaced[[i for token, i in self.whole.get_vocab(with_added_tokens=False).items() if token[0] == SPACE]] = True
         self.kept = Kept(KEPT_BYTES)
 
     def _known(self, pieces: list[str]) -> list[bytes]:
         out = [self.kept.get(p) for p in pieces]
         todo = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(todo, self.whole.encode_batch_fast([pieces[i] for i in todo], add_special_tokens=False), strict=True):
+        # words behind one space stand apart also in a row of them, where each begins with the only tokens that do
+        words = [i for i in todo if self._is_word(pieces[i])]
+        rows = ["".join([pieces[i] for i in words[k : k + ROW_WORDS]]) for k in range(0, len(words), ROW_WORDS)]
+        ids = [np.array(e.ids, self.kind) for e in self.whole.encode_batch_fast(rows, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, self.kind)
+        size, raw = self.kind.itemsize, ids.tobytes()
+        starts = (np.flatnonzero(self.spaced[ids]) * size).tolist()
+        for i, j, k in zip(words, starts, [*starts[1:], len(raw)], strict=True):
+            out[i] = raw[j:k]
+        rest = [i for i in todo if out[i] is None]
+        for i, e in zip(rest, self.whole.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, self.kind).tobytes()
+        for i in todo:
             self.kept.put(pieces[i], out[i])
         return out
 
+    @staticmethod
+    def _is_word(piece: str) -> bool:
+        """One space, then characters that are no white space (nor a part of special tokens)."""
+        return piece[0] == " " and piece.find(" ", 1) < 0 and not (piece[1:2].isspace() or piece[-1].isspace() or "<" in piece or "|" in piece)
+
     @staticmethod
     def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where pieces begin: as kind_cuts(), and before ASCII white space behind a character beyond ASCII.
