@@ -1,7 +1,8 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-A rotation is learnt on a bounded sample so that the signs of the rotated, centred vectors lose little
-(iterative quantisation); the signs are a 64-bit code. The code is cut into substrings, one hash table for
+A rotation is learnt on a bounded sample so that the signs of the rotated vectors lose little (iterative
+quantisation); the signs are a 64-bit code. The cosine is an angle seen from the origin, so vectors are rotated as
+they are: signs seen from their mean would tell apart vectors that lie close together beside it. The code is cut into substrings, one hash table for
 each: close vectors agree in at least one of them. Large labels take longer substrings and, as these agree
 less often, further tables of bits drawn anew, so that as many links are found as by the short ones. Members of a bucket are compared block against block
 with their original vectors, so only vectors with the cosine asked for are linked, and a pair that met in
@@ -40,34 +41,32 @@ class ItqRule:
     block: int = 1024
 
 
-def learn_rotation(x: np.ndarray, bits: int = 64, rounds: int = 40, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x bits) whose signs quantise the rows of x best."""
+def learn_rotation(x: np.ndarray, bits: int = 64, rounds: int = 40, seed: int = 1) -> np.ndarray:
+    """Projection (dimensions x bits) whose signs quantise the rows of x best."""
     dim = x.shape[1]
-    mean = x.mean(axis=0) if len(x) else np.zeros(dim)
     rng = np.random.default_rng(seed)
-    centred = x - mean
-    cov = centred.T @ centred / max(1, len(x)) + 1e-9 * np.eye(dim)
-    _, axes = np.linalg.eigh(cov)
+    moment = x.T @ x / max(1, len(x)) + 1e-9 * np.eye(dim)
+    _, axes = np.linalg.eigh(moment)
     axes = axes[:, ::-1][:, :bits]
     if axes.shape[1] < bits:  # fewer dimensions than bits: random directions for the rest
         extra = rng.standard_normal((dim, bits - axes.shape[1]))
         axes = np.concatenate([axes, extra / np.linalg.norm(extra, axis=0)], axis=1)
-    v = centred @ axes
+    v = x @ axes
     r = np.linalg.qr(rng.standard_normal((bits, bits)))[0]
     for _ in range(rounds if len(x) else 0):
         b = np.where(v @ r >= 0, 1.0, -1.0)
         u, _, w = np.linalg.svd(b.T @ v)
         r = (u @ w).T
-    return mean, axes @ r
+    return axes @ r
 
 
-def drawn_rotation(dim: int, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """A mean of zero and random directions, the same for every vector of this length."""
-    return np.zeros(dim), np.random.default_rng(dim).standard_normal((dim, bits))
+def drawn_rotation(dim: int, bits: int = 64) -> np.ndarray:
+    """Random directions, the same for every vector of this length."""
+    return np.random.default_rng(dim).standard_normal((dim, bits))
 
 
-def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    signs = ((x - mean) @ projection >= 0).astype(np.uint64)
+def codes(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    signs = (x @ projection >= 0).astype(np.uint64)
     return (signs << np.arange(signs.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
@@ -185,7 +184,7 @@ def link(vectors: DataFrame, rule: ItqRule = ItqRule()) -> DataFrame:
             out = np.zeros(b.num_rows, np.uint64)
             for d in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == d)
-                out[at] = codes(_unit(b.column(2).take(pa.array(at))), *(models.get(d) or drawn_rotation(d)))
+                out[at] = codes(_unit(b.column(2).take(pa.array(at))), models[d] if d in models else drawn_rotation(d))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(out.view(np.int64))], names=["rep", "many", "embedding", "label", "code"])
 
     label_type = reps.schema["label"].dataType.simpleString()
@@ -251,3 +250,20 @@ def link(vectors: DataFrame, rule: ItqRule = ItqRule()) -> DataFrame:
     linked = good.join(of_rep, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = vectors.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x,
+        label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0 AS good
+    FROM embeddings
+), pairs AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+    WHERE a.good AND b.good AND list_cosine_similarity(a.x, b.x) >= 0.98
+), reach AS (
+    SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+)
+SELECT vec_id, (SELECT count(*) FROM pairs WHERE a = vec_id) AS n_links, least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS component_id,
+    vec_id = least(vec_id, coalesce((SELECT min(b) FROM reach WHERE a = vec_id), vec_id)) AS kept
+FROM v
+"""

@@ -433,14 +433,30 @@ def test_vector_links_at_every_substring_length(bits):
     side = r.normal(size=x.shape)
     side -= (side * x).sum(axis=1, keepdims=True) * x
     y = 0.98 * x + np.sqrt(1 - 0.98**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
-    mean, projection = itq.learn_rotation(x)
-    apart = itq.codes(x, mean, projection) ^ itq.codes(y, mean, projection)
+    projection = itq.learn_rotation(x)
+    apart = itq.codes(x, projection) ^ itq.codes(y, projection)
     masks = itq.table_masks(bits)
     assert all(m.bit_count() == bits for m in masks) and len(set(masks)) == len(masks)
     met = np.any([apart & np.uint64(m) == 0 for m in masks], axis=0)
     assert met.mean() >= 0.99
 
 
+@pytest.mark.parametrize("mean,noise,dim", [(0, 0.14, 64), (3, 0.3, 64), (1, 0.12, 64), (1, 0.3, 64), (0.3, 0.2, 256), (5, 0.5, 256), (2, 0.4, 16)])
+def test_vector_links_beside_a_shared_mean(spark, mean, noise, dim):
+    """Centred, shifted and clustered vectors: the cosine is seen from the origin, so no link may be lost."""
+    r = np.random.default_rng(int(10 * mean) + dim)
+    cluster = r.normal(size=(8, dim)) * (1 if mean == 0 else 0.15)
+    x = mean + cluster[np.arange(300) % 8] + noise * r.normal(size=(300, dim))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    np.fill_diagonal(linked, False)
+    got = {g.vec_id: g for g in itq.link(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()}
+    found = sum(g.n_links for g in got.values())
+    assert 0.99 * linked.sum() <= found <= linked.sum()
+    want = unite([(int(a), int(b)) for a, b in zip(*np.nonzero(linked), strict=True)], range(300))
+    assert sum(got[i].component_id != want[i] for i in range(300)) <= 3
+
+
 def test_vector_links_by_long_substrings(spark):
     r = np.random.default_rng(4)
     base = r.normal(size=(150, 64))
