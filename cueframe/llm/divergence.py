@@ -98,23 +98,49 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from stripes.spill()
 
 
+def _folded(rows: pa.RecordBatch, starts: np.ndarray, least_docs: int) -> pa.RecordBatch:
+    """One row for each group of equal keys (they begin at the starts) with enough documents."""
+    docs = np.add.reduceat(rows["docs"].to_numpy(), starts)
+    kept = np.flatnonzero(docs >= least_docs)
+    sizes = np.diff(np.append(starts, rows.num_rows))
+    own = pa.array(np.repeat(docs >= least_docs, sizes))
+    group = np.repeat(np.arange(len(kept)), sizes[kept])
+    lists = rows["sources"].filter(own)
+    names = lists.flatten().dictionary_encode()
+    many = max(1, len(names.dictionary))
+    key = group[pc.list_parent_indices(lists).to_numpy()] * many + names.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    key, counts = key[order], rows["counts"].filter(own).flatten().to_numpy()[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    sums = np.add.reduceat(counts, first) if len(first) else counts
+    at = pa.array(np.searchsorted(key[first] // many, np.arange(len(kept) + 1)).astype(np.int32))
+    sources = names.dictionary.take(pa.array(key[first] % many))
+    place = pa.array(starts[kept])
+    cols = [rows["lang"].take(place), rows["term"].take(place), pa.array(docs[kept]), pa.ListArray.from_arrays(at, sources), pa.ListArray.from_arrays(at, pa.array(sums))]
+    return pa.RecordBatch.from_arrays(cols, names=_SCHEMA.names)
+
+
 def merged(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """lang, term, docs, sources, counts of the terms that stand in enough documents of their language."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n, stripe = None, 0, {}
+        open_ = None  # rows of the last key, which may go on
         for b in batches:
-            out = []
-            for lang, term, more, sources, counts in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if (lang, term) != key:
-                    if n >= least_docs:
-                        out.append((*key, n, list(stripe), list(stripe.values())))
-                    key, n, stripe = (lang, term), 0, {}
-                n += more
-                for s, c in zip(sources, counts, strict=True):
-                    stripe[s] = stripe.get(s, 0) + c
-            yield _rows(out)
-        yield _rows([(*key, n, list(stripe), list(stripe.values()))] if n >= least_docs else [])
+            rows = b if open_ is None else pa.Table.from_batches([open_, b.cast(open_.schema)]).combine_chunks().to_batches()[0]
+            if not rows.num_rows:
+                continue
+            same = np.ones(rows.num_rows, bool)
+            same[0] = False
+            for c in ("lang", "term"):
+                same[1:] &= pc.equal(rows[c][1:], rows[c][:-1]).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(~same)
+            open_ = rows.slice(starts[-1])
+            if open_.num_rows > 64:
+                open_ = _folded(open_, np.zeros(1, np.int64), 0)
+            if len(starts) > 1:
+                yield _folded(rows.slice(0, starts[-1]), starts[:-1], least_docs)
+        if open_ is not None:
+            yield _folded(open_, np.zeros(1, np.int64), least_docs)
 
     lots = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return docs.mapInArrow(_fold, _STRIPE).repartition(lots, "lang", "term").sortWithinPartitions("lang", "term").mapInArrow(merge, _STRIPE)
