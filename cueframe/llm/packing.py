@@ -242,9 +242,13 @@ class Plan:
             self._keep(room, many, first)
 
 
+#: Group counts that are tried; with fewer large lengths than groups, each length is a group.
+GROUPS = (48, 192, 768)
+
+
 def best_plan(counts: dict[int, int], capacity: int) -> Plan:
     """The plan with the fewest sequences among several group counts and limits between large and small."""
-    tries = (Plan(counts, capacity, g, max(2, capacity // f)) for g in (48, 192, capacity) for f in (3, 6, 12))
+    tries = (Plan(counts, capacity, g, max(2, capacity // f)) for g in GROUPS for f in (3, 6, 12))
     return min(tries, key=lambda p: p.sequences)
 
 

@@ -383,6 +383,34 @@ def test_pipeline(spark, tmp_path):
     assert {x.doc_id for x in result} == set(private)
 
 
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Null texts and ids, repeated rows, ties, a long text, columns with clashing names, and no rows."""
+    import corpus_pipeline
+
+    r = random.Random(16)
+    text = lambda n: " ".join(f"{r.choice(['sol', 'mar', 'rio'])}{r.choice(['an', 'er', 'is'])}{r.randrange(90)}" for _ in range(n))
+    same, own = text(120), text(130)
+    docs = [(1, None), (2, ""), (3, same), (4, same), (5, own), (5, own), (None, text(140)), (None, None), (6, text(9000))]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, _kept string, kept_id int, c1 int, h int, all_spans string"
+    df = spark.createDataFrame([(i, t, "en", None, 0, "k", 1, 2, 3, "s") for i, t in docs], kind)
+    stages, wanted = dict(corpus_pipeline.STAGES), {"line dedup": [None, None, 1, 2, 3, 5, 5, 6], "near dedup": [None, None, 1, 2, 3, 5, 5, 6], "personal data": [None, None, 1, 2, 3, 4, 5, 5, 6]}
+    for name, stage in stages.items():
+        none = stage(spark, df.limit(0), str(tmp_path))
+        assert none.count() == 0, name
+        out = stage(spark, df, str(tmp_path))
+        if name == "packing":
+            assert out.where("start = 0").count() == len(docs)
+            continue
+        assert out.columns == df.columns, name
+        rows = out.collect()
+        assert all((x._kept, x.kept_id, x.c1, x.h, x.all_spans) == ("k", 1, 2, 3, "s") for x in rows)
+        ids = sorted((x.doc_id for x in rows), key=lambda i: (i is not None, i or 0))
+        if name == "quality":
+            assert set(ids) <= {None, 3, 4, 5, 6} and ids.count(3) == ids.count(4) and ids.count(5) in (0, 2)
+        else:
+            assert ids == wanted[name], name
+
+
 def plain_runs(docs, least=50):
     """Lines that go, by document: of every run of enough words that stands earlier without overlap."""
     gone, first = collections.defaultdict(set), {}
