@@ -1,5 +1,5 @@
 """Joins by time: overlap, containment, nearest, position. The key of the recording is always an equi key;
-ranges that may be long are met through time buckets, so a section never meets itself as a whole."""
+ranges are met on nodes of a time tree, so a section never meets itself as a whole."""
 
 from __future__ import annotations
 
@@ -9,22 +9,60 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numbers import round3
 
-BUCKET = 60.0  # seconds
+#: Seconds of a leaf of the time tree, children of a node (a power of two) and levels above the leaves.
+LEAF, CHILDREN, LEVELS = 60.0, 8, 4
 
 
-def _buckets(start: Column, end: Column, size: float = BUCKET) -> Column:
-    return F.explode(F.sequence(F.floor(start / size), F.floor(F.greatest(start, end) / size)))
+def cover(first: Column, last: Column) -> Column:
+    """The fewest nodes (level, node) of the time tree that hold the leaves from first to last: at each level what does
+    not fill a parent; the highest level has no parents."""
+    start = F.struct(first.cast("long").alias("low"), (last + 1).cast("long").alias("high"), F.array().cast("array<struct<level:int,node:bigint>>").alias("nodes"))
 
+    def nodes(low: Column, high: Column, level: Column) -> Column:
+        run = F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(run, lambda x: F.struct(level.cast("int").alias("level"), x.alias("node")))
 
-def overlapping(left: DataFrame, right: DataFrame, key: str, margin: float = 0.0, size: float = BUCKET) -> DataFrame:
-    """Pairs whose intervals (start, end) lie within `margin` of each other; left columns, and right ones
-    with the prefix r_. A pair that shares several buckets is taken in the first."""
-    a = left.withColumn("_b", _buckets(F.col("start") - margin, F.col("end") + margin, size))
-    b = right.select(F.col(key).alias("_k"), *[F.col(c).alias(f"r_{c}") for c in right.columns if c != key])
-    b = b.withColumn("_c", _buckets(F.col("r_start"), F.col("r_end"), size))
-    first = F.floor(F.greatest(F.col("start") - margin, F.col("r_start")) / size) == F.col("_b")
-    meet = (F.col("r_end") >= F.col("start") - margin) & (F.col("r_start") <= F.col("end") + margin)
-    return a.join(b, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")) & meet & first).drop("_k", "_b", "_c")
+    def step(acc: Column, level: Column) -> Column:
+        low, high = acc["low"], acc["high"]
+        up, down = F.ceil(low / CHILDREN).cast("long"), F.floor(high / CHILDREN).cast("long")
+        part = (up < down) & (level < LEVELS)
+        here = F.when(part, F.concat(nodes(low, up * CHILDREN, level), nodes(down * CHILDREN, high, level))).otherwise(nodes(low, high, level))
+        return F.struct(F.when(part, up).otherwise(0).alias("low"), F.when(part, down).otherwise(0).alias("high"), F.concat(acc["nodes"], here).alias("nodes"))
+
+    many = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda acc: acc["nodes"])
+    return F.when(first == last, F.array(F.struct(F.lit(0).alias("level"), first.cast("long").alias("node")))).otherwise(many)
+
+
+def above(nodes: Column) -> Column:
+    """All nodes above the given ones."""
+    parents = F.transform(nodes, lambda x: F.transform(F.sequence(F.lit(1), F.lit(LEVELS)), lambda k: F.when(k > x["level"], F.struct(k.alias("level"), F.floor(x["node"] / F.pow(F.lit(float(CHILDREN)), k - x["level"])).cast("long").alias("node")))))
+    return F.array_distinct(F.filter(F.flatten(parents), lambda x: x.isNotNull()))
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str, margin: float = 0.0, leaf: float = LEAF) -> DataFrame:
+    """Pairs whose intervals (start, end) lie within `margin` of each other; left columns, and right ones with the
+    prefix r_.
+
+    Intervals stand on nodes of a time tree, a logarithmic number each, however long they are. Two overlap if a
+    node of one is a node of the other or lies above one. A pair that meets at several nodes is taken at the one that
+    holds the later start."""
+
+    def placed(d: DataFrame, start: Column, end: Column, own_first: bool) -> DataFrame:
+        d = d.withColumn("_nodes", cover(F.floor(start / leaf), F.floor(F.greatest(start, end) / leaf)))
+        d = d.withColumn("_above", above(F.col("_nodes")))
+        mark = lambda nodes, own: F.transform(nodes, lambda x: F.struct(F.lit(own).alias("own"), x["level"].alias("level"), x["node"].alias("node")))
+        # left: its own nodes, and those above it; right: what may lie at or above it, and its own
+        at = F.concat(mark(F.col("_nodes"), True), mark(F.col("_above"), False)) if own_first else F.concat(mark(F.concat("_nodes", "_above"), True), mark(F.col("_nodes"), False))
+        return d.withColumn("_at", F.explode(at)).drop("_nodes", "_above")
+
+    others = [c for c in right.columns if c != key]
+    a = placed(left, F.col("start") - margin, F.col("end") + margin, True).withColumns({"_own": F.col("_at.own"), "_level": F.col("_at.level"), "_node": F.col("_at.node")}).drop("_at")
+    b = placed(right.select(F.col(key).alias("_k"), *[F.col(c).alias(f"r_{c}") for c in others]), F.col("r_start"), F.col("r_end"), False)
+    b = b.select("_k", F.col("_at.own").alias("_o"), F.col("_at.level").alias("_l"), F.col("_at.node").alias("_n"), *[f"r_{c}" for c in others])
+    met = (F.col(key) == F.col("_k")) & (F.col("_own") == F.col("_o")) & (F.col("_level") == F.col("_l")) & (F.col("_node") == F.col("_n"))
+    later = F.floor(F.floor(F.greatest(F.col("start") - margin, F.col("r_start")) / leaf) / F.pow(F.lit(float(CHILDREN)), F.col("_level"))) == F.col("_node")
+    near = (F.col("r_end") >= F.col("start") - margin) & (F.col("r_start") <= F.col("end") + margin)
+    return a.join(b, met & near & later).drop("_k", "_own", "_level", "_node", "_o", "_l", "_n")
 
 
 def to_absolute(cues: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,15 +185,56 @@ def overlay_edits(rows: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFra
     return out, checked.where("code IS NOT NULL").select("track_id", "line", "code")
 
 
+#: A prime, and a base of polynomials modulo it.
+PRIME, BASE = 2147483647, 1318926965
+
+
+def _power(exponent: Column) -> Column:
+    """BASE ** exponent modulo PRIME, by squares."""
+    squares, x = [], BASE
+    for _ in range(40):
+        squares.append(x)
+        x = x * x % PRIME
+    bits = F.transform(F.array(*map(F.lit, squares)), lambda s, k: F.when(F.getbit(exponent, k) == 1, s.cast("long")).otherwise(F.lit(1).cast("long")))
+    return F.aggregate(bits, F.lit(1).cast("long"), lambda acc, x: acc * x % PRIME)
+
+
+def _rolled(rows: DataFrame, salt: str) -> DataFrame:
+    """rows (track_id, _i from 0, _t) with _sum: the polynomial of the hashes of the texts up to this one."""
+    term = F.pmod(F.xxhash64("_t", F.lit(salt)), F.lit(PRIME)) * _power(F.col("_i")) % PRIME
+    return rows.withColumn("_sum", F.sum(term).over(Window.partitionBy("track_id").orderBy("_i").rowsBetween(Window.unboundedPreceding, Window.currentRow)) % PRIME)
+
+
+def _run_starts(expected: DataFrame, reference: DataFrame, salt: str) -> DataFrame:
+    """(track_id, _i): where the next n texts have the polynomial of all n expected ones."""
+    want = _rolled(expected, salt).groupBy("track_id").agg(F.max("_i").alias("_last"), F.max_by("_sum", "_i").alias("_want"))
+    sums = _rolled(reference, salt).select("track_id", "_i", "_sum")
+    ends = sums.select("track_id", F.col("_i").alias("_e"), F.col("_sum").alias("_upto"))
+    starts = sums.join(want, "track_id").withColumn("_e", F.col("_i") + F.col("_last"))
+    # what stands before the run: the sum of the row before
+    before = sums.select("track_id", (F.col("_i") + 1).alias("_i"), F.col("_sum").alias("_before"))
+    j = starts.join(ends, ["track_id", "_e"]).join(before, ["track_id", "_i"], "left")
+    same = F.pmod(F.col("_upto") - F.coalesce("_before", F.lit(0)), F.lit(PRIME)) == F.col("_want") * _power(F.col("_i")) % PRIME
+    return j.where(same).select("track_id", "_i")
+
+
 def timing_reference_match(expected: DataFrame, reference: DataFrame) -> DataFrame:
     """Where the whole expected run (track_id, pos, text, start) stands in the reference (track_id, pos,
-    text, start, end) as a contiguous run; of several places the one that begins nearest."""
-    e = expected.withColumns({"_t": T.norm_match(F.col("text")), "_n": F.count("*").over(Window.partitionBy("track_id"))})
-    r = reference.select("track_id", F.col("pos").alias("ref_pos"), T.norm_match(F.col("text")).alias("_t"), F.col("start").alias("ref_start"), F.col("end").alias("ref_end"))
-    hit = e.join(r, ["track_id", "_t"]).withColumn("shift", F.col("ref_pos") - F.col("pos"))
-    runs = hit.groupBy("track_id", "shift").agg(F.count("*").alias("k"), F.first("_n").alias("n"), F.min_by(F.abs(F.col("ref_start") - F.col("start")), "pos").alias("far")).where("k = n")
-    best = runs.withColumn("_r", F.row_number().over(Window.partitionBy("track_id").orderBy("far", "shift"))).where("_r = 1").select("track_id", "shift")
-    return hit.join(best, ["track_id", "shift"]).select("track_id", "pos", "ref_pos", "ref_start", "ref_end", (F.col("ref_start") - F.col("start")).alias("start_delta"))
+    text, start, end) as a contiguous run; of several places the one that begins nearest, then first.
+
+    Runs are found by a rolling hash over as many consecutive texts as are expected, two of them with hashes of
+    their own, so lines that come again make no pairs; the texts of the run that is taken are then compared."""
+    place = (F.row_number().over(Window.partitionBy("track_id").orderBy("pos")) - 1).cast("long")
+    e = expected.select("track_id", "pos", "start", T.norm_match(F.coalesce(F.col("text"), F.lit(""))).alias("_t"), place.alias("_i"))
+    r = reference.select("track_id", F.col("pos").alias("ref_pos"), F.col("start").alias("ref_start"), F.col("end").alias("ref_end"), T.norm_match(F.coalesce(F.col("text"), F.lit(""))).alias("_t"), (F.row_number().over(Window.partitionBy("track_id").orderBy("pos")) - 1).cast("long").alias("_i"))
+    starts = _run_starts(e, r, "a").join(_run_starts(e, r, "b"), ["track_id", "_i"])
+    first = e.where("_i = 0").select("track_id", F.col("start").alias("_s"))
+    near = starts.join(r.select("track_id", "_i", "ref_start"), ["track_id", "_i"]).join(first, "track_id")
+    best = near.groupBy("track_id").agg(F.min(F.struct(F.abs(F.col("ref_start") - F.col("_s")), "_i")).alias("_b")).select("track_id", F.col("_b._i").alias("_from"))
+    run = e.join(best, "track_id").withColumn("_at", F.col("_i") + F.col("_from"))
+    met = run.join(r.select("track_id", F.col("_i").alias("_at"), F.col("_t").alias("_rt"), "ref_pos", "ref_start", "ref_end"), ["track_id", "_at"])
+    whole = F.min(F.col("_t") == F.col("_rt")).over(Window.partitionBy("track_id"))
+    return met.withColumn("_whole", whole).where("_whole").select("track_id", "pos", "ref_pos", "ref_start", "ref_end", (F.col("ref_start") - F.col("start")).alias("start_delta"))
 
 
 def import_timings(matches: DataFrame, cues: DataFrame, spans: DataFrame) -> DataFrame:

@@ -44,20 +44,48 @@ def envelope(samples: np.ndarray, frame: int, hop: int) -> np.ndarray:
     return rise / top if top > 0 else rise
 
 
+def correlations(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Correlation of a with b moved by -most to most places: products of all lags by one Fourier transform, means and
+    spreads of the parts that overlap by running sums."""
+    n, lags = len(a), np.arange(-most, most + 1)
+    a, b = a - a.mean(), b - b.mean()
+    size = 1 << (2 * n - 1).bit_length()
+    both = np.fft.irfft(np.conj(np.fft.rfft(a, size)) * np.fft.rfft(b, size), size)[lags]
+    many = n - np.abs(lags)
+
+    def parts(x: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums and sums of squares of what is left of x without its first `ahead` places, or without its last -ahead ones."""
+        first, last = np.maximum(0, ahead), n + np.minimum(0, ahead)
+        runs = [np.concatenate([[0.0], np.cumsum(y)]) for y in (x, x * x)]
+        return runs[0][last] - runs[0][first], runs[1][last] - runs[1][first]
+
+    (sa, qa), (sb, qb) = parts(a, -lags), parts(b, lags)
+    spread = np.sqrt(np.maximum(0, qa - sa * sa / many)) * np.sqrt(np.maximum(0, qb - sb * sb / many))
+    return np.where(spread > 1e-12, (both - sa * sb / many) / np.maximum(spread, 1e-300), 0.0)
+
+
+def _correlation(a: np.ndarray, b: np.ndarray, lag: int) -> float:
+    x, y = (a[-lag:], b[:lag]) if lag < 0 else (a[: len(a) - lag], b[lag:])
+    x, y = x - x.mean(), y - y.mean()
+    size = np.linalg.norm(x) * np.linalg.norm(y)
+    return float(x @ y / size) if size > 1e-12 else 0.0
+
+
 def best_lag(a: np.ndarray, b: np.ndarray, most: int) -> tuple[float, int]:
-    """Greatest correlation of a with b moved by up to `most` places, and the place."""
+    """Greatest correlation of a with b moved by up to `most` places, and the place; of equal ones the first. All places
+    are told at once, those that come near the greatest are then taken one by one."""
     a, b = np.asarray(a, float), np.asarray(b, float)
     if min(len(a), len(b)) < 4:
         return 0.0, 0
     if len(a) != len(b):
         b = np.interp(np.linspace(0, len(b) - 1, len(a)), np.arange(len(b)), b)
+    most = max(0, min(most, len(a) - 4))
+    told = correlations(a, b, most)
+    # sums of parts that hardly vary lose digits; such places are taken one by one as well
+    near = np.flatnonzero((told >= told.max() - 1e-7) | (np.abs(told) > 1))
     best = (-1.0, 0)
-    most = min(most, len(a) - 4)
-    for lag in range(-most, most + 1):
-        x, y = (a[-lag:], b[:lag]) if lag < 0 else (a[: len(a) - lag], b[lag:])
-        x, y = x - x.mean(), y - y.mean()
-        size = np.linalg.norm(x) * np.linalg.norm(y)
-        r = float(x @ y / size) if size > 1e-12 else 0.0
+    for lag in (near - most).tolist():
+        r = _correlation(a, b, lag)
         if r > best[0]:
             best = (r, lag)
     return min(1.0, max(0.0, best[0])), best[1]
@@ -107,6 +135,47 @@ def onset_envelope(samples: Column, frame: int = 400, hop: int = 160) -> Column:
     return _over("array<double>", lambda x: envelope(x, frame, hop), samples)
 
 
+def long_envelope(chunks: DataFrame, frame: int = 400, hop: int = 160) -> DataFrame:
+    """D1 of recordings that stand in rows of chunks (track_id, chunk from 0, samples), each but the last a multiple of hop
+    and at least frame + 4 * hop long: (track_id, chunk, onsets), the frames that begin in each chunk, as of the
+    whole recording.
+
+    A chunk borrows the first frame of samples of the next one, then two loudness values of the chunk before and one
+    of the next, and the recording's peak comes from all chunks. No row holds more than a chunk and a frame."""
+    kind = "array<double>"
+    at = [F.col("track_id"), F.col("chunk")]
+    ahead = chunks.select("track_id", (F.col("chunk") - 1).alias("chunk"), F.slice("samples", 1, frame).alias("_more"))
+    own = chunks.select(*at, F.col("samples").cast(kind).alias("_x")).join(ahead.withColumn("_more", F.col("_more").cast(kind)), ["track_id", "chunk"], "left")
+
+    def loudness(x, more) -> np.ndarray:
+        """Of the frames that begin in x, as far as they end in x or what follows."""
+        n = len(x)
+        x = np.concatenate([x, more[: frame - 1]])
+        if len(x) < frame:
+            return np.zeros(0)
+        power = np.lib.stride_tricks.sliding_window_view(x * x, frame)[: n : hop].mean(axis=1)
+        return np.sqrt(power)
+
+    rms = own.select(*at, _over(kind, loudness, F.col("_x"), F.coalesce("_more", F.array().cast(kind))).alias("_rms"))
+    last = lambda k: rms.select("track_id", (F.col("chunk") + 1).alias("chunk"), F.slice("_rms", F.greatest(F.lit(1), F.size("_rms") - k + 1), k).alias("_before"))
+    first = rms.select("track_id", (F.col("chunk") - 1).alias("chunk"), F.slice("_rms", 1, 1).alias("_after"))
+    none = F.array().cast(kind)
+    j = rms.join(last(2), ["track_id", "chunk"], "left").join(first, ["track_id", "chunk"], "left")
+
+    def rises(x, before, after) -> np.ndarray:
+        """Smoothed rises of x; with nothing before or after, the recording begins or ends here."""
+        y = np.concatenate([before, x, after])
+        if not len(x):
+            return np.zeros(0)
+        rise = np.maximum(0, np.diff(y, prepend=y[0]))
+        return smoothed(rise)[len(before) : len(before) + len(x)]
+
+    # without a frame of its own a last chunk lends none, and the chunk before it is the end
+    out = j.select(*at, _over(kind, rises, F.col("_rms"), F.coalesce("_before", none), F.coalesce("_after", none)).alias("_o"))
+    top = out.groupBy("track_id").agg(F.max(F.coalesce(F.array_max("_o"), F.lit(0.0))).alias("_top"))
+    return out.join(top, "track_id").select(*at, F.when(F.col("_top") > 0, F.transform("_o", lambda v: v / F.col("_top"))).otherwise(F.col("_o")).alias("onsets"))
+
+
 def lag_correlation(a: Column, b: Column, most: int) -> Column:
     """struct(correlation, lag)"""
 
@@ -153,11 +222,13 @@ def rhythm_mapping(occurrences: DataFrame, policy: RhythmPolicy = RhythmPolicy()
 
 
 def audio_stability(samples: DataFrame) -> DataFrame:
-    """Rms, silent and clipped shares and the score of rows (track_id, samples), by functions on arrays."""
-    n = F.size("samples")
+    """Rms, silent and clipped shares and the score of rows (track_id, samples), by functions on arrays. A recording
+    without samples is silent and scores 0."""
+    n = F.greatest(F.lit(1), F.size("samples"))
     total = lambda f: F.aggregate(F.transform("samples", f), F.lit(0.0), lambda a, x: a + x)
     share = lambda test: F.size(F.filter("samples", test)) / n
-    out = samples.where(n > 0).select("track_id", F.sqrt(total(lambda x: x.cast("double") * x.cast("double")) / n).alias("rms"), share(lambda x: F.abs(x) < 0.002).alias("silent_ratio"), share(lambda x: F.abs(x) >= 0.999).alias("clip_ratio"))
+    bare = F.size("samples") == 0
+    out = samples.where("samples IS NOT NULL").select("track_id", F.sqrt(total(lambda x: x.cast("double") * x.cast("double")) / n).alias("rms"), F.when(bare, 1.0).otherwise(share(lambda x: F.abs(x) < 0.002)).alias("silent_ratio"), share(lambda x: F.abs(x) >= 0.999).alias("clip_ratio"))
     return out.withColumn("score", F.least(F.lit(1.0), F.col("rms") / 0.08) * (1 - F.col("silent_ratio")) * (1 - F.col("clip_ratio")))
 
 

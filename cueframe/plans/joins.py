@@ -234,3 +234,14 @@ def j24_merge_lrc(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr = lines.where("n % 4 < 2").select("track_id", (F.col("ms") + 100).alias("ms"), "n", F.concat(F.lit("tr"), F.col("n").cast("string")).alias("text"))
     d = lines.groupBy("track_id").agg((F.max("ms") / 1000.0 + 3.0).alias("duration"))
     return j.merge_lrc(lines, tr, d)
+
+
+@query(f"""WITH {TALK}, t AS (SELECT section_id AS track_id, pos, CASE WHEN pos % 2 = 0 THEN 'la' ELSE role END AS text, start, "end" FROM talk), w AS (SELECT track_id, pos - 1 AS pos, text FROM t WHERE pos BETWEEN 1 AND 2), n AS (SELECT track_id, count(*) AS n FROM w GROUP BY track_id),
+c AS (SELECT t.track_id, t.pos AS s, any_value(n) AS n, count(*) AS hits FROM t JOIN n USING (track_id) JOIN w ON w.track_id = t.track_id JOIN t r ON r.track_id = t.track_id AND r.pos = t.pos + w.pos AND r.text = w.text GROUP BY t.track_id, t.pos),
+b AS (SELECT c.track_id, s, n, row_number() OVER (PARTITION BY c.track_id ORDER BY abs(t.start - 100.0), s) AS k FROM c JOIN t ON t.track_id = c.track_id AND t.pos = s WHERE hits = n)
+SELECT b.track_id, t.pos - s AS pos, t.pos AS ref_pos, t.start AS ref_start, t."end" AS ref_end, t.start - (100.0 + (t.pos - s)) AS start_delta FROM b JOIN t ON t.track_id = b.track_id AND t.pos BETWEEN s AND s + n - 1 WHERE k = 1""")
+def j15_refrains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two turns of each conversation, in which every second says the same, looked up where they stand nearest to 100 seconds."""
+    t = talk(spark, sf_dir).select(F.col("section_id").alias("track_id"), "pos", F.when(F.col("pos") % 2 == 0, "la").otherwise(F.col("role")).alias("text"), "start", "end")
+    want = t.where("pos BETWEEN 1 AND 2").select("track_id", (F.col("pos") - 1).alias("pos"), "text", (F.lit(100.0) + F.col("pos") - 1).alias("start"))
+    return j.timing_reference_match(want, t)

@@ -220,16 +220,41 @@ def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g
 
 
-@query()
+_ENVELOPE = """WITH v AS (SELECT vec_id // 10 AS track_id, flatten(list(list_transform(embedding, lambda x: CAST(x AS DOUBLE)) ORDER BY vec_id)) AS s FROM embeddings WHERE embedding IS NOT NULL GROUP BY ALL),
+f AS (SELECT track_id, s, unnest(range(0, (len(s) - 40) // 8 + 1)) AS k FROM v WHERE len(s) >= 40), r AS (SELECT track_id, k, sqrt(list_sum(list_transform(s[k * 8 + 1 : k * 8 + 40], lambda x: x * x)) / 40) AS rms FROM f),
+d AS (SELECT track_id, k, greatest(0, rms - coalesce(lag(rms) OVER (PARTITION BY track_id ORDER BY k), rms)) AS d, count(*) OVER (PARTITION BY track_id) AS n FROM r),
+o AS (SELECT track_id, k, CASE WHEN n < 3 THEN d ELSE (d + coalesce(lag(d) OVER w, 0) + coalesce(lead(d) OVER w, 0)) / 3 END AS o FROM d WINDOW w AS (PARTITION BY track_id ORDER BY k))"""
+_ROUND6 = "floor(({0}) * 1000000 + 0.5) / 1000000"
+
+
+@query(f"""{_ENVELOPE} SELECT track_id, CAST(k AS INTEGER) AS k, {_ROUND6.format("CASE WHEN max(o) OVER (PARTITION BY track_id) > 0 THEN o / max(o) OVER (PARTITION BY track_id) ELSE o END")} AS onset FROM o""")
 def d1_onset_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(spark, sf_dir).select("track_id", signal.onset_envelope(F.col("samples"), 40, 8).alias("onsets"))
+    """Of each recording as one row."""
+    out = _long(spark, sf_dir).select("track_id", F.posexplode(signal.onset_envelope(F.col("samples"), 40, 8)).alias("k", "onset"))
+    return out.withColumn("onset", F.floor(F.col("onset") * 1000000 + 0.5) / 1000000)
 
 
-@query()
+@query(f"""{_ENVELOPE} SELECT track_id, CAST(k AS INTEGER) AS k, {_ROUND6.format("CASE WHEN max(o) OVER (PARTITION BY track_id) > 0 THEN o / max(o) OVER (PARTITION BY track_id) ELSE o END")} AS onset FROM o""")
+def d1_long_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of recordings in rows of 128 samples, two vectors each."""
+    s = _samples(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("track").orderBy("track_id")) - 1
+    each = s.withColumn("track", F.floor(F.col("track_id") / 10)).withColumn("n", n)
+    rows = each.groupBy(F.col("track").alias("track_id"), F.floor(F.col("n") / 2).alias("chunk")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "samples"))), lambda x: x["samples"])).alias("samples"))
+    out = signal.long_envelope(rows, 40, 8).select("track_id", "chunk", F.posexplode("onsets").alias("i", "onset"))
+    return out.select("track_id", (F.col("chunk") * 16 + F.col("i")).cast("int").alias("k"), (F.floor(F.col("onset") * 1000000 + 0.5) / 1000000).alias("onset"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x, len(embedding) AS n FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.x AS x, b.x AS y, a.n, unnest(range(-8, 9)) AS lag FROM v a JOIN v b ON b.vec_id = a.vec_id + 1),
+i AS (SELECT a, b, lag, x, y, unnest(range(greatest(0, -lag), n - greatest(0, lag))) AS i FROM p),
+c AS (SELECT a, b, lag, coalesce(corr(x[i + 1], y[i + lag + 1]), 0) AS c FROM i GROUP BY a, b, lag)
+SELECT a, b, floor(least(1, greatest(0, max(c))) * 1000000 + 0.5) / 1000000 AS correlation, CAST(arg_max(lag, c) AS INTEGER) AS lag FROM c GROUP BY a, b""")
 def d2_lag_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _samples(spark, sf_dir)
     pair = s.select(F.col("track_id").alias("a"), F.col("samples").alias("x"), (F.col("track_id") + 1).alias("b")).join(s.select(F.col("track_id").alias("b"), F.col("samples").alias("y")), "b")
-    return pair.select("a", "b", signal.lag_correlation(F.col("x"), F.col("y"), 8).alias("m")).select("a", "b", "m.*")
+    out = pair.select("a", "b", signal.lag_correlation(F.col("x"), F.col("y"), 8).alias("m")).select("a", "b", "m.*")
+    return out.withColumn("correlation", F.floor(F.col("correlation") * 1000000 + 0.5) / 1000000)
 
 
 @query()
