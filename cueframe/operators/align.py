@@ -64,28 +64,59 @@ def _similar(a: str, b: str) -> float:
 
 
 GAP, MOST_LINES = 0.55, 3
+#: What a pair earns at most, and the share of the time that the first band reaches to either side.
+MOST_WORTH, FIRST_BAND = 2.65, 0.05
+
+
+def _band(u: np.ndarray, v: np.ndarray, width: float) -> np.ndarray:
+    """Cells (after i cues and j lines) whose shares of the time differ by the width at most, and what joins them."""
+    near = np.abs(u[:, None] - v[None, :]) <= width
+    last = near.shape[1] - 1
+    low = np.where(near.any(axis=1), near.argmax(axis=1), last)
+    high = np.where(near.any(axis=1), last - near[:, ::-1].argmax(axis=1), 0)
+    low[0], high[-1] = 0, last
+    low = np.minimum.accumulate(low[::-1])[::-1]
+    high = np.maximum.accumulate(high)
+    high[:-1] = np.maximum(high[:-1], low[1:])
+    j = np.arange(last + 1)
+    return (j >= low[:, None]) & (j <= high[:, None])
 
 
 def _pairing(texts: list[str], times: list[int], lines: list[str], at: list[int]) -> list[tuple[int, int, int, float, float]]:
-    """(cue, first line, last line, similarity, place) of the best walk through cues and lines."""
+    """(cue, first line, last line, similarity, place) of the best walk through cues and lines.
+
+    Totals are taken diagonal by diagonal within a band of the time, where alone texts are compared. What a walk that
+    leaves the band could reach at most is known; unless the best walk within reaches more, the band is widened."""
     n, m = len(texts), len(lines)
-    place = np.abs((np.array(times) - times[0])[:, None] / max(1, times[-1] - times[0]) - (np.array(at) - at[0])[None, :] / max(1, at[-1] - at[0]))
-    known = {(x, y): _similar(x, y) for x in set(texts) for y in set(lines)}
-    alike = np.array([[known[x, y] for y in lines] for x in texts])
-    worth = 2.4 * alike + 0.6 * (alike == 1.0) - 0.8 * place - 0.35
+    u, v = (np.array(t, float) - t[0] for t in (times, at))
+    u, v = u / max(1, times[-1] - times[0]), v / max(1, at[-1] - at[0])
+    place = np.abs(u[:, None] - v[None, :])
     # runs of several lines count only where they are the whole text
-    runs = {(i, j, k) for k in range(2, MOST_LINES + 1) for j in range(m - k + 1) if (whole := "".join(lines[j : j + k])) for i in range(n) if texts[i] == whole}
-    total = np.empty((n + 1, m + 1))
-    total[0], total[:, 0] = -GAP * np.arange(m + 1), -GAP * np.arange(n + 1)
-    taken = np.zeros((n + 1, m + 1), np.int8)  # lines that the cue takes; -1: the cue is left out, 0: the line is
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            # of equal totals the first in this order
-            options = [(total[i - 1, j] - GAP, -1), (total[i, j - 1] - GAP, 0), (total[i - 1, j - 1] + worth[i - 1, j - 1], 1)]
-            for k in range(2, min(MOST_LINES, j) + 1):
-                if (i - 1, j - k, k) in runs:
-                    options.append((total[i - 1, j - k] + 3.0 - 0.8 * place[i - 1, j - k] - 0.35, k))
-            total[i, j], taken[i, j] = max(options, key=lambda o: o[0])
+    whole: dict[str, list[int]] = {}
+    for i, t in enumerate(texts):
+        whole.setdefault(t, []).append(i)
+    runs = np.zeros((MOST_LINES + 1, n, m), bool)  # by lines, cue and last line
+    for k in range(2, MOST_LINES + 1):
+        for j in range(m - k + 1):
+            if (text := "".join(lines[j : j + k])) and text in whole:
+                runs[k, whole[text], j + k - 1] = True
+    i, j = np.ogrid[: n + 1, : m + 1]
+    matched = np.minimum(i, j) + np.minimum(n - i, m - j)
+    most = MOST_WORTH * matched - GAP * (n - matched) - GAP * np.maximum(0, m - MOST_LINES * matched)
+    known: dict[tuple[str, str], float] = {}
+    width = FIRST_BAND
+    while True:
+        open_ = _band(np.append(0.0, u), np.append(0.0, v), width)
+        alike = np.zeros((n, m))
+        for x, y in np.argwhere(open_[1:, 1:]).tolist():
+            pair = texts[x], lines[y]
+            if pair not in known:
+                known[pair] = _similar(*pair)
+            alike[x, y] = known[pair]
+        total, taken = _totals(open_, _worth(alike, place), _worth(np.ones_like(place), place), runs)
+        if open_.all() or total[n, m] > most[~open_].max() + 1e-9:
+            break
+        width *= 2
     found, i, j = [], n, m
     while i and j:
         k = int(taken[i, j])
@@ -97,6 +128,34 @@ def _pairing(texts: list[str], times: list[int], lines: list[str], at: list[int]
     return found[::-1]
 
 
+def _worth(alike: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return 2.4 * alike - 0.8 * place - 0.35 + 0.6 * (alike == 1.0)
+
+
+def _totals(open_: np.ndarray, worth: np.ndarray, whole: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best total up to each open cell, and the lines that its last step takes (-1: a cue is left out, 0: a line is).
+    whole: what an exact run from a line on earns. All cells of a diagonal are filled at once; of equal totals the first of: no cue, no line, one line, several."""
+    n, m = open_.shape[0] - 1, open_.shape[1] - 1
+    total, taken = np.full((n + 1, m + 1), -np.inf), np.zeros((n + 1, m + 1), np.int8)
+    total[0], total[:, 0] = -GAP * np.arange(m + 1), -GAP * np.arange(n + 1)
+    total[~open_] = -np.inf
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        i = i[open_[i, d - i]]
+        j = d - i
+        best, step = total[i - 1, j] - GAP, np.full(len(i), -1, np.int8)
+        options = [(0, total[i, j - 1] - GAP), (1, total[i - 1, j - 1] + worth[i - 1, j - 1])]
+        for k in range(2, MOST_LINES + 1):
+            first = np.maximum(j - k, 0)
+            value = total[i - 1, first] + whole[i - 1, np.minimum(first, m - 1)]
+            options.append((k, np.where((j >= k) & runs[k, i - 1, j - 1], value, -np.inf)))
+        for k, value in options:
+            better = value > best
+            best, step = np.where(better, value, best), np.where(better, np.int8(k), step)
+        total[i, j], taken[i, j] = best, step
+    return total, taken
+
+
 def align_lyrics(official: DataFrame, lyrics: DataFrame) -> DataFrame:
     """(track_id, line, first, last, similarity, place): official cues (track_id, line, text, start_ms) on runs of
     one to three lyric lines (track_id, line, text, ms), by the best total over the whole track. A cue or line without

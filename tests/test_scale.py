@@ -206,3 +206,61 @@ def test_long_recordings_in_chunks(spark):
     for track, x in want.items():
         assert np.allclose(got[track], x, rtol=0, atol=1e-12), track
     assert signal.long_envelope(spark.createDataFrame([], "track_id int, chunk int, samples array<double>"), 40, 8).count() == 0
+
+
+def plain_pairing(texts, times, lines, at):
+    """Every cell of the table, one after another."""
+    from cueframe.operators.align import GAP, _similar
+
+    n, m = len(texts), len(lines)
+    place = [[abs((t - times[0]) / max(1, times[-1] - times[0]) - (x - at[0]) / max(1, at[-1] - at[0])) for x in at] for t in times]
+    total = [[-GAP * (i + j) if not i or not j else 0.0 for j in range(m + 1)] for i in range(n + 1)]
+    step = {}
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            options = [(total[i - 1][j] - GAP, -1, 0.0), (total[i][j - 1] - GAP, 0, 0.0)]
+            for k in range(1, min(3, j) + 1):
+                alike = _similar(texts[i - 1], "".join(lines[j - k : j]))
+                if k > 1 and (alike != 1.0 or texts[i - 1] != "".join(lines[j - k : j])):
+                    continue
+                options.append((total[i - 1][j - k] + (2.4 * alike - 0.8 * place[i - 1][j - k] - 0.35 + 0.6 * (alike == 1.0)), k, alike))
+            total[i][j], *step[i, j] = max(options, key=lambda o: o[0])
+    found, i, j = [], n, m
+    while i and j:
+        k, alike = step[i, j]
+        if k > 0 and alike >= GAP:
+            found.append((i - 1, j - k, j - 1, alike, place[i - 1][j - k]))
+        i, j = i - (k != 0), j - (1 if k == 0 else max(k, 0))
+    return found[::-1]
+
+
+def test_banded_walks_are_those_of_the_whole_table(monkeypatch):
+    from cueframe.operators import align
+
+    r = random.Random(7)
+    compared = []
+    real = align._similar
+    monkeypatch.setattr(align, "_similar", lambda a, b: compared.append(1) or real(a, b))
+    for _ in range(150):
+        m = r.randint(1, 18)
+        lines = ["".join(r.choice("abcde") for _ in range(r.randint(0, 8))) for _ in range(m)]
+        at = [0]
+        for _ in lines[1:]:
+            at.append(at[-1] + r.choice([0, 1000, 4000]))
+        texts, times, j = [], [], 0
+        while j < m:
+            k = r.choice([1, 1, 1, 2, 3])
+            if r.random() < 0.8:
+                t = "".join(lines[j : j + k])
+                texts.append("".join(c if r.random() < 0.9 else r.choice("xyz") for c in t) if r.random() < 0.5 else t)
+                times.append(at[j] + r.randint(-500, 500))
+            j += k
+        if texts:
+            got, want = align._pairing(texts, times, lines, at), plain_pairing(texts, times, lines, at)
+            assert [x[:3] for x in got] == [x[:3] for x in want]
+            assert all(abs(a - b) < 1e-12 for x, y in zip(got, want, strict=True) for a, b in zip(x[3:], y[3:], strict=True))
+    # a long track with few changes is compared within a narrow band only
+    words = ["".join(r.choice("abcdefghij") for _ in range(12)) for _ in range(400)]
+    compared.clear()
+    got = align._pairing(words, list(range(400)), words, list(range(400)))
+    assert [(i, j) for i, j, *_ in got] == [(i, i) for i in range(400)] and len(compared) < 400 * 400 / 4
