@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,6 +34,83 @@ def post_faults(posts: DataFrame, song: str = "song", most: int = 20, allowed: t
     return posts.select("post_id", F.explode(codes).alias("code"))
 
 
+# Platforms, the fields of a post and what a reference looks like.
+PLATFORMS = ("微博", "小红书", "B站", "视频号")
+NOTES, VIDEOS = PLATFORMS[1], PLATFORMS[2]
+FIELDS = {"标题": "title", "正文": "body", "话题": "topics", "标签": "tags", "原视频": "source", "转载链接": "source", "上一篇笔记ID": "previous_note_id", "章节评论": "chapter_comment", "发布备注": "publishing_notes"}
+FIELD_LINE = rf"^({'|'.join(FIELDS)})：(.*)$"
+SECTION_LINE = rf"(?m)^##\s+({'|'.join(PLATFORMS)})\s*$"
+ANY_URL = r"https?://[^\s<>）]+"
+VIDEO_URL = r"^https?://(?:www\.)?bilibili\.com/"
+VIDEO_REFERENCE, NOTE_REFERENCE, NOTE_ID = r"(?m)(?:上一篇|上一首)：.*\bBV[0-9A-Za-z]{10}\b", r"上一篇：\S", r"^[0-9a-f]{24}$"
+
+
+def parse_copies(copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Copies (copy_id, text) as posts (copy_id, platform, and each field's text, empty where there is none), and
+    faults (copy_id, platform, code): platform_repeated, field_repeated. A copy with a fault has no posts.
+
+    A section begins with a line that names a platform, a field with its name and a colon; it goes on to the next
+    field. Behind a title a blank line begins the body. A field that is named again may stand only where it was blank."""
+    mark = "\x00"
+    chunks = F.split(F.regexp_replace("text", SECTION_LINE, f"{mark}$1"), mark)
+    parts = copies.select("copy_id", F.posexplode(F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0)))).alias("section", "chunk"))
+    lines = parts.select("copy_id", "section", F.posexplode(F.split("chunk", "\n")).alias("n", "line"))
+    first = F.max(F.when(F.col("n") == 0, F.trim("line"))).over(Window.partitionBy("copy_id", "section"))
+    w = Window.partitionBy("copy_id", "section").orderBy("n")
+    known = F.create_map(*[F.lit(x) for item in FIELDS.items() for x in item])
+    lines = lines.withColumns({"platform": first, "opens": F.try_element_at(known, F.nullif(F.regexp_extract("line", FIELD_LINE, 1), F.lit("")))}).where("n > 0")
+    lines = lines.withColumn("begun", F.last("opens", True).over(w))
+    blank = F.trim(F.regexp_replace("line", r"\s", "")) == ""
+    lines = lines.withColumn("turns", F.when(F.col("opens").isNull() & blank & (F.col("begun") == "title"), "body"))
+    lines = lines.withColumns({"field": F.last(F.coalesce("opens", "turns"), True).over(w), "run": F.count("opens").over(w)})
+    # the blank line that begins a body is no part of it; later ones are
+    turned = F.count("turns").over(Window.partitionBy("copy_id", "section", "run").orderBy("n"))
+    lines = lines.where("field IS NOT NULL").withColumn("nth", turned).where(F.col("turns").isNull() | (F.col("nth") > 1))
+    said = F.when(F.col("opens").isNotNull(), F.regexp_extract("line", FIELD_LINE, 2)).otherwise(F.col("line"))
+    runs = lines.groupBy("copy_id", "section", "platform", "field", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", said.alias("s")))), lambda x: x["s"]), "\n").alias("text"), F.bool_or(F.col("opens").isNotNull()).alias("named"))
+    runs = runs.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", ""))
+    own = Window.partitionBy("copy_id", "section", "field").orderBy("run")
+    before = F.max(F.col("text") != "").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumns({"again": F.col("named") & F.coalesce(before, F.lit(False)), "later": F.lead("run").over(own), "later_named": F.lead("named").over(own)})
+    # a blank field that is named again is replaced; a body behind a title goes on from one that stands already
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.coalesce("later_named", F.lit(False)), F.struct("run", "text")))), lambda x: x["text"]), "\n")
+    fields = runs.groupBy("copy_id", "section", "field").agg(F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))
+    sections = parts.select("copy_id", "section", F.trim(F.substring_index("chunk", "\n", 1)).alias("platform"))
+    wide = fields.groupBy("copy_id", "section").agg(*[F.coalesce(F.max(F.when(F.col("field") == f, F.col("text"))), F.lit("")).alias(f) for f in dict.fromkeys(FIELDS.values())])
+    names = [*dict.fromkeys(FIELDS.values())]
+    posts = sections.join(wide, ["copy_id", "section"], "left").na.fill("", names)
+    nth = F.row_number().over(Window.partitionBy("copy_id", "platform").orderBy("section"))
+    posts = posts.withColumn("nth", nth)
+    faults = posts.where("nth > 1").select("copy_id", "platform", F.lit("platform_repeated").alias("code")).unionByName(runs.where("again").select("copy_id", "platform", F.lit("field_repeated").alias("code"))).distinct()
+    tags = F.coalesce(F.nullif("tags", F.lit("")), "topics").alias("tags")
+    return posts.join(faults.select("copy_id"), "copy_id", "left_anti").select("copy_id", "platform", *[tags if n == "tags" else n for n in names if n != "topics"]), faults
+
+
+def copy_faults(posts: DataFrame, songs: DataFrame | None = None, platforms: tuple[str, ...] | None = None, require_previous: bool = False) -> DataFrame:
+    """(copy_id, platform, code) of posts as parse_copies() returns them: missing_post (none for a wanted platform,
+    or one without title or body), url_in_body, url_off_site, previous_video_missing, previous_title_missing,
+    previous_note_missing, title_without_song, title_too_long. songs: copy_id, song."""
+    p = posts
+    if platforms:
+        wanted = posts.select("copy_id").distinct().select("copy_id", F.explode(F.array(*map(F.lit, platforms))).alias("platform"))
+        p = wanted.join(posts, ["copy_id", "platform"], "left")
+    title, body, note = (F.coalesce(c, F.lit("")) for c in ("title", "body", "previous_note_id"))
+    whole = (title != "") & (body != "")
+    urls = F.regexp_extract_all(body, F.lit(f"({ANY_URL})"), F.lit(1))
+    notes, videos = F.col("platform") == NOTES, F.col("platform") == VIDEOS
+    song = F.col("song") if songs is not None else F.lit(None).cast("string")
+    j = p.join(songs.select("copy_id", "song"), "copy_id", "left") if songs is not None else p
+    codes = F.array_compact(F.array(
+        F.when(~whole, "missing_post"),
+        F.when(whole & notes & (F.size(urls) > 0), "url_in_body"),
+        F.when(whole & videos & F.exists(urls, lambda u: ~u.rlike(VIDEO_URL)), "url_off_site"),
+        *([F.when(whole & videos & ~body.rlike(VIDEO_REFERENCE), "previous_video_missing"), F.when(whole & notes & ~body.rlike(NOTE_REFERENCE), "previous_title_missing"), F.when(whole & notes & ~note.rlike(NOTE_ID), "previous_note_missing")] if require_previous else []),
+        F.when(F.col("title").isNotNull() & ~F.contains(title, song), "title_without_song"),
+        F.when(song.isNotNull() & notes & (F.length(title) > 20), "title_too_long"),
+    ))
+    return j.select("copy_id", "platform", F.explode(codes).alias("code"))
+
+
 def checklist_faults(lists: DataFrame, required: DataFrame) -> DataFrame:
     """Items (list_id, text) against required labels (label): each exactly once, and nothing unticked."""
     item = F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^- \[[ xX]\] .*$"), F.lit(0)))

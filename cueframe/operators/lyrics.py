@@ -116,6 +116,22 @@ def review_samples(cues: DataFrame, durations: DataFrame) -> DataFrame:
     return picked.select("track_id", "label", "pos", F.greatest(F.lit(0.0), a).alias("window_start"), F.least("duration", b).alias("window_end"))
 
 
+def preview_points(cues: DataFrame) -> DataFrame:
+    """The places of a candidate to look at: first, middle and last cue (track_id, pos, start, end), the one that
+    lasts longest and the one that lasts shortest, the first of equal ones. Cues with the same times come once, under the
+    first label. Each cue that begins over 1 ms before the one before it ends is an overlap."""
+    w = Window.partitionBy("track_id")
+    seconds = F.col("end") - F.col("start")
+    at = lambda *o: F.row_number().over(w.orderBy(*o))
+    k = cues.select("track_id", "pos", "start", "end").withColumns({"_n": F.count("*").over(w), "_first": at("pos"), "_long": at(seconds.desc(), "pos"), "_short": at(seconds.asc(), "pos"), "_until": F.lag("end").over(w.orderBy("pos"))})
+    is_ = [("early_sync", F.col("_first") == 1), ("middle_sync", F.col("_first") == F.floor(F.col("_n") / 2) + 1), ("late_sync", F.col("_first") == F.col("_n")), ("longest_cue", F.col("_long") == 1), ("shortest_cue", F.col("_short") == 1)]
+    labels = F.array_compact(F.array(*[F.when(hit, F.struct(F.lit(i).alias("place"), F.lit(name).alias("label"))) for i, (name, hit) in enumerate(is_)]))
+    picked = k.select("track_id", "pos", "start", "end", F.explode(labels).alias("l"))
+    once = F.row_number().over(Window.partitionBy("track_id", "start", "end").orderBy("l.place"))
+    points = picked.withColumn("_k", once).where("_k = 1").select("track_id", F.col("l.label").alias("label"), "pos", "start", "end")
+    return points.unionByName(k.where(F.col("start") < F.col("_until") - 0.001).select("track_id", F.lit("overlap").alias("label"), "pos", "start", F.col("_until").alias("end")))
+
+
 def translation_tier(lines: DataFrame, accepted: DataFrame) -> DataFrame:
     """Official, external, model or hybrid, from the share of lines (track_id, line, chinese, official) whose
     translation equals (N3) an accepted external one (track_id, line, chinese)."""

@@ -250,3 +250,17 @@ def representative(occurrences: DataFrame) -> DataFrame:
     score = 0.35 * F.col("asr") + 0.30 * F.col("peer") + 0.20 * F.col("stability") + 0.10 * F.col("clean") + 0.05 * F.col("boundary")
     w = Window.partitionBy("group_id").orderBy(F.desc("score"), "occurrence")
     return occurrences.withColumn("score", score).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def occurrence_quality(cues: DataFrame, occurrences: DataFrame, durations: DataFrame) -> DataFrame:
+    """Of each occurrence (section_id, occurrence, first, last: positions) its start and end, the share of its cues
+    (section_id, pos, start, end, evidence) whose evidence was heard, and how far it stands from the section's ends as a
+    share of half its duration (section_id, duration)."""
+    heard = F.lower(F.concat_ws(" ", "evidence")).rlike("asr|word|vocal")
+    own = occurrences.select(F.col("section_id").alias("_s"), "occurrence", "first", "last")
+    j = cues.join(own, (F.col("section_id") == F.col("_s")) & F.col("pos").between(F.col("first"), F.col("last")))
+    g = j.groupBy("section_id", "occurrence").agg(F.min_by("start", "pos").alias("start"), F.max_by("end", "pos").alias("end"), F.avg(heard.cast("int")).alias("_c"))
+    micro = lambda x: F.bround(x, 6)
+    edge = F.least(F.col("start"), F.greatest(F.lit(0.0), F.col("duration") - F.col("end")))
+    near = F.least(F.lit(1.0), edge / F.greatest(F.lit(1.0), F.col("duration") / 2))
+    return g.join(durations, "section_id").select("section_id", "occurrence", "start", "end", micro(F.col("_c")).alias("evidence_coverage"), micro(near).alias("boundary_score"))

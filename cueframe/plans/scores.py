@@ -278,3 +278,20 @@ def g28_checklist_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat(F.when(F.col("l_discount") > 0.05, "- [x] check ").otherwise("- [ ] check "), F.col("l_returnflag"))
     lists = li.groupBy(F.col("l_orderkey").alias("list_id")).agg(F.array_join(F.collect_list(item), "\n").alias("text"))
     return audit.checklist_faults(lists, spark.createDataFrame([("check A",), ("check N",), ("check R",)], "label string"))
+
+
+@query(f"""WITH {TALK}, c AS (SELECT section_id AS track_id, pos, start - CASE WHEN pos % 4 = 3 THEN 0.5 ELSE 0.0 END AS start, "end" FROM talk),
+n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY track_id) AS n, row_number() OVER (PARTITION BY track_id ORDER BY "end" - start DESC, pos) AS l, row_number() OVER (PARTITION BY track_id ORDER BY "end" - start, pos) AS s, lag("end") OVER (PARTITION BY track_id ORDER BY pos) AS u FROM c),
+x AS (SELECT *, 0 AS k, 'early_sync' AS label FROM n WHERE i = 1 UNION ALL SELECT *, 1, 'middle_sync' FROM n WHERE i = n // 2 + 1 UNION ALL SELECT *, 2, 'late_sync' FROM n WHERE i = n UNION ALL SELECT *, 3, 'longest_cue' FROM n WHERE l = 1 UNION ALL SELECT *, 4, 'shortest_cue' FROM n WHERE s = 1)
+SELECT track_id, label, pos, start, "end" FROM (SELECT *, row_number() OVER (PARTITION BY track_id, start, "end" ORDER BY k) AS o FROM x) WHERE o = 1 UNION ALL SELECT track_id, 'overlap', pos, start, u FROM n WHERE start < u - CAST(0.001 AS DOUBLE)""")
+def o5_preview_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = talk(spark, sf_dir).select(F.col("section_id").alias("track_id"), "pos", (F.col("start") - F.when(F.col("pos") % 4 == 3, 0.5).otherwise(0.0)).alias("start"), "end")
+    return ly.preview_points(c)
+
+
+@query()
+def a9_known_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only texts that are runs of a lyric's lines may repeat: the lyric is every third line of the same document."""
+    c = _song_cues(spark, sf_dir)
+    known = c.where("pos % 3 = 0").select("section_id", F.col("pos").alias("line"), F.col("source_text").alias("text"))
+    return rep.repetition_groups(c, known=known)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as TX
 from ..functions import timecode as C
 from ..operators import align, reflow, signal, structure as st
+from ..sources import datasource as ds
 from ..sources import readers as r, writers as w
+from ..sources.shared import shared_path
 from .adapters import CUES, TALK, cues, read, talk
 from .registry import query
 
@@ -385,3 +387,60 @@ def j22_propose_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = t.select("section_id", "pos", before.alias("start"), (before + F.col("n") * 0.33).alias("end"), F.col("source_text").alias("text"))
     ws = t.select("section_id", "start", F.posexplode(F.split("text", " ")).alias("k", "text")).select("section_id", (F.col("start") + 0.5 + F.col("k") * 0.33).alias("start"), (F.col("start") + 0.8 + F.col("k") * 0.33).alias("end"), "text", (1 - F.col("k") % 5 / 10).alias("probability"))
     return align.propose_boundaries(t, ws)
+
+
+def _files(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Turns written as files of this kind and read again, through the data source."""
+    t = _turns(spark, sf_dir).select(F.col("section_id").alias("name"), "pos", "start", "end", F.col("source_text").alias("text"))
+    path = shared_path(spark, f"files-{kind}")
+    ds.write_subtitles(t, path, kind)
+    return ds.read_subtitles(spark, path, kind).select(F.col("name").cast("long").alias("section_id"), "pos", "start", "end", "text")
+
+
+@query(f"""WITH {TALK}, {_FLAT} SELECT section_id, CAST(n AS INTEGER) AS pos, {_MS.format('start')} AS start, {_MS.format('"end"')} AS "end", t AS text FROM flat""")
+def k1_srt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir, "srt")
+
+
+@query(f"""WITH {TALK}, {_FLAT} SELECT section_id, CAST(n AS INTEGER) AS pos, {_CS.format('start')} AS start, {_CS.format('"end"')} AS "end", t AS text FROM flat""")
+def k2_ass_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir, "ass")
+
+
+@query(f"""WITH {TALK}, {_FLAT} SELECT section_id, CAST(n AS INTEGER) AS pos, {_MS.format('start')} AS start, {_MS.format('"end"')} AS "end", t AS text FROM flat""")
+def s3_vtt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir, "vtt")
+
+
+@query(f"""WITH {TALK}, {_FLAT} SELECT section_id, CAST(n AS INTEGER) AS pos, {_CS.format('start')} AS start, CAST(NULL AS DOUBLE) AS "end", t AS text FROM flat""")
+def s4_lrc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _files(spark, sf_dir, "lrc")
+
+
+@query("""SELECT o_orderkey AS track_id, o_totalprice AS seconds, o_orderpriority AS title FROM orders""")
+def s9_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("track_id"), F.col("o_totalprice").alias("seconds"), F.col("o_orderpriority").alias("title"))
+    path = shared_path(spark, "tsv")
+    w.write_tsv(o, path)
+    return r.read_tsv(spark, path, "track_id bigint, seconds double, title string")
+
+
+@query(f"""WITH {CUES} SELECT o_custkey % 40 AS concert_id, section_id, pos, start, "end", role FROM cues JOIN orders ON o_orderkey = section_id""")
+def k3_by_concert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("section_id"), (F.col("o_custkey") % 40).alias("concert_id"))
+    c = cues(spark, sf_dir).join(o, "section_id").select("concert_id", "section_id", "pos", "start", "end", "role")
+    path = shared_path(spark, "by-concert")
+    w.write_by_concert(c, path)
+    return spark.read.parquet(path).withColumn("concert_id", F.col("concert_id").cast("long"))
+
+
+@query(f"""WITH {TALK}, c AS (SELECT section_id, pos, start, "end", pos % 3 = 0 OR pos % 5 = 1 AS heard FROM talk), d AS (SELECT section_id, max("end") + 2.0 AS duration FROM c GROUP BY section_id),
+o AS (SELECT section_id, CAST(pos // 3 AS INTEGER) AS occurrence, arg_min(start, pos) AS start, arg_max("end", pos) AS "end", round_even(avg(CAST(heard AS INTEGER)), 6) AS evidence_coverage FROM c GROUP BY ALL)
+SELECT section_id, occurrence, start, "end", evidence_coverage, round_even(least(1.0, least(start, greatest(0.0, duration - "end")) / greatest(1.0, duration / 2)), 6) AS boundary_score FROM o JOIN d USING (section_id)""")
+def a15_occurrence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in blocks of three as occurrences."""
+    p = F.col("pos")
+    evidence = F.when(p % 3 == 0, F.array(F.lit("Word_timing"))).when(p % 5 == 1, F.array(F.lit("by ear"), F.lit("VOCAL stem"))).otherwise(F.array(F.lit("by ear")))
+    c = talk(spark, sf_dir).select("section_id", "pos", "start", "end", evidence.alias("evidence"))
+    blocks = c.groupBy("section_id", F.floor(p / 3).cast("int").alias("occurrence")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    return signal.occurrence_quality(c, blocks, c.groupBy("section_id").agg((F.max("end") + 2.0).alias("duration")))

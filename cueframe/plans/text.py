@@ -146,3 +146,39 @@ def g27_post_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     title = title_of(F.col("html"))
     return read(spark, sf_dir, "pages").select("page_id", title.alias("title"), (F.length(title) > 20).alias("too_long"), url_is_off_site(F.col("url"), ["example.com"], ["example.net", "example.org"]).alias("off_site"))
+
+
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's first turns as a post copy of two platforms."""
+    t = talk(spark, sf_dir).where("pos < 4")
+    line = lambda n: F.max(F.when(F.col("pos") == n, F.regexp_replace(F.substring("text", 1, 200000), "\\s+", " ")))
+    g = t.groupBy(F.col("section_id").alias("copy_id")).agg(*[F.coalesce(line(n), F.lit("")).alias(f"t{n}") for n in range(4)])
+    k = F.col("copy_id")
+    text = F.concat(
+        F.lit("head\n## 小红书\n标题："), "t0", F.lit("\n\n"), "t1", F.when(k % 3 == 0, F.lit("\nsee https://a.example/x")).otherwise(F.lit("")), F.lit("\n上一篇笔记ID："), F.when(k % 2 == 0, F.lit("0123456789abcdef01234567")).otherwise(F.lit("?")),
+        F.lit("\n## B站\n标题：song "), "t2", F.lit("\n正文：\n"), "t3", F.lit("\n上一首：x BV1234567890 y\nhttps://www.bilibili.com/video\n话题：a b\n"), F.when(k % 5 == 0, F.lit("标题：again\n")).otherwise(F.lit("")), F.when(k % 7 == 0, F.lit("## B站\n标题：b\n")).otherwise(F.lit("")),
+    )
+    return g.select("copy_id", "t0", "t1", "t2", "t3", text.alias("text"))
+
+
+_COPIES = f"""{TALK}, every AS (SELECT section_id AS copy_id, {', '.join(f"coalesce(max(CASE WHEN pos = {n} THEN regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g') END), '') AS t{n}" for n in range(4))} FROM talk WHERE pos < 4 GROUP BY section_id), g AS (SELECT * FROM every WHERE copy_id % 5 <> 0 AND copy_id % 7 <> 0)"""
+
+
+@query(f"""WITH {_COPIES} SELECT copy_id, '小红书' AS platform, trim(t0) AS title, trim(t1 || CASE WHEN copy_id % 3 = 0 THEN chr(10) || 'see https://a.example/x' ELSE '' END, ' ' || chr(10)) AS body, '' AS tags, '' AS source, CASE WHEN copy_id % 2 = 0 THEN '0123456789abcdef01234567' ELSE '?' END AS previous_note_id, '' AS chapter_comment, '' AS publishing_notes FROM g
+UNION ALL SELECT copy_id, 'B站', trim('song ' || t2), trim(t3 || chr(10) || '上一首：x BV1234567890 y' || chr(10) || 'https://www.bilibili.com/video', ' ' || chr(10)), 'a b', '', '', '', '' FROM g""")
+def g27_parse_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.audit import parse_copies
+
+    return parse_copies(_copies(spark, sf_dir).select("copy_id", "text"))[0]
+
+
+@query(f"""WITH {_COPIES} SELECT copy_id, 'B站' AS platform, 'field_repeated' AS code FROM every WHERE copy_id % 5 = 0 UNION ALL SELECT copy_id, 'B站', 'platform_repeated' FROM every WHERE copy_id % 7 = 0
+UNION ALL SELECT copy_id, '小红书', 'missing_post' FROM g WHERE trim(t0) = '' OR trim(t1) = '' AND copy_id % 3 <> 0 UNION ALL SELECT copy_id, '小红书', 'url_in_body' FROM g WHERE trim(t0) <> '' AND copy_id % 3 = 0
+UNION ALL SELECT copy_id, '小红书', 'previous_title_missing' FROM g WHERE trim(t0) <> '' AND (trim(t1) <> '' OR copy_id % 3 = 0) UNION ALL SELECT copy_id, '小红书', 'previous_note_missing' FROM g WHERE trim(t0) <> '' AND (trim(t1) <> '' OR copy_id % 3 = 0) AND copy_id % 2 = 1
+UNION ALL SELECT copy_id, '小红书', 'title_without_song' FROM g WHERE NOT contains(trim(t0), 'song') UNION ALL SELECT copy_id, '小红书', 'title_too_long' FROM g WHERE length(trim(t0)) > 20 UNION ALL SELECT copy_id, '视频号', 'missing_post' FROM g""")
+def g27_copy_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.audit import copy_faults, parse_copies
+
+    copies = _copies(spark, sf_dir)
+    posts, faults = parse_copies(copies.select("copy_id", "text"))
+    return faults.unionByName(copy_faults(posts, copies.select("copy_id", F.lit("song").alias("song")), ("小红书", "B站", "视频号"), True))

@@ -58,7 +58,7 @@ def parse_srt(files: DataFrame, line: str = "last", keys: tuple[str, ...] = ("pa
     ks = list(keys)
     at = F.regexp_extract("_block", rf"(?m)^\s*{CLOCK}\s*$", 0)
     body = F.regexp_replace(_after(at), r"\\N", "\n")
-    lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     pick = {"last": F.element_at(lines, -1), "first": F.get(lines, F.lit(0)), "all": F.array_join(lines, "\n")}[line]
     out = _blocks(files, ks).where(at != "").where(F.size(lines) > 0)
     out = out.select(*ks, "_b", C.parse(F.regexp_extract(at, CLOCK, 1)).alias("start"), C.parse(F.regexp_extract(at, CLOCK, 2)).alias("end"), pick.alias("text"))
