@@ -31,6 +31,9 @@ KEPT_BYTES = 64 << 20
 #: Text bytes that are tokenized at once.
 BATCH_BYTES = 4 << 20
 RANK_BUCKETS = 256
+#: Words that are tokenized in one row; how the vocabulary marks the end of a word; words that are one piece to it.
+ROW_WORDS, WORD_END = 512, "</w>"
+_LETTERS = re.compile("[a-zà-öø-ÿ]+ *").fullmatch
 
 
 #: ASCII capitals as small letters, ASCII white space as spaces.
@@ -53,14 +56,27 @@ class WordIds:
         # lower-casing may make what looks like a special token of a word that is none
         self.words = Tokenizer.from_file(path)
         self.words.encode_special_tokens = True
+        vocabulary = self.words.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self.kept = Kept(KEPT_BYTES)
 
     def _known(self, words: list[str]) -> list[bytes]:
         out = [self.kept.get(w) for w in words]
         todo = [i for i, x in enumerate(out) if x is None]
-        encoded = self.words.encode_batch_fast([words[i] for i in todo], add_special_tokens=False)
-        for i, e in zip(todo, encoded, strict=True):
+        # words of small letters stand apart also in a row of them, where each ends with the only tokens that end one
+        plain = [i for i in todo if _LETTERS(words[i])]
+        rows = [" ".join([words[i] for i in plain[k : k + ROW_WORDS]]) for k in range(0, len(plain), ROW_WORDS)]
+        ids = [np.array(e.ids, "<u4") for e in self.words.encode_batch_fast(rows, add_special_tokens=False)]
+        ids = np.concatenate(ids) if ids else np.zeros(0, "<u4")
+        raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        for i, j, k in zip(plain, [0, *ends][: len(ends)], ends, strict=True):
+            out[i] = raw[j:k]
+        rest = [i for i in todo if out[i] is None]
+        encoded = self.words.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, encoded, strict=True):
             out[i] = np.array(e.ids, "<u4").tobytes()
+        for i in todo:
             self.kept.put(words[i], out[i])
         return out
 

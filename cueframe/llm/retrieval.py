@@ -67,7 +67,7 @@ class ByteIds:
         ids = np.concatenate(ids) if ids else np.zeros(0, self.kind)
         size, raw = self.kind.itemsize, ids.tobytes()
         starts = (np.flatnonzero(self.spaced[ids]) * size).tolist()
-        for i, j, k in zip(words, starts, [*starts[1:], len(raw)], strict=True):
+        for i, j, k in zip(words, starts, [*starts[1:], len(raw)][: len(starts)], strict=True):
             out[i] = raw[j:k]
         rest = [i for i in todo if out[i] is None]
         for i, e in zip(rest, self.whole.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):

@@ -245,3 +245,20 @@ def test_packed_pieces_hold_every_token(spark, odd, none, monkeypatch, small):
             at += n
         assert at <= 256 and at & (at - 1) == 0  # full, or of a length that needs no padding
     assert retrieval.pack(none, path).count() == 0
+
+
+def test_tokens_of_texts_without_words_in_rows():
+    """Batches in which no piece goes through a row of words."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from cueframe.llm import packing
+    from cueframe.llm.queries import WORD_BPE
+
+    for texts in ([None], [""], ["?"], ["日本", "12"], ["x"], [" x"], ["x", None, " y z"]):
+        ids, upto = retrieval.byte_ids(public_tokenizers.path(BYTE_BPE_50K)).encode(pa.array(texts, pa.string()))
+        whole = Tokenizer.from_file(public_tokenizers.path(BYTE_BPE_50K))
+        assert [ids[a:b].tolist() for a, b in zip(upto[:-1], upto[1:], strict=True)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+        words = Tokenizer.from_file(public_tokenizers.path(WORD_BPE))
+        got = packing.word_ids(public_tokenizers.path(WORD_BPE)).encode(pa.array(texts, pa.string()))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [words.encode(t or "", add_special_tokens=False).ids for t in texts]
