@@ -35,9 +35,10 @@ def keeping_columns(stage: Stage) -> Stage:
 
 @keeping_columns
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the compression bands keep. Null and empty texts have no words and go; repeated
+    """Documents that the rules and the compression bands keep; the bands' limits are learnt from the labels. Null and empty texts have no words and go; repeated
     rows are judged alike, each stays or goes with its text."""
-    return quality.judge(docs).where("kept").select(docs.columns)
+    bands = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, bands=bands).where("kept").select(docs.columns)
 
 
 @keeping_columns

@@ -39,7 +39,8 @@ def op6_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.judge(docs, bands=quality.learn(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "n_chunks", "n_bad_chunks", "kept")
 
 

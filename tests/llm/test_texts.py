@@ -232,3 +232,34 @@ def test_clashing_names_stay(spark):
     for out in (pii.find(df), quality.judge(df), linechunks.remove_repeats(df, linechunks.RUNS)):
         assert out.count() == len(rows) and {"_text", "_terms", "_row", "_id", "_gone", "c0", "C1"} <= set(out.columns)
         assert all((r["_text"], r["_terms"], r["_row"], r["_id"], r["_gone"], r["c0"], r["C1"]) == (0, 1, 2, 3, 4, 5, 6) for r in out.collect())
+
+
+def test_limits_are_learnt_from_labels(spark):
+    """By script and length, from half of the clean documents that pass the base rules; classes with few parts keep theirs."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(5000)]
+    wide = ["".join(chr(0x4E00 + r.randrange(900)) for _ in range(r.randint(1, 4))) for _ in range(3000)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(250))) for i in range(700)]
+    docs += [(1000 + i, " ".join(r.choice(wide) for _ in range(200))) for i in range(700)]
+    docs += [(3000, None), (3001, ""), (3002, "again " * 400), (3003, "é" * 10)]
+    labels = [(i, 1, 0) for i, _ in docs] + [(0, 1, None), (1, 0, 0), (2, 1, 1), (None, 1, 0), (9999, 1, 0)]
+    d, lb = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    used = quality.labelled(d, lb).count()
+    assert used == len(docs) - 2  # not the one labelled bad, nor the toxic one
+    bands = quality.learn(d, lb)
+    plain = quality.Bands()
+    changed = {(s, k) for s in range(3) for k in range(8) if bands.bands[s][k] != plain.bands[s][k]}
+    assert changed == {(0, 4), (2, 4)} and all(bands.bands[s][4][0] == 1024 for s in (0, 2))
+    out = {x.doc_id: x.kept for x in quality.judge(d, bands=bands).collect()}
+    clean = [i for i, t in docs if i < 3000]
+    assert sum(not out[i] for i in clean) <= 3 and not out[3002]
+    # the same text in another alphabet has limits of its own
+    assert bands.bands[0][4][1:] != bands.bands[2][4][1:]
+    none = spark.createDataFrame([], lb.schema)
+    assert quality.learn(d, none) == plain and quality.learn(d.limit(0), lb) == plain
+    assert quality.learn(d, lb, most=10) == plain
+
+
+@pytest.mark.parametrize("text,script", [("plain text", 0), ("", 0), ("un été là-bas", 0), ("привет мир", 1), ("日本語の文", 2), ("🤖🤖", 2)])
+def test_scripts(text, script):
+    assert quality.script_of(text.encode()) == script
