@@ -92,8 +92,10 @@ def repetition_groups(cues: DataFrame, policy: RepetitionPolicy = RepetitionPoli
     flat = cues.select("section_id", "pos", token.alias("token"))
     if known is not None:
         flat = _of_known_lines(flat, known)
-    # a text that comes once can only break blocks: sections without a repeated text need no search
-    twice = flat.where("token IS NOT NULL").groupBy("section_id", "token").agg(F.count("*").alias("n")).where("n > 1").select("section_id").distinct()
+    # a text that comes once can only break blocks: sections without a repeated text need no search. Counted by windows,
+    # so that texts are read and normalised once
+    often = F.count("token").over(Window.partitionBy("section_id", "token"))
+    flat = flat.withColumn("_n", often).withColumn("_most", F.max("_n").over(Window.partitionBy("section_id"))).where("_most > 1").drop("_n", "_most")
     kind = cues.schema["section_id"].dataType.simpleString()
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,7 +105,7 @@ def repetition_groups(cues: DataFrame, policy: RepetitionPolicy = RepetitionPoli
         rows = [(pdf["section_id"].iloc[0], k + 1, pos[s], pos[s + found[0] - 1]) for k, s in enumerate(found[1])] if found else []
         return pd.DataFrame(rows, columns=["section_id", "occurrence", "first", "last"])
 
-    return flat.join(twice, "section_id", "left_semi").groupBy("section_id").applyInPandas(search, f"section_id {kind}, occurrence int, first bigint, last bigint")
+    return flat.groupBy("section_id").applyInPandas(search, f"section_id {kind}, occurrence int, first bigint, last bigint")
 
 
 def _of_known_lines(flat: DataFrame, known: DataFrame) -> DataFrame:

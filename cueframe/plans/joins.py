@@ -103,12 +103,17 @@ def _phones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return heard, said
 
 
-@query(f"WITH {CUES} SELECT section_id AS track_id, pos AS line, start, start + 4 / 10.0 AS \"end\", CAST(0 AS BIGINT) AS lost FROM cues")
+_PHONES = f"""{CUES}, k AS (SELECT section_id AS track_id, pos, start, unnest(range(5)) AS k FROM cues), heard AS (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY pos * 5 + k) AS i, start + k / 10.0 AS start, start + (k + 1) / 10.0 AS "end", phone FROM (
+  SELECT *, CASE WHEN k = 4 THEN 'SP' WHEN track_id % 7 = 0 AND pos = 0 AND k = 0 THEN 'o' ELSE 'aiue'[k + 1] END AS phone FROM k) WHERE phone NOT IN ('AP', 'SP')),
+said AS (SELECT track_id, pos AS line, 'aiue'[k + 1] AS want, row_number() OVER (PARTITION BY track_id ORDER BY pos, k) AS i FROM k WHERE k < 4), met AS (SELECT * FROM said FULL JOIN heard USING (track_id, i))"""
+
+
+@query(f"""WITH {_PHONES} SELECT track_id, line, arg_min(start, i) AS start, arg_max("end", i) AS "end", count(*) FILTER (phone IS NULL) AS lost FROM met WHERE line IS NOT NULL GROUP BY track_id, line""")
 def j11_phone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.phone_lines(*_phones(spark, sf_dir))[0]
 
 
-@query("SELECT DISTINCT l_orderkey AS track_id, 1 AS first_mismatch FROM lineitem WHERE l_orderkey % 7 = 0")
+@query(f"""WITH {_PHONES} SELECT track_id, CAST(min(i) AS INTEGER) AS first_mismatch FROM met WHERE want IS DISTINCT FROM phone GROUP BY track_id""")
 def j11_phone_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.phone_lines(*_phones(spark, sf_dir))[1]
 
@@ -121,8 +126,8 @@ def j12_clip_to_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("section_id", "pos", F.col("r_window_id").alias("window_id"), "start", "end")
 
 
-@query("""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS h, doc_id % 20 AS k FROM documents) SELECT 'doc/' || doc_id AS path, 'missing' AS code FROM d WHERE k = 1 UNION ALL SELECT 'new/' || doc_id, 'extra' FROM d WHERE k = 2
-UNION ALL SELECT 'doc/' || doc_id, 'missing' FROM d WHERE k = 2 UNION ALL SELECT 'doc/' || doc_id, 'changed' FROM d WHERE k = 3""")
+@query("""WITH d AS (SELECT doc_id, strlen(coalesce(text, '')) AS size, sha256(coalesce(text, '')) AS h, doc_id % 20 AS k FROM documents), a AS (SELECT 'doc/' || doc_id AS path, size, h FROM d), b AS (SELECT CASE WHEN k = 2 THEN 'new/' ELSE 'doc/' END || doc_id AS path, size, CASE WHEN k = 3 THEN 'x' ELSE h END AS h FROM d WHERE k <> 1),
+j AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN b.path IS NULL THEN 'missing' WHEN a.path IS NULL THEN 'extra' WHEN a.size IS DISTINCT FROM b.size OR a.h IS DISTINCT FROM b.h THEN 'changed' END AS code FROM a FULL JOIN b ON a.path = b.path) SELECT path, code FROM j WHERE code IS NOT NULL""")
 def j13_inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), (F.col("doc_id") % 20).alias("k"))
     a = d.select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "size", "sha256")

@@ -195,7 +195,12 @@ def a10_occurrence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("risks", F.array_join("risks", ","))
 
 
-@query(f"""WITH {TALK} SELECT section_id, pos, concat_ws(',', CASE WHEN pos % 4 = 0 THEN 'audience_singing' END, CASE WHEN pos % 3 = 0 THEN 'live_lyric_variant' WHEN FALSE THEN '' END, CASE WHEN role <> 'user' THEN 'non_lyric_role' END, CASE WHEN pos % 5 = 0 THEN 'omitted_lyric' END, CASE WHEN role = 'user' THEN 'speech' END) AS codes FROM talk WHERE text <> ''""")
+_LETTERS_OF = "regexp_replace(lower({0}), '[" + T.SPACE + "\\p{{P}}\\p{{S}}]+', '', 'g')"
+
+
+@query(f"""WITH {TALK}, c AS (SELECT section_id, pos, CASE WHEN role = 'user' THEN 'speech' ELSE 'shout' END AS role, text, CASE WHEN pos % 3 = 0 THEN text || 'x' END AS canonical, [CASE WHEN pos % 4 = 0 THEN 'Crowd noise' ELSE 'ok' END, CASE WHEN pos % 5 = 0 THEN 'line omitted' ELSE 'ok' END] AS evidence FROM talk WHERE text <> '')
+SELECT section_id, pos, array_to_string(list_sort(list_filter([CASE WHEN role IN ('speech', 'lyric_adlib') THEN role WHEN role <> 'lyric' THEN 'non_lyric_role' END, CASE WHEN {_LETTERS_OF.replace('{0}', 'canonical').replace('{{', '{').replace('}}', '}')} <> {_LETTERS_OF.replace('{0}', 'text').replace('{{', '{').replace('}}', '}')} THEN 'live_lyric_variant' END,
+  CASE WHEN len(list_filter(evidence, lambda e: regexp_matches(lower(e), 'audience|crowd'))) > 0 THEN 'audience_singing' END, CASE WHEN len(list_filter(evidence, lambda e: regexp_matches(lower(e), 'omitted|missing'))) > 0 THEN 'omitted_lyric' END], lambda x: x IS NOT NULL)), ',') AS codes FROM c""")
 def u3_risk_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = talk(spark, sf_dir).where("text <> ''")
     evidence = F.array(F.when(F.col("pos") % 4 == 0, "Crowd noise").otherwise("ok"), F.when(F.col("pos") % 5 == 0, "line omitted").otherwise("ok"))
@@ -245,14 +250,15 @@ def w13_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rep.apply_changes(p.drop("new_start", "new_end"), changes)
 
 
-@query("""WITH b AS (SELECT doc_id, len(string_split(coalesce(text, ''), ' ')) AS n FROM documents WHERE coalesce(text, '') <> '') SELECT doc_id, greatest(n - 2, 0) AS run FROM b WHERE n > 2""")
+@query(f"""WITH {TALK}, t AS (SELECT section_id, pos, string_split(text, ' ') AS w FROM talk), k AS (SELECT section_id, pos, w, unnest(range(1, len(w) + 1)) AS i FROM t), x AS (SELECT section_id, pos, i, w[i] AS x, i - 1 AS j FROM k),
+h AS (SELECT a.section_id, a.pos, a.i, b.i AS j FROM x a JOIN x b ON b.section_id = a.section_id AND b.pos = a.pos + 1 AND b.x = a.x), r AS (SELECT section_id, pos, i - row_number() OVER (PARTITION BY section_id, pos, i - j ORDER BY i) AS g, i - j AS d FROM h),
+n AS (SELECT section_id, pos, g, d, count(*) AS n FROM r GROUP BY ALL) SELECT a.section_id * 1000 + a.pos AS pair, coalesce(max(n), 0) AS run FROM t a JOIN t b ON b.section_id = a.section_id AND b.pos = a.pos + 1 LEFT JOIN n ON n.section_id = a.section_id AND n.pos = a.pos GROUP BY a.section_id, a.pos""")
 def u5_longest_common_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbered words of a text against all but its first two."""
-    d = read(spark, sf_dir, "documents").where("coalesce(text, '') <> ''")
-    items = F.transform(F.split("text", " "), lambda x, i: F.concat_ws(":", i.cast("string"), x))
-    a = d.select("doc_id", items.alias("items"))
-    b = a.select("doc_id", F.slice("items", 3, F.size("items")).alias("items")).where(F.size("items") > 0)
-    return audit.longest_common_run(a, b, "doc_id")
+    """The words of each turn against those of the next one."""
+    t = talk(spark, sf_dir).select("section_id", "pos", F.split("text", " ").alias("items"))
+    a = t.select((F.col("section_id") * 1000 + F.col("pos")).alias("pair"), "items")
+    b = t.where("pos > 0").select((F.col("section_id") * 1000 + F.col("pos") - 1).alias("pair"), "items")
+    return audit.longest_common_run(a, b, "pair")
 
 
 @query("""WITH t AS (SELECT l_orderkey AS media_id, l_linenumber, CASE l_partkey % 4 WHEN 0 THEN 'ja' WHEN 1 THEN 'ja-JP' WHEN 2 THEN 'en' ELSE 'ja-x' END AS lang, l_suppkey % 3 = 0 AS auto FROM lineitem), r AS (SELECT *, CASE WHEN lang = 'ja' THEN 1 WHEN lang LIKE 'ja-%' THEN 2 END AS r FROM t WHERE NOT auto),
