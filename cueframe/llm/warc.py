@@ -17,12 +17,13 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, slices, stored
+from .common import forget, new_path, slices, stored
 
 #: A new archive begins beyond so many bytes.
 ARCHIVE_BYTES = 128 << 20
@@ -44,27 +45,40 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _field(url: str) -> str:
+    """A URL as a header may have it: what is no printable ASCII character, and blanks, percent-encoded."""
+    return quote(url, safe="".join(chr(c) for c in range(33, 127)))
+
+
+def _record(fields: dict[str, str], block: bytes) -> bytes:
+    head = {**fields, "WARC-Record-ID": f"<{uuid.uuid4().urn}>", "WARC-Date": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "Content-Length": str(len(block))}
+    return b"".join([b"WARC/1.1\r\n", *[f"{k}: {v}\r\n".encode() for k, v in head.items()], b"\r\n", block, b"\r\n\r\n"])
+
+
+def archive_info(name: str) -> bytes:
+    """The record that an archive begins with."""
+    return _record({"WARC-Type": "warcinfo", "WARC-Filename": name, "Content-Type": "application/warc-fields"}, b"software: cueframe\r\nformat: WARC File Format 1.1\r\n")
+
+
 def record(page_id: int | None, url: str | None, payload: bytes, sha: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record, dated when it is written. A revisit holds no payload but names its length and digest."""
-    head = {
-        "WARC-Type": "response" if refers_to is None else "revisit",
-        "WARC-Date": datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),
-        "WARC-Record-ID": f"<urn:page:{'' if page_id is None else page_id}>",
-        "WARC-Payload-Digest": f"sha1:{sha}",
-        "WARC-Payload-Length": str(len(payload)),
-        "Content-Type": "text/html; charset=utf-8",
-    }
+    """One WARC/1.1 record, dated when it is written. Its block is an HTTP response, that of a revisit without the payload. Own
+    fields: the page's number, that of the page it refers to, and a URL that a header can't hold as it is."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    head = {"WARC-Type": "response", "WARC-Payload-Digest": f"sha1:{sha}", "Content-Type": "application/http;msgtype=response"}
+    if page_id is not None:
+        head["Page-ID"] = str(page_id)
     if url is not None:
-        head["WARC-Target-URI"] = url.encode("unicode_escape").decode()
+        head["WARC-Target-URI"] = _field(url)
+        if head["WARC-Target-URI"] != url:
+            head["Page-URL"] = base64.b64encode(url.encode()).decode()
     if refers_to is not None:
-        head |= {"WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
+        head |= {"WARC-Type": "revisit", "Refers-To-Page-ID": str(refers_to), "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}
         payload = b""
-    head["Content-Length"] = str(len(payload))
-    return b"".join([b"WARC/1.1\r\n", *[f"{k}: {v}\r\n".encode() for k, v in head.items()], b"\r\n", payload, b"\r\n\r\n"])
+    return _record(head, http + payload)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and content of the record that data holds."""
+    """Header fields and block of the record that data holds."""
     head, _, rest = data.partition(b"\r\n\r\n")
     first, *lines = head.decode().split("\r\n")
     if not first.startswith("WARC/"):
@@ -76,9 +90,14 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:n]
 
 
+def payload_of(block: bytes) -> tuple[bytes, int]:
+    """What stands behind the HTTP head of a block, and how long the head says it is."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    return payload, next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+
+
 def _id(field: str | None) -> int | None:
-    digits = (field or "")[len("<urn:page:") : -1]
-    return int(digits) if digits else None
+    return None if field is None else int(field)
 
 
 def with_types(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -110,6 +129,10 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
                         files.create_dir(path)
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         out = files.open_output_stream(f"{path}/{name}", compression=None)
+                        z = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31)
+                        info = z.compress(archive_info(name)) + z.flush()
+                        out.write(info)
+                        at = len(info)
                     payload = (html or "").encode()
                     sha = digest(payload)
                     z = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31)
@@ -130,7 +153,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """The records that the index rows name, as their own bytes tell: page_id, payload_bytes,
     payload_digest, record_type, refers_to, url and, if asked for, payload (null for a revisit).
-    A response's length and digest are counted from its payload and must agree with its header."""
+    A response's length and digest are counted from its payload and must agree with its header; a revisit's are what its
+    head says (see checked())."""
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string" + ", payload binary" * with_payload
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +167,13 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
             with files.open_input_file(f"{path}/{group[0][0]}") as f:
                 data = f.read_at(last - first, first)
             for _, at, n in group:
-                fields, payload = parse(zlib.decompress(data[at - first : at - first + n], 31))
-                kind, size, sha = fields["WARC-Type"], int(fields["WARC-Payload-Length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                fields, block = parse(zlib.decompress(data[at - first : at - first + n], 31))
+                payload, size = payload_of(block)
+                kind, sha = fields["WARC-Type"], fields["WARC-Payload-Digest"].removeprefix("sha1:")
                 if kind == "response" and (len(payload), digest(payload)) != (size, sha):
                     raise ValueError(f"payload of {fields['WARC-Record-ID']} does not agree with its header")
-                url = fields.get("WARC-Target-URI")
-                yield (_id(fields["WARC-Record-ID"]), size, sha, kind, _id(fields.get("WARC-Refers-To")), url and url.encode().decode("unicode_escape"), payload if kind == "response" else None)[: len(names)]
+                url = base64.b64decode(own).decode() if (own := fields.get("Page-URL")) else fields.get("WARC-Target-URI")
+                yield (_id(fields.get("Page-ID")), size, sha, kind, _id(fields.get("Refers-To-Page-ID")), url, payload if kind == "response" else None)[: len(names)]
 
         def batch(group) -> pa.RecordBatch:
             cols = zip(*rows(group), strict=True)
@@ -170,12 +195,26 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = False) -> D
     return placed.mapInArrow(read, schema)
 
 
+def checked(records: DataFrame) -> DataFrame:
+    """records with length and digest of every revisit taken from the response it refers to; an error if that is not
+    there or says otherwise. Only numbers and digests are joined."""
+    responses = records.where("record_type = 'response' AND page_id IS NOT NULL").select(F.col("page_id").alias("_of"), F.col("payload_digest").alias("_sha"), F.col("payload_bytes").alias("_n")).distinct()
+    same = (F.col("refers_to") == F.col("_of")) & (F.col("payload_digest") == F.col("_sha"))
+    j = records.where("record_type = 'revisit'").join(responses, same, "left")
+    lost = F.raise_error(F.concat(F.lit("a revisit does not agree with the response of page "), F.col("refers_to").cast("string"))).cast("long")
+    found = j.withColumns({"payload_bytes": F.when(F.col("_n") == F.col("payload_bytes"), F.col("_n")).otherwise(lost), "payload_digest": F.col("_sha")})
+    return records.where("record_type = 'response'").unionByName(found.select(records.columns))
+
+
 def archive_and_read(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, with_payload: bool = False) -> DataFrame:
     """Archives all pages in the shared folder, then reads every record back through the index.
 
     Null html: an empty payload. Null page_id: such rows are archived as any other. Null url: the
-    record has no target. Repeated rows: a record each. Other columns are not archived.
+    record has no target. Repeated rows: a record each. Other columns are not archived, whatever their names. An empty table
+    gives an empty one. The archives stay, the index and what was read are stored tables.
     """
     folder = new_path(spark, "warc")
     index = stored(write_archives(pages, folder, min_bytes), "warc-index")
-    return read_records(index, folder, with_payload)
+    records = stored(read_records(index, folder, with_payload), "warc-records")
+    forget(index)
+    return checked(records)
