@@ -137,12 +137,12 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, order: str, to
     """Left rows (key, at, order) with the nearest right row (key, at, order) within the tolerance; of
     equally near ones the earliest in order. Times meet in buckets as wide as the tolerance."""
     width = max(1, tolerance)
-    a = left.withColumn("_nth", F.row_number().over(Window.partitionBy(*left.columns).orderBy(F.lit(0)))).withColumn("_b", F.explode(F.array(*[F.floor(F.col(at) / width) + d for d in (-1, 0, 1)])))
+    # rows that repeat are one here, and each is returned
+    a = left.groupBy(*left.columns).agg(F.count("*").alias("_times")).withColumn("_b", F.explode(F.array(*[F.floor(F.col(at) / width) + d for d in (-1, 0, 1)])))
     b = right.select(F.col(key).alias("_k"), F.floor(F.col(at) / width).alias("_c"), *[F.col(c).alias(f"r_{c}") for c in right.columns if c != key])
     near = a.join(b, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_c")) & (F.abs(F.col(at) - F.col(f"r_{at}")) <= tolerance))
     others = [c for c in right.columns if c != key]
-    best = near.groupBy(*left.columns).agg(F.min_by(F.struct(*[f"r_{c}" for c in others]), F.struct(F.abs(F.col(at) - F.col(f"r_{at}")), F.col(f"r_{order}"))).alias("_m"), F.count_distinct("_nth").alias("_times"))
-    # rows that repeat are each returned
+    best = near.groupBy(*left.columns).agg(F.min_by(F.struct(*[f"r_{c}" for c in others]), F.struct(F.abs(F.col(at) - F.col(f"r_{at}")), F.col(f"r_{order}"))).alias("_m"), F.first("_times").alias("_times"))
     every = best.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     return every.select(*left.columns, *[F.col(f"_m.r_{c}").alias(f"r_{c}") for c in others])
 
