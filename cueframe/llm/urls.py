@@ -4,8 +4,10 @@ Per host, the path is a way down a tree of segments. Segments that look variable
 are wildcards from the start; below a parent with many children, those that are rare become one wildcard,
 and siblings whose labelled share of blocked URLs is statistically alike are merged into one branch (those
 without labels among themselves). A template is blocked if its labelled purity, smoothed towards a prior,
-reaches a limit and enough of its URLs are labelled; otherwise it is allowed. The labels are the verdicts of
-the rules.
+reaches a limit and enough of its URLs are labelled. One without labels takes the purity of the branches beside
+it or, if they have no labels either, beside the nearest one above: each labelled branch counts once, however
+many URLs it has, and is smoothed towards the prior, so one blocked branch tells nothing of its siblings, and
+several that agree do. Otherwise a template is allowed. The labels are the verdicts of the rules.
 
 Only one aggregate by (host, template) leaves the URLs; the tree is built from it, level by level.
 """
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WILD = "*"
@@ -52,13 +54,15 @@ class TreeRule:
     pooled by their depth. max_children and rare: of a parent with more children than that, those that hold
     fewer URLs than rare are one wildcard; the others keep their branches. alike: siblings merge if their
     blocked shares lie within so many standard errors. prior and strength: the purity without labels, and its
-    weight in labelled URLs. limit: purity that blocks, if least_labelled of the template's URLs are labelled."""
+    weight in labelled URLs; beside: its weight in labelled branches. limit: purity that blocks, if
+    least_labelled of the template's URLs are labelled or none is."""
 
     depth: int = 8
     max_children: int = 8
     rare: float = 20.0
     alike: float = 2.0
     strength: float = 4.0
+    beside: float = 1.0
     limit: float = 0.8
     least_labelled: float = 0.5
     prior: float = 0.5
@@ -129,20 +133,28 @@ def _branches(children: DataFrame, at: list[str], rule: TreeRule) -> DataFrame:
 def learn(templates: DataFrame, rule: TreeRule) -> DataFrame:
     """Verdicts of templates (host, t array<string>, n, labelled, blocked): adds template (merged, as
     text), purity and method_verdict."""
-    nodes = stored(templates.withColumn("_node", F.lit("")), "templates")
+    nodes = stored(templates.withColumns({"_node": F.lit(""), "_beside": F.lit(None).cast("double")}), "templates")
     levels = nodes.agg(F.max(F.size("t"))).first()[0] or 0
     for level in range(levels):
         # children of each node of this level, with their counts; a node is (host, merged way down)
         at = ["host", "_node"]
-        nodes = nodes.withColumn("_seg", F.get("t", F.lit(level)))
+        before, nodes = nodes, nodes.withColumn("_seg", F.get("t", F.lit(level)))
         children = nodes.where("_seg IS NOT NULL").groupBy(*at, "_seg").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")])
-        names = _branches(stored(children, "children"), at, rule)
+        children = stored(children, "children")
+        names = _branches(children, at, rule)
+        # the purity of the labelled branches of each node, for those of its children that have no labels
+        told = (F.sum(F.col("blocked") / F.col("labelled")) + rule.beside * rule.prior) / (F.count("*") + rule.beside)
+        told = children.where("labelled > 0").groupBy(*at).agg(told.alias("_told"))
+        beside = F.when(F.col("_seg").isNotNull(), F.coalesce("_told", "_beside")).otherwise(F.col("_beside"))
         way = F.concat("_node", F.coalesce(F.concat(F.lit("/"), "_name"), F.lit("")))
-        nodes = stored(nodes.join(names, [*at, "_seg"], "left").withColumn("_node", way).drop("_name", "_seg"), "templates")
-    purity = (F.sum("blocked") + rule.strength * rule.prior) / (F.sum("labelled") + rule.strength)
+        on = _meet(nodes, told, at).withColumn("_beside", beside).drop("_told")
+        nodes = stored(on.join(names, [*at, "_seg"], "left").withColumn("_node", way).drop("_name", "_seg"), "templates")
+        forget(before, children)
+    own = (F.sum("blocked") + rule.strength * rule.prior) / (F.sum("labelled") + rule.strength)
+    purity = F.when(F.sum("labelled") == 0, F.coalesce(F.max("_beside"), F.lit(rule.prior))).otherwise(own)
     scored = nodes.groupBy("host", "_node").agg(purity.alias("purity"), (F.sum("labelled") / F.sum("n")).alias("_known"))
     out = nodes.join(scored, ["host", "_node"])
-    bad = (F.col("purity") >= rule.limit) & (F.col("_known") >= rule.least_labelled)
+    bad = (F.col("purity") >= rule.limit) & ((F.col("_known") >= rule.least_labelled) | (F.col("_known") == 0))
     return out.select("host", "t", F.col("_node").alias("template"), "purity", F.when(bad, "block").otherwise("allow").alias("method_verdict"))
 
 

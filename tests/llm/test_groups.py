@@ -291,18 +291,24 @@ def plain_tree(rows, rule):
     """Verdict by (host, template) of the tree, built by recursion over one parent's templates at a time."""
     out = {}
 
-    def go(host, group, level, way):
+    def go(host, group, level, way, beside=None):
         ended = [r for r in group if len(r[1]) == level]
         if ended:
             n, known, bad = (sum(r[k] for r in ended) for k in (2, 3, 4))
             purity = (bad + rule.strength * rule.prior) / (known + rule.strength)
-            out.update({(host, tuple(r[1])): (way, "block" if purity >= rule.limit and known >= rule.least_labelled * n else "allow") for r in ended})
+            verdict = purity >= rule.limit and known >= rule.least_labelled * n
+            if not known:
+                verdict = beside is not None and beside >= rule.limit
+            out.update({(host, tuple(r[1])): (way, "block" if verdict else "allow") for r in ended})
         children = {}
         for r in group:
             if len(r[1]) > level:
                 children.setdefault(r[1][level], []).append(r)
         count = {seg: tuple(sum(r[k] for r in rs) for k in (2, 3, 4)) for seg, rs in children.items()}
         name = {seg: "*" for seg in count if len(count) > rule.max_children and count[seg][0] < rule.rare}
+        told = [count[seg][2] / count[seg][1] for seg in count if count[seg][1]]
+        if told:
+            beside = (sum(told) + rule.beside * rule.prior) / (len(told) + rule.beside)
         silent = [seg for seg in count if seg not in name and count[seg][1] == 0]
         name |= {seg: "{?}" if len(silent) > 1 else seg for seg in silent}
         share = lambda seg: (count[seg][2] + rule.prior) / (count[seg][1] + 2 * rule.prior)
@@ -315,7 +321,7 @@ def plain_tree(rows, rule):
                 branches.append([seg])
         name |= {seg: seg if len(b) == 1 else "{%d}" % k for k, b in enumerate(branches) for seg in b}
         for to in set(name.values()):
-            go(host, [r for seg, rs in children.items() if name[seg] == to for r in rs], level + 1, way + "/" + to)
+            go(host, [r for seg, rs in children.items() if name[seg] == to for r in rs], level + 1, way + "/" + to, beside)
 
     for h in {r[0] for r in rows}:
         go(h, [r for r in rows if r[0] == h], 0, "")
@@ -347,6 +353,16 @@ def test_deep_paths_stay_apart(spark):
     assert t.t[-1] == "a/a/a/a/x/*" and t.u[-1] == "a/a/a/a/y/*"
 
 
+def test_unlabelled_paths_follow_several_branches_that_agree(spark):
+    pages = [f"http://{host}.net/{lang}/{k}" for host, langs in (("a", ["es", "fr", "de"]), ("b", ["es", "de", "en"]), ("c", ["de", "en"])) for lang in langs for k in range(4)]
+    rows = [*enumerate(pages), (100, "http://a.net/de/deep/er/1"), (101, "http://a.org/de/1")]
+    got = {x.page_id: x for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    verdict = {u: got[i].verdict for i, u in rows}
+    assert verdict["http://a.net/de/1"] == verdict["http://a.net/de/deep/er/1"] == "block"  # es and fr are blocked there
+    assert verdict["http://b.net/de/1"] == verdict["http://b.net/en/1"] == "allow"  # one blocked branch tells nothing
+    assert verdict["http://c.net/de/1"] == verdict["http://a.org/de/1"] == "allow"
+
+
 def test_unlabelled_paths_do_not_inherit_from_few_labels(spark):
     rows = [(i, f"http://h.net/{'es' if i < 6 else 'p' + chr(97 + i % 26)}/{i}") for i in range(100)]
     got = {x.page_id: x.verdict for x in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
