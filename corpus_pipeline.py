@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueframe.llm import linechunks, minhash, packing, pii, quality
-from cueframe.llm.common import forget_path, new_path, private, table
+from cueframe.llm.common import forget_path, has_table, new_path, private, table
 from cueframe.llm.queries import WORD_BPE
 
 
@@ -35,9 +35,10 @@ def keeping_columns(stage: Stage) -> Stage:
 
 @keeping_columns
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the compression bands keep; the bands' limits are learnt from the labels. Null and empty texts have no words and go; repeated
+    """Documents that the rules and the compression bands keep; the bands' limits are learnt from the labels,
+    where that table is there, and are the wide ones where it is not. Null and empty texts have no words and go; repeated
     rows are judged alike, each stays or goes with its text."""
-    bands = quality.learn(docs, table(spark, sf_dir, "labels"))
+    bands = quality.learn(docs, table(spark, sf_dir, "labels")) if has_table(spark, sf_dir, "labels") else quality.Bands()
     return quality.judge(docs, bands=bands).where("kept").select(docs.columns)
 
 

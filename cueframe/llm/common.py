@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def has_table(spark: SparkSession, sf_dir: str, name: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A temporary one only where none is set and driver and
     executors are one process (tests, a bench); on a cluster a missing one is an error."""
