@@ -317,7 +317,7 @@ def _sentences(text: str) -> str:
     return f"(length({bare}) - length(regexp_replace({bare}, '[{TX.STRONG}]', '', 'g')) - CAST(regexp_matches({bare}, '[{TX.STRONG}][{closers}]*$') AS INTEGER) + 1)"
 
 
-@query(f"""WITH {TALK}, c AS (SELECT section_id, pos, "end" - start AS seconds, text, CASE WHEN pos % 2 = 1 THEN translate(text, '.', ',') ELSE text END AS translation, len(regexp_split_to_array(trim(text), '\s+')) AS w FROM talk WHERE trim(text) <> ''),
+@query(f"""WITH {TALK}, c AS (SELECT section_id, pos, "end" - start AS seconds, text, CASE WHEN pos % 2 = 1 THEN translate(text, '.', ',') ELSE text END AS translation, len(regexp_split_to_array(trim(text), '\\s+')) AS w FROM talk WHERE trim(text) <> ''),
 n AS (SELECT *, {_sentences("text")} AS a, {_sentences("translation")} AS b FROM c), k AS (SELECT *, CASE WHEN a = b AND a > 1 THEN a WHEN w > 8 AND least(a, b) = 1 AND greatest(a, b) = 2 THEN 2 ELSE 1 END AS told FROM n)
 SELECT section_id, pos, CAST(greatest(1, least(told, greatest(1, floor(seconds / CAST(0.45 AS DOUBLE))), 6)) AS INTEGER) AS parts FROM k""")
 def w9_part_count(spark: SparkSession, sf_dir: str) -> DataFrame:
