@@ -234,3 +234,34 @@ def near_duplicates(docs: DataFrame, rule: NearRule = NearRule()) -> DataFrame:
     single = sigs.where("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = usable.select("doc_id", "n_shingles", "k1", "k2").join(ends, ["k1", "k2"]).select("doc_id", "n_shingles", F.col("_c").alias("component_id"))
     return linked.unionByName(single).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+#: Whole sets as lists of texts; documents with equal sets are one class, as above.
+SQL = r"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), words AS (
+    SELECT doc_id, len(ws) AS n, unnest(ws) AS t, generate_subscripts(ws, 1) AS i FROM texts
+), runs AS (
+    SELECT doc_id, n, i, concat_ws(' ', t, lead(t, 1) OVER d, lead(t, 2) OVER d, lead(t, 3) OVER d, lead(t, 4) OVER d) AS x FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), sets AS (
+    SELECT doc_id, list_sort(list(DISTINCT x)) AS s FROM runs WHERE i <= greatest(1, n - 4) GROUP BY doc_id
+    UNION ALL SELECT doc_id, [] FROM texts WHERE len(ws) = 0
+), classes AS (
+    SELECT s, len(s) AS n, min(doc_id) AS a FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s
+), shingles AS (
+    SELECT a, n, unnest(s) AS x FROM classes
+), common AS (
+    SELECT l.a AS a, r.a AS b, l.n AS n, r.n AS m, count(*) AS shared FROM shingles l JOIN shingles r ON l.x = r.x AND l.a < r.a AND 100 * least(l.n, r.n) >= 75 * greatest(l.n, r.n) GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common WHERE 100 * shared >= 75 * (n + m - shared)
+), ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT a, b FROM ways UNION SELECT r.a, w.b FROM reach r JOIN ways w ON r.b = w.a
+), ends AS (
+    SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a
+)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(ends.c, classes.a, doc_id) AS component_id, doc_id IS NOT DISTINCT FROM coalesce(ends.c, classes.a, doc_id) AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s AND doc_id IS NOT NULL LEFT JOIN ends ON classes.a = ends.a
+"""

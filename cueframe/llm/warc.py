@@ -218,3 +218,18 @@ def archive_and_read(spark: SparkSession, pages: DataFrame, min_bytes: int = 0,
     records = stored(read_records(index, folder, with_payload), "warc-records")
     forget(index)
     return checked(records)
+
+
+#: Digest by digest: five hexadecimal digits are four of base 32.
+SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM p),
+d AS (
+    SELECT *, array_to_string(list_transform(range(32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(sha, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS digest
+    FROM f
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM d
+"""
