@@ -245,3 +245,32 @@ def remove_repeats(docs: DataFrame, rule: ChunkRule = ChunkRule()) -> DataFrame:
 
     added = "n_lines bigint, n_removed_lines bigint, n_removed_words bigint, kept_sha256 string"
     return joined.mapInArrow(run, schema_of(docs, added)).toDF(*docs.columns, *new)
+
+
+#: The rows under RUNS: a line goes if a shortest run with 50 words that holds it stands earlier, apart from it.
+SQL = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text FROM documents
+), split AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM texts
+), counted AS (
+    SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM split
+), lines AS (
+    SELECT *, sum(n) OVER d - n AS before, sum(n) OVER d AS upto, sum(length(line) + 1) OVER d - length(line) AS begins, sum(length(line) + 1) OVER d AS ends
+    FROM counted WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (
+    SELECT a.doc_id, a.i, min(b.i) AS j FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.upto >= a.before + 50 GROUP BY ALL
+    UNION SELECT b.doc_id, max(a.i), b.i FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND a.before <= b.upto - 50 GROUP BY ALL
+), cut AS (
+    SELECT r.doc_id, r.i, r.j, substr(t.text, CAST(a.begins AS BIGINT), CAST(b.ends - a.begins AS BIGINT)) AS x
+    FROM runs r JOIN texts t ON r.doc_id = t.doc_id JOIN lines a ON r.doc_id = a.doc_id AND r.i = a.i JOIN lines b ON r.doc_id = b.doc_id AND r.j = b.i
+), firsts AS (
+    SELECT doc_id, i, j, min(row(doc_id, i, j)) OVER (PARTITION BY x) AS f FROM cut
+), gone AS (
+    SELECT DISTINCT g.doc_id, l.i FROM firsts g JOIN lines l ON g.doc_id = l.doc_id AND l.i BETWEEN g.i AND g.j
+    WHERE row(g.doc_id, g.i, g.j) <> g.f AND (g.doc_id <> g.f[1] OR g.f[3] < g.i)
+)
+SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed_lines, CAST(coalesce(sum(l.n) FILTER (g.i IS NOT NULL), 0) AS BIGINT) AS n_removed_words,
+    sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id
+"""

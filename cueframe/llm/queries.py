@@ -71,4 +71,4 @@ def op13_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_disclosure, op2_itq, op3_warc, op4_byte_bpe, op5_hash_tree_shards, op6_linear_grouping, op7_compression_bands, op8_template_tree, op9_bbit_minhash, op10_line_chunks, op11_filter_audit, op12_source_divergence, op13_retrieval_packing)}
-ORACLES: dict[str, str] = {"op2_itq": itq.SQL, "op3_warc": warc.SQL, "op9_bbit_minhash": minhash.SQL, "op11_filter_audit": interaction.SQL, "op12_source_divergence": divergence.SQL}
+ORACLES: dict[str, str] = {"op2_itq": itq.SQL, "op3_warc": warc.SQL, "op9_bbit_minhash": minhash.SQL, "op10_line_chunks": linechunks.SQL, "op11_filter_audit": interaction.SQL, "op12_source_divergence": divergence.SQL}
