@@ -183,12 +183,38 @@ def _song_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("section_id", "pos", F.col("text").alias("source_text"), F.lit(None).cast("string").alias("canonical_source_text"), F.when(F.col("pos") % 13 == 12, "speech").otherwise("lyric").alias("role"), F.array().cast("array<string>").alias("evidence"), "start", (F.col("start") + F.length("text") / 10.0).alias("end"))
 
 
-@query()
+_SONG = """song AS (SELECT section_id, pos, CASE WHEN pos % 13 = 12 THEN 'speech' ELSE 'lyric' END AS role, s AS start, s + n / 10.0 AS "end" FROM (SELECT track_id AS section_id, line AS pos, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY track_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 10.0 AS s FROM lines WHERE text <> ''))"""
+_MATCHED = f"regexp_replace(lower(replace(regexp_replace(text, '{T.TAG}', '', 'g'), '\\N', '')), '[{T.SPACE}\\p{{P}}\\p{{S}}]+', '', 'g')"
+#: From tokens (section_id, pos, n, t): each section's block of most lines that stands twice without overlap, and its places
+#: from the left. Two places i and i + d hold a block of as many lines as agree along d, d at most.
+_BLOCKS = """same AS (SELECT a.section_id, a.n AS i, b.n - a.n AS d FROM tokens a JOIN tokens b ON a.section_id = b.section_id AND a.t = b.t AND a.n < b.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY section_id, d ORDER BY i) AS g FROM same),
+agree AS (SELECT section_id, d, max(i) OVER (PARTITION BY section_id, d, g) - i + 1 AS e FROM islands),
+longest AS (SELECT section_id, max(least(e, d)) AS size FROM agree GROUP BY section_id HAVING max(least(e, d)) >= 2),
+places AS (SELECT l.section_id, l.size, a.n AS s, list(x.t ORDER BY x.n) AS block FROM longest l JOIN tokens a ON a.section_id = l.section_id JOIN tokens x ON x.section_id = a.section_id AND x.n BETWEEN a.n AND a.n + l.size - 1 GROUP BY ALL HAVING count(x.t) = l.size),
+twice AS (SELECT * FROM (SELECT *, max(s) OVER (PARTITION BY section_id, block) - min(s) OVER (PARTITION BY section_id, block) AS far FROM places) WHERE far >= size),
+chosen AS (SELECT section_id, size, block, min(s) AS s FROM twice GROUP BY ALL UNION ALL SELECT c.section_id, c.size, c.block, min(t.s) FROM chosen c JOIN twice t ON t.section_id = c.section_id AND t.block = c.block AND t.s >= c.s + c.size GROUP BY ALL),
+ranked AS (SELECT section_id, block, row_number() OVER (PARTITION BY section_id ORDER BY count(*) DESC, length(array_to_string(block, '')) DESC, min(s)) AS k FROM chosen GROUP BY section_id, block),
+occurrences AS (SELECT c.section_id, row_number() OVER (PARTITION BY c.section_id ORDER BY c.s) AS occurrence, a.pos AS first, b.pos AS last FROM ranked r JOIN chosen c ON c.section_id = r.section_id AND c.block = r.block
+  JOIN tokens a ON a.section_id = c.section_id AND a.n = c.s JOIN tokens b ON b.section_id = c.section_id AND b.n = c.s + c.size - 1 WHERE r.k = 1)"""
+_TOKENS = f"sung AS (SELECT track_id AS section_id, line AS pos, row_number() OVER (PARTITION BY track_id ORDER BY line) AS n, nullif({_MATCHED}, '') AS t FROM lines WHERE text <> ''), tokens AS (SELECT section_id, pos, n, CASE WHEN pos % 13 <> 12 THEN t END AS t FROM sung)"
+#: The same, of texts that are lines in a row of the lyric alone: they stand in the joined lines from one line's start to one's end.
+_KNOWN = _TOKENS.replace("tokens AS", "said AS") + """, lyric AS (SELECT section_id, t, sum(length(t)) OVER (PARTITION BY section_id ORDER BY pos) AS upto FROM sung WHERE pos % 3 = 0 AND t IS NOT NULL),
+joined AS (SELECT section_id, string_agg(t, '' ORDER BY upto) AS whole, list(upto) AS ends FROM lyric GROUP BY section_id),
+runs AS (SELECT DISTINCT s.section_id, s.t FROM said s JOIN lyric l ON s.section_id = l.section_id JOIN joined j ON j.section_id = s.section_id
+  WHERE substr(j.whole, CAST(l.upto - length(l.t) + 1 AS BIGINT), length(s.t)) = s.t AND list_contains(j.ends, l.upto - length(l.t) + length(s.t))),
+tokens AS (SELECT s.section_id, s.pos, s.n, r.t FROM said s LEFT JOIN runs r ON r.section_id = s.section_id AND r.t = s.t)"""
+
+
+@query(f"WITH RECURSIVE {LINES}, {_TOKENS}, {_BLOCKS} SELECT * FROM occurrences", occurrence="INTEGER", first="BIGINT", last="BIGINT")
 def a9_repetition_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rep.repetition_groups(_song_cues(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LINES}, {_SONG}, {_TOKENS}, {_BLOCKS}, times AS (SELECT o.section_id, o.occurrence, a.start, b."end", b."end" - a.start AS duration FROM occurrences o JOIN song a ON a.section_id = o.section_id AND a.pos = o.first JOIN song b ON b.section_id = o.section_id AND b.pos = o.last),
+middle AS (SELECT section_id, (ds[(len(ds) + 1) // 2] + ds[len(ds) // 2 + 1]) / 2 AS median FROM (SELECT section_id, list_sort(list(duration)) AS ds FROM times GROUP BY section_id)),
+drifts AS (SELECT t.*, median, max(abs(duration / median - 1)) OVER (PARTITION BY section_id) AS drift FROM times t JOIN middle USING (section_id))
+SELECT section_id, occurrence, start, "end", '' AS risks, duration, median, drift, drift <= CAST(0.12 AS DOUBLE) AS stable FROM drifts""", occurrence="INTEGER")
 def a10_occurrence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _song_cues(spark, sf_dir)
     out = rep.occurrence_stats(c, rep.repetition_groups(c))
@@ -208,7 +234,6 @@ def u3_risk_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rep.risk_codes(c).select("section_id", "pos", F.array_join("risk_codes", ",").alias("codes"))
 
 
-_SONG = """song AS (SELECT section_id, pos, CASE WHEN pos % 13 = 12 THEN 'speech' ELSE 'lyric' END AS role, s AS start, s + n / 10.0 AS "end" FROM (SELECT track_id AS section_id, line AS pos, length(text) AS n, coalesce(sum(length(text)) OVER (PARTITION BY track_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 10.0 AS s FROM lines WHERE text <> ''))"""
 
 
 @query(f"""WITH {LINES}, {_SONG}, i AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY pos) AS i FROM song), l AS (SELECT *, i - row_number() OVER (PARTITION BY section_id ORDER BY pos) AS run FROM i WHERE role = 'lyric'),
@@ -295,7 +320,7 @@ def o5_preview_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ly.preview_points(c)
 
 
-@query()
+@query(f"WITH RECURSIVE {LINES}, {_KNOWN}, {_BLOCKS} SELECT * FROM occurrences", occurrence="INTEGER", first="BIGINT", last="BIGINT")
 def a9_known_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only texts that are runs of a lyric's lines may repeat: the lyric is every third line of the same document."""
     c = _song_cues(spark, sf_dir)

@@ -42,7 +42,16 @@ def s2_parse_ass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.parse_ass(w.render_ass(_turns(spark, sf_dir), "section_id", safe=1e9), keys=("section_id",))
 
 
-@query()
+_W2 = f"((length(t) + length(regexp_replace(t, '[^{TX.wide()}]+', '', 'g'))) * 56 / 2)"
+
+
+def _ass_sql(seconds: str) -> str:
+    cs = f"CAST(round_even({seconds} * 100, 0) AS BIGINT)"
+    return f"format('{{:d}}:{{:02d}}:{{:02d}}.{{:02d}}', {cs} // 360000, {cs} // 6000 % 60, {cs} // 100 % 60, {cs} % 100)"
+
+
+@query(f"""WITH {TALK}, {_FLAT}, fitted AS (SELECT section_id, start, "end", translate(t, '{{}}\\', '｛｝＼') AS t, CAST(greatest(50, least(100, floor(CAST(1760 AS DOUBLE) / {_W2} * 100))) AS INTEGER) AS scale, {_W2} > 1760 AS narrow FROM flat)
+SELECT section_id, '{w.HEAD}' || string_agg('Dialogue: 0,' || {_ass_sql("start")} || ',' || {_ass_sql('"end"')} || ',Default,,0,0,0,,' || CASE WHEN narrow AND scale < 100 THEN '{{\\fscx' || scale || '}}' ELSE '' END || t, chr(10) ORDER BY start, t) || chr(10) AS text FROM fitted GROUP BY section_id""")
 def k2_render_ass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.render_ass(_turns(spark, sf_dir), "section_id")
 
