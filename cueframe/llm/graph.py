@@ -7,20 +7,32 @@ from pyspark.sql import functions as F
 
 from .common import forget, stored
 
+#: Tasks that the links of one node are dealt to at most.
+PARTS = 64
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges with m, the smallest of u and all v beside it, and (u, m) alone. The links of a node are dealt to
+    PARTS tasks by v: each gives a minimum, and the node's own one comes back to the parts that it has, so no
+    task holds a star, however many rays it has."""
+    dealt = edges.withColumn("_part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    each = dealt.groupBy("u", "_part").agg(F.min("v").alias("m"))
+    least = each.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("m"), F.collect_list("_part").alias("_parts"))
+    return dealt.join(least.select("u", "m", F.explode("_parts").alias("_part")), ["u", "_part"]), least.select("u", "m")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both)[0].where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    down = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    known, least = _with_least(edges)
+    down = known.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
