@@ -37,17 +37,6 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_star_is_dealt_to_many_tasks(spark):
-    star = spark.range(1, 20_001).selectExpr("0L AS u", "id AS v")
-    known, least = graph._with_least(star)
-    assert [tuple(x) for x in least.collect()] == [(0, 0)]
-    assert known.count() == 20_000 and known.where("m <> 0").count() == 0
-    sizes = [x["n"] for x in known.groupBy("u", "_part").agg(F.count("*").alias("n")).collect()]
-    assert len(sizes) == graph.PARTS and max(sizes) < 2 * 20_000 / graph.PARTS
-    got = graph.components(star)
-    assert got.count() == 20_001 and got.where("component <> 0").count() == 0
-
-
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
