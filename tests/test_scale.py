@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from cueframe.operators import joins, metrics
+from cueframe.operators import joins, metrics, timeline
 
 
 def test_intervals_meet_once(spark):
@@ -264,3 +264,12 @@ def test_banded_walks_are_those_of_the_whole_table(monkeypatch):
     compared.clear()
     got = align._pairing(words, list(range(400)), words, list(range(400)))
     assert [(i, j) for i, j, *_ in got] == [(i, i) for i in range(400)] and len(compared) < 400 * 400 / 4
+
+
+def test_bars_add_weights_in_order(spark):
+    """The whole weight of a bar is that of its last section, to the last bit, in whatever order the sections come."""
+    r = random.Random(3)
+    rows = [(c, i, "song", float(i), i + r.random() * 100 / 3) for c in range(40) for i in range(50)]
+    r.shuffle(rows)
+    got = timeline._weighed(spark.createDataFrame(rows, "concert_id long, section_id long, type string, start double, end double")).where("i = n - 1").collect()
+    assert len(got) == 40 and all(x["run"] == x["total"] for x in got)
