@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from .common import by_place, mix, schema_of, slices, span_hashes, text_bytes, words
 
 
-#: Documents labelled clean that limits are learnt on at most, those of least hash of their id; parts of a class and
-#: script that are needed; what is left of either side of the quantiles 0.001 and 0.999.
-LEARN_DOCS, LEARN_PARTS, LOWER_ROOM = 8192, 200, 1.15
+#: Parts of a class and script that limits need; what is left of a lower one.
+LEARN_PARTS, LOWER_ROOM = 200, 1.15
 Classes = tuple[tuple[int, float, float], ...]
 
 
@@ -173,40 +172,50 @@ def judge(docs: DataFrame, base: BaseRules = BaseRules(), bands: Bands = Bands()
     return by_place(docs).mapInArrow(run, schema_of(docs, added)).toDF(*docs.columns, *new)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCS) -> DataFrame:
-    """text, half (0 or 1) of documents labelled clean (quality = 1, not toxic), at most so many ids, those of least hash."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """docs (doc_id and others) labelled clean (quality = 1, not toxic), with half (0 or 1, by hash of the id). most: ids that are
+    used at most, those of least hash (none: all)."""
     clean = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_d")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_q"), F.max(F.coalesce("toxic", F.lit(0))).alias("_t")).where("_q = 1 AND _t <> 1")
-    ids = clean.select("_d").orderBy(F.xxhash64("_d"), "_d").limit(most)
-    # at most `most` ids
-    return docs.select(F.col("doc_id").cast("long").alias("_d"), "text").join(F.broadcast(ids), "_d").select("text", F.pmod(F.xxhash64("_d", F.lit("half")), F.lit(2)).alias("half"))
+    ids = clean.select("_d")
+    if most is not None:
+        ids = ids.orderBy(F.xxhash64("_d"), "_d").limit(most)
+    others = [c for c in docs.columns if c != "doc_id"]
+    return docs.select(F.col("doc_id").cast("long").alias("_d"), *others).join(ids, "_d").select(*others, F.pmod(F.xxhash64("_d", F.lit("half")), F.lit(2)).alias("half"))
 
 
-def learn(docs: DataFrame, labels: DataFrame, base: BaseRules = BaseRules(), bands: Bands = Bands(), most: int = LEARN_DOCS, half: int | None = 0) -> Bands:
-    """Bands whose limits are the quantiles 0.001 and 0.999 of whole texts and chunks of the documents labelled clean that
+def learn(docs: DataFrame, labels: DataFrame, base: BaseRules = BaseRules(), bands: Bands = Bands(), most: int | None = None, half: int | None = None) -> Bands:
+    """Bands whose limits are the quantiles 0.001 and 0.999 of whole texts and chunks of all documents labelled clean that
     pass the base rules, by script and length, with room: a lower limit is the quantile / 1.15, an upper one the
-    quantile * 1.25 below 2048 bytes, where the ratio hangs on the vocabulary, and * 1.02 from there. half: the half of
-    the labelled documents that is used (none: all). Classes of which there are too few keep the limits of `bands`."""
+    quantile * 1.25 below 2048 bytes, where the ratio hangs on the vocabulary, and * 1.02 from there. most, half: to
+    learn from fewer, as for a test on the others. Classes of which there are too few keep the limits of `bands`.
+
+    Texts are measured where they lie; only the numbers of their parts meet the labels, and are counted by ratio."""
     starts = [c[0] for c in bands.bands[0]]
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         compress = zstandard.ZstdCompressor(level=bands.level).compress
-        for b in slices(batches, 0):
-            m = measure(b.column(0))
+        for b in slices(batches, 1):
+            m = measure(b.column(1))
             good = (m["n_words"] >= base.min_words) & (100 * m["n_repeat_words"] <= base.max_repeat_percent * m["n_words"])
-            data, cuts = text_bytes(b.column(0))
-            view, rows = memoryview(np.ascontiguousarray(data)), []
-            for i, j in zip(cuts[:-1][good].tolist(), cuts[1:][good].tolist(), strict=True):
+            data, cuts = text_bytes(b.column(1))
+            view, rows, docs_, ids = memoryview(np.ascontiguousarray(data)), [], [], b.column(0).to_pylist()
+            for at in np.flatnonzero(good).tolist():
+                i, j = int(cuts[at]), int(cuts[at + 1])
                 own = chunk_starts(j - i, bands)
                 for a, e in [(i, j), *[(i + c, min(j, i + c + bands.chunk)) for c in own if len(own) > 1]]:
                     rows.append((script_of(view[a:e]), sum(e - a >= s for s in starts) - 1, (e - a) / len(compress(view[a:e]))))
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["script", "class", "ratio"])
+                    docs_.append(ids[at])
+            cols = [docs_, *(list(zip(*rows, strict=True)) or [[]] * 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "script", "class", "ratio"])
 
-    known = labelled(docs, labels, most)
+    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(parts, "doc_id bigint, script int, class int, ratio double")
+    known = labelled(measured, labels, most)
     known = known if half is None else known.where(F.col("half") == half)
-    found = known.select("text").mapInArrow(parts, "script int, class int, ratio double").groupBy("script", "class").agg(F.count("*").alias("n"), F.percentile("ratio", F.array(F.lit(0.001), F.lit(0.999))).alias("q"))
+    # ratios to four places, so that a class has few of them, however many parts there are
+    counts = known.groupBy("script", "class", F.round("ratio", 4).alias("ratio")).agg(F.count("*").alias("n"))
+    found = counts.groupBy("script", "class").agg(F.sum("n").alias("n"), F.percentile("ratio", F.array(F.lit(0.001), F.lit(0.999)), F.col("n")).alias("q"))
     limits = {(r["script"], r["class"]): r["q"] for r in found.where(F.col("n") >= LEARN_PARTS).collect()}  # a few classes
 
     def of(script: int, k: int, least: int, low: float, high: float) -> tuple[int, float, float]:

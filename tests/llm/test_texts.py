@@ -260,6 +260,23 @@ def test_limits_are_learnt_from_labels(spark):
     assert quality.learn(d, lb, most=10) == plain
 
 
+def test_limits_are_learnt_from_all_labels(spark):
+    """More clean documents than any bound: one of a thousand that compresses better than the others moves the limit."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    texts = [" ".join(r.choice(words) for _ in range(170)) for _ in range(40)]
+    odd = " ".join(r.choice(words) + " " + "yes" * 5 for _ in range(60))[:1200]
+    docs = [(i, odd if i % 300 == 0 else texts[i % 40]) for i in range(9000)]
+    d, lb = spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.range(9000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.labelled(d, lb).count() == 9000
+    import zstandard
+
+    compress = zstandard.ZstdCompressor(level=1).compress
+    most = max(len(t) / len(compress(t.encode())) for _, t in docs[:300])
+    assert abs(quality.learn(d, lb).bands[0][4][2] - most * 1.25) < 0.001
+    assert quality.learn(d, lb) == quality.learn(d.repartition(3), lb.union(lb))
+
+
 @pytest.mark.parametrize("text,script", [("plain text", 0), ("", 0), ("un été là-bas", 0), ("привет мир", 1), ("日本語の文", 2), ("🤖🤖", 2)])
 def test_scripts(text, script):
     assert quality.script_of(text.encode()) == script
