@@ -3,6 +3,7 @@ each is worked through in one Arrow batch."""
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 
@@ -66,6 +67,8 @@ def _similar(a: str, b: str) -> float:
 GAP, MOST_LINES = 0.55, 3
 #: What a pair earns at most, and the share of the time that the first band reaches to either side.
 MOST_WORTH, FIRST_BAND = 2.65, 0.05
+#: Walks after which all texts of the band are compared.
+MOST_ROUNDS = 64
 
 
 def _band(u: np.ndarray, v: np.ndarray, width: float) -> np.ndarray:
@@ -85,8 +88,10 @@ def _band(u: np.ndarray, v: np.ndarray, width: float) -> np.ndarray:
 def _pairing(texts: list[str], times: list[int], lines: list[str], at: list[int]) -> list[tuple[int, int, int, float, float]]:
     """(cue, first line, last line, similarity, place) of the best walk through cues and lines.
 
-    Totals are taken diagonal by diagonal within a band of the time, where alone texts are compared. What a walk that
-    leaves the band could reach at most is known; unless the best walk within reaches more, the band is widened."""
+    Totals are taken diagonal by diagonal within a band of the time. What a walk that leaves the band could reach at most
+    is known; unless the best walk within reaches more, the band is widened. Texts count first with what their
+    characters allow at most, and those that the best walk takes are compared, until it takes none that is not: no
+    other walk can reach more, and none that comes first can reach as much."""
     n, m = len(texts), len(lines)
     u, v = (np.array(t, float) - t[0] for t in (times, at))
     u, v = u / max(1, times[-1] - times[0]), v / max(1, at[-1] - at[0])
@@ -103,29 +108,64 @@ def _pairing(texts: list[str], times: list[int], lines: list[str], at: list[int]
     i, j = np.ogrid[: n + 1, : m + 1]
     matched = np.minimum(i, j) + np.minimum(n - i, m - j)
     most = MOST_WORTH * matched - GAP * (n - matched) - GAP * np.maximum(0, m - MOST_LINES * matched)
+    alike, sure = _at_most(texts, lines)
     known: dict[tuple[str, str], float] = {}
-    width = FIRST_BAND
+    width, rounds, whole_run = FIRST_BAND, 0, _worth(np.ones_like(place), place)
     while True:
         open_ = _band(np.append(0.0, u), np.append(0.0, v), width)
-        alike = np.zeros((n, m))
-        for x, y in np.argwhere(open_[1:, 1:]).tolist():
+        total, taken = _totals(open_, _worth(alike, place), whole_run, runs)
+        if not open_.all() and total[n, m] <= most[~open_].max() + 1e-9:
+            width *= 2
+            continue
+        walk = _walk(taken)
+        rounds += 1
+        asked = [(i, j) for i, j, k in walk if k == 1 and not sure[i, j]] if rounds < MOST_ROUNDS else np.argwhere(open_[1:, 1:] & ~sure).tolist()
+        if not asked:
+            break
+        for x, y in asked:
             pair = texts[x], lines[y]
             if pair not in known:
                 known[pair] = _similar(*pair)
-            alike[x, y] = known[pair]
-        total, taken = _totals(open_, _worth(alike, place), _worth(np.ones_like(place), place), runs)
-        if open_.all() or total[n, m] > most[~open_].max() + 1e-9:
-            break
-        width *= 2
-    found, i, j = [], n, m
+            alike[x, y], sure[x, y] = known[pair], True
+    found = []
+    for i, j, k in walk:
+        s = float(alike[i, j]) if k == 1 else 1.0
+        if s >= GAP:
+            found.append((i, j - k + 1, j, s, float(place[i, j - k + 1])))
+    return found[::-1]
+
+
+def _at_most(texts: list[str], lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What the similarity of each text and line is at most, by the characters that both hold, and whether it is just that."""
+    n, m = len(texts), len(lines)
+    a, b = ({}, {})
+    for side, own in ((texts, a), (lines, b)):
+        for i, t in enumerate(side):
+            for c, k in Counter(t).items():
+                own.setdefault(c, []).append((i, k))
+    shared = np.zeros((n, m), np.int64)
+    for c in a.keys() & b.keys():
+        (x, p), (y, q) = (np.array(side[c]).T for side in (a, b))
+        shared[np.ix_(x, y)] += np.minimum.outer(p, q)
+    size_a, size_b = (np.array([len(t) for t in side], np.int64) for side in (texts, lines))
+    place = {t: i for i, t in enumerate(dict.fromkeys([*texts, *lines]))}
+    same = np.equal.outer([place[t] for t in texts], [place[t] for t in lines])
+    both = size_a[:, None] + size_b[None, :]
+    # texts that are not the same differ in a character at least
+    shared -= ~same & (2 * shared == both) & (both > 0)
+    alike = np.where(same & (both > 0), 1.0, 2.0 * shared / np.maximum(both, 1))
+    return alike, same | (shared <= 0)
+
+
+def _walk(taken: np.ndarray) -> list[tuple[int, int, int]]:
+    """(cue, last line, number of lines) of the steps that take both, from the last one on."""
+    out, i, j = [], taken.shape[0] - 1, taken.shape[1] - 1
     while i and j:
         k = int(taken[i, j])
         if k > 0:
-            s = float(alike[i - 1, j - 1]) if k == 1 else 1.0
-            if s >= GAP:
-                found.append((i - 1, j - k, j - 1, s, float(place[i - 1, j - k])))
+            out.append((i - 1, j - 1, k))
         i, j = i - (k != 0), j - (1 if k == 0 else max(k, 0))
-    return found[::-1]
+    return out
 
 
 def _worth(alike: np.ndarray, place: np.ndarray) -> np.ndarray:

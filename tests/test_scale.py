@@ -273,3 +273,18 @@ def test_bars_add_weights_in_order(spark):
     r.shuffle(rows)
     got = timeline._weighed(spark.createDataFrame(rows, "concert_id long, section_id long, type string, start double, end double")).where("i = n - 1").collect()
     assert len(got) == 40 and all(x["run"] == x["total"] for x in got)
+
+
+def test_long_texts_of_one_alphabet_are_compared_where_walks_lead(monkeypatch):
+    """Missing and changed lines of like letters: the walk of all comparisons, by few of them."""
+    from cueframe.operators import align
+
+    r = random.Random(11)
+    lines = ["".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(160)]
+    kept = [i for i in range(160) if i % 7 != 6]
+    texts = [lines[i][:40] + "xy" * 10 if i % 5 == 2 else lines[i] for i in kept]
+    compared = []
+    real = align._similar
+    monkeypatch.setattr(align, "_similar", lambda a, b: compared.append(1) or real(a, b))
+    got = align._pairing(texts, kept, lines, list(range(160)))
+    assert [(x[0], x[1]) for x in got] == list(enumerate(kept)) and len(compared) < 160 * 4
