@@ -16,6 +16,8 @@ from ..functions.numbers import round3
 
 #: Parts between anchors that one call of a helper matches.
 PARTS_AT_ONCE = 32
+#: Sizes of the pieces by which common blocks are found, the last one a character.
+PIECES = (32, 8, 3, 1)
 #: Buckets of a histogram by which a rank is narrowed down.
 BUCKETS = 4096
 
@@ -124,13 +126,36 @@ def _between(rows: DataFrame, chain: DataFrame, key: str, side: str) -> DataFram
     return own.withColumn("part", F.coalesce(F.sum("_a").over(w), F.lit(0)))
 
 
+def _matching(a: str, b: str) -> list[tuple[int, int, int]]:
+    """The matching blocks of difflib, neighbours apart. A longest block of `size` characters or more is a longest run of
+    pieces of that size, which begins at the same place, so long blocks are found by pieces that come seldom; a part that
+    holds none is searched by shorter pieces."""
+    by_size: dict[int, SequenceMatcher] = {}
+    found, todo = [], [(0, len(a), 0, len(b), 0)]
+    while todo:
+        i, j, k, l, level = todo.pop()
+        for step in range(level, len(PIECES)):
+            size = PIECES[step]
+            if min(j - i, l - k) < size:
+                continue
+            if size not in by_size:
+                by_size[size] = SequenceMatcher(None, *([t[x : x + size] for x in range(len(t) - size + 1)] for t in (a, b)), autojunk=False)
+            x, y, run = by_size[size].find_longest_match(i, j - size + 1, k, l - size + 1)
+            if run:
+                run += size - 1
+                found.append((x, y, run))
+                todo += [(i, x, k, y, step), (x + run, j, y + run, l, step)]
+                break
+    return sorted(found)
+
+
 def _blocks(a: str, b: str, opens: bool, closes: bool) -> list[tuple[int, int, int]]:
     """Matching blocks of two parts. Beside an anchor the block that holds it goes on as far as both agree."""
     n = len(os.path.commonprefix([a, b])) if opens else 0
     a, b = a[n:], b[n:]
     m = len(os.path.commonprefix([a[::-1], b[::-1]])) if closes else 0
-    inner = SequenceMatcher(None, a[: len(a) - m], b[: len(b) - m], autojunk=False).get_matching_blocks()
-    return [(0, 0, n), *((x.a + n, x.b + n, x.size) for x in inner), (n + len(a) - m, n + len(b) - m, m)]
+    inner = _matching(a[: len(a) - m], b[: len(b) - m])
+    return [(0, 0, n), *((x + n, y + n, size) for x, y, size in inner), (n + len(a) - m, n + len(b) - m, m)]
 
 
 def char_links(hypothesis: DataFrame, reference: DataFrame, key: str, least: float = 0.3, anchor: int = 8) -> DataFrame:

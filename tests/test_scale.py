@@ -288,3 +288,22 @@ def test_long_texts_of_one_alphabet_are_compared_where_walks_lead(monkeypatch):
     monkeypatch.setattr(align, "_similar", lambda a, b: compared.append(1) or real(a, b))
     got = align._pairing(texts, kept, lines, list(range(160)))
     assert [(x[0], x[1]) for x in got] == list(enumerate(kept)) and len(compared) < 160 * 4
+
+
+def test_blocks_by_pieces_as_difflib(monkeypatch):
+    r = random.Random(9)
+    for k in range(400):
+        a = "".join(r.choice("ab" if k % 2 else "abcdefgh") for _ in range(r.randint(0, 120)))
+        b = "".join(c if r.random() < 0.9 else r.choice("abx") for c in a)[r.randint(0, 9) :] + a[: r.randint(0, 60)]
+        got, want = [], []
+        for out, blocks in ((got, metrics._matching(a, b)), (want, SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())):
+            for x, y, n in blocks:
+                out += [(x + i, y + i) for i in range(n)]
+        assert got == want
+    # two long texts that differ in few places meet in few pieces
+    text = "".join(r.choice("abcdefghijklmnop") for _ in range(6000))
+    other = "".join(c + ("." if i % 200 == 199 else "") for i, c in enumerate(text))
+    sizes = []
+    real = SequenceMatcher.find_longest_match
+    monkeypatch.setattr(SequenceMatcher, "find_longest_match", lambda self, i, j, k, l: sizes.append((j - i) * sum(len(x) for x in self.b2j.values()) / max(1, len(self.b2j))) or real(self, i, j, k, l))
+    assert sum(n for *_, n in metrics._blocks(text, other, False, False)) == 6000 and sum(sizes) < 6000 * 6000 / 100
