@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from difflib import SequenceMatcher
+from difflib import Match, SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.blocks import matching_blocks
 from .runs import Words, best_run
 
 
@@ -270,7 +271,7 @@ def _edges(text: str, run: list[tuple], first: int, policy: BoundaryPolicy) -> d
         step = (end - start) / len(t) if t else 0.0
         clock += [(start + step * i, start + step * (i + 1)) for i in range(len(t))]
         owner += [k] * len(t)
-    blocks = [b for b in SequenceMatcher(None, text, "".join(w[2] for w in run), autojunk=False).get_matching_blocks() if b.size]
+    blocks = [Match(*b) for b in matching_blocks(text, "".join(w[2] for w in run))]
     enough = min(policy.edge_characters, len(text))
 
     def edge(b, time: float) -> tuple[float, int, float | None]:

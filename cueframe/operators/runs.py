@@ -13,6 +13,7 @@ from __future__ import annotations
 import sys
 from bisect import bisect_left, bisect_right
 from difflib import SequenceMatcher
+from functools import cached_property
 from itertools import accumulate
 
 import numpy as np
@@ -92,7 +93,11 @@ class Score:
 
     def __init__(self, text: str, words: str):
         self.text, self.words = text, words
-        self.blocks = Blocks(text, words) if len(text) * len(words) <= MOST_CELLS else None
+
+    @cached_property
+    def blocks(self) -> Blocks | None:
+        """Made once a run is neither a part of the text nor holds it."""
+        return Blocks(self.text, self.words) if len(self.text) * len(self.words) <= MOST_CELLS else None
 
     def at_least(self, start: int, end: int, need: float) -> float | None:
         """The score of words[start:end], or none if it is smaller than need."""

@@ -307,3 +307,21 @@ def test_blocks_by_pieces_as_difflib(monkeypatch):
     real = SequenceMatcher.find_longest_match
     monkeypatch.setattr(SequenceMatcher, "find_longest_match", lambda self, i, j, k, l: sizes.append((j - i) * sum(len(x) for x in self.b2j.values()) / max(1, len(self.b2j))) or real(self, i, j, k, l))
     assert sum(n for *_, n in metrics._blocks(text, other, False, False)) == 6000 and sum(sizes) < 6000 * 6000 / 100
+
+
+def test_a_cue_that_its_words_spell_needs_no_blocks(monkeypatch):
+    """Whole turns met by just their words: neither the matrix of all cells nor difflib is asked."""
+    from collections import namedtuple
+
+    from cueframe.operators import align, runs
+
+    def none(*_):
+        raise AssertionError("asked")
+
+    monkeypatch.setattr(runs, "Blocks", none)
+    monkeypatch.setattr(align, "SequenceMatcher", none)
+    said = [f"w{k}x{k * k}" for k in range(300)]
+    words = [(0.5 + 0.33 * k, 0.8 + 0.33 * k, w, 0.9) for k, w in enumerate(said)]
+    cue = namedtuple("Cue", "start end t")(0.0, 99.0, "".join(said))
+    p, used = align._proposal(cue, runs.Words(words), 0, align.BoundaryPolicy())
+    assert (p["score"], p["coverage"], p["new"], used) == (1.0, 1.0, [0.5, 99.47], 300)
