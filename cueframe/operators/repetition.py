@@ -52,18 +52,19 @@ def longest_block(tokens: list[str | None], least: int) -> tuple[int, list[int]]
     number: dict[str, int] = {}
     ids = np.array([number.setdefault(t, len(number) + 1) if t else 0 for t in tokens], np.int64)
     breaks = np.concatenate([[0], np.cumsum(ids == 0)])
+    many = len(ids) + 1
     # names of blocks of 1, 2, 4, ... lines: equal names, equal texts; a block is named by two that cover it
     names = [ids]
     while (w := 1 << len(names) - 1) * 2 <= len(ids):
-        pairs = np.stack([names[-1][:-w], names[-1][w:]], axis=1)
-        names.append(np.unique(pairs, axis=0, return_inverse=True)[1].reshape(-1))
+        names.append(np.unique(names[-1][:-w] * many + names[-1][w:], return_inverse=True)[1])
 
     def groups(size: int) -> list[np.ndarray]:
         """The starts of each text of this length that stands twice or more without overlap, from the left."""
         k = size.bit_length() - 1
         whole = np.flatnonzero(breaks[size:] == breaks[:-size])
-        both = np.stack([names[k][whole], names[k][whole + size - (1 << k)]], axis=1)
-        of = np.unique(both, axis=0, return_inverse=True)[1].reshape(-1)
+        of = np.unique(names[k][whole] * many + names[k][whole + size - (1 << k)], return_inverse=True)[1]
+        again = np.bincount(of)[of] > 1
+        whole, of = whole[again], of[again]
         order = np.argsort(of, kind="stable")
         out = []
         for starts in np.split(whole[order], np.flatnonzero(np.diff(of[order])) + 1):
@@ -88,40 +89,46 @@ def repetition_groups(cues: DataFrame, policy: RepetitionPolicy = RepetitionPoli
     """Occurrences (section_id, occurrence, first, last) of each section's longest repeated block of lyric
     texts. cues: section_id, pos, role, source_text, canonical_source_text. known (section_id, line, text): the lyric;
     only texts that are one or more of its lines in a row may be part of a block, others break it, as speech does."""
-    token = F.when(F.coalesce("role", F.lit("lyric")) == "lyric", F.nullif(T.norm_match(F.coalesce("canonical_source_text", "source_text", F.lit(""))), F.lit("")))
+    token = F.when(F.coalesce("role", F.lit("lyric")) == "lyric", T.norm_match(F.coalesce("canonical_source_text", "source_text", F.lit(""))))
     flat = cues.select("section_id", "pos", token.alias("token"))
-    if known is not None:
-        flat = _of_known_lines(flat, known)
-    # a text that comes once can only break blocks: sections without a repeated text need no search. Counted by windows,
-    # so that texts are read and normalised once
-    often = F.count("token").over(Window.partitionBy("section_id", "token"))
-    flat = flat.withColumn("_n", often).withColumn("_most", F.max("_n").over(Window.partitionBy("section_id"))).where("_most > 1").drop("_n", "_most")
     kind = cues.schema["section_id"].dataType.simpleString()
+    # a text that comes once can only break blocks: sections without a repeated text need no search. Empty texts are
+    # left out behind the grouping, as a filter on normalised texts would normalise them once more
+    rows = _in_rows(flat, "pos", "token").select("section_id", "cues.pos", "cues.token")
+    sung = F.filter("token", lambda x: x != "")
+    rows = rows.where(F.size(sung) > F.size(F.array_distinct(sung)))
+    if known is not None:
+        text = T.norm_match(F.coalesce("text", F.lit("")))
+        lyric = _in_rows(known.select("section_id", "line", text.alias("t")), "line", "t")
+        rows = rows.join(lyric.select("section_id", F.filter("cues.t", lambda x: x != "").alias("lines")), "section_id")
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        found = longest_block([t if isinstance(t, str) else None for t in pdf["token"]], policy.min_block_events)
-        pos = pdf["pos"].tolist()
-        rows = [(pdf["section_id"].iloc[0], k + 1, pos[s], pos[s + found[0] - 1]) for k, s in enumerate(found[1])] if found else []
-        return pd.DataFrame(rows, columns=["section_id", "occurrence", "first", "last"])
-
-    return flat.groupBy("section_id").applyInPandas(search, f"section_id {kind}, occurrence int, first bigint, last bigint")
-
-
-def _of_known_lines(flat: DataFrame, known: DataFrame) -> DataFrame:
-    """flat with null for tokens that are no run of lines of their section's lyric. Only runs as long as some
-    token of the section are built, so a section's runs do not grow with the square of its lines."""
-    t = T.norm_match(F.coalesce("text", F.lit("")))
-    lyric = known.select("section_id", "line", t.alias("t")).where("t <> ''").groupBy("section_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]).alias("lines"))
-    tokens = flat.where("token IS NOT NULL").select("section_id", "token").distinct()
-    j = tokens.join(lyric, "section_id")
-    # lines end at running lengths; a token is a run if it stands in the joined text from one line's start to one's end
-    joined = F.array_join("lines", "")
-    ends = F.aggregate("lines", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-    j = j.withColumns({"_all": joined, "_ends": ends})
-    hit = F.exists("_ends", lambda e: (F.substring(F.col("_all"), e + 1, F.length("token")) == F.col("token")) & F.array_contains("_ends", e + F.length("token")))
-    seen = j.where(hit).select("section_id", "token", F.lit(True).alias("_k"))
-    return flat.join(seen, ["section_id", "token"], "left").withColumn("token", F.when(F.col("_k"), F.col("token"))).drop("_k")
+    def search(batches):
+        for b in batches:
+            out = []
+            for section, pos, tokens, *lyric in b.itertuples(index=False):
+                if lyric:
+                    runs = known_runs(list(lyric[0]), {t for t in tokens if t})
+                    tokens = [t if t in runs else None for t in tokens]
+                found = longest_block(list(tokens), policy.min_block_events)
+                out += [(section, k + 1, pos[s], pos[s + found[0] - 1]) for k, s in enumerate(found[1])] if found else []
+            yield pd.DataFrame(out, columns=["section_id", "occurrence", "first", "last"])
+
+    return rows.mapInPandas(search, f"section_id {kind}, occurrence int, first bigint, last bigint")
+
+
+def known_runs(lines: list[str], texts: set[str]) -> set[str]:
+    """The texts that are one or more of the lines in a row. From each line, only ends that are as far away as some text
+    is long are looked at."""
+    joined, ends, sizes = "".join(lines), [0, *itertools.accumulate(map(len, lines))], {len(t) for t in texts}
+    at, most, out = set(ends), max(sizes, default=0), set()
+    for i, e in enumerate(ends[:-1]):
+        upto = bisect.bisect_right(ends, e + most, i + 1)
+        if len(sizes) < upto - i:
+            far = [n for n in sizes if e + n in at]
+        else:
+            far = [x - e for x in ends[i + 1 : upto] if x - e in sizes]
+        out.update(joined[e : e + n] for n in far)
+    return out & texts
 
 
 def occurrence_stats(cues: DataFrame, occurrences: DataFrame, policy: RepetitionPolicy = RepetitionPolicy()) -> DataFrame:

@@ -407,3 +407,19 @@ def test_structure_boundary_against_every_cue(spark):
     c = spark.createDataFrame(cues, "section_id long, pos long, start double, end double, role string")
     got = rows(repetition.structure_boundary(c, spark.createDataFrame(anchors, "section_id long, anchor long, last long")), "section_id", "anchor", "sample_start")
     assert sorted(got) == sorted(want)
+
+
+def test_known_runs_against_every_run():
+    draw = random.Random(9)
+    for _ in range(300):
+        lines = ["".join(draw.choice("ab") for _ in range(draw.randint(1, 4))) for _ in range(draw.randint(0, 9))]
+        texts = {"".join(draw.choice("ab") for _ in range(draw.randint(1, 9))) for _ in range(draw.randint(0, 25))}
+        every = {"".join(lines[i:k]) for i in range(len(lines)) for k in range(i + 1, len(lines) + 1)}
+        assert repetition.known_runs(lines, texts) == texts & every
+
+
+def test_known_runs_of_a_long_lyric_look_at_few_ends():
+    """6000 lines, as many texts: by substrings of all texts from all lines it would not end."""
+    lines = [f"line{k}" for k in range(6000)]
+    texts = {*lines, *(f"other{k}" for k in range(6000)), "line5line6"}
+    assert repetition.known_runs(lines, texts) == {*lines, "line5line6"}
