@@ -325,3 +325,18 @@ def test_a_cue_that_its_words_spell_needs_no_blocks(monkeypatch):
     cue = namedtuple("Cue", "start end t")(0.0, 99.0, "".join(said))
     p, used = align._proposal(cue, runs.Words(words), 0, align.BoundaryPolicy())
     assert (p["score"], p["coverage"], p["new"], used) == (1.0, 1.0, [0.5, 99.47], 300)
+
+
+def test_powers_of_the_rolling_hash(spark):
+    some = [0, 1, 2, 63, 64, 65, 4095, 4096, 999_999, 2**31, 2**40 + 12_345, 2**42 - 1]
+    df = spark.createDataFrame([(k,) for k in some], "k bigint")
+    assert {r[0]: r[1] for r in df.select("k", joins._power(F.col("k"))).collect()} == {k: pow(joins.BASE, k, joins.PRIME) for k in some}
+
+
+def test_a_run_is_looked_up_with_few_shuffles(spark):
+    """Both hashes of a side are rolled in one pass: before, each side was read and joined again for each hash."""
+    e = spark.createDataFrame([(1, k, f"t{k}", float(k)) for k in range(3)], "track_id int, pos int, text string, start double")
+    r = spark.createDataFrame([(1, k, f"t{k % 4}", float(k), k + 0.5) for k in range(12)], "track_id int, pos int, text string, start double, end double")
+    out = joins.timing_reference_match(e, r)
+    assert [(x.pos, x.ref_pos) for x in out.orderBy("pos").collect()] == [(0, 0), (1, 1), (2, 2)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
