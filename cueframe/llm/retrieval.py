@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +24,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, forget, kind_cuts, mix, pieces_between, slices, stored, text_bytes
+from .common import forget, kind_cuts, mix, pieces_between, slices, stored, text_bytes
 
 #: Tokens and documents of a shard, about.
 SHARD_TOKENS, SHARD_DOCS = 1 << 20, 1 << 14
 #: Bytes of finished pieces that a Python worker keeps, text bytes that are tokenized at once.
 KEPT_BYTES, BATCH_BYTES = 96 << 20, 4 << 20
 K1, B = 1.2, 0.75
+#: The share of an index's documents that are unused, below which it is made smaller.
+STALE = 0.8
 #: Words that are tokenized in one row; how byte-level vocabularies write a space.
 ROW_WORDS, SPACE = 512, "\u0120"
+#: One space, then characters that are no space (nor a part of special tokens), white space neither first nor last.
+_EDGE = r"[^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}<|]"
+WORD = rf"^ {_EDGE}(?:[^ <|]*{_EDGE})?\z"
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -55,31 +61,48 @@ class ByteIds:
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.spaced = np.zeros(self.vocabulary, bool)
         self.spaced[[i for token, i in self.whole.get_vocab(with_added_tokens=False).items() if token[0] == SPACE]] = True
-        self.kept = Kept(KEPT_BYTES)
+        self.clear()
 
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        out = [self.kept.get(p) for p in pieces]
-        todo = [i for i, x in enumerate(out) if x is None]
+    def clear(self) -> None:
+        """Forgets the pieces that are known."""
+        self.pieces, self.coded = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def _known(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids as bytes, and for each of the pieces, which are distinct, where its own stand there."""
+        place = pc.index_in(pieces, value_set=self.pieces)
+        new = pieces.filter(place.is_null())
         # words behind one space stand apart also in a row of them, where each begins with the only tokens that do
-        words = [i for i in todo if self._is_word(pieces[i])]
-        rows = ["".join([pieces[i] for i in words[k : k + ROW_WORDS]]) for k in range(0, len(words), ROW_WORDS)]
-        ids = [np.array(e.ids, self.kind) for e in self.whole.encode_batch_fast(rows, add_special_tokens=False)]
-        ids = np.concatenate(ids) if ids else np.zeros(0, self.kind)
-        size, raw = self.kind.itemsize, ids.tobytes()
-        starts = (np.flatnonzero(self.spaced[ids]) * size).tolist()
-        for i, j, k in zip(words, starts, [*starts[1:], len(raw)][: len(starts)], strict=True):
-            out[i] = raw[j:k]
-        rest = [i for i in todo if out[i] is None]
-        for i, e in zip(rest, self.whole.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.kind).tobytes()
-        for i in todo:
-            self.kept.put(pieces[i], out[i])
-        return out
+        word = pc.match_substring_regex(new, WORD)
+        words, rest = new.filter(word), new.filter(pc.invert(word))
+        place, word = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), word.to_numpy(zero_copy_only=False)
+        place[place < 0] = len(self.pieces) + np.where(word, np.cumsum(word) - 1, len(words) + np.cumsum(~word) - 1)
+        coded = pa.concat_arrays([self.coded, self._words(words), self._each(rest)])
+        if coded.nbytes + self.pieces.nbytes + new.nbytes < KEPT_BYTES:
+            self.pieces, self.coded = pa.concat_arrays([self.pieces, words, rest]), coded
+        else:
+            self.pieces, self.coded = pieces, coded.take(pa.array(place))
+        return coded, place
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        data, at = text_bytes(words)
+        rows = [data[i:j].tobytes().decode() for i, j in pairwise([*at[:-1:ROW_WORDS].tolist(), len(data)])]
+        ids = self._ids(rows)[0]
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(words):
+            raise ValueError("a word has not one token with a space")
+        return self._bytes(ids, np.append(starts, len(ids)))
+
+    def _each(self, pieces: pa.Array) -> pa.Array:
+        return self._bytes(*self._ids(pieces.to_pylist()))
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        return np.fromiter(chain.from_iterable(ids), self.kind, at[-1]), at
 
     @staticmethod
-    def _is_word(piece: str) -> bool:
-        """One space, then characters that are no white space (nor a part of special tokens)."""
-        return piece[0] == " " and piece.find(" ", 1) < 0 and not (piece[1:2].isspace() or piece[-1].isspace() or "<" in piece or "|" in piece)
+    def _bytes(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64) * ids.itemsize), pa.py_buffer(ids)])
 
     @staticmethod
     def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -99,7 +122,8 @@ class ByteIds:
         data, at = text_bytes(texts)
         starts = self.cuts(data, at)
         coded = pieces_between(data, starts)
-        taken = pa.array(self._known(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        known, place = self._known(coded.dictionary)
+        taken = known.take(pa.array(place[coded.indices.to_numpy()]))
         raw, ends = text_bytes(taken)
         ids, upto = np.frombuffer(np.ascontiguousarray(raw), self.kind), ends[np.searchsorted(starts, at)] // self.kind.itemsize
         if len(apart):
@@ -133,7 +157,7 @@ def tokenized(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
             seen += len(doc)
             values = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(upto * ids.itemsize), pa.py_buffer(np.ascontiguousarray(ids))])
             yield pa.RecordBatch.from_arrays([doc, pa.array(lots.astype(np.int64)), pa.array(np.diff(upto)), values.cast(pa.binary())], names=["doc_id", "lot", "n", "ids"])
-        coder.kept.clear()
+        coder.clear()
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
     return given.mapInArrow(run, "doc_id bigint, lot bigint, n bigint, ids binary")
@@ -144,15 +168,16 @@ def frequencies(rows: DataFrame, vocabulary: int, kind: np.dtype) -> tuple[np.nd
     entry of the vocabulary, however large the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = np.zeros((64, vocabulary), bool), np.zeros(vocabulary, np.int64)
+        total = np.zeros(vocabulary, np.int64)
         for b in batches:
             data, at = text_bytes(b.column(0))
             ids, at = np.frombuffer(np.ascontiguousarray(data), kind), at // kind.itemsize
             for i in range(0, b.num_rows, 64):
                 own = at[i : i + 65]
-                seen[np.repeat(np.arange(len(own) - 1), np.diff(own)), ids[own[0] : own[-1]]] = True
-                total += seen.sum(axis=0)
-                seen[:] = False
+                both = np.repeat(np.arange(len(own) - 1, dtype=np.uint32) * np.uint32(vocabulary), np.diff(own)) + ids[own[0] : own[-1]]
+                both.sort()
+                first = np.append(True, both[1:] != both[:-1])[: len(both)]
+                total += np.bincount(both[first] % np.uint32(vocabulary), minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "docs"])
 
@@ -230,10 +255,19 @@ class Index:
         term, self.doc = (both >> bits).astype(np.int64), (both & (wide(1) << bits) - wide(1)).astype(np.int64)
         self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[self.doc] / mean))
         self.upto = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
+        self.asked = np.zeros(len(idf), bool)
+
+    def keep(self, some: np.ndarray) -> None:
+        """Forgets the entries of all other documents; the places of documents stay."""
+        own = some[self.doc]
+        self.upto = np.concatenate([[0], np.cumsum(own)])[self.upto]
+        self.doc, self.weight = self.doc[own], self.weight[own]
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
         """Of each document for the distinct terms of a query."""
-        terms = np.unique(ids)
+        self.asked[ids] = True
+        terms = np.flatnonzero(self.asked)
+        self.asked[terms] = False
         first, n = self.upto[terms], self.upto[terms + 1] - self.upto[terms]
         place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.bincount(self.doc[place], self.weight[place], minlength=self.many)
@@ -242,6 +276,7 @@ class Index:
 def fill(ids: np.ndarray, at: np.ndarray, idf: np.ndarray, mean: float, capacity: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length). Seeds in order; neighbours by falling score, then in order."""
     index, unused = Index(ids, at, idf, mean), np.ones(len(at) - 1, bool)
+    held = len(unused)
     size, out, window, room = np.diff(at).tolist(), [], [], capacity
     cut: tuple[int, int] | None = None  # a document that begins the next window, and where
     for seed in range(len(size)):
@@ -260,6 +295,9 @@ def fill(ids: np.ndarray, at: np.ndarray, idf: np.ndarray, mean: float, capacity
                     break
                 if ranked is None:  # asked once the seed leaves room
                     left = np.flatnonzero(unused)
+                    if len(left) < held * STALE:  # used documents are looked through no more
+                        index.keep(unused)
+                        held = len(left)
                     score = index.scores(ids[at[doc] : at[doc + 1]])[left] if len(left) else left
                     ranked = iter(left[np.argsort(-score, kind="stable")].tolist())
                 doc, start = next(ranked, -1), 0

@@ -262,3 +262,30 @@ def test_tokens_of_texts_without_words_in_rows():
         words = Tokenizer.from_file(public_tokenizers.path(WORD_BPE))
         got = packing.word_ids(public_tokenizers.path(WORD_BPE)).encode(pa.array(texts, pa.string()))
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [words.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_words_and_entries_are_handled_together():
+    """Python takes no step for each word, and the index of a shard gets smaller as its documents are used."""
+    import sys
+
+    import pyarrow as pa
+
+    r = random.Random(4)
+    text = pa.array([" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(20_000)), "a b <c |d 　e é f"])
+    coder, calls = retrieval.ByteIds(public_tokenizers.path(BYTE_BPE_50K)), collections.Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        ids, upto = coder.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert calls["c_call"] + calls["call"] < 5_000
+    assert [ids[a:b].tolist() for a, b in zip(upto[:-1], upto[1:], strict=True)] == [coder.whole.encode(t.as_py(), add_special_tokens=False).ids for t in text]
+
+    docs = [[r.randrange(5000) for _ in range(50)] + [1] for _ in range(400)]
+    idf = retrieval.weights(np.bincount([t for d in docs for t in set(d)], minlength=5001), 400)
+    ids, at = np.array(sum(docs, []), np.uint16), np.cumsum([0, *map(len, docs)])
+    index = retrieval.Index(ids, at, idf, 51.0)
+    before, some = index.scores(ids[:51]), np.arange(400) % 3 == 0
+    many = len(index.doc)
+    index.keep(some)
+    assert np.array_equal(index.scores(ids[:51]), np.where(some, before, 0.0)) and len(index.doc) < many / 2
