@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,22 +56,40 @@ AT_STRONG, AT_SEGMENT, AT_SPACE, AT_SOFT, ELSEWHERE, IN_WORD, TOO_WIDE = 0.0, 0.
 
 def sentences(text: Column) -> Column:
     """Sentences of a text: one more than the sentence marks that something other than closing quotes follows."""
-    bare = F.regexp_replace(text, f"^[{T.SPACE}]+|[{T.SPACE}]+$", "")
-    marks = F.length(bare) - F.length(F.regexp_replace(bare, f"[{STRONG}]", ""))
-    return marks - bare.rlike(f"[{STRONG}][{CLOSERS}]*$").cast("int") + 1
+    marks = F.length(text) - F.length(F.regexp_replace(text, f"[{STRONG}]", ""))
+    return marks - text.rlike(f"[{STRONG}][{CLOSERS}]*[{T.SPACE}]*$").cast("int") + 1
 
 
-def part_count(source: Column, translation: Column, seconds: Column, segments: Column, whole: Column) -> Column:
+def is_timed(words: Column) -> Column:
+    """Whether a segment has a word with both times."""
+    return F.coalesce(F.exists(words, lambda w: w["start"].isNotNull() & w["end"].isNotNull()), F.lit(False))
+
+
+def parts_told(source: Column, translation: Column, seconds: Column, whole: Column) -> Column:
+    """What the texts of a cue tell of its parts, before its segments are known: most, the parts that it may have, at most
+    one in 0.45 seconds, and six; each, whether both texts have equally many sentences, two or more; other, whether
+    one has two and the other one."""
+
+    def told(x: Column) -> Column:
+        a, b = x["a"], x["b"]
+        each, other = (a == b) & (a > 1), (F.least(a, b) == 1) & (F.greatest(a, b) == 2)
+        count = F.when(each, a).when(other | (F.greatest(a, b) == 1), 2).otherwise(1)
+        most = F.when(whole, 1).otherwise(F.least(count, F.greatest(F.lit(1), F.floor(seconds / LEAST_PART)), F.lit(MOST_PARTS))).cast("int")
+        return F.struct(most.alias("most"), each.alias("each"), other.alias("other"))
+
+    # a transform binds the sentences: they are counted once, however often they are asked for
+    both = F.struct(sentences(source).alias("a"), sentences(translation).alias("b"))
+    return F.get(F.transform(F.array(both), told), F.lit(0))
+
+
+def part_count(told: Column, segments: Column) -> Column:
     """Parts of a cue. As many as sentences, if both texts have equally many; two if one text has two and the
     other one, or if both have one and a timed segment before the last has an unfinished end, as far as two segments with timed
-    words stand in the cue. At most one in 0.45 seconds, and six."""
-    a, b = sentences(source), sentences(translation)
-    timed = F.filter(segments, lambda s: F.coalesce(F.exists(s["words"], lambda w: w["start"].isNotNull() & w["end"].isNotNull()), F.lit(False)))
-    heard = F.size(timed) >= 2
-    open_ = F.exists(F.slice(timed, F.lit(1), F.greatest(F.lit(0), F.size(timed) - 1)), lambda s: T.has_unfinished_tail(F.coalesce(s["text"], F.lit(""))))
-    told = F.when(heard & ((F.least(a, b) == 1) & (F.greatest(a, b) == 2) | (F.greatest(a, b) == 1) & open_), 2).otherwise(1)
-    count = F.when((a == b) & (a > 1), a).otherwise(told)
-    return F.when(whole, 1).otherwise(F.least(count, F.greatest(F.lit(1), F.floor(seconds / LEAST_PART)), F.lit(MOST_PARTS))).cast("int")
+    words stand in the cue. No more than parts_told() has."""
+    timed = F.filter(segments, lambda s: s["timed"])
+    open_ = F.exists(F.slice(timed, F.lit(1), F.greatest(F.lit(0), F.size(timed) - 1)), lambda s: s["open"])
+    two = (F.size(timed) >= 2) & (told["other"] | open_)
+    return F.when((told["most"] > 1) & (told["each"] | two), told["most"]).otherwise(1)
 
 
 class Cuts:
@@ -169,39 +188,46 @@ def split_events(cues: DataFrame, segments: DataFrame | None = None) -> DataFram
     is. Columns: section_id, pos, part, start, end, source_text, translation, merged, new_pos."""
     kind = cues.schema["section_id"].dataType.simpleString()
     word = "array<struct<start:double,end:double,text:string>>"
-    found = f"array<struct<start:double,end:double,text:string,words:{word}>>"
+    found = f"array<struct<start:double,end:double,text:string,words:{word},timed:boolean,open:boolean>>"
     joined = F.coalesce(F.col("merged"), F.lit(False)) if "merged" in cues.columns else F.lit(False)
     told = F.coalesce(F.array_contains("evidence", "timed_prefix_merge"), F.lit(False)) if "evidence" in cues.columns else F.lit(False)
     base = cues.select("section_id", "pos", "start", "end", F.coalesce("source_text", F.lit("")).alias("source_text"), F.coalesce("translation", F.lit("")).alias("translation"), joined.alias("merged"), (joined | told).alias("_whole"))
+    base = base.withColumn("_told", parts_told(F.col("source_text"), F.col("translation"), F.col("end") - F.col("start"), F.col("_whole"))).drop("_whole")
     if segments is None:
         base = base.withColumn("_g", F.array().cast(found))
     else:
-        met = matching_segments(base.select("section_id", "pos", "start", "end"), segments.select("section_id", "start", "end", "text", F.col("words").cast(word).alias("words")))
-        own = met.groupBy("section_id", "pos").agg(F.array_sort(F.collect_list(F.struct(F.col("r_start").alias("start"), F.col("r_end").alias("end"), F.col("r_text").alias("text"), F.col("r_words").alias("words")))).alias("_g"))
+        heard = segments.select("section_id", "start", "end", "text", F.col("words").cast(word).alias("words"))
+        heard = heard.withColumns({"timed": is_timed(F.col("words")), "open": T.has_unfinished_tail(F.coalesce("text", F.lit("")))})
+        met = matching_segments(base.where("_told.most > 1").select("section_id", "pos", "start", "end"), heard)
+        own = met.groupBy("section_id", "pos").agg(F.array_sort(F.collect_list(F.struct(*[F.col(f"r_{c}").alias(c) for c in ("start", "end", "text", "words", "timed", "open")]))).alias("_g"))
         base = base.join(own, ["section_id", "pos"], "left").withColumn("_g", F.coalesce("_g", F.array().cast(found)))
-    base = base.withColumn("_n", part_count(F.col("source_text"), F.col("translation"), F.col("end") - F.col("start"), F.col("_g"), F.col("_whole"))).drop("_whole")
+    base = base.withColumn("_n", part_count(F.col("_told"), F.col("_g"))).drop("_told")
     names = ["section_id", "pos", "part", "start", "end", "source_text", "translation", "merged"]
-    whole = base.where("_n = 1").select("section_id", "pos", F.lit(0).alias("part"), *names[3:])
+    base = base.select(*[F.lit(0).alias(c) if c == "part" else c for c in names], "_n", F.when(F.col("_n") > 1, F.col("_g")).alias("_g"))
 
     def cut(batches):
         for b in batches:
+            many = pc.greater(b.column("_n"), 1)
+            yield b.filter(pc.invert(many)).select(names)
             rows = []
-            for x in b.rename(columns={"_g": "heard", "_n": "parts"}).itertuples(index=False):
-                widths = np.cumsum([max(1, sum(map(_units, s["text"] or ""))) for s in x.heard])
+            for x in b.filter(many).to_pylist():
+                start, end, heard = x["start"], x["end"], x["_g"]
+                widths = np.cumsum([max(1, sum(map(_units, s["text"] or ""))) for s in heard])
                 shares = [float(w / widths[-1]) for w in widths[:-1]]
-                source, at = cut_text(x.source_text, x.parts, SOURCE_UNITS, segments=shares)
-                target, _ = cut_text(x.translation, x.parts, TRANSLATION_UNITS, wished=at)
+                source, at = cut_text(x["source_text"], x["_n"], SOURCE_UNITS, segments=shares)
+                target, _ = cut_text(x["translation"], x["_n"], TRANSLATION_UNITS, wished=at)
                 if not source or not target:
-                    rows.append((x.section_id, x.pos, 0, x.start, x.end, x.source_text, x.translation, x.merged))
+                    rows.append({c: x[c] for c in names})
                     continue
-                times = [x.start, *cut_times(x.start, x.end, at, x.heard), x.end]
-                for k in range(x.parts):
-                    rows.append((x.section_id, x.pos, k, round(times[k], 3), round(times[k + 1] - (PART_GAP if k < x.parts - 1 else 0.0), 3), source[k], target[k], x.merged))
-            yield pd.DataFrame(rows, columns=names)
+                times = [start, *cut_times(start, end, at, heard), end]
+                for k in range(x["_n"]):
+                    edges = {"part": k, "start": round(times[k], 3), "end": round(times[k + 1] - (PART_GAP if k < x["_n"] - 1 else 0.0), 3)}
+                    rows.append({"section_id": x["section_id"], "pos": x["pos"], **edges, "source_text": source[k], "translation": target[k], "merged": x["merged"]})
+            yield pa.RecordBatch.from_pylist(rows, b.select(names).schema)
 
-    parts = base.where("_n > 1").mapInPandas(cut, f"section_id {kind}, pos bigint, part int, start double, end double, source_text string, translation string, merged boolean")
+    parts = base.mapInArrow(cut, f"section_id {kind}, pos bigint, part int, start double, end double, source_text string, translation string, merged boolean")
     number = F.row_number().over(Window.partitionBy("section_id").orderBy("pos", "part")) - 1
-    return whole.unionByName(parts).withColumn("new_pos", number)
+    return parts.withColumn("new_pos", number)
 
 
 def reflow_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
