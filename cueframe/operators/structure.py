@@ -44,20 +44,32 @@ def choose_cycle(parts: DataFrame, durations: DataFrame) -> DataFrame:
 
 def beat_anchors(parts: DataFrame, onsets: DataFrame) -> DataFrame:
     """Every fourth beat of a part (track_id, part, start, end, beats), moved to the strongest onset (track_id, i in
-    hundredths of a second, value) near it if that stands out, else left where it is expected. Onsets meet beats
-    by the second they are in."""
+    hundredths of a second, value) near it if that stands out, else left where it is expected; and both ends of the part.
+
+    A beat asks for a second or the two that its range touches, so the onsets of each second stand in one row with those
+    of the next, and a beat meets one row."""
     step = (F.col("end") - F.col("start")) / F.col("beats")
-    inner = parts.where("beats > 4").withColumn("beat", F.explode(F.sequence(F.lit(4), F.col("beats") - 1, F.lit(4))))
-    inner = inner.withColumns({"expected": F.col("start") + step * F.col("beat"), "radius": F.least(F.lit(0.25), step * 0.35)})
-    lo, hi = F.greatest(F.lit(0), F.ceil((F.col("expected") - F.col("radius")) * 100)), F.floor((F.col("expected") + F.col("radius")) * 100)
-    spans = inner.withColumns({"lo": lo, "hi": hi}).withColumn("_s", F.explode(F.sequence(F.floor(F.col("lo") / 100), F.greatest(F.floor(F.col("lo") / 100), F.floor(F.col("hi") / 100)))))
-    o = onsets.select("track_id", F.col("i").alias("_i"), F.col("value").alias("_v"), F.floor(F.col("i") / 100).alias("_s"))
-    near = spans.join(o, ["track_id", "_s"]).where("_i BETWEEN lo AND hi")
-    top = near.groupBy("track_id", "part", "beat").agg(F.max("_v").alias("peak"), F.avg("_v").alias("mean"), F.max_by("_i", F.struct("_v", (-F.col("_i")).alias("k"))).alias("at"))
-    found = top.where(F.col("peak") > F.greatest(F.lit(1e-6), 2.5 * F.col("mean"))).select("track_id", "part", "beat", (F.col("at") / 100.0).alias("_t"))
-    moved = inner.join(found, ["track_id", "part", "beat"], "left").select("track_id", "part", "beat", F.coalesce("_t", "expected").alias("time"), F.col("_t").isNotNull().alias("supported"))
-    edges = parts.select("track_id", "part", F.explode(F.array(F.struct(F.lit(0).alias("beat"), F.col("start").alias("time")), F.struct(F.col("beats").cast("int").alias("beat"), F.col("end").alias("time")))).alias("e"))
-    return moved.unionByName(edges.select("track_id", "part", "e.beat", "e.time", F.lit(False).alias("supported")))
+    expected, radius = F.col("start") + step * F.col("beat"), F.least(F.lit(0.25), step * 0.35)
+    inside = (F.col("beat") > 0) & (F.col("beat") < F.col("beats"))
+    last = F.col("beats").cast("int")
+    inner = F.when(F.col("beats") > 4, F.sequence(F.lit(4), F.col("beats") - 1, F.lit(4)).cast("array<int>")).otherwise(F.array().cast("array<int>"))
+    beats = parts.withColumn("beat", F.explode(F.concat(F.array(F.lit(0)), inner, F.array(last))))
+    # ends are not moved: their range is empty
+    low = F.when(inside, F.greatest(F.lit(0), F.ceil((expected - radius) * 100))).otherwise(F.floor(F.col("start") * 100))
+    beats = beats.select(
+        "track_id", "part", "beat",
+        F.when(inside, expected).when(F.col("beat") == 0, F.col("start")).otherwise(F.col("end")).alias("expected"),
+        low.cast("long").alias("_lo"), F.when(inside, F.floor((expected + radius) * 100).cast("long")).alias("_hi"),
+    )
+    second = F.floor(F.col("i") / 100)
+    o = onsets.where("i IS NOT NULL AND value IS NOT NULL").select("track_id", F.struct(F.col("value").cast("double").alias("v"), (-F.col("i")).alias("k")).alias("o"), F.explode(F.array(second, second - 1)).alias("_w"))
+    o = o.groupBy(F.col("track_id").alias("_k"), "_w").agg(F.collect_list("o").alias("_o"))
+    met = beats.join(o, (F.col("track_id") == F.col("_k")) & (F.floor(F.col("_lo") / 100) == F.col("_w")), "left")
+    met = met.withColumn("_near", F.filter("_o", lambda x: (-x["k"] >= F.col("_lo")) & (-x["k"] <= F.col("_hi"))))
+    mean = F.aggregate("_near", F.lit(0.0), lambda total, x: total + x["v"]) / F.size("_near")
+    met = met.withColumns({"_top": F.array_max("_near"), "_mean": F.when(F.size("_near") > 0, mean)})
+    moved = F.when(F.col("_top.v") > F.greatest(F.lit(1e-6), 2.5 * F.col("_mean")), -F.col("_top.k") / 100.0)
+    return met.select("track_id", "part", "beat", F.coalesce(moved, "expected").alias("time"), moved.isNotNull().alias("supported"))
 
 
 def usage_counts(mapped: DataFrame, keys: list[str]) -> DataFrame:
