@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,10 +169,11 @@ def longest_common_run(left: DataFrame, right: DataFrame, key: str) -> DataFrame
 
     def measure(batches):
         for p in batches:
-            runs = [0 if a is None or b is None else common_run(list(a), list(b)) for a, b in zip(p["_a"], p["_b"], strict=True)]
-            yield pd.DataFrame({key: p[key], "run": runs})
+            # the items of one row at a time are Python objects
+            runs = [common_run(a.as_py(), b.as_py()) if a.is_valid and b.is_valid else 0 for a, b in zip(p.column(1), p.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([p.column(0), pa.array(runs, pa.int64())], names=[key, "run"])
 
-    return both.mapInPandas(measure, f"`{key}` {left.schema[key].dataType.simpleString()}, run bigint")
+    return both.mapInArrow(measure, f"`{key}` {left.schema[key].dataType.simpleString()}, run bigint")
 
 
 def language_track(tracks: DataFrame, language: str) -> DataFrame:
